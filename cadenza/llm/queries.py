@@ -5,18 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from .common import table
+from pyspark.sql import functions as F
+
+from . import linededup, mixing
+from .common import crc32_mod, table
+from .decontaminate import contaminated
+from .langid import identify, train
+from .linededup import drop_boilerplate
+from .mixing import mix
 from .simhash import near_duplicates
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a third of them are held out of training."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc32_mod("doc_id", 3) == 1)
+    found = identify(docs, train(docs.where(~F.col("held_out"))))
+    return found.select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each document for each benchmark item it holds."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the boilerplate lines of its source."""
+    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL}
