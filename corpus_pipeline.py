@@ -1,13 +1,37 @@
-"""The corpus pipeline: documents in, a deduplicated and mixed corpus out."""
+"""The corpus pipeline: documents in, a cleaned, deduplicated and mixed corpus out.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
+return the columns of documents; the last returns what the mix takes of each document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadenza.llm.common import stored, table
+from cadenza.llm.decontaminate import contaminated
+from cadenza.llm.langid import identify, train
+from cadenza.llm.linededup import drop_boilerplate
+from cadenza.llm.mixing import mix
 from cadenza.llm.simhash import near_duplicates
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the compressor can't tell go; the model learns from those labelled."""
+    found = identify(docs, train(docs))
+    rejected = stored(found.where("rejected").select("doc_id").distinct(), "rejected")
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of a source go from the texts; n_chars follows."""
+    out = drop_boilerplate(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that with the smallest id."""
     groups = near_duplicates(docs)
@@ -15,7 +39,25 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.join(first, "doc_id", "left_semi").select(docs.columns)
 
 
-STAGES = [("simhash_near_dedup", simhash_near_dedup)]
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    hits = stored(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
+    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document that is left."""
+    return mix(docs, table(spark, sf_dir, "labels"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing", mixing),
+]
+#: Compression, SimHash and Hamming blocks have no form in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -24,4 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    name, stage = STAGES[-1]
+    return stage(spark, docs, sf_dir)
