@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing
+from . import linededup, mixing, secrets
 from .common import crc32_mod, table
 from .decontaminate import contaminated
 from .langid import identify, train
@@ -16,6 +16,12 @@ from .mixing import mix
 from .simhash import near_duplicates
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; the models learn from a bounded sample of them."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.find_secrets(docs, secrets.train(docs))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
