@@ -13,7 +13,9 @@ from .decontaminate import contaminated
 from .langid import identify, train
 from .linededup import drop_boilerplate
 from .mixing import mix
+from .postings import nearest
 from .simhash import near_duplicates
+from .warc import archive
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +36,22 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as written to WARC files and read back, in the order of the merged index."""
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best window of each document for each benchmark item it holds."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
