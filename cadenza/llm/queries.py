@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, secrets
+from . import brown, linededup, mixing, secrets
 from .common import crc32_mod, table
 from .decontaminate import contaminated
 from .langid import identify, train
@@ -15,6 +15,7 @@ from .linededup import drop_boilerplate
 from .mixing import mix
 from .postings import nearest
 from .simhash import near_duplicates
+from .suffixes import remove_repeats
 from .warc import archive
 
 
@@ -36,6 +37,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc32_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based and unigram log-probability of every document; a seventh of them is held out."""
+    return brown.score(table(spark, sf_dir, "documents"), crc32_mod("doc_id", 7) == 2)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 50 bytes that earlier ones hold."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as written to WARC files and read back, in the order of the merged index."""
     return archive(table(spark, sf_dir, "pages"))
