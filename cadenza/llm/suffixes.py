@@ -310,8 +310,9 @@ def grouped(distinct: DataFrame, kind: str, options: Options) -> DataFrame:
 
 def _cut(text: bytes, first: list[int], length: list[int]) -> tuple[int, int, str]:
     gone = np.zeros(len(text) + 1, np.int32)
+    first = np.asarray(first, np.int64)
     np.add.at(gone, first, 1)
-    np.add.at(gone, np.minimum(np.add(first, length), len(text)), -1)
+    np.add.at(gone, np.minimum(first + np.asarray(length, np.int64), len(text)), -1)
     out = np.cumsum(gone[:-1]) > 0
     kept = np.frombuffer(text, np.uint8)[~out].tobytes()
     return int(out.sum()), int((np.diff(out.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()
