@@ -19,9 +19,9 @@ from .common import parts_for, small_batches, stored, utf8
 class Options:
     length: int = 50
     #: A string's bucket is the smallest hash of the pieces of so many bytes inside it.
-    piece: int = 26
-    #: Bits of the filter for buckets that several documents use. Its size is fixed: 32 MB. When it
-    #: fills up more strings are compared than need be; none is lost.
+    piece: int = 20
+    #: The filters of buckets have one bit for 8 bytes of text, and at most 2 ** filter_bits (32 MB).
+    #: When they fill up more strings are compared than need be; none is lost.
     filter_bits: int = 28
     #: Bytes of text whose bucket keys a task adds up before it passes them on.
     held: int = 8 << 20
@@ -171,15 +171,33 @@ def segments_of(text: bytes, options: Options) -> tuple[np.ndarray, np.ndarray,
     return keys[cut], cut, np.append(cut[1:], len(keys))
 
 
+def filter_parts(n_bytes: int) -> int:
+    """Parts of the key space that are counted one at a time."""
+    return 1 << max(8, min(16, (n_bytes // (32 << 20)).bit_length() + 3))
+
+
+def bits_for(n_bytes: int, options: Options) -> int:
+    return min(options.filter_bits, max(20, (n_bytes // 8).bit_length()))
+
+
+def gathered(slices: DataFrame, parts: int, n_bits: int) -> np.ndarray:
+    """slices(part, bits) as one filter of 2 ** n_bits bits."""
+    found = slices.toArrow()
+    bits = np.zeros((parts, (1 << n_bits) // parts // 8), np.uint8)
+    for p, x in zip(found["part"].to_pylist(), found["bits"].to_pylist()):
+        bits[p] = np.frombuffer(x, np.uint8)
+    return bits.ravel()
+
+
 def busy_filter(docs: DataFrame, n_bytes: int, options: Options) -> np.ndarray:
     """Bits of the bucket keys that at least two rows of docs(text) have.
 
     Keys travel packed: a part of the key space gets one blob of each task's texts. Each part makes its own slice of the
-    filter, so what comes to the driver is the filter alone, of a fixed size.
+    filter, so what comes to the driver is the filter alone, of a bounded size.
     """
-    parts = 1 << max(8, min(20, (n_bytes // (32 << 20)).bit_length() + 3))
-    slice_bits = max(0, options.filter_bits - (parts.bit_length() - 1))
-    slot_shift = np.uint64(64 - (parts.bit_length() - 1) - slice_bits)
+    parts = filter_parts(n_bytes)
+    n_bits = bits_for(n_bytes, options)
+    slice_bits = n_bits - (parts.bit_length() - 1)
     part_shift = np.uint64(64 - (parts.bit_length() - 1))
 
     def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +226,7 @@ def busy_filter(docs: DataFrame, n_bytes: int, options: Options) -> np.ndarray:
         every = np.concatenate([np.frombuffer(x, "<u4") for pair in blobs for x in pair])
         key, n = np.unique(every, return_counts=True)
         bits = np.zeros(1 << slice_bits, bool)
-        bits[key[n > 1] >> np.uint32(32 - slice_bits) if slice_bits else np.zeros(0, np.int64)] = True
+        bits[key[n > 1] >> np.uint32(32 - slice_bits)] = True
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["part", "bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -225,43 +243,77 @@ def busy_filter(docs: DataFrame, n_bytes: int, options: Options) -> np.ndarray:
 
     spark = docs.sparkSession
     found = docs.select("text").mapInArrow(emit, "part long, keys binary, twice binary")
-    found = found.repartition(parts_for(parts, 16, spark), "part").sortWithinPartitions("part").mapInArrow(merge, "part long, bits binary").toArrow()
-    bits = np.zeros((parts, max(1, (1 << slice_bits) // 8)), np.uint8)
-    for p, x in zip(found["part"].to_pylist(), found["bits"].to_pylist()):
-        bits[p] = np.frombuffer(x, np.uint8)
-    return bits.ravel()
+    found = found.repartition(parts_for(parts, 16, spark), "part").sortWithinPartitions("part").mapInArrow(merge, "part long, bits binary")
+    return gathered(found, parts, n_bits)
+
+
+def key_filter(keys: DataFrame, n_bytes: int, options: Options) -> np.ndarray:
+    """Bits of keys(key), in a filter like busy_filter's."""
+    parts = filter_parts(n_bytes)
+    n_bits = bits_for(n_bytes, options)
+    slice_bits = n_bits - (parts.bit_length() - 1)
+    shift = np.uint64(64 - n_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = (batch.column(0).to_numpy().view(np.uint64) >> shift).astype(np.int64)
+            for p in np.unique(slot >> slice_bits).tolist():
+                bits = slices.setdefault(p, np.zeros(1 << slice_bits, bool))
+                bits[slot[slot >> slice_bits == p] & ((1 << slice_bits) - 1)] = True
+        for p, bits in slices.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["part", "bits"])
+
+    part = F.shiftrightunsigned("key", 64 - (parts.bit_length() - 1))
+    dealt = keys.select("key").repartition(parts_for(parts, 16, keys.sparkSession), part)
+    return gathered(dealt.mapInArrow(run, "part long, bits binary"), parts, n_bits)
+
 
+def segments(docs: DataFrame, busy: np.ndarray, mixed: np.ndarray | None, kind: str, options: Options, want: str) -> DataFrame:
+    """The runs of strings whose bucket is in the filter `busy`, and only outside or inside of `mixed` if that is given.
 
-def segments(docs: DataFrame, filter_: np.ndarray, kind: str, options: Options, with_text: bool) -> DataFrame:
-    """(key, sh, doc_id, seg) or (key, sh, doc_id, h, at, n): the runs of strings in buckets that several rows use."""
-    sent = docs.sparkSession.sparkContext.broadcast(filter_)
-    shift = np.uint64(64 - (8 * len(filter_)).bit_length() + 1)
+    want is what each row holds: "hash" (key, sh, doc_id), "text" (key, sh, doc_id, seg), or "place"
+    (key, sh, doc_id, h, at, n), where sh is null outside of mixed.
+    """
+    context = docs.sparkSession.sparkContext
+    sent = [context.broadcast(x) for x in (busy, mixed) if x is not None]
+    shift = np.uint64(65 - (8 * len(busy)).bit_length())
     digest = xxhash.xxh64_intdigest
+    fields = {"hash": "sh long", "text": "sh long, seg binary", "place": "sh long, h int, at int, n int"}[want]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        bits = sent.value
+        inside = lambda bits, slot: (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
         for batch in batches:
-            row, keys, at, n, pieces = [], [], [], [], []
+            row, keys, at, n, sh, pieces = [], [], [], [], [], []
             for i, text in enumerate(utf8(batch.column(1))):
                 key, first, end = segments_of(text, options)
                 slot = (key >> shift).astype(np.int64)
-                for j in np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).tolist():
-                    row.append(i)
-                    keys.append(key[j])
-                    at.append(first[j])
-                    n.append(end[j] - first[j])
-                    pieces.append(text[first[j] : end[j] + options.length - 1])
-            index = pa.array(row, pa.int64())
-            key = pa.array(np.array(keys, np.uint64).view(np.int64))
-            sh = pa.array(np.array([digest(x) for x in pieces], np.uint64).view(np.int64))
+                good = inside(sent[0].value, slot)
+                both = inside(sent[1].value, slot) if len(sent) > 1 else np.ones(len(slot), bool)
+                if want == "text":
+                    good &= both
+                some = np.flatnonzero(good)
+                row.append(np.full(len(some), i))
+                keys.append(key[some])
+                at.append(first[some])
+                n.append(end[some] - first[some])
+                if want == "text":
+                    pieces += [text[a : b + options.length - 1] for a, b in zip(first[some].tolist(), end[some].tolist())]
+                else:
+                    sh += [digest(text[a : b + options.length - 1]) if m else None for a, b, m in zip(first[some].tolist(), end[some].tolist(), both[some].tolist())]
+            index = pa.array(np.concatenate(row))
+            if want == "text":
+                sh = [digest(x) for x in pieces]
             ids = batch.column(0).take(index)
-            if with_text:
-                yield pa.RecordBatch.from_arrays([key, sh, ids, pa.array(pieces, pa.binary())], ["key", "sh", "doc_id", "seg"])
-            else:
-                yield pa.RecordBatch.from_arrays([key, sh, ids, batch.column(2).take(index), pa.array(at, pa.int32()), pa.array(n, pa.int32())], ["key", "sh", "doc_id", "h", "at", "n"])
+            signed = pa.array([x if x is None or x < 1 << 63 else x - (1 << 64) for x in sh], pa.int64())
+            columns = [pa.array(np.concatenate(keys).view(np.int64)), ids, signed]
+            if want == "text":
+                columns.append(pa.array(pieces, pa.binary()))
+            if want == "place":
+                columns += [batch.column(2).take(index), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(n), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", *(f.split()[0] for f in fields.split(", "))])
 
-    schema = f"key long, sh long, doc_id {kind}, " + ("seg binary" if with_text else "h long, at int, n int")
-    return docs.select("doc_id", "text", "h").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "h").mapInArrow(run, f"key long, doc_id {kind}, {fields}")
 
 
 def grouped(distinct: DataFrame, kind: str, options: Options) -> DataFrame:
@@ -326,22 +378,28 @@ def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
     other. A null doc_id neither removes nor loses. Other columns are not read; no rows give no rows.
 
     Equal strings share a bucket key (the smallest hash of their pieces), so neighbours with one key
-    travel as one segment, and equal segments combine before they are shuffled. Suffixes are ordered
-    inside each bucket. A bucket of over `bucket` different segments would be one task's work, so its
+    travel as one segment. A bucket whose segments are all equal needs no order, so its text stays
+    where it is; the segments of other buckets combine and are shuffled, and suffixes are ordered in
+    each bucket. A bucket of over `bucket` different segments would be one task's work, so its
     strings are grouped by their bytes in a shuffle instead, with the same result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
-    base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.hash("text"))
     texts = base.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= options.length))
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = busy_filter(texts, n_bytes, options)
-    found = segments(texts, bits, kind, options, True).groupBy("key", "sh", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    busy = busy_filter(texts, n_bytes, options)
+    per_key = segments(texts, busy, None, kind, options, "hash").groupBy("key").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("sh") == F.max("sh")).alias("alone")
+    )
+    per_key = stored(per_key.where("first < last").select("key", "first", "alone"), "buckets")
+    mixed = key_filter(per_key.where(~F.col("alone")), n_bytes, options)
+    found = segments(texts, busy, mixed, kind, options, "text").groupBy("key", "sh", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     found = stored(found, "segments")
-    per_key = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("last").alias("b"))
-    per_key = stored(per_key.where("a < b").select("key", (F.col("n") > options.bucket).alias("large")), "buckets")
-    found = found.join(per_key, "key").select("key", "sh", "seg", "first", "large")
+    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("last").alias("b"))
+    sizes = stored(sizes.where("a < b").select("key", (F.col("n") > options.bucket).alias("large")), "sizes")
+    found = found.join(sizes, "key").select("key", "sh", "seg", "first", "large")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // (16 << 20))
     small = found.where(~F.col("large")).repartition(n, "key").sortWithinPartitions("key")
     ordered = grouped(small, kind, options).select("key", "sh", F.lit(-1).alias("o"), "firsts")
@@ -352,15 +410,18 @@ def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
     dealt = single.join(least, "seg").select("key", "sh", "o", F.array("least").alias("firsts"))
     firsts = stored(ordered.unionByName(dealt), "firsts")
 
-    hit = segments(texts, bits, kind, options, False).join(firsts, ["key", "sh"])
-    span = lambda at, size: F.struct(at.cast("int").alias("at"), size.cast("int").alias("size"))
-    before = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), span(F.col("at") + i, F.lit(options.length)))), lambda x: x.isNotNull())
-    whole = F.when(F.element_at("firsts", 1) < F.col("doc_id"), F.array(span(F.col("at"), F.col("n") + (options.length - 1)))).otherwise(F.array())
-    one = F.when(F.element_at("firsts", 1) < F.col("doc_id"), F.array(span(F.col("at") + F.col("o"), F.lit(options.length)))).otherwise(F.array())
+    places = segments(texts, busy, mixed, kind, options, "place")
+    code = lambda at, size: F.shiftleft(at.cast("long"), 32) + size  # noqa: E731  # a run of bytes to drop as one number
+    alone = places.where(F.col("sh").isNull()).drop("sh").join(per_key.where("alone").select("key", "first"), "key").where("first < doc_id")
+    alone = alone.select("doc_id", "h", F.array(code(F.col("at"), F.col("n") + (options.length - 1))).alias("spans"))
+    hit = places.where(F.col("sh").isNotNull()).join(firsts, ["key", "sh"])
+    before = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), code(F.col("at") + i, F.lit(options.length)))), lambda x: x.isNotNull())
+    whole = F.when(F.element_at("firsts", 1) < F.col("doc_id"), F.array(code(F.col("at"), F.col("n") + (options.length - 1)))).otherwise(F.array())
+    one = F.when(F.element_at("firsts", 1) < F.col("doc_id"), F.array(code(F.col("at") + F.col("o"), F.lit(options.length)))).otherwise(F.array())
     spans = F.when(F.col("o") >= 0, one).when(F.size("firsts") == 1, whole).otherwise(before)
-    hit = hit.select("doc_id", "h", spans.alias("spans")).where(F.size("spans") > 0)
-    hit = hit.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    hit = hit.select("doc_id", "h", F.transform("spans", lambda x: x["at"]).alias("at"), F.transform("spans", lambda x: x["size"]).alias("size"))
+    hit = hit.select("doc_id", "h", spans.alias("spans")).where(F.size("spans") > 0).unionByName(alone)
+    hit = hit.select("doc_id", "h", F.explode("spans").alias("span")).groupBy("doc_id", "h").agg(F.collect_list("span").alias("spans"))
+    hit = hit.select("doc_id", "h", F.transform("spans", lambda x: F.shiftright(x, 32)).alias("at"), F.transform("spans", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))).alias("size"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

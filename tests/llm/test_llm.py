@@ -20,7 +20,7 @@ LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod te
 def odd_docs(spark):
     """Nulls, empty and very long texts, ties, repeated rows, and columns whose names clash."""
     rows = [(1, LONG, "en", "a"), (2, LONG, "en", "a"), (2, LONG, "en", "a"), (3, None, "en", "a"), (4, "", None, None), (None, LONG, None, None),
-            (5, "été \n\n\t 12 34", "fr", "b"), (6, " ", "fr", "b"), (7, LONG * 300, "en", "b"), (8, "ABC " + LONG, None, "a")]
+            (5, "été \n\n\t 12 34", "fr", "b"), (6, " ", "fr", "b"), (7, LONG * 300, "en", "b"), (8, "ABC " + LONG, None, "a"), (9, "z" * 90_000, None, "a"), (10, "z" * 80_000, None, "a")]
     return spark.createDataFrame([(*r, 1, 2, "w", "k") for r in rows], DOCS)
 
 
@@ -70,7 +70,7 @@ def test_suffix_edges(spark):
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
-    assert len(got) == 10 and len(by[2]) == 2 and by[1][0].n_removed == 0 and by[None][0].n_removed == 0
+    assert len(got) == 12 and by[10][0].n_removed == 80_000 and by[9][0].n_removed == 0 and len(by[2]) == 2 and by[1][0].n_removed == 0 and by[None][0].n_removed == 0
     assert all(r.n_removed == r.n_bytes for r in by[2] + by[7]) and by[8][0].n_removed == len(LONG) + 1
     assert by[3][0].n_bytes == 0 and by[3][0].kept_sha256 == hashlib.sha256(b"").hexdigest()
     assert suffixes.remove_repeats(no_docs(spark)).count() == 0
@@ -110,7 +110,7 @@ def test_class_ngrams_beat_unigrams(spark):
 
 def test_class_ngrams_edges(spark):
     rows = brown.score(odd_docs(spark), F.lit(False)).collect()
-    assert len(rows) == 10 and [r.n_tokens for r in rows if r.doc_id in (3, 4, 6)] == [1, 1, 1]
+    assert len(rows) == 12 and [r.n_tokens for r in rows if r.doc_id in (3, 4, 6)] == [1, 1, 1]
     assert brown.score(no_docs(spark), F.lit(False)).count() == 0
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in brown.score(odd_docs(spark), F.lit(True)).collect())
 
@@ -172,7 +172,7 @@ def test_secrets(spark, sf_dir):
     assert (got[1].n_assign, got[1].n_access, got[1].n_hex) == (1, 1, 1) and got[1].spans.startswith("assign:2:27,access:29:50,hex:51:67")
     assert got[1].base_sha256 == hashlib.sha256(b"assign:2:27,access:29:50,hex:51:67").hexdigest()
     assert "markov:4:44" in got[2].spans and got[3].spans == got[4].spans == ""
-    assert len(secrets.find_secrets(odd_docs(spark), secrets.train(no_docs(spark))).collect()) == 10
+    assert len(secrets.find_secrets(odd_docs(spark), secrets.train(no_docs(spark))).collect()) == 12
 
 
 def test_warc(spark, sf_dir):
@@ -238,7 +238,7 @@ def test_mixing(spark, sf_dir):
         assert abs(sum(r.taken for r in part) - part[0].target) <= max(r.size for r in part)
     assert sum(p[0].target for p in by.values()) == pytest.approx(1.5 * sum(r.size for r in rows))
     assert sorted(rows, key=str) == sorted(queries.op9_mixing(spark, sf_dir).collect(), key=str)
-    assert mixing.mix(odd_docs(spark)).count() == 10 and mixing.mix(no_docs(spark)).count() == 0
+    assert mixing.mix(odd_docs(spark)).count() == 12 and mixing.mix(no_docs(spark)).count() == 0
 
 
 def test_line_dedup(spark):
