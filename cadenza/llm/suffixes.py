@@ -317,12 +317,12 @@ def segments(docs: DataFrame, busy: np.ndarray, mixed: np.ndarray | None, kind:
 
 
 def grouped(distinct: DataFrame, kind: str, options: Options) -> DataFrame:
-    """distinct(key, sh, seg, first), sorted by key, to (key, sh, firsts): the smallest id for each string of seg, or one for all."""
+    """distinct(key, sh, seg, first, last), sorted by key, to (key, sh, firsts): the smallest id for each string of seg, or one for all."""
 
     def block(rows: list[tuple]) -> list[tuple]:
         firsts = [r[3] for r in rows]
         found = [firsts] if len(rows) == 1 else shared_firsts([r[2] for r in rows], firsts, options.length)
-        return [(r[0], r[1], f if len(set(f)) > 1 else f[:1]) for r, f in zip(rows, found)]
+        return [(r[0], r[1], f if len(set(f)) > 1 else f[:1]) for r, f in zip(rows, found) if min(f) < r[4]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         names = ["key", "sh", "firsts"]
@@ -335,7 +335,7 @@ def grouped(distinct: DataFrame, kind: str, options: Options) -> DataFrame:
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field("first").type
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "sh", "seg", "first"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "sh", "seg", "first", "last"))):
                 if bucket and row[0] != bucket[0][0]:
                     # a bucket of one segment needs no order; the others are sorted together up to a size
                     if len(bucket) == 1:
@@ -357,7 +357,7 @@ def grouped(distinct: DataFrame, kind: str, options: Options) -> DataFrame:
         if done:
             yield out(done)
 
-    return distinct.select("key", "sh", "seg", "first").mapInArrow(run, f"key long, sh long, firsts array<{kind}>")
+    return distinct.select("key", "sh", "seg", "first", "last").mapInArrow(run, f"key long, sh long, firsts array<{kind}>")
 
 
 def _cut(text: bytes, first: list[int], length: list[int]) -> tuple[int, int, str]:
@@ -399,15 +399,16 @@ def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
     found = stored(found, "segments")
     sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("last").alias("b"))
     sizes = stored(sizes.where("a < b").select("key", (F.col("n") > options.bucket).alias("large")), "sizes")
-    found = found.join(sizes, "key").select("key", "sh", "seg", "first", "large")
+    found = found.join(sizes, "key").select("key", "sh", "seg", "first", "last", "large")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // (16 << 20))
     small = found.where(~F.col("large")).repartition(n, "key").sortWithinPartitions("key")
+    # only what removes something from a row that has the segment is passed on
     ordered = grouped(small, kind, options).select("key", "sh", F.lit(-1).alias("o"), "firsts")
     places = F.explode(F.sequence(F.lit(0), F.octet_length("seg") - options.length))
-    single = found.where("large").select("key", "sh", places.alias("o"), "seg", "first")
+    single = found.where("large").select("key", "sh", places.alias("o"), "seg", "first", "last")
     single = single.withColumn("seg", F.substring("seg", F.col("o") + 1, options.length))
     least = single.groupBy("seg").agg(F.min("first").alias("least"))
-    dealt = single.join(least, "seg").select("key", "sh", "o", F.array("least").alias("firsts"))
+    dealt = single.join(least, "seg").where("least < last").select("key", "sh", "o", F.array("least").alias("firsts"))
     firsts = stored(ordered.unionByName(dealt), "firsts")
 
     places = segments(texts, busy, mixed, kind, options, "place")
