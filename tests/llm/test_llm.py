@@ -259,3 +259,18 @@ def test_pipeline(spark, sf_dir):
         assert out.count() <= docs.count()
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert 0.5 * docs.count() < len(rows) < docs.count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, sf_dir, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, sf_dir)
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    key = lambda row: str(row)
+    have = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=key)
+    assert have == sorted((tuple(dict(zip(want.columns, r))[c] for c in columns) for r in want.fetchall()), key=key)
