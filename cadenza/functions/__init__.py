@@ -74,3 +74,50 @@ def subtitle_format(text: Column) -> Column:
     """ass, ssa or srt by what the text holds."""
     t = F.lower(text)
     return F.when(F.contains(t, F.lit("[script info]")), F.when(F.contains(t, F.lit("scripttype: v4.00+")), "ass").otherwise("ssa")).otherwise("srt")
+
+
+def file_size(n: Column) -> Column:
+    """Bytes in the largest unit of 1024 that leaves 1 or more, two decimals, without trailing zeros."""
+    out = F.lit("0 B")
+    for i, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
+        text = F.regexp_replace(F.format_string("%.2f", F.round(n / F.lit(float(1024**i)), 2)), r"\.?0+$", "")
+        out = F.when(n >= 1024**i, F.concat(text, F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def extension(name: Column) -> Column:
+    """What follows the last point of the last path part, in lower case; else empty. (F16)"""
+    return F.lower(F.regexp_extract(name, r"\.([^./?#]+)$", 1))
+
+
+def language_suffix(name: Column) -> Column:
+    """The two or three letters before a file name's ending, in lower case; else null."""
+    found = F.regexp_extract(name, r"\.([a-zA-Z]{2,3})(?:\.[0-9]+)?\.[^.]+$", 1)
+    return F.when(found != "", F.lower(found))
+
+
+def cologne(word: Column) -> Column:
+    """Cologne phonetics, where the end of a word counts as any following letter."""
+    letters = F.upper(word)
+    for a, b in (("Ä", "A"), ("Ö", "O"), ("Ü", "U"), ("ß", "SS")):
+        letters = F.replace(letters, F.lit(a), F.lit(b))
+    letters = F.regexp_replace(letters, "[^A-Z]", "")
+
+    def code(i: Column) -> Column:
+        at = lambda k: F.substr(letters, k, F.lit(1))
+        c, after, before = at(i), at(i + 1), F.when(i > 1, at(i - 1)).otherwise("")
+        among = lambda x, s: x.isin(*s)
+        of_c = F.when(i == 1, F.when(among(after, ["", *"AHKLOQRUX"]), "4").otherwise("8")).otherwise(
+            F.when(among(before, "SZ") | among(after, ["", *"AHKOQUX"]), "4").otherwise("8")
+        )
+        return (
+            F.when(among(c, "AEIJOUY"), "0").when(c == "B", "1").when(c == "P", F.when(after == "H", "3").otherwise("1"))
+            .when(among(c, "DT"), F.when(among(after, ["", *"CSZ"]), "8").otherwise("2")).when(among(c, "FVW"), "3").when(among(c, "GKQ"), "4")
+            .when(c == "X", F.when(among(before, ["", *"CKQ"]), "8").otherwise("48")).when(c == "L", "5").when(among(c, "MN"), "6")
+            .when(c == "R", "7").when(among(c, "SZ"), "8").when(c == "C", of_c).otherwise("")
+        )
+
+    n = F.length(letters)
+    codes = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), code), "")).otherwise("")
+    once = F.regexp_replace(codes, r"(.)\1+", "$1")
+    return F.concat(F.substring(once, 1, 1), F.replace(F.substr(once, F.lit(2)), F.lit("0"), F.lit("")))

@@ -10,32 +10,8 @@ from pyspark.sql import functions as F
 from .. import functions as T
 from .. import operators as O
 from ..streaming import job_states
-
-#: Seconds that a job of each kind may run; others 600. Fixed values.
-LIMITS = {"extract": 300, "sup_to_srt": 600, "translate": 1800, "search_subtitles": 600, "sync_subtitles": 7200, "publish_subtitles": 600}
-KINDS, STATES = list(LIMITS), ["pending", "running", "completed", "failed", "timeout"]
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.cues(_table(spark, sf_dir, "documents"))
-
-
-def jobs(events: DataFrame) -> DataFrame:
-    """Jobs made from events: (id, job_type, status, created_us, started_us, completed_us)."""
-    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
-    created = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
-    out = events.select(F.col("event_id").alias("id"), pick(KINDS).alias("job_type"), pick(STATES).alias("status"), created.alias("created_us"))
-    out = out.withColumn("started_us", F.when(F.col("status") != "pending", F.col("created_us") + (F.col("id") % 7) * 60_000_000))
-    return out.withColumn("completed_us", F.when(~F.col("status").isin("pending", "running"), F.col("started_us") + (F.col("id") * 37 % 9000) * 1_000_000))
-
-
-def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs(_table(spark, sf_dir, "events"))
-
+from . import files, matching, queue
+from .common import CUES, JOBS, KINDS, LIMITS, cue_rows as _cues, job_rows as _jobs, table as _table
 
 def cue_table(spark, sf_dir):
     return _cues(spark, sf_dir)
@@ -95,22 +71,6 @@ def folder_counts(spark, sf_dir):
     return p.groupBy("folder").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("bytes"))
 
 
-CUES = r"""
-cues as (
-  with parts as (select doc_id as track_id, unnest(regexp_split_to_array(text, '[.\n]')) as part, generate_subscripts(regexp_split_to_array(text, '[.\n]'), 1) - 1 as p
-    from documents where doc_id % 10 = 0),
-  raw as (select track_id, p, substr(trim(part), 1, 38) as raw_text from parts),
-  norm as (select *, trim(regexp_replace(regexp_replace(regexp_replace(lower(raw_text), '<[^>]+>|\{[^}]+\}', ' ', 'g'), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+', ' ', 'g')) as norm_text from raw),
-  timed as (select *, 800 + 15 * length(raw_text) as dur, 200 + ((track_id * 7 + p * 13) % 8) * 700 as gap from norm where norm_text <> '')
-  select track_id, (p + 1)::bigint as cue_no, (row_number() over o - 1)::bigint as pos,
-    coalesce(sum(dur + gap) over (partition by track_id order by p rows between unbounded preceding and 1 preceding), 0)::bigint as start_ms,
-    (coalesce(sum(dur + gap) over (partition by track_id order by p rows between unbounded preceding and 1 preceding), 0) + dur)::bigint as end_ms, raw_text, norm_text
-  from timed window o as (partition by track_id order by p))"""
-JOBS = """
-jobs as (
-  with j as (select event_id as id, (['extract','sup_to_srt','translate','search_subtitles','sync_subtitles','publish_subtitles'])[event_id % 6 + 1] as job_type,
-    (['pending','running','completed','failed','timeout'])[event_id % 5 + 1] as status, epoch_us(ts) as created_us from events)
-  select *, case when status <> 'pending' then created_us + (id % 7) * 60000000 end as started_us from j)"""
 _TIME = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 SQL = {
     "cue_table": f"with {CUES} select * from cues",
@@ -138,9 +98,17 @@ select folder, count(*) as pages, sum(n)::bigint as bytes from e group by folder
 }
 
 
+PARTS = (queue, matching, files)
+_OWN = list(SQL)
+for _part in PARTS:
+    SQL |= _part.SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [*SQL, "cue_batches"]
-    return {k: globals()[k] for k in names}
+    found = {k: globals()[k] for k in [*_OWN, "cue_batches"]}
+    for part in PARTS:
+        found |= {k: getattr(part, k) for k in part.SQL}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
