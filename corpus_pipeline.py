@@ -14,7 +14,7 @@ from cadenza.llm.decontaminate import contaminated
 from cadenza.llm.langid import identify, train
 from cadenza.llm.linededup import drop_boilerplate
 from cadenza.llm.mixing import mix
-from cadenza.llm.simhash import near_duplicates
+from cadenza.llm.nearcopies import one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that with the smallest id. Rows without an id stay."""
-    copies = stored(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies stays: that with the smallest id; rows without an id come last.
+
+    Near copies have a similarity of 0.8 or more on five-word shingles. Each row counts by itself, so
+    of equal rows, whether their ids are equal or null, one stays.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = stored(one_of_each(rows.select(F.col("_row").alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))), "kept")
+    return rows.join(kept.withColumnRenamed("row", "_row"), "_row", "left_semi").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
