@@ -3,32 +3,35 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts_for, small_batches, stored, utf8
+from .common import hot_keys, join_skewed, parts_for, shared_dir, small_batches, stored, utf8
 
 
 @dataclass(frozen=True)
 class Options:
     length: int = 50
-    #: A string's bucket is the smallest hash of the pieces of so many bytes inside it.
-    piece: int = 20
-    #: The filters of buckets have one bit for 8 bytes of text, and at most 2 ** filter_bits (32 MB).
-    #: When they fill up more strings are compared than need be; none is lost.
-    filter_bits: int = 28
-    #: Bytes of text whose bucket keys a task adds up before it passes them on.
-    held: int = 8 << 20
-    #: Bytes of suffixes sorted at a time, unless one bucket is larger.
-    block: int = 1 << 15
-    #: Larger buckets are dealt anew by the hash of each string.
+    #: A string's bucket is the smallest hash of the pieces of so many bytes inside it. A bucket with too many
+    #: different segments is cut again by the next size; at the last one a bucket is one string.
+    pieces: tuple[int, ...] = (20, 50)
+    #: Different segments from which on a bucket is cut again.
     bucket: int = 256
+    #: Bytes of text in a chunk, the unit in which texts meet what was found out about them.
+    chunk: int = 4 << 20
+    #: Bytes of bucket keys that one task counts at a time.
+    part: int = 32 << 20
+    #: Bytes of text hashed at a time.
+    slab: int = 1 << 17
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -38,27 +41,31 @@ def suffix_array(text: list[int]) -> list[int]:
     each suffix of a group it finds the previous one that is in a smaller group; the suffixes so
     pointed at move to the end of their own groups, those with more pointers further back. Then each
     group is one Lyndon prefix. Phase two emits: the suffix before one already placed, and those its
-    pointers lead to, are the next of their groups.
+    pointers lead to, are the next of their groups. Groups keep their suffixes in the order of the
+    text, and pointers of a group's suffixes never cross, so nothing is sorted but the alphabet.
     """
     n = len(text)
     members: dict[int, list[int]] = {}
     for i, c in enumerate(text):
         members.setdefault(c, []).append(i)
     start = [0] * n  # where the suffix's group starts, which also ranks the groups
-    groups: dict[int, list[int]] = {}  # may still list suffixes that have moved away
-    size: dict[int, int] = {}
-    ends: dict[int, int] = {}  # the group that ends at a place
+    groups: list[list[int]] = [[]] * n  # by start; may still list suffixes that have moved away
+    size = [0] * n
+    ends = [0] * (n + 1)  # the group that ends at a place
     at = 0
     for c in sorted(members):
-        groups[at], size[at], ends[at + len(members[c])] = members[c], len(members[c]), at
-        for i in members[c]:
+        own = members[c]
+        groups[at], size[at], ends[at + len(own)] = own, len(own), at
+        for i in own:
             start[i] = at
-        at += len(members[c])
+        at += len(own)
     previous = [-1] * n
     high = n
     while high > 0:
         low = ends[high]
-        pointed: dict[int, int] = {}
+        pointed: list[int] = []
+        times: list[int] = []
+        last = -1
         for s in groups[low]:
             if start[s] != low:
                 continue
@@ -67,26 +74,44 @@ def suffix_array(text: list[int]) -> list[int]:
                 p = previous[p]
             previous[s] = p
             if p >= 0:
-                pointed[p] = pointed.get(p, 0) + 1
-        moves: dict[tuple[int, int], list[int]] = {}
-        for p, k in pointed.items():
-            moves.setdefault((-k, start[p]), []).append(p)
-        for (_, g), moving in sorted(moves.items()):
-            if len(moving) == size[g]:
-                continue
-            end = g + size[g]
-            new = end - len(moving)
-            size[g], size[new] = size[g] - len(moving), len(moving)
-            ends[end], ends[new] = new, g
-            groups[new] = sorted(moving)
-            for p in moving:
-                start[p] = new
+                if p == last:
+                    times[-1] += 1
+                else:
+                    pointed.append(p)
+                    times.append(1)
+                    last = p
+        if len(pointed) == 1:
+            p = last
+            g = start[p]
+            if size[g] > 1:
+                end = g + size[g]
+                size[g] -= 1
+                new = end - 1
+                size[new], ends[end], ends[new], groups[new], start[p] = 1, new, g, [p], new
+        elif pointed:
+            by_times: list[list[int]] = [[] for _ in range(max(times))]
+            for p, k in zip(pointed, times):
+                by_times[k - 1].append(p)
+            for moving in reversed(by_times):
+                moves: dict[int, list[int]] = {}
+                for p in moving:
+                    moves.setdefault(start[p], []).append(p)
+                for g, own in moves.items():
+                    k = len(own)
+                    if k == size[g]:
+                        continue
+                    end = g + size[g]
+                    new = end - k
+                    size[g] -= k
+                    size[new], ends[end], ends[new], groups[new] = k, new, g, own
+                    for p in own:
+                        start[p] = new
         high = low
     order = [0] * n
     order[0] = n - 1
     placed = bytearray(n)
     placed[n - 1] = 1
-    nxt = {g: g for g in groups}
+    nxt = list(range(n))
     nxt[0] = 1
     for i in range(n):
         s = order[i] - 1
@@ -99,19 +124,23 @@ def suffix_array(text: list[int]) -> list[int]:
     return order
 
 
-def shared_firsts(segments: list[bytes], firsts: list[int], length: int) -> list[list[int]]:
+def shared_firsts(segments: list[bytes], firsts: list, length: int) -> list[list]:
     """For each start in each segment, the smallest of firsts among the segments that hold its string of `length` bytes."""
     joined = b"\0".join(segments)
     symbols: list[int] = []
-    owner, offset = [], []
+    owner, offset, good = [], [], []
     for k, x in enumerate(segments):
+        n = len(x) - length + 1
         symbols += [c + 2 for c in x]
         symbols.append(1)
         owner += [k] * (len(x) + 1)
         offset += range(len(x) + 1)
+        good += [True] * n + [False] * length
     symbols.append(0)
+    good.append(False)
     out = [[f] * (len(x) - length + 1) for x, f in zip(segments, firsts)]
     run: list[int] = []
+    last = b""
 
     def close() -> None:
         if len(run) > 1:
@@ -119,15 +148,13 @@ def shared_firsts(segments: list[bytes], firsts: list[int], length: int) -> list
             for s in run:
                 out[owner[s]][offset[s]] = least
 
-    last = b""
     for s in suffix_array(symbols):
-        if s >= len(owner) or offset[s] > len(segments[owner[s]]) - length:
-            continue
-        this = joined[s : s + length]
-        if this != last:
-            close()
-            run, last = [], this
-        run.append(s)
+        if good[s]:
+            this = joined[s : s + length]
+            if this != last:
+                close()
+                run, last = [], this
+            run.append(s)
     close()
     return out
 
@@ -136,15 +163,15 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([i]), 42) for i in range(256)], np.uint64)
 
 
-def window_keys(text: bytes, options: Options) -> np.ndarray:
+def window_keys(text: bytes, length: int, piece: int) -> np.ndarray:
     """For each string of `length` bytes, the smallest hash of its pieces."""
-    n = len(text) - options.length + 1
+    n = len(text) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     power, done = _BYTE[np.frombuffer(text, np.uint8)], None
     step, taken = 1, 0
-    while step <= options.piece:
-        if options.piece & step:  # pieces double; the binary digits of the size say which are joined
+    while step <= piece:
+        if piece & step:  # pieces double; the binary digits of the size say which are joined
             if done is None:
                 done = power
             else:
@@ -156,7 +183,7 @@ def window_keys(text: bytes, options: Options) -> np.ndarray:
     least = done ^ done >> np.uint64(32)
     least = least * _A
     least ^= least >> np.uint64(31)
-    width, have = options.length - options.piece + 1, 1
+    width, have = length - piece + 1, 1
     while have < width:
         more = min(have, width - have)
         least = np.minimum(least[:-more], least[more:])
@@ -164,210 +191,327 @@ def window_keys(text: bytes, options: Options) -> np.ndarray:
     return least[:n]
 
 
-def segments_of(text: bytes, options: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, first starts, ends of starts): the runs of neighbouring strings with one key."""
-    keys = window_keys(text, options)
-    cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    return keys[cut], cut, np.append(cut[1:], len(keys))
-
-
-def filter_parts(n_bytes: int) -> int:
-    """Parts of the key space that are counted one at a time."""
-    return 1 << max(8, min(16, (n_bytes // (32 << 20)).bit_length() + 3))
-
-
-def bits_for(n_bytes: int, options: Options) -> int:
-    return min(options.filter_bits, max(20, (n_bytes // 8).bit_length()))
-
-
-def gathered(slices: DataFrame, parts: int, n_bits: int) -> np.ndarray:
-    """slices(part, bits) as one filter of 2 ** n_bits bits."""
-    found = slices.toArrow()
-    bits = np.zeros((parts, (1 << n_bits) // parts // 8), np.uint8)
-    for p, x in zip(found["part"].to_pylist(), found["bits"].to_pylist()):
-        bits[p] = np.frombuffer(x, np.uint8)
-    return bits.ravel()
-
-
-def busy_filter(docs: DataFrame, n_bytes: int, options: Options) -> np.ndarray:
-    """Bits of the bucket keys that at least two rows of docs(text) have.
+def runs_of(texts: list[bytes], piece: int, options: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first start, starts, key, content) of the runs of neighbouring strings with one key.
 
-    Keys travel packed: a part of the key space gets one blob of each task's texts. Each part makes its own slice of the
-    filter, so what comes to the driver is the filter alone, of a bounded size.
+    content is a hash of the bytes that a run's strings cover; it only tells how many differ.
     """
-    parts = filter_parts(n_bytes)
-    n_bits = bits_for(n_bytes, options)
-    slice_bits = n_bits - (parts.bit_length() - 1)
-    part_shift = np.uint64(64 - (parts.bit_length() - 1))
-
-    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        part = (key >> part_shift).astype(np.int64)
-        # keys lose the bits that their part tells and keep 32 more
-        low = (key << np.uint64(parts.bit_length() - 1) >> np.uint64(32)).astype("<u4")
-        edges = np.searchsorted(part, np.arange(parts + 1))
-        rows = [(p, low[a:b].tobytes(), low[a:b][n[a:b] > 1].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["part", "keys", "twice"])
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for text in utf8(batch.column(0)):
-                held.append(np.unique(segments_of(text, options)[0]))
-                size += len(text)
-                if size >= options.held:
-                    yield from packed(held)
-                    held, size = [], 0
-        if held:
-            yield from packed(held)
-
-    def count(part: int, blobs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        every = np.concatenate([np.frombuffer(x, "<u4") for pair in blobs for x in pair])
-        key, n = np.unique(every, return_counts=True)
-        bits = np.zeros(1 << slice_bits, bool)
-        bits[key[n > 1] >> np.uint32(32 - slice_bits)] = True
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["part", "bits"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    found: list[list[np.ndarray]] = []
+    a = 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (size == 0 or size < options.slab):
+            size += len(texts[b])
+            b += 1
+        slab = b"".join(texts[a:b])
+        key = window_keys(slab, options.length, piece)
+        if len(key):
+            begin = np.cumsum([0, *map(len, texts[a:b])])
+            valid = np.ones(len(key) + 1, np.int32)
+            valid[-1] = 0
+            for end in begin[1:-1].tolist():  # strings over the end of a text are none
+                valid[max(0, end - options.length + 1) : end] = 0
+            new = np.ones(len(key) + 1, bool)
+            new[1:-1] = (key[1:] != key[:-1]) | (valid[1:-1] != valid[:-2])
+            new[begin[(begin > 0) & (begin < len(key))]] = True
+            edge = np.flatnonzero(new)
+            good = valid[edge[:-1]] > 0
+            first, end = edge[:-1][good], edge[1:][good]
+            if len(first):
+                place = np.full(len(slab) + 1, 1, np.uint64)
+                place[1:] = _A
+                place = np.multiply.accumulate(place)
+                sums = np.zeros(len(slab) + 1, np.uint64)
+                np.cumsum(_BYTE[np.frombuffer(slab, np.uint8)] * place[:-1], out=sums[1:])
+                content = (sums[end + (options.length - 1)] - sums[first]) * place[len(slab) - first]
+                content = content * _B
+                owner = np.searchsorted(begin, first, side="right") - 1
+                found.append([owner + a, first - begin[owner], end - first, key[first], content ^ content >> np.uint64(32)])
+        a = b
+    if not found:
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def key_parts(n_bytes: int, options: Options) -> int:
+    """Parts of the key space; each is counted by one task at a time. Beyond 2 ** 16 of them parts grow."""
+    return 1 << max(6, min(16, (n_bytes * 3 // 8 // options.part).bit_length()))
+
+
+def pairs_of(key: np.ndarray, content: np.ndarray, parts: int) -> np.ndarray:
+    """Bits of the key, the part's first, then 16 bits of content."""
+    bits = parts.bit_length() - 1
+    return key >> np.uint64(32 - bits) << np.uint64(16) | content & np.uint64(0xFFFF)
+
+
+RIGHT = "chunk long, level int, part int, marks binary, rows array<int>"
+
+
+class Chunk:
+    """The representatives of a chunk's texts, and the marks of their bucket keys level by level."""
+
+    def __init__(self, left: pa.Table, right: pa.Table, parts: int, options: Options):
+        self.options, self.parts = options, parts
+        level, part = right["level"].to_numpy(), right["part"].to_numpy()
+        keep = right["rows"].to_pylist()
+        kept = sorted(r for i in np.flatnonzero(level < 0).tolist() for r in keep[i])
+        at = np.argsort(left["row"].to_numpy(), kind="stable")[kept] if kept else np.empty(0, np.int64)
+        self.rows = np.array(kept, np.int64)
+        taken = left.take(pa.array(at))
+        self.ids = taken["doc_id"].to_pylist()
+        self.texts = utf8(taken["text"].combine_chunks()) if len(kept) else []
+        self.marks: dict[int, np.ndarray] = {}
+        blobs = right["marks"].to_pylist()
+        for one in np.unique(level[level >= 0]).tolist():
+            own = np.flatnonzero(level == one)
+            self.marks[one] = np.frombuffer(b"".join(blobs[i] for i in own[np.argsort(part[own])].tolist()), np.uint8)
+
+    def descend(self, levels: int) -> tuple[list[bytes], np.ndarray, np.ndarray, list[tuple]]:
+        """(texts, owners, places) of what is still to be cut after so many levels, and the repeated runs on the way."""
+        texts, owner, place = self.texts, np.arange(len(self.texts)), np.zeros(len(self.texts), np.int64)
+        repeated = []
+        for level in range(levels):
+            which, at, n, key, content = runs_of(texts, self.options.pieces[level], self.options)
+            pairs, inverse = np.unique(pairs_of(key, content, self.parts), return_inverse=True)
+            mark = self.marks.get(level, np.zeros(len(pairs), np.uint8))[inverse]
+            some = np.flatnonzero(mark == 1)
+            repeated.append((texts, which[some], at[some], n[some], key[some], owner[which[some]], place[which[some]] + at[some]))
+            hot = np.flatnonzero(mark == 2)
+            ends = at[hot] + n[hot] + (self.options.length - 1)
+            cut = [texts[i][a:b] for i, a, b in zip(which[hot].tolist(), at[hot].tolist(), ends.tolist())]
+            texts, owner, place = cut, owner[which[hot]], place[which[hot]] + at[hot]
+        return texts, owner, place, repeated
+
+
+def keyed(texts: DataFrame, right: DataFrame, level: int, parts: int, options: Options) -> DataFrame:
+    """(part, chunk, pairs, more): each chunk's distinct bucket keys of a level, and if it has them more than once."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["part", "chunk", "pairs", "more"]
+        chunk = right["chunk"][0].as_py() if right.num_rows else None
+        rest = Chunk(left, right, parts, options).descend(level)[0] if chunk is not None else []
+        _, _, _, key, content = runs_of(rest, options.pieces[level], options)
+        pairs, n = np.unique(pairs_of(key, content, parts), return_counts=True)
+        edges = np.searchsorted(pairs >> np.uint64(48), np.arange(parts + 1, dtype=np.uint64))
+        low = pairs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        rows = [(p, chunk, low[a:b].tobytes(), np.packbits(n[a:b] > 1).tobytes()) for p, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if a < b]
+        columns = list(zip(*rows)) or [()] * 4
+        types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    both = texts.select("chunk", "row", "doc_id", "text").groupBy("chunk").cogroup(right.groupBy("chunk"))
+    return both.applyInArrow(run, "part int, chunk long, pairs binary, more binary")
+
+
+def marked(keys: DataFrame, level: int, parts: int, options: Options) -> DataFrame:
+    """keyed rows to (chunk, level, part, marks, rows): for each pair 0, 1 if its key occurs again, 2 if its bucket is to be cut.
+
+    What a task holds at a time is one part's keys, packed.
+    """
+    last = level == len(options.pieces) - 1
+
+    def count(part: int, blobs: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        size = [len(b[1]) // 6 for b in blobs]
+        wide = np.zeros((sum(size), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(b[1] for b in blobs), np.uint8).reshape(-1, 6)
+        value = wide.view("<u8").ravel()
+        more = np.concatenate([np.unpackbits(np.frombuffer(b[2], np.uint8), count=n) for b, n in zip(blobs, size)])
+        order = np.argsort(value, kind="stable")
+        ordered = value[order]
+        key = ordered >> np.uint64(16)
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        different = np.ones(len(ordered), np.int64)
+        different[1:] = ordered[1:] != ordered[:-1]
+        again = np.diff(np.append(new, len(key))) + np.add.reduceat(more[order].astype(np.int64), new) > 1
+        mark = again.astype(np.uint8)
+        if not last:
+            mark[again & (np.add.reduceat(different, new) > options.bucket)] = 2
+        out = np.empty(len(ordered), np.uint8)
+        out[order] = np.repeat(mark, np.diff(np.append(new, len(key))))
+        ends = np.cumsum(size)
+        for a in range(0, len(blobs), 1024):
+            some = blobs[a : a + 1024]
+            marks = [out[e - n : e].tobytes() for e, n in zip(ends[a : a + 1024].tolist(), size[a : a + 1024])]
+            columns = [pa.array([b[0] for b in some], pa.int64()), pa.array([level] * len(some), pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array(marks, pa.binary()), pa.nulls(len(some), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "level", "part", "marks", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         part, blobs = None, []
         for batch in batches:
-            for p, keys, twice in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, *blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != part and blobs:
-                    yield count(part, blobs)
+                    yield from count(part, blobs)
                     blobs = []
                 part = p
-                blobs.append((keys, twice))
+                blobs.append(blob)
         if blobs:
-            yield count(part, blobs)
-
-    spark = docs.sparkSession
-    found = docs.select("text").mapInArrow(emit, "part long, keys binary, twice binary")
-    found = found.repartition(parts_for(parts, 16, spark), "part").sortWithinPartitions("part").mapInArrow(merge, "part long, bits binary")
-    return gathered(found, parts, n_bits)
-
+            yield from count(part, blobs)
+
+    dealt = keys.repartition(parts_for(parts, 4, keys.sparkSession), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, RIGHT)
+
+
+def repeated_runs(texts: DataFrame, right: DataFrame, parts: int, kind: str, options: Options) -> DataFrame:
+    """Two kinds of rows for the distinct repeated runs of each chunk: phase 0 has the bytes, phase 1 the places."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        id_type = left.schema.field("doc_id").type
+        chunk = Chunk(left, right, parts, options)
+        found: dict[bytes, list] = {}
+        for source, which, at, n, key, owner, place in chunk.descend(len(options.pieces))[3]:
+            ends = at + n + (options.length - 1)
+            for i, a, b, k, o, p in zip(which.tolist(), at.tolist(), ends.tolist(), key.view(np.int64).tolist(), owner.tolist(), place.tolist()):
+                seg = source[i][a:b]
+                have = found.get(seg)
+                if have is None:
+                    found[seg] = [k, [o], [p]]
+                else:
+                    have[1].append(o)
+                    have[2].append(p)
+        ids, rows = chunk.ids, chunk.rows
+        me = right["chunk"][0].as_py() if right.num_rows else 0
+        key = [x[0] for x in found.values()]
+        digest = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
+        owners = [[ids[o] for o in x[1]] for x in found.values()]
+        places = [np.column_stack([rows[x[1]], x[2]]).astype("<i4").tobytes() for x in found.values()]
+        m = len(found)
+        return pa.table({
+            "key": pa.array(key + key, pa.int64()), "phase": pa.array([0] * m + [1] * m, pa.int32()), "digest": pa.array(digest + digest, pa.binary()),
+            "seg": pa.array(list(found) + [None] * m, pa.binary()), "owners": pa.array([[min(x)] for x in owners] + owners, pa.list_(id_type)),
+            "chunk": pa.array([None] * m + [me] * m, pa.int64()), "places": pa.array([None] * m + places, pa.binary()),
+        })
+
+    both = texts.select("chunk", "row", "doc_id", "text").groupBy("chunk").cogroup(right.groupBy("chunk"))
+    return both.applyInArrow(run, f"key long, phase int, digest binary, seg binary, owners array<{kind}>, chunk long, places binary")
+
+
+def removed(runs: DataFrame, n_bytes: int, options: Options) -> DataFrame:
+    """(chunk, spans): the bytes that go from the texts of a chunk, as row, start and end.
+
+    A bucket's different segments come first and are ordered; then its places stream by. So a task
+    holds no more than one bucket's different segments, however many texts have them.
+    """
+    length = options.length
 
-def key_filter(keys: DataFrame, n_bytes: int, options: Options) -> np.ndarray:
-    """Bits of keys(key), in a filter like busy_filter's."""
-    parts = filter_parts(n_bytes)
-    n_bits = bits_for(n_bytes, options)
-    slice_bits = n_bits - (parts.bit_length() - 1)
-    shift = np.uint64(64 - n_bits)
+    def solved(segs: dict[bytes, list]) -> dict[bytes, list]:
+        """digest to the smallest id for each string, or to one for all."""
+        if len(segs) == 1:
+            return {d: [x[1]] for d, x in segs.items()}
+        found = shared_firsts([x[0] for x in segs.values()], [x[1] for x in segs.values()], length)
+        return {d: f if any(x != f[0] for x in f) else f[:1] for d, f in zip(segs, found)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        slices: dict[int, np.ndarray] = {}
+        spans: dict[int, array] = {}
+        held = 0
+        at_key, segs, firsts = None, {}, None
         for batch in batches:
-            slot = (batch.column(0).to_numpy().view(np.uint64) >> shift).astype(np.int64)
-            for p in np.unique(slot >> slice_bits).tolist():
-                bits = slices.setdefault(p, np.zeros(1 << slice_bits, bool))
-                bits[slot[slot >> slice_bits == p] & ((1 << slice_bits) - 1)] = True
-        for p, bits in slices.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["part", "bits"])
+            for key, phase, digest, seg, owners, chunk, places in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at_key:
+                    at_key, segs, firsts = key, {}, None
+                if phase == 0:
+                    have = segs.get(digest)
+                    if have is None:
+                        segs[digest] = [seg, owners[0]]
+                    elif owners[0] < have[1]:
+                        have[1] = owners[0]
+                    continue
+                if firsts is None:
+                    firsts = solved(segs)
+                first, size = firsts[digest], len(segs[digest][0])
+                out = spans.get(chunk)
+                if out is None:
+                    out = spans[chunk] = array("i")
+                before = len(out)
+                place = np.frombuffer(places, "<i4").tolist()
+                for own, row, at in zip(owners, place[::2], place[1::2]):
+                    if len(first) == 1:
+                        if first[0] < own:
+                            out.extend((row, at, at + size))
+                        continue
+                    begin = -1
+                    for i, x in enumerate(first):
+                        if x < own:
+                            if begin < 0:
+                                begin = i
+                        elif begin >= 0:
+                            out.extend((row, at + begin, at + i - 1 + length))
+                            begin = -1
+                    if begin >= 0:
+                        out.extend((row, at + begin, at + size))
+                held += len(out) - before
+            if held > 1 << 20:
+                yield made(spans)
+                spans, held = {}, 0
+        if spans:
+            yield made(spans)
+
+    def made(spans: dict[int, array]) -> pa.RecordBatch:
+        some = {k: v for k, v in spans.items() if len(v)}
+        return pa.RecordBatch.from_arrays([pa.array(list(some), pa.int64()), pa.array([v.tobytes() for v in some.values()], pa.binary())], ["chunk", "spans"])
+
+    dealt = runs.repartition(parts_for(n_bytes, 16 << 20, runs.sparkSession), "key").sortWithinPartitions("key", "phase")
+    return dealt.mapInArrow(run, "chunk long, spans binary")
+
+
+def cut(text: bytes, spans: np.ndarray) -> tuple[int, int, str]:
+    """(bytes removed, maximal removed runs, SHA-256 of the rest) of a text without its spans."""
+    gone = np.zeros(len(text) + 1, np.int32)
+    np.add.at(gone, spans[:, 0], 1)
+    np.add.at(gone, spans[:, 1], -1)
+    out = np.cumsum(gone[:-1]) > 0
+    kept = np.frombuffer(text, np.uint8)[~out].tobytes()
+    return int(out.sum()), int((np.diff(out.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
-    part = F.shiftrightunsigned("key", 64 - (parts.bit_length() - 1))
-    dealt = keys.select("key").repartition(parts_for(parts, 16, keys.sparkSession), part)
-    return gathered(dealt.mapInArrow(run, "part long, bits binary"), parts, n_bits)
 
+def cut_texts(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """(digest, n_removed, n_spans, kept) of the texts that lose something."""
 
-def segments(docs: DataFrame, busy: np.ndarray, mixed: np.ndarray | None, kind: str, options: Options, want: str) -> DataFrame:
-    """The runs of strings whose bucket is in the filter `busy`, and only outside or inside of `mixed` if that is given.
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        every = np.frombuffer(b"".join(right["spans"].to_pylist()), "i4").reshape(-1, 3)
+        every = every[np.argsort(every[:, 0], kind="stable")]
+        rows, begin = np.unique(every[:, 0], return_index=True)
+        by_row = np.argsort(left["row"].to_numpy(), kind="stable")
+        taken = left.take(pa.array(by_row[rows] if len(rows) else np.empty(0, np.int64)))
+        found = []
+        for text, a, b in zip(utf8(taken["text"].combine_chunks()) if len(rows) else [], begin.tolist(), [*begin[1:].tolist(), len(every)]):
+            found.append(cut(text, every[a:b, 1:]))
+        columns = list(zip(*found)) or [()] * 3
+        return pa.table([taken["digest"], *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string())))], ["digest", "n_removed", "n_spans", "kept"])
 
-    want is what each row holds: "hash" (key, sh, doc_id), "text" (key, sh, doc_id, seg), or "place"
-    (key, sh, doc_id, h, at, n), where sh is null outside of mixed.
-    """
-    context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(x) for x in (busy, mixed) if x is not None]
-    shift = np.uint64(65 - (8 * len(busy)).bit_length())
-    digest = xxhash.xxh64_intdigest
-    fields = {"hash": "sh long", "text": "sh long, seg binary", "place": "sh long, h int, at int, n int"}[want]
+    both = texts.select("chunk", "row", "digest", "text").groupBy("chunk").cogroup(spans.groupBy("chunk"))
+    return both.applyInArrow(run, "digest binary, n_removed long, n_spans long, kept string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        inside = lambda bits, slot: (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
-        for batch in batches:
-            row, keys, at, n, sh, pieces = [], [], [], [], [], []
-            for i, text in enumerate(utf8(batch.column(1))):
-                key, first, end = segments_of(text, options)
-                slot = (key >> shift).astype(np.int64)
-                good = inside(sent[0].value, slot)
-                both = inside(sent[1].value, slot) if len(sent) > 1 else np.ones(len(slot), bool)
-                if want == "text":
-                    good &= both
-                some = np.flatnonzero(good)
-                row.append(np.full(len(some), i))
-                keys.append(key[some])
-                at.append(first[some])
-                n.append(end[some] - first[some])
-                if want == "text":
-                    pieces += [text[a : b + options.length - 1] for a, b in zip(first[some].tolist(), end[some].tolist())]
-                else:
-                    sh += [digest(text[a : b + options.length - 1]) if m else None for a, b, m in zip(first[some].tolist(), end[some].tolist(), both[some].tolist())]
-            index = pa.array(np.concatenate(row))
-            if want == "text":
-                sh = [digest(x) for x in pieces]
-            ids = batch.column(0).take(index)
-            signed = pa.array([x if x is None or x < 1 << 63 else x - (1 << 64) for x in sh], pa.int64())
-            columns = [pa.array(np.concatenate(keys).view(np.int64)), ids, signed]
-            if want == "text":
-                columns.append(pa.array(pieces, pa.binary()))
-            if want == "place":
-                columns += [batch.column(2).take(index), pa.array(np.concatenate(at), pa.int32()), pa.array(np.concatenate(n), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", *(f.split()[0] for f in fields.split(", "))])
-
-    return docs.select("doc_id", "text", "h").mapInArrow(run, f"key long, doc_id {kind}, {fields}")
-
-
-def grouped(distinct: DataFrame, kind: str, options: Options) -> DataFrame:
-    """distinct(key, sh, seg, first, last), sorted by key, to (key, sh, firsts): the smallest id for each string of seg, or one for all."""
-
-    def block(rows: list[tuple]) -> list[tuple]:
-        firsts = [r[3] for r in rows]
-        found = [firsts] if len(rows) == 1 else shared_firsts([r[2] for r in rows], firsts, options.length)
-        return [(r[0], r[1], f if len(set(f)) > 1 else f[:1]) for r, f in zip(rows, found) if min(f) < r[4]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        names = ["key", "sh", "firsts"]
+def chunked(docs: DataFrame, kind: str, n_bytes: int, options: Options) -> DataFrame:
+    """docs(doc_id, text) written once as (chunk, row, doc_id, n_bytes, digest, text), bucketed by chunk.
 
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            key, sh, firsts = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sh, pa.int64()), pa.array(firsts, pa.list_(id_type))], names)
+    What is found out about a chunk is sent to its bucket, so texts are never shuffled.
+    """
 
-        bucket, many, size, done = [], [], 0, []
-        id_type = pa.int64()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        chunk, row, size = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
-            id_type = batch.schema.field("first").type
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "sh", "seg", "first", "last"))):
-                if bucket and row[0] != bucket[0][0]:
-                    # a bucket of one segment needs no order; the others are sorted together up to a size
-                    if len(bucket) == 1:
-                        done += block(bucket)
-                    else:
-                        many += bucket
-                        size += sum(len(r[2]) for r in bucket)
-                    bucket = []
-                    if size >= options.block:
-                        done += block(many)
-                        many, size = [], 0
-                    if len(done) >= 4096:
-                        yield out(done)
-                        done = []
-                bucket.append(row)
-        done += block(bucket) if len(bucket) == 1 else []
-        many += bucket if len(bucket) > 1 else []
-        done += block(many) if many else []
-        if done:
-            yield out(done)
-
-    return distinct.select("key", "sh", "seg", "first", "last").mapInArrow(run, f"key long, sh long, firsts array<{kind}>")
-
-
-def _cut(text: bytes, first: list[int], length: list[int]) -> tuple[int, int, str]:
-    gone = np.zeros(len(text) + 1, np.int32)
-    first = np.asarray(first, np.int64)
-    np.add.at(gone, first, 1)
-    np.add.at(gone, np.minimum(first + np.asarray(length, np.int64), len(text)), -1)
-    out = np.cumsum(gone[:-1]) > 0
-    kept = np.frombuffer(text, np.uint8)[~out].tobytes()
-    return int(out.sum()), int((np.diff(out.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()
+            texts = utf8(batch.column(1))
+            chunks, rows = [], []
+            for text in texts:
+                if size and size + len(text) > options.chunk:
+                    chunk, row, size = chunk + 1, 0, 0
+                chunks.append(chunk)
+                rows.append(row)
+                row += 1
+                size += len(text)
+            columns = [pa.array(chunks, pa.int64()), pa.array(rows, pa.int32()), batch.column(0), pa.array([len(t) for t in texts], pa.int64()),
+                       pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "row", "doc_id", "n_bytes", "digest", "text"])
+
+    spark = docs.sparkSession
+    name = f"suffix_chunks_{uuid.uuid4().hex}"
+    out = docs.mapInArrow(run, f"chunk long, row int, doc_id {kind}, n_bytes long, digest binary, text binary")
+    buckets = parts_for(n_bytes, 32 << 20, spark)
+    out.write.option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files stay; only the name goes
+    return found
 
 
 def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -377,60 +521,43 @@ def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
     texts are empty; texts shorter than `length` stay whole. Rows of one doc_id don't remove from each
     other. A null doc_id neither removes nor loses. Other columns are not read; no rows give no rows.
 
-    Equal strings share a bucket key (the smallest hash of their pieces), so neighbours with one key
-    travel as one segment. A bucket whose segments are all equal needs no order, so its text stays
-    where it is; the segments of other buckets combine and are shuffled, and suffixes are ordered in
-    each bucket. A bucket of over `bucket` different segments would be one task's work, so its
-    strings are grouped by their bytes in a shuffle instead, with the same result.
+    Of equal texts (by SHA-256) the row with the smallest id stands for all; later ones go whole.
+    Equal strings of the others share a bucket key (the smallest hash of their pieces), so neighbours
+    with one key travel as one segment. Keys are counted packed, and each chunk of texts gets back
+    which of its keys occur elsewhere. Segments of those meet in their bucket, where suffixes are
+    ordered and equal strings found by their bytes; a bucket of one segment has no order to find. A
+    key of very many different segments is cut again by longer pieces before anything is sent.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
-    base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.hash("text"))
-    texts = base.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= options.length))
-    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    busy = busy_filter(texts, n_bytes, options)
-    per_key = segments(texts, busy, None, kind, options, "hash").groupBy("key").agg(
-        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("sh") == F.max("sh")).alias("alone")
+    base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    n_bytes = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    texts = chunked(base, kind, n_bytes, options)
+    long = texts.where(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= options.length))
+    equal = long.groupBy("digest").agg(F.min(F.struct("doc_id", "chunk", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    equal = stored(equal.select("digest", "n", "first.*"), "equal")
+    nothing = [F.lit(-1).alias("level"), F.lit(-1).alias("part"), F.lit(b"").alias("marks")]
+    right = stored(equal.groupBy("chunk").agg(F.collect_list("row").alias("rows")).select("chunk", *nothing, "rows"), "kept")
+    parts = key_parts(n_bytes, options)
+    for level in range(len(options.pieces)):
+        marks = stored(marked(keyed(texts, right, level, parts, options), level, parts, options), "marks")
+        right = right.unionByName(marks)
+        if level + 1 < len(options.pieces) and not marks.where(F.contains("marks", F.lit(b"\2"))).limit(1).count():
+            break
+    spans = removed(repeated_runs(texts, right, parts, kind, options), n_bytes, options)
+    losing = cut_texts(texts, spans)
+    empty = F.lit(None)
+    facts = equal.where("n > 1").select("digest", F.col("doc_id").alias("first"), empty.cast("long").alias("n_removed"), empty.cast("long").alias("n_spans"), empty.cast("string").alias("kept"))
+    facts = facts.unionByName(losing.withColumn("first", empty.cast(kind))).groupBy("digest").agg(*[F.max(c).alias(c) for c in ("first", "n_removed", "n_spans", "kept")])
+    rows = texts.select("doc_id", "n_bytes", "digest")
+    total = equal.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = join_skewed(rows, stored(facts, "facts"), "digest", hot_keys(equal, "digest", "n", total))
+    able = F.col("doc_id").isNotNull() & (F.col("n_bytes") >= options.length)
+    whole = able & F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
+    some = able & F.col("n_removed").isNotNull()
+    pick = lambda all_, part, none: F.when(whole, all_).when(some, part).otherwise(none)
+    return out.select(
+        "doc_id", "n_bytes", pick(F.col("n_bytes"), F.col("n_removed"), F.lit(0)).cast("long").alias("n_removed"), pick(F.lit(1), F.col("n_spans"), F.lit(0)).cast("long").alias("n_spans"),
+        pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("kept"), F.lower(F.hex("digest"))).alias("kept_sha256"),
     )
-    per_key = stored(per_key.where("first < last").select("key", "first", "alone"), "buckets")
-    mixed = key_filter(per_key.where(~F.col("alone")), n_bytes, options)
-    found = segments(texts, busy, mixed, kind, options, "text").groupBy("key", "sh", "seg").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    found = stored(found, "segments")
-    sizes = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("a"), F.max("last").alias("b"))
-    sizes = stored(sizes.where("a < b").select("key", (F.col("n") > options.bucket).alias("large")), "sizes")
-    found = found.join(sizes, "key").select("key", "sh", "seg", "first", "last", "large")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // (16 << 20))
-    small = found.where(~F.col("large")).repartition(n, "key").sortWithinPartitions("key")
-    # only what removes something from a row that has the segment is passed on
-    ordered = grouped(small, kind, options).select("key", "sh", F.lit(-1).alias("o"), "firsts")
-    places = F.explode(F.sequence(F.lit(0), F.octet_length("seg") - options.length))
-    single = found.where("large").select("key", "sh", places.alias("o"), "seg", "first", "last")
-    single = single.withColumn("seg", F.substring("seg", F.col("o") + 1, options.length))
-    least = single.groupBy("seg").agg(F.min("first").alias("least"))
-    dealt = single.join(least, "seg").where("least < last").select("key", "sh", "o", F.array("least").alias("firsts"))
-    firsts = stored(ordered.unionByName(dealt), "firsts")
-
-    places = segments(texts, busy, mixed, kind, options, "place")
-    code = lambda at, size: F.shiftleft(at.cast("long"), 32) + size  # noqa: E731  # a run of bytes to drop as one number
-    alone = places.where(F.col("sh").isNull()).drop("sh").join(per_key.where("alone").select("key", "first"), "key").where("first < doc_id")
-    alone = alone.select("doc_id", "h", F.array(code(F.col("at"), F.col("n") + (options.length - 1))).alias("spans"))
-    hit = places.where(F.col("sh").isNotNull()).join(firsts, ["key", "sh"])
-    before = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), code(F.col("at") + i, F.lit(options.length)))), lambda x: x.isNotNull())
-    whole = F.when(F.element_at("firsts", 1) < F.col("doc_id"), F.array(code(F.col("at"), F.col("n") + (options.length - 1)))).otherwise(F.array())
-    one = F.when(F.element_at("firsts", 1) < F.col("doc_id"), F.array(code(F.col("at") + F.col("o"), F.lit(options.length)))).otherwise(F.array())
-    spans = F.when(F.col("o") >= 0, one).when(F.size("firsts") == 1, whole).otherwise(before)
-    hit = hit.select("doc_id", "h", spans.alias("spans")).where(F.size("spans") > 0).unionByName(alone)
-    hit = hit.select("doc_id", "h", F.explode("spans").alias("span")).groupBy("doc_id", "h").agg(F.collect_list("span").alias("spans"))
-    hit = hit.select("doc_id", "h", F.transform("spans", lambda x: F.shiftright(x, 32)).alias("at"), F.transform("spans", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))).alias("size"))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            texts = utf8(batch.column(1))
-            rows = [(len(t), *_cut(t, a or [], s or [])) for t, a, s in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.string()]))], names)
-
-    joined = base.join(hit, ["doc_id", "h"], "left").select("doc_id", "text", "at", "size")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

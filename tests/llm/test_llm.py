@@ -49,11 +49,10 @@ def brute_repeats(rows, size=50):
     return out
 
 
-@pytest.mark.parametrize("bucket", [256, 1])
-def test_suffix_dedup(spark, documents, bucket):
-    df = spark.createDataFrame(documents.assign(text=documents.text.str.slice(0, 6000)))
-    got = suffixes.remove_repeats(df, suffixes.Options(bucket=bucket, block=4096)).collect()
-    want = brute_repeats([(i, (t or "")[:6000].encode()) for i, t in zip(documents.doc_id.tolist(), documents.text)])
+@pytest.mark.parametrize("options", [suffixes.Options(), suffixes.Options(bucket=1, chunk=40_000), suffixes.Options(bucket=1, pieces=(20, 35, 50), slab=3000)])
+def test_suffix_dedup(spark, documents, options):
+    got = suffixes.remove_repeats(spark.createDataFrame(documents), options).collect()
+    want = brute_repeats([(i, (t or "").encode()) for i, t in zip(documents.doc_id.tolist(), documents.text)])
     assert {r[0]: tuple(r[1:]) for r in got} == want
     assert sum(r.n_removed for r in got) > 0
 
