@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import marshal
+import pickle
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
@@ -26,6 +28,8 @@ class Options:
     pieces: tuple[int, ...] = (20, 50)
     #: Different segments from which on a bucket is cut again.
     bucket: int = 256
+    #: Chunks from which on a bucket's places stream behind its segments, so that no task holds them.
+    frequent: int = 4096
     #: Bytes of text in a chunk, the unit in which texts meet what was found out about them.
     chunk: int = 4 << 20
     #: Bytes of bucket keys that one task counts at a time.
@@ -163,11 +167,8 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([i]), 42) for i in range(256)], np.uint64)
 
 
-def window_keys(text: bytes, length: int, piece: int) -> np.ndarray:
-    """For each string of `length` bytes, the smallest hash of its pieces."""
-    n = len(text) - length + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
+def piece_hashes(text: bytes, piece: int) -> np.ndarray:
+    """A hash of each piece of so many bytes."""
     power, done = _BYTE[np.frombuffer(text, np.uint8)], None
     step, taken = 1, 0
     while step <= piece:
@@ -180,9 +181,16 @@ def window_keys(text: bytes, length: int, piece: int) -> np.ndarray:
             taken += step
         power = power[:-step] * _A + (power[step:] ^ power[step:] >> np.uint64(29)) * _B
         step *= 2
-    least = done ^ done >> np.uint64(32)
-    least = least * _A
-    least ^= least >> np.uint64(31)
+    out = (done ^ done >> np.uint64(32)) * _A
+    return out ^ out >> np.uint64(31)
+
+
+def window_keys(text: bytes, length: int, piece: int) -> np.ndarray:
+    """For each string of `length` bytes, the smallest hash of its pieces."""
+    n = len(text) - length + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    least = piece_hashes(text, piece)
     width, have = length - piece + 1, 1
     while have < width:
         more = min(have, width - have)
@@ -191,6 +199,19 @@ def window_keys(text: bytes, length: int, piece: int) -> np.ndarray:
     return least[:n]
 
 
+def piece_places(segments: list[bytes], keys: np.ndarray, length: int, piece: int) -> np.ndarray:
+    """Where in each segment the piece is whose hash is its key; all of the segment's strings hold it."""
+    size = np.array([len(x) for x in segments], np.int64)
+    begin = np.cumsum(size) - size
+    hashes = piece_hashes(b"".join(segments), piece)
+    out = size - length  # the last string's start
+    left = np.arange(len(segments))
+    while len(left):
+        left = left[hashes[begin[left] + out[left]] != keys[left]]
+        out[left] += 1
+    return out
+
+
 def runs_of(texts: list[bytes], piece: int, options: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, first start, starts, key, content) of the runs of neighbouring strings with one key.
 
@@ -238,12 +259,19 @@ def key_parts(n_bytes: int, options: Options) -> int:
     return 1 << max(6, min(16, (n_bytes * 3 // 8 // options.part).bit_length()))
 
 
+def content_bits(parts: int) -> int:
+    return min(32, 41 - parts.bit_length())
+
+
 def pairs_of(key: np.ndarray, content: np.ndarray, parts: int) -> np.ndarray:
-    """Bits of the key, the part's first, then 16 bits of content."""
-    bits = parts.bit_length() - 1
-    return key >> np.uint64(32 - bits) << np.uint64(16) | content & np.uint64(0xFFFF)
+    """Bits of the key, the part's first and 24 more, then those of content."""
+    bits, low = parts.bit_length() - 1, content_bits(parts)
+    return key >> np.uint64(40 - bits) << np.uint64(low) | content & np.uint64((1 << low) - 1)
 
 
+#: What a pair of key and content is: alone, repeated among different segments, to be cut, repeated
+#: and always the same segment; the last two again, if very many chunks have it.
+NONE, MIXED, CUT, SAME, MANY_MIXED, MANY_SAME = range(6)
 RIGHT = "chunk long, level int, part int, marks binary, rows array<int>"
 
 
@@ -274,9 +302,9 @@ class Chunk:
             which, at, n, key, content = runs_of(texts, self.options.pieces[level], self.options)
             pairs, inverse = np.unique(pairs_of(key, content, self.parts), return_inverse=True)
             mark = self.marks.get(level, np.zeros(len(pairs), np.uint8))[inverse]
-            some = np.flatnonzero(mark == 1)
-            repeated.append((texts, which[some], at[some], n[some], key[some], owner[which[some]], place[which[some]] + at[some]))
-            hot = np.flatnonzero(mark == 2)
+            some = np.flatnonzero((mark != NONE) & (mark != CUT))
+            repeated.append((level, texts, which[some], at[some], n[some], key[some], mark[some], owner[which[some]], place[which[some]] + at[some]))
+            hot = np.flatnonzero(mark == CUT)
             ends = at[hot] + n[hot] + (self.options.length - 1)
             cut = [texts[i][a:b] for i, a, b in zip(which[hot].tolist(), at[hot].tolist(), ends.tolist())]
             texts, owner, place = cut, owner[which[hot]], place[which[hot]] + at[hot]
@@ -292,8 +320,8 @@ def keyed(texts: DataFrame, right: DataFrame, level: int, parts: int, options: O
         rest = Chunk(left, right, parts, options).descend(level)[0] if chunk is not None else []
         _, _, _, key, content = runs_of(rest, options.pieces[level], options)
         pairs, n = np.unique(pairs_of(key, content, parts), return_counts=True)
-        edges = np.searchsorted(pairs >> np.uint64(48), np.arange(parts + 1, dtype=np.uint64))
-        low = pairs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        edges = np.searchsorted(pairs >> np.uint64(24 + content_bits(parts)), np.arange(parts + 1, dtype=np.uint64))
+        low = pairs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
         rows = [(p, chunk, low[a:b].tobytes(), np.packbits(n[a:b] > 1).tobytes()) for p, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if a < b]
         columns = list(zip(*rows)) or [()] * 4
         types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
@@ -304,34 +332,38 @@ def keyed(texts: DataFrame, right: DataFrame, level: int, parts: int, options: O
 
 
 def marked(keys: DataFrame, level: int, parts: int, options: Options) -> DataFrame:
-    """keyed rows to (chunk, level, part, marks, rows): for each pair 0, 1 if its key occurs again, 2 if its bucket is to be cut.
+    """keyed rows to (chunk, level, part, marks, rows): for each pair what it is.
 
     What a task holds at a time is one part's keys, packed.
     """
     last = level == len(options.pieces) - 1
 
     def count(part: int, blobs: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        size = [len(b[1]) // 6 for b in blobs]
+        size = [len(b[1]) // 7 for b in blobs]
         wide = np.zeros((sum(size), 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(b[1] for b in blobs), np.uint8).reshape(-1, 6)
+        wide[:, :7] = np.frombuffer(b"".join(b[1] for b in blobs), np.uint8).reshape(-1, 7)
         value = wide.view("<u8").ravel()
         more = np.concatenate([np.unpackbits(np.frombuffer(b[2], np.uint8), count=n) for b, n in zip(blobs, size)])
         order = np.argsort(value, kind="stable")
         ordered = value[order]
-        key = ordered >> np.uint64(16)
+        low = content_bits(parts)
+        key = ordered >> np.uint64(low) & np.uint64((1 << 24) - 1)
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         different = np.ones(len(ordered), np.int64)
         different[1:] = ordered[1:] != ordered[:-1]
-        again = np.diff(np.append(new, len(key))) + np.add.reduceat(more[order].astype(np.int64), new) > 1
-        mark = again.astype(np.uint8)
+        different[new] = 1
+        different = np.add.reduceat(different, new)
+        n = np.diff(np.append(new, len(key)))
+        mark = np.where(different > 1, np.where(n > options.frequent, MANY_MIXED, MIXED), np.where(n > options.frequent, MANY_SAME, SAME)).astype(np.uint8)
+        mark[n + np.add.reduceat(more[order].astype(np.int64), new) < 2] = NONE
         if not last:
-            mark[again & (np.add.reduceat(different, new) > options.bucket)] = 2
+            mark[different > options.bucket] = CUT
         out = np.empty(len(ordered), np.uint8)
-        out[order] = np.repeat(mark, np.diff(np.append(new, len(key))))
+        out[order] = np.repeat(mark, n)
         ends = np.cumsum(size)
         for a in range(0, len(blobs), 1024):
             some = blobs[a : a + 1024]
-            marks = [out[e - n : e].tobytes() for e, n in zip(ends[a : a + 1024].tolist(), size[a : a + 1024])]
+            marks = [out[e - m : e].tobytes() for e, m in zip(ends[a : a + 1024].tolist(), size[a : a + 1024])]
             columns = [pa.array([b[0] for b in some], pa.int64()), pa.array([level] * len(some), pa.int32()), pa.array([part] * len(some), pa.int32()), pa.array(marks, pa.binary()), pa.nulls(len(some), pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "level", "part", "marks", "rows"])
 
@@ -351,99 +383,172 @@ def marked(keys: DataFrame, level: int, parts: int, options: Options) -> DataFra
     return dealt.mapInArrow(run, RIGHT)
 
 
-def repeated_runs(texts: DataFrame, right: DataFrame, parts: int, kind: str, options: Options) -> DataFrame:
-    """Two kinds of rows for the distinct repeated runs of each chunk: phase 0 has the bytes, phase 1 the places."""
+def packed_ids(ids: list) -> bytes | list:
+    """Ids for marshal, which keeps numbers and strings; others are pickled."""
+    return ids if isinstance(ids[0], (int, str)) else pickle.dumps(ids)
+
+
+def repeated_runs(texts: DataFrame, right: DataFrame, parts: int, options: Options, bytes_of_all: bool) -> DataFrame:
+    """(key, phase, body): the distinct repeated runs of each chunk and their places.
+
+    Segments of mixed buckets carry their bytes; others, unless bytes_of_all, a 128-bit digest of
+    them. A body is (digest, segment, where its piece is, ids, places, chunk); in buckets of many
+    chunks the segment with its smallest id is one row, in phase 0, and its places are another.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        id_type = left.schema.field("doc_id").type
         chunk = Chunk(left, right, parts, options)
-        found: dict[bytes, list] = {}
-        for source, which, at, n, key, owner, place in chunk.descend(len(options.pieces))[3]:
+        me = right["chunk"][0].as_py() if right.num_rows else 0
+        ids, rows = chunk.ids, chunk.rows.tolist()
+        keys, phases, bodies = [], [], []
+        for level, source, which, at, n, key, mark, owner, place in chunk.descend(len(options.pieces))[3]:
+            found: dict[bytes, tuple] = {}
             ends = at + n + (options.length - 1)
-            for i, a, b, k, o, p in zip(which.tolist(), at.tolist(), ends.tolist(), key.view(np.int64).tolist(), owner.tolist(), place.tolist()):
+            for j, (i, a, b, o, p) in enumerate(zip(which.tolist(), at.tolist(), ends.tolist(), owner.tolist(), place.tolist())):
                 seg = source[i][a:b]
                 have = found.get(seg)
                 if have is None:
-                    found[seg] = [k, [o], [p]]
+                    found[seg] = (j, [ids[o]], [rows[o], p, p + b - a])
                 else:
-                    have[1].append(o)
-                    have[2].append(p)
-        ids, rows = chunk.ids, chunk.rows
-        me = right["chunk"][0].as_py() if right.num_rows else 0
-        key = [x[0] for x in found.values()]
-        digest = [hashlib.blake2b(s, digest_size=16).digest() for s in found]
-        owners = [[ids[o] for o in x[1]] for x in found.values()]
-        places = [np.column_stack([rows[x[1]], x[2]]).astype("<i4").tobytes() for x in found.values()]
-        m = len(found)
-        return pa.table({
-            "key": pa.array(key + key, pa.int64()), "phase": pa.array([0] * m + [1] * m, pa.int32()), "digest": pa.array(digest + digest, pa.binary()),
-            "seg": pa.array(list(found) + [None] * m, pa.binary()), "owners": pa.array([[min(x)] for x in owners] + owners, pa.list_(id_type)),
-            "chunk": pa.array([None] * m + [me] * m, pa.int64()), "places": pa.array([None] * m + places, pa.binary()),
-        })
+                    have[1].append(ids[o])
+                    have[2].extend((rows[o], p, p + b - a))
+            if not found:
+                continue
+            first = np.array([x[0] for x in found.values()], np.int64)
+            spot = np.full(len(first), -1)
+            mixed = np.flatnonzero(np.isin(mark[first], (MIXED, MANY_MIXED)))
+            segs = list(found)
+            if len(mixed):
+                spot[mixed] = piece_places([segs[i] for i in mixed.tolist()], key[first[mixed]], options.length, options.pieces[level])
+            for seg, (_, own, places), k, m, s in zip(segs, found.values(), key[first].view(np.int64).tolist(), mark[first].tolist(), spot.tolist()):
+                whole = seg if s >= 0 or bytes_of_all else None
+                digest = hashlib.blake2b(seg, digest_size=16).digest()
+                if m == MIXED or m == SAME:
+                    parts_ = [(2, (None if whole else digest, whole, s, packed_ids(own), array("i", places).tobytes(), me))]
+                else:
+                    parts_ = [(0, (digest, whole, s, packed_ids([min(own)]), b"", me)), (1, (digest, None, s, packed_ids(own), array("i", places).tobytes(), me))]
+                for phase, body in parts_:
+                    keys.append(k)
+                    phases.append(phase)
+                    bodies.append(marshal.dumps(body))
+        return pa.table([pa.array(keys, pa.int64()), pa.array(phases, pa.int32()), pa.array(bodies, pa.binary())], ["key", "phase", "body"])
 
     both = texts.select("chunk", "row", "doc_id", "text").groupBy("chunk").cogroup(right.groupBy("chunk"))
-    return both.applyInArrow(run, f"key long, phase int, digest binary, seg binary, owners array<{kind}>, chunk long, places binary")
+    return both.applyInArrow(run, "key long, phase int, body binary")
+
+
+def near_pieces(segments: list[bytes], spots: list[int], length: int, piece: int) -> list[int]:
+    """Numbers of the segments that may share a string of `length` bytes with another one, all around one piece.
+
+    Such a string has so many bytes before the piece and the rest behind it. One of four splits of
+    that rest is equal in both segments: bytes before, the piece, and bytes behind it.
+    """
+    rest = length - piece
+    step = -(-(rest + 1) // 4)
+    cuts = [(a, rest - min(a + step - 1, rest)) for a in range(0, rest + 1, step)]
+    count: dict[tuple, int] = {}
+    keys = []
+    for x, p in zip(segments, spots):
+        own = [(c, x[p - before : p + piece + after]) for c, (before, after) in enumerate(cuts) if p >= before and p + piece + after <= len(x)]
+        keys.append(own)
+        for k in own:
+            count[k] = count.get(k, 0) + 1
+    return [i for i, own in enumerate(keys) if any(count[k] > 1 for k in own)]
 
 
 def removed(runs: DataFrame, n_bytes: int, options: Options) -> DataFrame:
     """(chunk, spans): the bytes that go from the texts of a chunk, as row, start and end.
 
-    A bucket's different segments come first and are ordered; then its places stream by. So a task
-    holds no more than one bucket's different segments, however many texts have them.
+    A task holds one bucket's different segments, and its places up to `frequent` chunks; those of
+    larger ones come sorted behind their segments. A bucket whose segments came as digests and differ
+    gives a row with a null chunk: its bytes are needed.
     """
-    length = options.length
+    length, piece = options.length, options.pieces[0]
 
     def solved(segs: dict[bytes, list]) -> dict[bytes, list]:
-        """digest to the smallest id for each string, or to one for all."""
-        if len(segs) == 1:
-            return {d: [x[1]] for d, x in segs.items()}
-        found = shared_firsts([x[0] for x in segs.values()], [x[1] for x in segs.values()], length)
-        return {d: f if any(x != f[0] for x in f) else f[:1] for d, f in zip(segs, found)}
+        """digest or segment to the smallest id for each string, or to one for all."""
+        out = {d: [x[2]] for d, x in segs.items()}
+        if len(segs) > 1:
+            names = list(segs)
+            some = near_pieces([segs[d][0] for d in names], [segs[d][1] for d in names], length, piece) if len(options.pieces) > 1 else range(len(names))
+            some = [names[i] for i in some]
+            if len(some) > 1:
+                found = shared_firsts([segs[d][0] for d in some], [segs[d][2] for d in some], length)
+                out |= {d: f if any(x != f[0] for x in f) else f[:1] for d, f in zip(some, found)}
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         spans: dict[int, array] = {}
-        held = 0
-        at_key, segs, firsts = None, {}, None
+        held, unknown = 0, False
+        at_key, segs, waiting, firsts = None, {}, [], None
+
+        def place(first: list, own: list, places: bytes, chunk: int) -> None:
+            nonlocal held
+            out = spans.get(chunk)
+            if out is None:
+                out = spans[chunk] = array("i")
+            before = len(out)
+            where = array("i", places)
+            for k, doc in enumerate(own):
+                row, at, end = where[3 * k : 3 * k + 3]
+                if len(first) == 1:
+                    if first[0] < doc:
+                        out.extend((row, at, end))
+                    continue
+                begin = -1
+                for i, x in enumerate(first):
+                    if x < doc:
+                        if begin < 0:
+                            begin = i
+                    elif begin >= 0:
+                        out.extend((row, at + begin, at + i - 1 + length))
+                        begin = -1
+                if begin >= 0:
+                    out.extend((row, at + begin, end))
+            held += len(out) - before
+
+        def close() -> None:
+            nonlocal unknown
+            if segs and firsts is None and waiting:
+                if len(segs) > 1 and any(x[0] is None for x in segs.values()):
+                    unknown = True
+                    return
+                found = solved(segs)
+                for name, own, places, chunk in waiting:
+                    place(found[name], own, places, chunk)
+
         for batch in batches:
-            for key, phase, digest, seg, owners, chunk, places in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, phase, body in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != at_key:
-                    at_key, segs, firsts = key, {}, None
-                if phase == 0:
-                    have = segs.get(digest)
+                    close()
+                    at_key, segs, waiting, firsts = key, {}, [], None
+                digest, seg, spot, own, places, chunk = marshal.loads(body)
+                own = own if isinstance(own, list) else pickle.loads(own)
+                name = digest or seg
+                if phase != 1:
+                    least = min(own)
+                    have = segs.get(name)
                     if have is None:
-                        segs[digest] = [seg, owners[0]]
-                    elif owners[0] < have[1]:
-                        have[1] = owners[0]
+                        segs[name] = [seg, spot, least]
+                    elif least < have[2]:
+                        have[2] = least
+                    if phase == 2:
+                        waiting.append((name, own, places, chunk))
                     continue
                 if firsts is None:
-                    firsts = solved(segs)
-                first, size = firsts[digest], len(segs[digest][0])
-                out = spans.get(chunk)
-                if out is None:
-                    out = spans[chunk] = array("i")
-                before = len(out)
-                place = np.frombuffer(places, "<i4").tolist()
-                for own, row, at in zip(owners, place[::2], place[1::2]):
-                    if len(first) == 1:
-                        if first[0] < own:
-                            out.extend((row, at, at + size))
-                        continue
-                    begin = -1
-                    for i, x in enumerate(first):
-                        if x < own:
-                            if begin < 0:
-                                begin = i
-                        elif begin >= 0:
-                            out.extend((row, at + begin, at + i - 1 + length))
-                            begin = -1
-                    if begin >= 0:
-                        out.extend((row, at + begin, at + size))
-                held += len(out) - before
+                    if len(segs) > 1 and any(x[0] is None for x in segs.values()):
+                        unknown, firsts = True, {}
+                    else:
+                        firsts = solved(segs)
+                if firsts:
+                    place(firsts[name], own, places, chunk)
             if held > 1 << 20:
                 yield made(spans)
                 spans, held = {}, 0
-        if spans:
-            yield made(spans)
+        close()
+        yield made(spans)
+        if unknown:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], ["chunk", "spans"])
 
     def made(spans: dict[int, array]) -> pa.RecordBatch:
         some = {k: v for k, v in spans.items() if len(v)}
@@ -525,8 +630,9 @@ def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
     Equal strings of the others share a bucket key (the smallest hash of their pieces), so neighbours
     with one key travel as one segment. Keys are counted packed, and each chunk of texts gets back
     which of its keys occur elsewhere. Segments of those meet in their bucket, where suffixes are
-    ordered and equal strings found by their bytes; a bucket of one segment has no order to find. A
-    key of very many different segments is cut again by longer pieces before anything is sent.
+    ordered and equal strings found by their bytes; a bucket of one segment has no order to find, and
+    only a digest of it travels. A key of very many different segments is cut again by longer pieces
+    before anything is sent.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -543,9 +649,11 @@ def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
     for level in range(len(options.pieces)):
         marks = stored(marked(keyed(texts, right, level, parts, options), level, parts, options), "marks")
         right = right.unionByName(marks)
-        if level + 1 < len(options.pieces) and not marks.where(F.contains("marks", F.lit(b"\2"))).limit(1).count():
+        if level + 1 < len(options.pieces) and not marks.where(F.contains("marks", F.lit(bytes([CUT])))).limit(1).count():
             break
-    spans = removed(repeated_runs(texts, right, parts, kind, options), n_bytes, options)
+    spans = stored(removed(repeated_runs(texts, right, parts, options, False), n_bytes, options), "spans")
+    if spans.where("chunk is null").limit(1).count():  # differing segments that looked the same: all send their bytes
+        spans = stored(removed(repeated_runs(texts, right, parts, options, True), n_bytes, options), "spans")
     losing = cut_texts(texts, spans)
     empty = F.lit(None)
     facts = equal.where("n > 1").select("digest", F.col("doc_id").alias("first"), empty.cast("long").alias("n_removed"), empty.cast("long").alias("n_spans"), empty.cast("string").alias("kept"))
