@@ -31,11 +31,11 @@ class Options:
     #: Chunks from which on a bucket's places stream behind its segments, so that no task holds them.
     frequent: int = 4096
     #: Bytes of text in a chunk, the unit in which texts meet what was found out about them.
-    chunk: int = 4 << 20
+    chunk: int = 2 << 20
     #: Bytes of bucket keys that one task counts at a time.
     part: int = 32 << 20
     #: Bytes of text hashed at a time.
-    slab: int = 1 << 17
+    slab: int = 1 << 16
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -635,7 +635,7 @@ def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
     before anything is sent.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 64)
     kind = dict(docs.dtypes)["doc_id"]
     base = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n_bytes = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
