@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import marshal
-import pickle
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
@@ -13,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +28,10 @@ class Options:
     pieces: tuple[int, ...] = (20, 50)
     #: Different segments from which on a bucket is cut again.
     bucket: int = 256
-    #: Chunks from which on a bucket's places stream behind its segments, so that no task holds them.
-    frequent: int = 4096
+    #: Bytes of segments that one task orders at a time, about.
+    ordered: int = 48 << 20
     #: Bytes of text in a chunk, the unit in which texts meet what was found out about them.
-    chunk: int = 2 << 20
+    chunk: int = 4 << 20
     #: Bytes of bucket keys that one task counts at a time.
     part: int = 32 << 20
     #: Bytes of text hashed at a time.
@@ -199,6 +199,12 @@ def window_keys(text: bytes, length: int, piece: int) -> np.ndarray:
     return least[:n]
 
 
+def _mixed(least: np.ndarray) -> np.ndarray:
+    """Keys spread evenly: the smallest of many hashes are small."""
+    key = least * _B
+    return key ^ key >> np.uint64(32)
+
+
 def piece_places(segments: list[bytes], keys: np.ndarray, length: int, piece: int) -> np.ndarray:
     """Where in each segment the piece is whose hash is its key; all of the segment's strings hold it."""
     size = np.array([len(x) for x in segments], np.int64)
@@ -207,7 +213,7 @@ def piece_places(segments: list[bytes], keys: np.ndarray, length: int, piece: in
     out = size - length  # the last string's start
     left = np.arange(len(segments))
     while len(left):
-        left = left[hashes[begin[left] + out[left]] != keys[left]]
+        left = left[_mixed(hashes[begin[left] + out[left]]) != keys[left]]
         out[left] += 1
     return out
 
@@ -225,7 +231,7 @@ def runs_of(texts: list[bytes], piece: int, options: Options) -> tuple[np.ndarra
             size += len(texts[b])
             b += 1
         slab = b"".join(texts[a:b])
-        key = window_keys(slab, options.length, piece)
+        key = _mixed(window_keys(slab, options.length, piece))
         if len(key):
             begin = np.cumsum([0, *map(len, texts[a:b])])
             valid = np.ones(len(key) + 1, np.int32)
@@ -233,7 +239,8 @@ def runs_of(texts: list[bytes], piece: int, options: Options) -> tuple[np.ndarra
             for end in begin[1:-1].tolist():  # strings over the end of a text are none
                 valid[max(0, end - options.length + 1) : end] = 0
             new = np.ones(len(key) + 1, bool)
-            new[1:-1] = (key[1:] != key[:-1]) | (valid[1:-1] != valid[:-2])
+            if piece < options.length:  # otherwise each string is a run of its own
+                new[1:-1] = (key[1:] != key[:-1]) | (valid[1:-1] != valid[:-2])
             new[begin[(begin > 0) & (begin < len(key))]] = True
             edge = np.flatnonzero(new)
             good = valid[edge[:-1]] > 0
@@ -259,19 +266,13 @@ def key_parts(n_bytes: int, options: Options) -> int:
     return 1 << max(6, min(16, (n_bytes * 3 // 8 // options.part).bit_length()))
 
 
-def content_bits(parts: int) -> int:
-    return min(32, 41 - parts.bit_length())
-
-
 def pairs_of(key: np.ndarray, content: np.ndarray, parts: int) -> np.ndarray:
-    """Bits of the key, the part's first and 24 more, then those of content."""
-    bits, low = parts.bit_length() - 1, content_bits(parts)
-    return key >> np.uint64(40 - bits) << np.uint64(low) | content & np.uint64((1 << low) - 1)
+    """Bits of the key, the part's first and 32 more, then 16 of content."""
+    return key >> np.uint64(33 - parts.bit_length()) << np.uint64(16) | content & np.uint64(0xFFFF)
 
 
-#: What a pair of key and content is: alone, repeated among different segments, to be cut, repeated
-#: and always the same segment; the last two again, if very many chunks have it.
-NONE, MIXED, CUT, SAME, MANY_MIXED, MANY_SAME = range(6)
+#: What a key is: not repeated, repeated, or of so many different segments that they are cut again.
+NONE, REPEATED, CUT = range(3)
 RIGHT = "chunk long, level int, part int, marks binary, rows array<int>"
 
 
@@ -302,8 +303,8 @@ class Chunk:
             which, at, n, key, content = runs_of(texts, self.options.pieces[level], self.options)
             pairs, inverse = np.unique(pairs_of(key, content, self.parts), return_inverse=True)
             mark = self.marks.get(level, np.zeros(len(pairs), np.uint8))[inverse]
-            some = np.flatnonzero((mark != NONE) & (mark != CUT))
-            repeated.append((level, texts, which[some], at[some], n[some], key[some], mark[some], owner[which[some]], place[which[some]] + at[some]))
+            some = np.flatnonzero(mark == REPEATED)
+            repeated.append((level, texts, which[some], at[some], n[some], key[some], owner[which[some]], place[which[some]] + at[some]))
             hot = np.flatnonzero(mark == CUT)
             ends = at[hot] + n[hot] + (self.options.length - 1)
             cut = [texts[i][a:b] for i, a, b in zip(which[hot].tolist(), at[hot].tolist(), ends.tolist())]
@@ -320,8 +321,8 @@ def keyed(texts: DataFrame, right: DataFrame, level: int, parts: int, options: O
         rest = Chunk(left, right, parts, options).descend(level)[0] if chunk is not None else []
         _, _, _, key, content = runs_of(rest, options.pieces[level], options)
         pairs, n = np.unique(pairs_of(key, content, parts), return_counts=True)
-        edges = np.searchsorted(pairs >> np.uint64(24 + content_bits(parts)), np.arange(parts + 1, dtype=np.uint64))
-        low = pairs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
+        edges = np.searchsorted(pairs >> np.uint64(48), np.arange(parts + 1, dtype=np.uint64))
+        low = pairs.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
         rows = [(p, chunk, low[a:b].tobytes(), np.packbits(n[a:b] > 1).tobytes()) for p, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if a < b]
         columns = list(zip(*rows)) or [()] * 4
         types = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
@@ -339,25 +340,21 @@ def marked(keys: DataFrame, level: int, parts: int, options: Options) -> DataFra
     last = level == len(options.pieces) - 1
 
     def count(part: int, blobs: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        size = [len(b[1]) // 7 for b in blobs]
+        size = [len(b[1]) // 6 for b in blobs]
         wide = np.zeros((sum(size), 8), np.uint8)
-        wide[:, :7] = np.frombuffer(b"".join(b[1] for b in blobs), np.uint8).reshape(-1, 7)
+        wide[:, :6] = np.frombuffer(b"".join(b[1] for b in blobs), np.uint8).reshape(-1, 6)
         value = wide.view("<u8").ravel()
         more = np.concatenate([np.unpackbits(np.frombuffer(b[2], np.uint8), count=n) for b, n in zip(blobs, size)])
         order = np.argsort(value, kind="stable")
         ordered = value[order]
-        low = content_bits(parts)
-        key = ordered >> np.uint64(low) & np.uint64((1 << 24) - 1)
+        key = ordered >> np.uint64(16)
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         different = np.ones(len(ordered), np.int64)
         different[1:] = ordered[1:] != ordered[:-1]
-        different[new] = 1
-        different = np.add.reduceat(different, new)
         n = np.diff(np.append(new, len(key)))
-        mark = np.where(different > 1, np.where(n > options.frequent, MANY_MIXED, MIXED), np.where(n > options.frequent, MANY_SAME, SAME)).astype(np.uint8)
-        mark[n + np.add.reduceat(more[order].astype(np.int64), new) < 2] = NONE
+        mark = (n + np.add.reduceat(more[order].astype(np.int64), new) > 1).astype(np.uint8) * REPEATED
         if not last:
-            mark[different > options.bucket] = CUT
+            mark[(mark == REPEATED) & (np.add.reduceat(different, new) > options.bucket)] = CUT
         out = np.empty(len(ordered), np.uint8)
         out[order] = np.repeat(mark, n)
         ends = np.cumsum(size)
@@ -383,58 +380,55 @@ def marked(keys: DataFrame, level: int, parts: int, options: Options) -> DataFra
     return dealt.mapInArrow(run, RIGHT)
 
 
-def packed_ids(ids: list) -> bytes | list:
-    """Ids for marshal, which keeps numbers and strings; others are pickled."""
-    return ids if isinstance(ids[0], (int, str)) else pickle.dumps(ids)
+def repeated_runs(texts: DataFrame, right: DataFrame, parts: int, ordered: int, options: Options) -> DataFrame:
+    """(part, body): the distinct repeated runs of each chunk and their places, packed for each of `ordered` parts of the keys.
 
-
-def repeated_runs(texts: DataFrame, right: DataFrame, parts: int, options: Options, bytes_of_all: bool) -> DataFrame:
-    """(key, phase, body): the distinct repeated runs of each chunk and their places.
-
-    Segments of mixed buckets carry their bytes; others, unless bytes_of_all, a 128-bit digest of
-    them. A body is (digest, segment, where its piece is, ids, places, chunk); in buckets of many
-    chunks the segment with its smallest id is one row, in phase 0, and its places are another.
+    A run is its bytes and where its piece is in them; at the last level, where it is one string, a
+    128-bit digest of these.
     """
+    shift = np.uint64(65 - ordered.bit_length())
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = Chunk(left, right, parts, options)
         me = right["chunk"][0].as_py() if right.num_rows else 0
-        ids, rows = chunk.ids, chunk.rows.tolist()
-        keys, phases, bodies = [], [], []
-        for level, source, which, at, n, key, mark, owner, place in chunk.descend(len(options.pieces))[3]:
-            found: dict[bytes, tuple] = {}
-            ends = at + n + (options.length - 1)
-            for j, (i, a, b, o, p) in enumerate(zip(which.tolist(), at.tolist(), ends.tolist(), owner.tolist(), place.tolist())):
-                seg = source[i][a:b]
-                have = found.get(seg)
-                if have is None:
-                    found[seg] = (j, [ids[o]], [rows[o], p, p + b - a])
-                else:
-                    have[1].append(ids[o])
-                    have[2].extend((rows[o], p, p + b - a))
-            if not found:
+        ids = np.array(chunk.ids) if chunk.ids and isinstance(chunk.ids[0], int) else chunk.ids
+        pack = zstandard.ZstdCompressor(level=3).compress
+        out_part, out_body = [], []
+        for level, source, which, at, n, key, owner, place in chunk.descend(len(options.pieces))[3]:
+            if not len(which):
                 continue
-            first = np.array([x[0] for x in found.values()], np.int64)
-            spot = np.full(len(first), -1)
-            mixed = np.flatnonzero(np.isin(mark[first], (MIXED, MANY_MIXED)))
-            segs = list(found)
-            if len(mixed):
-                spot[mixed] = piece_places([segs[i] for i in mixed.tolist()], key[first[mixed]], options.length, options.pieces[level])
-            for seg, (_, own, places), k, m, s in zip(segs, found.values(), key[first].view(np.int64).tolist(), mark[first].tolist(), spot.tolist()):
-                whole = seg if s >= 0 or bytes_of_all else None
-                digest = hashlib.blake2b(seg, digest_size=16).digest()
-                if m == MIXED or m == SAME:
-                    parts_ = [(2, (None if whole else digest, whole, s, packed_ids(own), array("i", places).tobytes(), me))]
-                else:
-                    parts_ = [(0, (digest, whole, s, packed_ids([min(own)]), b"", me)), (1, (digest, None, s, packed_ids(own), array("i", places).tobytes(), me))]
-                for phase, body in parts_:
-                    keys.append(k)
-                    phases.append(phase)
-                    bodies.append(marshal.dumps(body))
-        return pa.table([pa.array(keys, pa.int64()), pa.array(phases, pa.int32()), pa.array(bodies, pa.binary())], ["key", "phase", "body"])
+            ends = at + n + (options.length - 1)
+            segs = [source[i][a:b] for i, a, b in zip(which.tolist(), at.tolist(), ends.tolist())]
+            firsts: dict[bytes, int] = {}
+            number = np.array([firsts.setdefault(x, k) for k, x in enumerate(segs)], np.int64)
+            order = np.argsort(number, kind="stable")
+            first, count = np.unique(number, return_counts=True)
+            begin = np.cumsum(count) - count
+            segs = [segs[i] for i in first.tolist()]
+            if options.pieces[level] < options.length:
+                spot = piece_places(segs, key[first], options.length, options.pieces[level])
+            else:
+                spot = np.full(len(segs), -1)
+                segs = [hashlib.blake2b(x, digest_size=16).digest() for x in segs]
+            places = np.column_stack([chunk.rows[owner], place, place + ends - at]).astype("<i4")[order]
+            whose = owner[order]
+            part = (key[first] >> shift).astype(np.int64)
+            by_part = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[by_part], np.arange(ordered + 1)).tolist()
+            for p, (a, b) in enumerate(zip(edges, edges[1:])):
+                if a == b:
+                    continue
+                own = by_part[a:b]
+                where = np.repeat(begin[own] - (np.cumsum(count[own]) - count[own]), count[own]) + np.arange(count[own].sum())
+                docs = ids[whose[where]].astype("<i8").tobytes() if isinstance(ids, np.ndarray) else [ids[i] for i in whose[where].tolist()]
+                some = [segs[i] for i in own.tolist()]
+                body = (me, key[first[own]].tobytes(), spot[own].astype("<i4").tobytes(), np.array([len(x) for x in some], "<i4").tobytes(), b"".join(some), count[own].astype("<i4").tobytes(), places[where].tobytes(), docs)
+                out_part.append(p)
+                out_body.append(pack(marshal.dumps(body)))
+        return pa.table([pa.array(out_part, pa.int32()), pa.array(out_body, pa.binary())], ["part", "body"])
 
     both = texts.select("chunk", "row", "doc_id", "text").groupBy("chunk").cogroup(right.groupBy("chunk"))
-    return both.applyInArrow(run, "key long, phase int, body binary")
+    return both.applyInArrow(run, "part int, body binary")
 
 
 def near_pieces(segments: list[bytes], spots: list[int], length: int, piece: int) -> list[int]:
@@ -456,105 +450,109 @@ def near_pieces(segments: list[bytes], spots: list[int], length: int, piece: int
     return [i for i, own in enumerate(keys) if any(count[k] > 1 for k in own)]
 
 
-def removed(runs: DataFrame, n_bytes: int, options: Options) -> DataFrame:
+def solved(segs: dict[bytes, list], options: Options) -> dict[bytes, list]:
+    """segs(name: [bytes, place of the piece or -1, smallest id]) to the smallest id for each string, or to one for all."""
+    out = {d: [x[2]] for d, x in segs.items()}
+    names = [d for d, x in segs.items() if x[1] >= 0]
+    if len(names) > 1:
+        names = [names[i] for i in near_pieces([segs[d][0] for d in names], [segs[d][1] for d in names], options.length, options.pieces[0])]
+        if len(names) > 1:
+            found = shared_firsts([segs[d][0] for d in names], [segs[d][2] for d in names], options.length)
+            out |= {d: f if any(x != f[0] for x in f) else f[:1] for d, f in zip(names, found)}
+    return out
+
+
+class Entries:
+    """The packed runs of one part of the keys."""
+
+    def __init__(self, bodies: list[bytes]):
+        unpack = zstandard.ZstdDecompressor().decompress
+        loaded = [marshal.loads(unpack(b)) for b in bodies]
+        ints = lambda i: np.concatenate([np.frombuffer(x[i], "<i4") for x in loaded]).astype(np.int64)
+        self.key = np.concatenate([np.frombuffer(x[1], np.uint64) for x in loaded])
+        self.chunk = np.repeat([x[0] for x in loaded], [len(x[1]) // 8 for x in loaded]).tolist()
+        self.spot, size, count = ints(2).tolist(), ints(3), ints(5)
+        self.text = b"".join(x[4] for x in loaded)
+        self.places = ints(6).reshape(-1, 3)
+        if isinstance(loaded[0][7], list):
+            self.docs = [d for x in loaded for d in x[7]]
+        else:
+            self.docs = np.concatenate([np.frombuffer(x[7], "<i8") for x in loaded]).tolist()
+        self.seg_ends, self.place_ends = np.cumsum(size), np.cumsum(count)
+        self.seg_starts, self.place_starts = (self.seg_ends - size).tolist(), (self.place_ends - count).tolist()
+        self.seg_ends, self.place_ends = self.seg_ends.tolist(), self.place_ends.tolist()
+
+
+def removed(runs: DataFrame, ordered: int, options: Options) -> DataFrame:
     """(chunk, spans): the bytes that go from the texts of a chunk, as row, start and end.
 
-    A task holds one bucket's different segments, and its places up to `frequent` chunks; those of
-    larger ones come sorted behind their segments. A bucket whose segments came as digests and differ
-    gives a row with a null chunk: its bytes are needed.
+    A task holds the runs of one part of the keys. Of one bucket these are at most `bucket` different
+    segments, with one entry for each chunk that has them.
     """
-    length, piece = options.length, options.pieces[0]
-
-    def solved(segs: dict[bytes, list]) -> dict[bytes, list]:
-        """digest or segment to the smallest id for each string, or to one for all."""
-        out = {d: [x[2]] for d, x in segs.items()}
-        if len(segs) > 1:
-            names = list(segs)
-            some = near_pieces([segs[d][0] for d in names], [segs[d][1] for d in names], length, piece) if len(options.pieces) > 1 else range(len(names))
-            some = [names[i] for i in some]
-            if len(some) > 1:
-                found = shared_firsts([segs[d][0] for d in some], [segs[d][2] for d in some], length)
-                out |= {d: f if any(x != f[0] for x in f) else f[:1] for d, f in zip(some, found)}
-        return out
+    length = options.length
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    def solve(bodies: list[bytes]) -> dict[int, array]:
+        e = Entries(bodies)
         spans: dict[int, array] = {}
-        held, unknown = 0, False
-        at_key, segs, waiting, firsts = None, {}, [], None
-
-        def place(first: list, own: list, places: bytes, chunk: int) -> None:
-            nonlocal held
-            out = spans.get(chunk)
-            if out is None:
-                out = spans[chunk] = array("i")
-            before = len(out)
-            where = array("i", places)
-            for k, doc in enumerate(own):
-                row, at, end = where[3 * k : 3 * k + 3]
-                if len(first) == 1:
-                    if first[0] < doc:
+        order = np.argsort(e.key, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], e.key[order][1:] != e.key[order][:-1], [True]])).tolist()
+        order = order.tolist()
+        text, docs, places = e.text, e.docs, e.places
+        for a, b in zip(edges, edges[1:]):
+            group = order[a:b]
+            if len(group) == 1 and e.place_ends[group[0]] - e.place_starts[group[0]] == 1:
+                continue
+            segs: dict[bytes, list] = {}
+            for i in group:
+                name = text[e.seg_starts[i] : e.seg_ends[i]]
+                least = min(docs[e.place_starts[i] : e.place_ends[i]])
+                have = segs.get(name)
+                if have is None:
+                    segs[name] = [name, e.spot[i], least]
+                elif least < have[2]:
+                    have[2] = least
+            found = solved(segs, options)
+            for i in group:
+                first = found[text[e.seg_starts[i] : e.seg_ends[i]]]
+                for k in range(e.place_starts[i], e.place_ends[i]):
+                    doc = docs[k]
+                    if min(first) >= doc:
+                        continue
+                    row, at, end = places[k].tolist()
+                    out = spans.get(e.chunk[i])
+                    if out is None:
+                        out = spans[e.chunk[i]] = array("i")
+                    if len(first) == 1:
                         out.extend((row, at, end))
-                    continue
-                begin = -1
-                for i, x in enumerate(first):
-                    if x < doc:
-                        if begin < 0:
-                            begin = i
-                    elif begin >= 0:
-                        out.extend((row, at + begin, at + i - 1 + length))
-                        begin = -1
-                if begin >= 0:
-                    out.extend((row, at + begin, end))
-            held += len(out) - before
-
-        def close() -> None:
-            nonlocal unknown
-            if segs and firsts is None and waiting:
-                if len(segs) > 1 and any(x[0] is None for x in segs.values()):
-                    unknown = True
-                    return
-                found = solved(segs)
-                for name, own, places, chunk in waiting:
-                    place(found[name], own, places, chunk)
+                        continue
+                    begin = -1
+                    for j, x in enumerate(first):
+                        if x < doc:
+                            if begin < 0:
+                                begin = j
+                        elif begin >= 0:
+                            out.extend((row, at + begin, at + j - 1 + length))
+                            begin = -1
+                    if begin >= 0:
+                        out.extend((row, at + begin, end))
+        return spans
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        part, bodies = None, []
         for batch in batches:
-            for key, phase, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != at_key:
-                    close()
-                    at_key, segs, waiting, firsts = key, {}, [], None
-                digest, seg, spot, own, places, chunk = marshal.loads(body)
-                own = own if isinstance(own, list) else pickle.loads(own)
-                name = digest or seg
-                if phase != 1:
-                    least = min(own)
-                    have = segs.get(name)
-                    if have is None:
-                        segs[name] = [seg, spot, least]
-                    elif least < have[2]:
-                        have[2] = least
-                    if phase == 2:
-                        waiting.append((name, own, places, chunk))
-                    continue
-                if firsts is None:
-                    if len(segs) > 1 and any(x[0] is None for x in segs.values()):
-                        unknown, firsts = True, {}
-                    else:
-                        firsts = solved(segs)
-                if firsts:
-                    place(firsts[name], own, places, chunk)
-            if held > 1 << 20:
-                yield made(spans)
-                spans, held = {}, 0
-        close()
-        yield made(spans)
-        if unknown:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], ["chunk", "spans"])
+            for p, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != part and bodies:
+                    yield made(solve(bodies))
+                    bodies = []
+                part = p
+                bodies.append(body)
+        if bodies:
+            yield made(solve(bodies))
 
     def made(spans: dict[int, array]) -> pa.RecordBatch:
-        some = {k: v for k, v in spans.items() if len(v)}
-        return pa.RecordBatch.from_arrays([pa.array(list(some), pa.int64()), pa.array([v.tobytes() for v in some.values()], pa.binary())], ["chunk", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array(list(spans), pa.int64()), pa.array([v.tobytes() for v in spans.values()], pa.binary())], ["chunk", "spans"])
 
-    dealt = runs.repartition(parts_for(n_bytes, 16 << 20, runs.sparkSession), "key").sortWithinPartitions("key", "phase")
+    dealt = runs.repartition(parts_for(ordered, 2, runs.sparkSession), "part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, "chunk long, spans binary")
 
 
@@ -630,9 +628,9 @@ def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
     Equal strings of the others share a bucket key (the smallest hash of their pieces), so neighbours
     with one key travel as one segment. Keys are counted packed, and each chunk of texts gets back
     which of its keys occur elsewhere. Segments of those meet in their bucket, where suffixes are
-    ordered and equal strings found by their bytes; a bucket of one segment has no order to find, and
-    only a digest of it travels. A key of very many different segments is cut again by longer pieces
-    before anything is sent.
+    ordered and equal strings found by their bytes; a bucket of one segment has no order to find. A
+    key of very many different segments is cut again by longer pieces before anything is sent, at last
+    into strings, of which only those travel that occur elsewhere, each as a digest.
     """
     spark = docs.sparkSession
     small_batches(spark, 64)
@@ -651,9 +649,8 @@ def remove_repeats(docs: DataFrame, options: Options = Options()) -> DataFrame:
         right = right.unionByName(marks)
         if level + 1 < len(options.pieces) and not marks.where(F.contains("marks", F.lit(bytes([CUT])))).limit(1).count():
             break
-    spans = stored(removed(repeated_runs(texts, right, parts, options, False), n_bytes, options), "spans")
-    if spans.where("chunk is null").limit(1).count():  # differing segments that looked the same: all send their bytes
-        spans = stored(removed(repeated_runs(texts, right, parts, options, True), n_bytes, options), "spans")
+    ordered = 1 << max(6, (n_bytes // options.ordered).bit_length())
+    spans = removed(repeated_runs(texts, right, parts, ordered, options), ordered, options)
     losing = cut_texts(texts, spans)
     empty = F.lit(None)
     facts = equal.where("n > 1").select("digest", F.col("doc_id").alias("first"), empty.cast("long").alias("n_removed"), empty.cast("long").alias("n_spans"), empty.cast("string").alias("kept"))
