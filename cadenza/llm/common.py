@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,9 +20,13 @@ TEXT_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir. Where that is unset and all runs in one process, as in tests, one of this machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or "/tmp/checkpoints/cadenza").rstrip("/")
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints/cadenza"
+    return folder.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -55,12 +61,12 @@ def join_skewed(big: DataFrame, small: DataFrame, key: str, hot: DataFrame, how:
     most HOT_SHARE of them: their part of small is broadcast, and only the other keys are shuffled.
     Null keys match nothing. how is left or inner.
     """
-    flag = "_hot"
+    flag = f"hot {uuid.uuid4().hex}"
     hot = hot.select(key).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
     marked = big.join(F.broadcast(hot), key, "left")
     hot_small = small.join(F.broadcast(hot.drop(flag)), key, "left_semi")
-    spread = marked.where(F.col(flag)).drop(flag).join(F.broadcast(hot_small), key, how)
-    rest = marked.where(F.col(flag).isNull() & F.col(key).isNotNull()).drop(flag).join(small, key, how)
+    spread = marked.where(F.col(f"`{flag}`")).drop(flag).join(F.broadcast(hot_small), key, how)
+    rest = marked.where(F.col(f"`{flag}`").isNull() & F.col(key).isNotNull()).drop(flag).join(small, key, how)
     out = spread.unionByName(rest)
     if how == "left":
         none = marked.where(F.col(key).isNull()).drop(flag)

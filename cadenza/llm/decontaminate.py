@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +12,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, utf8
 
 WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 the vectors of shingle counts are at 27 degrees, which differ in 9.7 of 64 bits
 #: on average with a deviation of 2.9; the radius is three deviations more.
 RADIUS = 19
 BLOCKS, WIDTH = 4, 16
-#: Items sent to the tasks at a time; a larger benchmark goes in several rounds over the documents.
-ROUND_ITEMS = 2048
+#: Bytes of items sent to the tasks at a time; a larger benchmark goes in several rounds over the documents.
+ROUND_BYTES = 32 << 20
 TOKEN = re.compile(r"\w+")
 
 
@@ -49,23 +48,14 @@ class Index:
         self.known_length = np.array([m for _, m in pairs], np.int64)
         self.lengths = sorted({len(c) for c in self.coded if len(c)})
         self.prints = np.array([self.simhash(s, np.array([0]), len(s))[0] if len(s) else 0 for s in self.shingles], np.uint64)
-        # every value within radius // BLOCKS bits of an item's block leads to the item
-        near = [0] + [sum(1 << b for b in c) for n in range(1, radius // BLOCKS + 1) for c in combinations(range(WIDTH), n)]
-        near = np.array(near, np.uint64)
-        keys, owners = [], []
-        for i, c in enumerate(self.coded):
-            if len(c):
-                for block in range(BLOCKS):
-                    value = self.prints[i] >> np.uint64(block * WIDTH) & np.uint64((1 << WIDTH) - 1)
-                    keys.append(self.block_key(np.int64(len(c)), block, (value ^ near).astype(np.int64)))
-                    owners.append(np.full(len(near), i, np.int32))
-        key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        order = np.argsort(key, kind="stable")
-        self.block_keys, self.block_items = key[order], (np.concatenate(owners) if owners else np.empty(0, np.int32))[order]
+        # blocks of the fingerprints of items of one length, side by side
+        self.of_length = {m: np.array([i for i, c in enumerate(self.coded) if len(c) == m], np.int64) for m in self.lengths}
+        self.blocks = {m: self.cut(self.prints[own]) for m, own in self.of_length.items()}
 
     @staticmethod
-    def block_key(length, block: int, value):
-        return (length * BLOCKS + block << WIDTH) + value
+    def cut(prints: np.ndarray) -> np.ndarray:
+        """The BLOCKS blocks [block, fingerprint] of fingerprints."""
+        return np.stack([(prints >> np.uint64(block * WIDTH) & np.uint64((1 << WIDTH) - 1)).astype(np.uint16) for block in range(BLOCKS)])
 
     def size(self, n: int) -> int:
         """Words of a shingle: shorter items than a shingle are one shingle."""
@@ -157,16 +147,24 @@ class Index:
                         found[i] = (s, base + w, length)
 
     def candidates(self, length: int, prints: np.ndarray) -> list[tuple[int, int]]:
-        """(window, item) with fingerprints within the radius, looked up by Hamming blocks."""
-        pairs = set()
-        for block in range(BLOCKS):
-            value = (prints >> np.uint64(block * WIDTH) & np.uint64((1 << WIDTH) - 1)).astype(np.int64)
-            key = self.block_key(np.int64(length), block, value)
-            low = np.searchsorted(self.block_keys, key)
-            high = np.searchsorted(self.block_keys, key, side="right")
-            for w in np.flatnonzero(high > low).tolist():
-                pairs.update((w, i) for i in self.block_items[low[w] : high[w]].tolist())
-        return sorted((w, i) for w, i in pairs if int(prints[w] ^ self.prints[i]).bit_count() <= self.radius)
+        """(window, item) with fingerprints within the radius.
+
+        Two such fingerprints differ in radius // BLOCKS bits at most in one of their blocks, so only
+        those pairs are held against each other whole. Windows are taken a bounded number at a time.
+        """
+        own, blocks = self.of_length[length], self.blocks[length]
+        pairs = []
+        step = max(1, (1 << 20) // max(len(own), 1))
+        for a in range(0, len(prints), step):
+            part = prints[a : a + step]
+            mine = self.cut(part)
+            near = np.zeros((len(part), len(own)), bool)
+            for block in range(BLOCKS):
+                near |= np.bitwise_count(mine[block][:, None] ^ blocks[block][None]) <= self.radius // BLOCKS
+            w, k = np.nonzero(near)
+            fine = np.bitwise_count(part[w] ^ self.prints[own[k]]) <= self.radius
+            pairs += zip((w[fine] + a).tolist(), own[k[fine]].tolist())
+        return pairs
 
     def weighed(self, shingles: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity: shared repeats over all repeats."""
@@ -175,6 +173,15 @@ class Index:
         return both / (sum(own.values()) + len(shingles) - both)
 
 
+def _rounds(benchmark: DataFrame) -> list[list[tuple]]:
+    """The items (item_id, text) in rounds of about ROUND_BYTES each, one at a time on the driver."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    n = max(1, -(-items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // ROUND_BYTES))
+    for r in range(n):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == r) if n > 1 else items
+        yield sorted(((x.item_id, x.text) for x in some.collect()), key=lambda x: (x[0] is not None, x[0] if x[0] is not None else 0, x[1]))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS
 ) -> DataFrame:
@@ -185,19 +192,16 @@ def contaminated(
     shingles of `words` words. Every text is read whole. A window can only pass if it shares a
     shingle with the item, so windows without one are not hashed. Null or wordless texts and items
     match nothing; equal items each match; repeated rows and documents give a row each. Other
-    columns are not read. A benchmark is sent in rounds of ROUND_ITEMS items, each over all documents.
+    columns are not read. A benchmark is sent in rounds of ROUND_BYTES, each over all documents.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {kind}, item_id {item_kind}, first_word long, n_words long, similarity double"
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    rounds = max(1, -(-items.count() // ROUND_ITEMS))
     names = ["doc_id", "item_id", "first_word", "n_words", "similarity"]
     out = None
-    for r in range(rounds):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r) if rounds > 1 else items
-        sent = spark.sparkContext.broadcast(sorted(((x.item_id, x.text) for x in some.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+    for items in _rounds(benchmark):
+        sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterable[pa.RecordBatch]:
             index = Index(sent.value, words, similarity, radius)
@@ -205,9 +209,27 @@ def contaminated(
                 rows = [(d, *hit) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in index.search(text)]
                 columns = list(zip(*rows)) or [()] * 5
                 types = [batch.schema.field(0).type, None, pa.int64(), pa.int64(), pa.float64()]
-                types[1] = pa.int64() if item_kind == "bigint" else None
+                types[1] = pa.int64() if item_kind == "bigint" else pa.string() if item_kind == "string" else None
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
         found = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs in which contaminated() finds nothing, each decided by its own text alone, with all their columns."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    at = docs.columns.index("text")
+    out = docs
+    for items in _rounds(benchmark):
+        sent = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterable[pa.RecordBatch]:
+            index = Index(sent.value, words, similarity, radius)
+            for batch in batches:
+                yield batch.filter(pa.array([not index.search(t.decode()) for t in utf8(batch.column(at))], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

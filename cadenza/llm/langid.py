@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,17 +15,15 @@ from pyspark.sql import functions as F
 from .common import small_batches, utf8
 
 #: What is between letters: encoded as one blank, so that case, digits and marks don't decide.
-OTHER = re.compile(r"[\W\d_]+")
+OTHER, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
 class Options:
-    """The bounded training sample: dict_docs labelled documents a language, dict_bytes of each."""
+    """The bounded training sample: dict_docs labelled documents a language, dict_bytes of each, from a place that the id's hash tells."""
 
     dict_docs: int = 128
     dict_bytes: int = 512
-    #: Languages that the method can hold: each text is encoded once for each.
-    max_languages: int = 256
     #: Texts are encoded in blocks of so many bytes, so that the dictionary and not the text's own past decides.
     block: int = 1024
     level: int = 5
@@ -35,8 +33,9 @@ class Options:
 
 
 def letters(text: bytes) -> bytes:
-    """The text in lower case, with each run of other characters than letters as one blank."""
-    return OTHER.sub(" ", text.decode("utf-8", "replace").lower()).strip().encode()
+    """The text in lower case, with each run of other characters than letters and their marks as one blank; empty without a letter."""
+    out = OTHER.sub(" ", text.decode("utf-8", "replace").lower()).strip()
+    return out.encode() if LETTER.search(out) else b""
 
 
 def train(docs: DataFrame, options: Options = Options()) -> dict[str, bytes]:
@@ -50,12 +49,12 @@ def train(docs: DataFrame, options: Options = Options()) -> dict[str, bytes]:
     ids = rows.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= options.dict_docs)
     picked = ids.select("doc_id", "lang").distinct().collect()
     languages = sorted({r.lang for r in picked})
-    if len(languages) > options.max_languages:
-        raise ValueError(f"{len(languages)} languages; at most {options.max_languages} can be told apart")
     if not picked:
         return {}
     chosen = rows.where(F.col("doc_id").isin([r.doc_id for r in picked if r.doc_id is not None]))
-    piece = F.substring(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), 1, options.dict_bytes)
+    words = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{M}]+", " ")
+    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length(words) - options.dict_bytes + 1, F.lit(1))) + 1
+    piece = F.substr(words, at.cast("int"), F.lit(options.dict_bytes))
     sample = chosen.select("lang", piece.alias("piece"), F.xxhash64("doc_id").alias("o"), "doc_id").distinct()
     content: dict[str, list[bytes]] = {k: [] for k in languages}
     first = sample.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id", "piece"))).where(F.col("r") <= options.dict_docs)
@@ -107,3 +106,16 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], options: Options =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], options: Options = Options()) -> DataFrame:
+    """The rows of docs that identify() doesn't reject, each decided by its own text alone, with all their columns."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~classify(utf8(batch.column(at)), sent.value, options)[2]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,8 +9,8 @@ from .common import hot_keys, join_skewed, stored
 
 #: Lines on more than this share of a site's pages go.
 RATIO = 0.05
-#: A line on fewer pages than this is kept, whatever its share: small sites tell little.
-MIN_PAGES = 5
+#: A line on fewer pages than this is kept: one page repeats nothing, and on a site of few pages each of its lines has a large share.
+MIN_PAGES = 2
 #: Boilerplate lines that may be broadcast as hashes of 32 characters, for all sites together.
 BROADCAST_LINES = 50_000
 
@@ -50,20 +50,21 @@ def drop_boilerplate(
     n_dropped are replaced. An empty table gives no rows.
     """
     drops = stored(boilerplate(docs, site_col, text_col, ratio, min_pages), "boilerplate")
-    by_site = drops.groupBy("site").agg(F.collect_set("key").alias("_drop")).withColumnRenamed("site", "_site")
-    keyed = docs.drop("n_lines", "n_dropped").withColumn("_site", F.col(site_col))
+    by_site = drops.groupBy("site").agg(F.collect_set("key").alias("drop"))
+    # the row travels as one column, so that no name of its own can clash
+    keyed = docs.select(F.struct("*").alias("row"), F.col(site_col).alias("site"), F.col(text_col).cast("string").alias("text"))
     if drops.count() <= BROADCAST_LINES:
-        joined = keyed.join(F.broadcast(by_site), "_site", "left")
+        joined = keyed.join(F.broadcast(by_site), "site", "left")
     else:
-        sites = docs.groupBy(F.col(site_col).alias("_site")).agg(F.count(F.lit(1)).alias("n"))
-        joined = join_skewed(keyed, by_site, "_site", hot_keys(sites, "_site", "n", docs.count()))
-    lines = _lines(F.col(text_col))
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("_drop", _key(x))))
-    out = joined.withColumn("_kept", kept)
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)))
-    out = out.withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")))
-    out = out.withColumn(text_col, F.when(F.col("n_dropped") == 0, F.col(text_col)).otherwise(F.array_join("_kept", "\n")))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+        sites = keyed.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+        joined = join_skewed(keyed, by_site, "site", hot_keys(sites, "site", "n", docs.count()))
+    lines = _lines(F.col("text"))
+    kept = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("drop", _key(x))))
+    none = F.col("text").isNull()
+    out = joined.withColumn("kept", kept).withColumn("n_lines", F.when(none, 0).otherwise(F.size(lines)))
+    out = out.withColumn("n_dropped", F.when(none, 0).otherwise(F.col("n_lines") - F.size("kept")))
+    out = out.withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join("kept", "\n")))
+    columns = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*columns, "n_lines", "n_dropped")
 
 

@@ -15,24 +15,31 @@ from .common import parts_for, stored
 
 @dataclass(frozen=True)
 class Options:
-    """The index is fitted on at most train_rows vectors, those with the smallest hashes of their ids; every vector is in it."""
+    """The index is fitted on about train_rows vectors of train_bytes at most, those whose ids' hashes are below a threshold; every vector is in it."""
 
     train_rows: int = 50_000
-    #: Vectors a posting list holds on average, and the most lists: lists grow beyond that and are split.
+    train_bytes: int = 64 << 20
+    #: Vectors a posting list holds on average.
     list_rows: int = 256
+    #: Lists on the first level; where they grow beyond `shard` vectors each task cuts its own into lists again.
     max_lists: int = 1024
     #: A vector is also in lists whose centroids are so many times as far as its nearest one, up to copies lists.
     replicate: float = 1.1
     copies: int = 4
-    #: A query reads the lists whose centroids are so many times as far as its nearest one, of the beam that the graph keeps.
+    #: A query reads the lists whose centroids are so many times as far as its nearest one, of the beam that the
+    #: graph keeps; both are widened until so large a share of nearest vectors of the sample would be read.
     probe: float = 1.15
+    reach: float = 0.98
+    asked: int = 256
     #: The beam holds so many lists, or this share of all of them if that is more.
     beam: int = 64
     beam_share: float = 0.25
     #: Lists are also read until they hold so many vectors.
     least: int = 256
-    #: Vectors of one list that one group holds; larger lists are dealt into several.
-    shard: int = 4096
+    #: Vectors of one list that one group holds, in bytes; larger lists are dealt into several.
+    shard_bytes: int = 16 << 20
+    #: Bytes of differences between queries and vectors that are held at a time.
+    block_bytes: int = 32 << 20
     links: int = 16
     seed: int = 7
 
@@ -72,13 +79,26 @@ def width(lists: int, options: Options) -> int:
     return min(lists, max(options.beam, int(lists * options.beam_share)))
 
 
+def calibrated(x: np.ndarray, centers: np.ndarray, options: Options, k: int = 10) -> tuple[float, int]:
+    """(probe, beam) that reach the lists of a share `reach` of the nearest vectors of some of the sample x, by brute force inside of it."""
+    rng = np.random.default_rng(options.seed)
+    q = x[rng.choice(len(x), min(options.asked, len(x)), replace=False)]
+    near = np.concatenate([np.argpartition(squared(q[a : a + 32], x), min(k, len(x) - 1), axis=1)[:, : k + 1] for a in range(0, len(q), 32)])
+    gap = np.sqrt(squared(q, centers))
+    rank = gap.argsort(1).argsort(1)
+    row = np.repeat(np.arange(len(q)), near.shape[1])
+    own = np.concatenate([squared(x[near.ravel()[a : a + 4096]], centers).argmin(1) for a in range(0, near.size, 4096)])
+    ratio = gap[row, own] / np.maximum(gap.min(1)[row], 1e-300)
+    return max(options.probe, float(np.quantile(ratio, options.reach))), max(width(len(centers), options), int(np.quantile(rank[row, own], options.reach)) + 2)
+
+
 class Graph:
     """Centroids linked to their nearest ones and a few far ones; searched from spread entries, best first."""
 
-    def __init__(self, centroids: np.ndarray, options: Options):
+    def __init__(self, centroids: np.ndarray, beam: int, options: Options):
         rng = np.random.default_rng(options.seed)
         n = len(centroids)
-        self.centroids, self.beam = centroids, width(n, options)
+        self.centroids, self.beam = centroids, min(n, beam)
         k = min(options.links, n - 1)
         near = np.empty((n, k), np.int64)
         for a in range(0, n, 512):
@@ -145,16 +165,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, options: Option
     dims, n = sizes[0]
     rows, asked = rows.where(F.size("v") == dims), asked.where(F.size("v") == dims)
 
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(options.train_rows).select("v").toArrow()["v"].combine_chunks()
+    # ids are chosen by their hashes, so no vector moves but the chosen ones
+    most = min(options.train_rows, max(1, options.train_bytes // (8 * dims)))
+    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) < most) if n > most else rows
+    sample = picked.select("v").toArrow()["v"].combine_chunks()
     x = np.unique(np.asarray(sample.flatten(), float).reshape(-1, dims), axis=0)
+    if not len(x):
+        x = np.asarray(rows.limit(1).toArrow()["v"].combine_chunks().flatten(), float).reshape(-1, dims)
     lists = int(min(options.max_lists, max(1, n // options.list_rows)))
-    centroids = spark.sparkContext.broadcast(balanced_centroids(x, lists, options))
+    shard_rows = max(1, options.shard_bytes // (8 * dims))
+    centers = balanced_centroids(x, lists, options)
+    probe, beam = calibrated(x, centers, options, k)
+    centroids = spark.sparkContext.broadcast(centers)
 
     def assigned(ratio: float, copies: int):
         """Rows (id, v) to rows (list, near, id, v): the lists within ratio, nearest first."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-            graph = Graph(centroids.value, options)
+            graph = Graph(centroids.value, beam, options)
             for batch in batches:
                 values = batch.column(1)
                 points = np.asarray(values.flatten(), float).reshape(-1, dims)
@@ -171,40 +199,74 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, options: Option
     out = f"list long, near int, id {kind}, v {vector}"
     postings = stored(rows.mapInArrow(assigned(options.replicate, options.copies), out), "postings")
     counts = stored(postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "lists")  # at most max_lists rows
-    counts = counts.withColumn("shards", F.ceil(F.col("n") / options.shard).cast("long"))
-    probes = stored(asked.mapInArrow(assigned(float("inf"), width(lists, options)), out), "probes")
+    counts = counts.withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("long"))
+    probes = stored(asked.mapInArrow(assigned(float("inf"), beam), out), "probes")
     probes = probes.join(F.broadcast(counts), "list")
     so_far = Window.partitionBy("id", "v").orderBy("near").rowsBetween(Window.unboundedPreceding, -1)
     center = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids.value)], "list long, c array<double>")
     gap = F.sqrt(F.aggregate(F.zip_with(F.col("v").cast("array<double>"), "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y))
     probes = probes.join(F.broadcast(center), "list").withColumn("gap", gap).drop("c")
     probes = probes.withColumn("held", F.coalesce(F.sum("n").over(so_far), F.lit(0))).withColumn("least", F.min("gap").over(Window.partitionBy("id", "v")))
-    probes = probes.where((F.col("gap") <= F.col("least") * options.probe) | (F.col("held") < options.least + 2 * k))
+    probes = probes.where((F.col("gap") <= F.col("least") * probe) | (F.col("held") < options.least + 2 * k))
 
     shard = F.pmod(F.xxhash64("id"), F.col("shards"))
     left = postings.join(F.broadcast(counts), "list").select("list", shard.alias("shard"), F.lit(False).alias("asks"), "id", "v")
     right = probes.select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.lit(True).alias("asks"), "id", "v")
-    return ranked(left.unionByName(right), k, kind, n, dims, id_col, spark)
-
-
-def ranked(rows: DataFrame, k: int, kind: str, n: int, dims: int, id_col: str, spark) -> DataFrame:
+    return ranked(left.unionByName(right), k, kind, n, dims, id_col, options)
+
+
+def best_of(ids: np.ndarray, points: np.ndarray, own: np.ndarray, asked: np.ndarray, k: int, options: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of the k nearest of points, which are in order of ids, for each asked vector but its own id's."""
+    if not len(points) or not len(asked):
+        return np.empty(0, np.int64), ids[:0], np.empty(0)
+    step = max(1, options.block_bytes // (8 * len(points)))
+    most = (points * points).sum(1).max()
+    found = []
+    for a in range(0, len(asked), step):
+        q = asked[a : a + step]
+        rough = squared(q, points)
+        rough[own[a : a + step][:, None] == ids[None]] = np.inf
+        last = np.partition(rough, min(k, len(points)) - 1, axis=1)[:, min(k, len(points)) - 1]
+        # products round off: all that may be among the nearest are measured exactly
+        r, c = np.nonzero((rough <= (last + 1e-9 * ((q * q).sum(1) + most))[:, None]) & np.isfinite(rough))
+        score = np.empty(len(r))
+        width = max(1, options.block_bytes // (8 * points.shape[1]))
+        for b in range(0, len(r), width):
+            d = q[r[b : b + width]] - points[c[b : b + width]]
+            score[b : b + width] = np.sqrt(np.einsum("ij,ij->i", d, d))
+        order = np.lexsort((c, score, r))  # ties: smaller ids come first
+        r, c, score = r[order], c[order], score[order]
+        fine = np.arange(len(r)) - np.searchsorted(r, r) < k
+        found.append((r[fine] + a, ids[c[fine]], score[fine]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def inside(ids: np.ndarray, points: np.ndarray, own: np.ndarray, asked: np.ndarray, k: int, options: Options) -> Iterator[tuple]:
+    """best_of() in one group: a group of many vectors is cut into lists again, of which a query reads the near ones."""
+    order = np.argsort(ids, kind="stable")
+    ids, points = ids[order], points[order]
+    if len(points) < 16 * options.list_rows or len(asked) * 4 < len(points) // options.list_rows:
+        yield own, *best_of(ids, points, own, asked, k, options)
+        return
+    centers = balanced_centroids(np.unique(points[:: max(1, len(points) // (options.list_rows * 64))], axis=0), len(points) // options.list_rows, options)
+    probe, beam = calibrated(points[:: max(1, len(points) // 20_000)], centers, options, k)
+    at = np.concatenate([np.argpartition(squared(points[a : a + 4096], centers), min(1, len(centers) - 1), axis=1)[:, :2] for a in range(0, len(points), 4096)])
+    gap = np.sqrt(squared(asked, centers))
+    near = np.argsort(gap, axis=1, kind="stable")
+    size = np.bincount(at.ravel(), minlength=len(centers))
+    held = np.cumsum(size[near], axis=1) - size[near]
+    reads = (np.take_along_axis(gap, near, 1) <= gap.min(1, keepdims=True) * probe) | (held < 2 * (options.least + 2 * k))
+    reads[:, beam:] &= held[:, beam:] < 2 * (options.least + 2 * k)
+    q, c = np.nonzero(reads)
+    c = near[q, c]
+    for one in range(len(centers)):
+        mine, members = q[c == one], np.flatnonzero((at == one).any(1))
+        yield own[mine], *best_of(ids[members], points[members], own[mine], asked[mine], k, options)
+
+
+def ranked(rows: DataFrame, k: int, kind: str, n: int, dims: int, id_col: str, options: Options) -> DataFrame:
     """The k nearest of each query inside every (list, shard), then over all of them."""
 
-    def local(ids: np.ndarray, points: np.ndarray, asks: np.ndarray) -> Iterator[tuple]:
-        query, point = np.flatnonzero(asks), np.flatnonzero(~asks)
-        order = np.argsort(ids[point], kind="stable")
-        point = point[order]
-        for a in range(0, len(query) if len(point) else 0, 64):
-            q = query[a : a + 64]
-            d = points[q][:, None, :] - points[point][None]
-            score = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-            score[ids[q][:, None] == ids[point][None]] = np.inf
-            best = np.argsort(score, axis=1, kind="stable")[:, :k]  # ties: smaller ids come first
-            r = np.repeat(np.arange(len(q)), best.shape[1])
-            c = best.ravel()
-            fine = np.isfinite(score[r, c])
-            yield ids[q[r[fine]]], ids[point[c[fine]]], score[r[fine], c[fine]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held = None
         for batch in _with_end(batches):
@@ -216,11 +278,12 @@ def ranked(rows: DataFrame, k: int, kind: str, n: int, dims: int, id_col: str, s
             edges = np.flatnonzero((held[0][1:] != held[0][:-1]).any(1)) + 1
             cuts = [0, *edges, *([len(held[0])] if batch is None else [])]
             for a, b in zip(cuts, cuts[1:]):
-                for q, i, s in local(held[2][a:b], held[3][a:b], held[1][a:b]):
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["query_id", id_col, "score"])
+                asks, ids, points = held[1][a:b], held[2][a:b], held[3][a:b]
+                for own, q, i, s in inside(ids[~asks], points[~asks], ids[asks], points[asks], k, options):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(i), pa.array(s)], ["query_id", id_col, "score"])
             held = tuple(x[cuts[-1] :] for x in held)
 
-    parts = parts_for(n * dims, 8_000_000, spark)
+    parts = parts_for(n * dims, 8_000_000, rows.sparkSession)
     groups = rows.repartition(parts, "list", "shard").sortWithinPartitions("list", "shard")
     found = groups.select("list", "shard", "asks", "id", "v").mapInArrow(run, f"query_id {kind}, {id_col} {kind}, score double")
     found = found.groupBy("query_id", id_col).agg(F.min("score").alias("score"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, linededup, mixing, secrets
+from . import brown, linededup, mixing, secrets, warc
 from .common import crc32_mod, table
 from .decontaminate import contaminated
 from .langid import identify, train
@@ -49,7 +49,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as written to WARC files and read back, in the order of the merged index."""
-    return archive(table(spark, sf_dir, "pages"))
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL}
+    return {"op6_warc_archive": warc.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL}

@@ -223,6 +223,10 @@ def test_language_id(spark, sf_dir):
     model = langid.train(odd_docs(spark))
     out = {r.doc_id: r for r in langid.identify(odd_docs(spark), model).collect()}
     assert out[3].lang_pred == out[4].lang_pred == out[6].lang_pred == "und" and out[1].lang_pred == "en"
+    marks = spark.createDataFrame([(1, "½ ² ٣"), (2, "½ é")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.identify(marks, model).orderBy("doc_id").collect()] == [True, False]
+    many = {f"l{i:03}": f"text of language {i} ".encode() * 9 for i in range(300)}
+    assert langid.identify(marks, many).where("doc_id = 2").first().lang_pred in many
     assert langid.identify(no_docs(spark), {}).count() == 0
 
 
@@ -281,23 +285,49 @@ def test_secrets(spark, sf_dir, documents, secret_model):
     assert len(odd) == 12 and all(r.spans == "" and r.n_markov == 0 for r in odd) and secrets.find_secrets(no_docs(spark), secret_model).count() == 0
 
 
-def test_warc(spark, sf_dir):
-    pages = [(1, "http://b.org/x", "y" * 100), (2, "http://a.org/?q", "y" * 100), (3, None, None), (4, "http://www.a.org/", "é" * 60), (5, "::", "short"), (6, "http://[", "short")]
+def test_warc(spark, sf_dir, tmp_path):
+    pages = [(1, "http://b.org/x", "y" * 100), (2, "http://a.org/?q", "y" * 100), (3, None, None), (4, "http://www.a.org/ b", "é" * 60), (5, "::", "short"), (6, "http://[", "short"), (1, "http://c.org", "y" * 100), (None, "http://c.org", "y" * 100), (None, None, None)]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int")
-    got = {r.page_id: r for r in warc.archive(df).collect()}
+    path = f"file://{tmp_path}/warc"
+    rows = warc.archive(df, path).collect()
+    assert len(rows) == len(pages)
+    got = {r.page_id: r for r in rows}
     assert (got[2].record_type, got[2].refers_to, got[2].payload_bytes) == ("revisit", 1, 100)
-    assert all(got[i].record_type == "response" and got[i].refers_to is None for i in (1, 3, 4, 5, 6))
+    assert all(r.record_type == "response" and r.refers_to is None for r in rows if r.page_id in (1, 3, 4, 5, 6))
+    assert sorted((r.record_type, r.refers_to) for r in rows if r.page_id is None) == [("response", None), ("revisit", 1)]
     assert got[4].payload_digest == hashlib.sha256(("é" * 60).encode()).hexdigest() and got[4].payload_bytes == 120
+    for r in rows:  # every record is found where the index says
+        headers, block = warc.fetch(path, r.archive, r.offset, r.length)
+        assert headers["warc-date"] == r.captured and headers["warc-type"] == r.record_type
+        payload = block.partition(b"\r\n\r\n")[2]
+        assert r.record_type == "revisit" or hashlib.sha256(payload).hexdigest() == r.payload_digest
     assert warc.archive(df.limit(0)).count() == 0
-    rows = queries.op6_warc_archive(spark, sf_dir).orderBy("index_part", "index_row").collect()
-    assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = warc.archive(table).orderBy("index_part", "index_row").collect()
+    assert len(rows) == table.count()
     assert rows == sorted(rows, key=lambda r: (r.url_key, r.captured, r.page_id))
 
 
+def test_warc_archives_end(spark, tmp_path, monkeypatch):
+    """Archives end by bytes; a cut one raises."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 300)
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", str(i) * 500) for i in range(40)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/warc"
+    rows = warc.archive(df, path).collect()
+    assert len({r.archive for r in rows}) > 8 and [r.page_id for r in sorted(rows, key=lambda r: (r.index_part, r.index_row))] == sorted(range(40), key=lambda i: (f"/{i}", i))
+    import io
+
+    name = rows[0].archive
+    content = (tmp_path / "warc" / name).read_bytes()
+    assert len(warc.run_of(io.BytesIO(content), name)) > 0
+    with pytest.raises(ValueError):
+        warc.run_of(io.BytesIO(content[:-7]), name)
+
+
 def test_loser_tree():
     r = random.Random(2)
     for k in range(6):
-        runs = [sorted((("", str(r.randint(0, 9)), "", *[""] * 4) for _ in range(r.randint(0, 9))), key=warc.order_of) for _ in range(k)]
+        runs = [sorted((("", str(r.randint(0, 9)), "", *[""] * 4, "a", 0, 0) for _ in range(r.randint(0, 9))), key=warc.order_of) for _ in range(k)]
         got = list(warc.LoserTree(runs)) if runs else []
         assert got == sorted((x for run in runs for x in run), key=warc.order_of)
 
@@ -310,9 +340,63 @@ def test_decontamination(spark, sf_dir):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {(d, i) for d in (1, 2, 5, None) for i in (10, 13)}
     assert decontaminate.contaminated(docs, items.limit(0)).count() == decontaminate.contaminated(docs.limit(0), items).count() == 0
+    names = spark.createDataFrame([("", item), ("a", item), (None, item)], "item_id string, text string")
+    assert {r.item_id for r in decontaminate.contaminated(docs, names).collect()} == {"", "a", None}
     assert queries.op7_benchmark_decontamination(spark, sf_dir).count() > 0
 
 
+def test_decontamination_finds_all(spark, sf_dir):
+    """All pairs that have a similar window, by looking at every window, and each best one."""
+    from test_pipeline import holds
+
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(r.choices(words, k=r.choice([3, 5, 8, 20, 60])))) for i in range(25)]
+    docs = []
+    for d in range(120):
+        text = r.choices(words, k=r.randint(0, 80))
+        if d % 2:
+            copy = r.choice(items)[1].split()
+            for _ in range(r.randint(0, max(1, len(copy) // 20))):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            at = r.randint(0, len(text))
+            text[at:at] = copy
+        docs.append((d, " ".join(text)))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == {(d, i) for d, t in docs for i, u in items if holds(t, u)} and len(got) > 30
+    clean = decontaminate.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {x.doc_id for x in clean.collect()} == {d for d, _ in docs} - {x.doc_id for x in got}
+
+
+def recall(spark, x, queries_, options):
+    """Share of the ten nearest that are found, by blocks of brute force."""
+    df = spark.createDataFrame(zip(range(len(x)), x.tolist()), "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in postings.nearest(df, df.where(F.col("vec_id") % (len(x) // queries_) == 0), 10, options).collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    hits = total = 0
+    for q in range(0, len(x), len(x) // queries_):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        limit = np.partition(d, 9)[9]
+        assert len(found[q]) == 10 and all(s == pytest.approx(d[i], abs=1e-9) for i, s in found[q].items())
+        hits += sum(s <= limit + 1e-9 for s in found[q].values())
+        total += 10
+    return hits / total
+
+
+@pytest.mark.parametrize("kind", ["clusters", "even", "copies"])
+def test_nearest_recall(spark, kind):
+    """20,000 vectors in several hundred lists, of which a query reads some, and lists large enough to be cut again."""
+    r = np.random.default_rng(3)
+    centers = r.normal(size=(200, 16))
+    x = centers[r.integers(0, 200, 20_000)] + 0.3 * r.normal(size=(20_000, 16)) if kind != "even" else r.normal(size=(20_000, 16))
+    if kind == "copies":
+        x[::3] = x[0]
+    for options in (postings.Options(list_rows=64, beam=16), postings.Options(list_rows=32, max_lists=16, beam=8, shard_bytes=1 << 17)):
+        assert recall(spark, x, 100, options) >= 0.9
+
+
 def test_nearest(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas()
     x, ids = np.stack(v.embedding).astype(float), v.vec_id.to_numpy()
@@ -353,25 +437,18 @@ def test_line_dedup(spark):
     assert got[3].text == "own 3\n\nend 3" and (got[3].n_lines, got[3].n_dropped) == (4, 1)
     assert got[90].text is None and got[91].text == "" and got[92].text == "home | about"
     assert linededup.drop_boilerplate(no_docs(spark)).count() == 0
-
-
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == docs.columns
-        assert out.count() <= docs.count()
-    rows = corpus_pipeline.run(spark, sf_dir).collect()
-    assert 0.5 * docs.count() < len(rows) < docs.count()
+    odd = spark.createDataFrame([(i, "own\nmenu" if i else "own", "s", i, i, i, i) for i in range(4)], "doc_id long, text string, source string, _drop int, site int, row int, kept int")
+    got = linededup.drop_boilerplate(odd)
+    assert got.columns == [*odd.columns, "n_lines", "n_dropped"] and [(r.text, r.row, r.kept) for r in got.orderBy("doc_id").collect()] == [("", i, i) for i in range(4)]
+    alone = spark.createDataFrame([(1, "a\nb", "s")], "doc_id long, text string, source string")
+    assert linededup.drop_boilerplate(alone).first().text == "a\nb"
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "pages"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, sf_dir)
