@@ -10,22 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import stored, table
-from cadenza.llm.decontaminate import contaminated
-from cadenza.llm.langid import identify, train
+from cadenza.llm.decontaminate import clean
+from cadenza.llm.langid import accepted, train
 from cadenza.llm.linededup import drop_boilerplate
 from cadenza.llm.mixing import mix
 from cadenza.llm.nearcopies import one_of_each
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the compressor can't tell go; the model learns from those labelled."""
-    found = identify(docs, train(docs))
-    rejected = stored(found.where("rejected").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Documents whose language the compressor can't tell go; the model learns from those labelled.
+
+    Each row is decided by its own text, whatever its id: repeated rows share their fate, null and
+    letterless texts go.
+    """
+    return accepted(docs, train(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go from the texts; n_chars follows."""
+    """Boilerplate lines of a source go from the texts; n_chars follows. No row goes; null texts and rows without a source stay as they are."""
     out = drop_boilerplate(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -38,19 +40,18 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Near copies have a similarity of 0.8 or more on five-word shingles. Each row counts by itself, so
     of equal rows, whether their ids are equal or null, one stays.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    kept = stored(one_of_each(rows.select(F.col("_row").alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))), "kept")
-    return rows.join(kept.withColumnRenamed("row", "_row"), "_row", "left_semi").select(docs.columns)
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
+    kept = stored(one_of_each(rows.select("row", F.col("doc.doc_id").alias("id"), F.col("doc.text").cast("string").alias("text"))), "kept")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    hits = stored(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "hits")
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item go; each row is decided by its own text, whatever its id."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document that is left."""
+    """What the mix takes of every document that is left, a row each; repeated rows are taken like others."""
     return mix(docs, table(spark, sf_dir, "labels"))
 
 
@@ -61,7 +62,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_decontamination),
     ("mixing", mixing),
 ]
-#: Compression, SimHash and Hamming blocks have no form in SQL; the tests hold the stages against brute force.
+#: Compression, SimHash and Hamming blocks have no form in SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
