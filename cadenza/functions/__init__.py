@@ -20,8 +20,8 @@ def collapse_whitespace(text: Column) -> Column:
 
 
 def clean_override_tags(text: Column) -> Column:
-    """Without drawings and override tags."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"\{[^}]*\\p[1-9][^}]*\}.*", ""), r"\{[^}]*\}", ""))
+    """Without drawings and override tags; empty braces stay."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"\{[^}]*\\p[1-9][^}]*\}.*", ""), r"\{[^}]+\}", ""))
 
 
 def squash(text: Column) -> Column:
@@ -96,6 +96,18 @@ def language_suffix(name: Column) -> Column:
     return F.when(found != "", F.lower(found))
 
 
+#: Cologne phonetics as (letters, before, after, code); the first rule that fits counts.
+#: ^ is the start of a word, $ its end, * anything.
+COLOGNE = """AEIJOUY * * 0, B * * 1, P * H 3, P * * 1, DT * $CSZ 8, DT * * 2, FVW * * 3, GKQ * * 4,
+X ^CKQ * 8, X * * 48, L * * 5, MN * * 6, R * * 7, SZ * * 8, C ^ $AHKLOQRUX 4, C ^ * 8, C SZ * 4, C * $AHKOQUX 4, C * * 8"""
+
+
+def cologne_rules() -> list[tuple[list[str], list[str] | None, list[str] | None, str]]:
+    """COLOGNE as (letters, letters before or none, letters after or none, code); an edge is an empty letter."""
+    some = lambda x: None if x == "*" else ["" if c in "^$" else c for c in x]
+    return [(list(c), some(b), some(a), code) for c, b, a, code in (rule.split() for rule in COLOGNE.split(","))]
+
+
 def cologne(word: Column) -> Column:
     """Cologne phonetics, where the end of a word counts as any following letter."""
     letters = F.upper(word)
@@ -106,16 +118,13 @@ def cologne(word: Column) -> Column:
     def code(i: Column) -> Column:
         at = lambda k: F.substr(letters, k, F.lit(1))
         c, after, before = at(i), at(i + 1), F.when(i > 1, at(i - 1)).otherwise("")
-        among = lambda x, s: x.isin(*s)
-        of_c = F.when(i == 1, F.when(among(after, ["", *"AHKLOQRUX"]), "4").otherwise("8")).otherwise(
-            F.when(among(before, "SZ") | among(after, ["", *"AHKOQUX"]), "4").otherwise("8")
-        )
-        return (
-            F.when(among(c, "AEIJOUY"), "0").when(c == "B", "1").when(c == "P", F.when(after == "H", "3").otherwise("1"))
-            .when(among(c, "DT"), F.when(among(after, ["", *"CSZ"]), "8").otherwise("2")).when(among(c, "FVW"), "3").when(among(c, "GKQ"), "4")
-            .when(c == "X", F.when(among(before, ["", *"CKQ"]), "8").otherwise("48")).when(c == "L", "5").when(among(c, "MN"), "6")
-            .when(c == "R", "7").when(among(c, "SZ"), "8").when(c == "C", of_c).otherwise("")
-        )
+        out = F
+        for own, prior, later, digit in cologne_rules():
+            fits = c.isin(own)
+            for where, x in ((before, prior), (after, later)):
+                fits = fits if x is None else fits & where.isin(x)
+            out = out.when(fits, digit)
+        return out.otherwise("")
 
     n = F.length(letters)
     codes = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), code), "")).otherwise("")

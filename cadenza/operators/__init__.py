@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import normalize_text
+from ..functions import clean_override_tags, normalize_text
 
 
 def track():
@@ -26,20 +27,42 @@ def cues(docs: DataFrame) -> DataFrame:
     )
 
 
-def sliding_windows(cues: DataFrame, size: int = 3, gap_ms: int = 3500) -> DataFrame:
+def sliding_windows(cues: DataFrame, size: int = 3, gap_ms: int = 3500, sets: str | None = None) -> DataFrame:
     """(track_id, first_pos, last_pos, start_ms, end_ms, text): all runs of up to size cues without a longer gap inside.
 
-    One pass of leads over the track; no self-join.
+    One pass of leads over the track; no self-join. sets names a column of arrays whose union a run has, too.
     """
     out = cues.withColumn("broken", (F.col("start_ms") - F.lag("end_ms").over(track()) > gap_ms).cast("int"))
     out = out.withColumn("island", F.sum(F.coalesce("broken", F.lit(0))).over(track()))
     ahead = track().rowsBetween(0, size - 1)
-    cue = F.struct("pos", "island", "end_ms", "norm_text")
+    cue = F.struct("pos", "island", "end_ms", "norm_text", *([sets] if sets else []))
     out = out.withColumn("run", F.filter(F.collect_list(cue).over(ahead), lambda x: x["island"] == F.col("island")))
     out = out.select("track_id", F.col("pos").alias("first_pos"), "start_ms", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("n"))
     last = F.element_at("run", F.col("n"))
     text = F.array_join(F.transform(F.slice("run", 1, F.col("n")), lambda x: x["norm_text"]), " ")
-    return out.select("track_id", "first_pos", last["pos"].alias("last_pos"), "start_ms", last["end_ms"].alias("end_ms"), text.alias("text"))
+    union = [F.array_distinct(F.flatten(F.transform(F.slice("run", 1, F.col("n")), lambda x: x[sets]))).alias(sets)] if sets else []
+    return out.select("track_id", "first_pos", last["pos"].alias("last_pos"), "start_ms", last["end_ms"].alias("end_ms"), text.alias("text"), *union)
+
+
+def shown_until(screens: DataFrame, default_ms: int = 3000) -> DataFrame:
+    """screens(track_id, pos, start_ms, objects) with objects, and their end: the next screen if that is empty, else a default."""
+    nxt = lambda c: F.lead(c).over(track())
+    out = screens.withColumn("end_ms", F.coalesce(F.when(nxt("objects") == 0, nxt("start_ms")), F.col("start_ms") + default_ms))
+    return out.where("objects > 0")
+
+
+def absolute_times(segments: DataFrame) -> DataFrame:
+    """segments(track_id, chunk_ms, seg_no, start_ms, end_ms, words, text) with times from the start of all.
+
+    Times are relative to chunk_ms. The first and last of words(start_ms, end_ms) that have both times
+    take the place of the segment's own. Segments without text go.
+    """
+    timed = F.filter("words", lambda w: w["start_ms"].isNotNull() & w["end_ms"].isNotNull())
+    some = F.size(timed) > 0
+    start = F.coalesce(F.when(some, F.element_at(timed, 1)["start_ms"]), F.col("start_ms"))
+    end = F.coalesce(F.when(some, F.element_at(timed, -1)["end_ms"]), F.col("end_ms"))
+    kept = segments.where(F.btrim("text") != "")
+    return kept.select("track_id", "seg_no", (start + F.col("chunk_ms")).alias("start_ms"), (end + F.col("chunk_ms")).alias("end_ms"), F.btrim("text").alias("text"))
 
 
 def fill_ends(cues: DataFrame, default_ms: int = 3000) -> DataFrame:
@@ -59,37 +82,39 @@ def piecewise_segments(anchors: DataFrame) -> DataFrame:
 def segment_of(cues: DataFrame, segments: DataFrame) -> DataFrame:
     """Each cue with the first segment that ends at or after it, else the last one.
 
-    An as-of join in one window: both sides are ordered by time within the track, so no pairs are made.
+    An as-of join in two running windows, one from each end: both sides are ordered by time within the
+    track, so no pairs are made.
     """
     seg = F.struct("seg", "from_ms", "to_ms", "scale", "offset_ms")
     right = segments.select("track_id", F.col("to_ms").alias("t"), F.lit(1).alias("side"), seg.alias("segment"))
     left = cues.withColumns({"t": F.col("start_ms"), "side": F.lit(0)})
     both = left.unionByName(right, allowMissingColumns=True)
-    at = Window.partitionBy("track_id").orderBy("t", "side")
-    after = F.first("segment", ignorenulls=True).over(at.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    before = F.last("segment", ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = lambda *order: Window.partitionBy("track_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = F.last("segment", ignorenulls=True).over(upto(F.desc("t"), F.desc("side"), F.desc("segment.seg")))
+    before = F.last("segment", ignorenulls=True).over(upto("t", "side"))
     return both.withColumn("found", F.coalesce(after, before)).where("side = 0").select(*cues.columns, "found.seg", "found.scale", "found.offset_ms")
 
 
 def batches(items: DataFrame, most: int = 50, chars: int = 2000) -> DataFrame:
     """items(track_id, pos, text) as (track_id, batch, pos): in order, a batch ends before it holds too many items or characters.
 
-    An item of over chars characters is a batch of its own; chars = 0 sets no such limit.
-    A track is one batch state folded in Catalyst; tracks are independent.
+    An item of over chars characters is a batch of its own; chars = 0 sets no such limit. Where a
+    batch ends depends on all before it, so each track is folded by itself, in one pass.
     """
-    listed = items.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.length("text").cast("long").alias("n")))).alias("items"))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("count"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<int>").alias("out"))
 
-    def step(s, x):
-        full = (s["count"] > 0) & ((s["count"] >= most) | (F.lit(chars > 0) & (s["chars"] + x["n"] > chars)))
-        batch = s["batch"] + full.cast("int")
-        return F.struct(
-            batch.alias("batch"), F.when(full, 1).otherwise(s["count"] + 1).alias("count"),
-            F.when(full, x["n"]).otherwise(s["chars"] + x["n"]).alias("chars"), F.concat(s["out"], F.array(batch)).alias("out"),
-        )
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos")
+        out, batch, count, held = [], 0, 0, 0
+        for n in table["n"].to_pylist():
+            if count and (count >= most or (chars and held + n > chars)):
+                batch, count, held = batch + 1, 0, 0
+            count, held = count + 1, held + n
+            out.append(batch)
+        return pa.table([table["track_id"], pa.array(out, pa.int32()), table["pos"]], ["track_id", "batch", "pos"])
 
-    folded = listed.select("track_id", F.explode(F.arrays_zip("items", F.aggregate("items", zero, step, lambda s: s["out"]).alias("batch"))).alias("x"))
-    return folded.select("track_id", F.col("x.batch").alias("batch"), F.col("x.items.pos").alias("pos"))
+    kinds = dict(items.dtypes)
+    sized = items.select("track_id", "pos", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    return sized.groupBy("track_id").applyInArrow(run, f"track_id {kinds['track_id']}, batch int, pos {kinds['pos']}")
 
 
 def renumbered(cues: DataFrame) -> DataFrame:
@@ -115,13 +140,34 @@ def phrases(segments: DataFrame, size: int = 3, least: int = 18, gap_ms: int | N
     return best.select("track_id", number.cast("long").alias("phrase_no"), F.col("run.start_ms").alias("said_ms"), F.col("run.text").alias("text"))
 
 
-def edge_candidates(segments: DataFrame, starts: int = 2, size: int = 4, least: int = 12) -> DataFrame:
-    """(track_id, seg_no, last_no, anchor_ms, text): runs of up to size segments from the first ones of a track."""
+def edge_candidates(segments: DataFrame, from_end: bool = False, starts: int = 2, size: int = 4, least: int = 12) -> DataFrame:
+    """(track_id, seg_no, last_no, anchor_ms, text): runs of up to size segments from the first ones of a track.
+
+    From the end segments count backwards, texts are joined in that order, and the anchor is the end of the run's first one.
+    """
+    if from_end:
+        back = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("pos"))) - 1
+        segments = segments.withColumn("back", back.cast("long")).select("track_id", F.col("back").alias("pos"), F.col("end_ms").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), "norm_text")
     runs = sliding_windows(segments.where(F.col("pos") < starts + size - 1), size, 1 << 60)
     runs = runs.where((F.col("first_pos") < starts) & (F.length("text") >= least))
     return runs.select("track_id", F.col("first_pos").alias("seg_no"), F.col("last_pos").alias("last_no"), F.col("start_ms").alias("anchor_ms"), "text")
 
 
+def linear_transform(ends: DataFrame, drift: float = 0.08, error_ms: float = 1000.0) -> DataFrame:
+    """ends(track_id, a_cue, a_said, z_cue, z_said), each with cue_ms and said_ms times, as (track_id, scale, offset_ms, status).
+
+    status is ok, backward (times that don't move forward), drift (a scale too far from 1), or error (the
+    end is missed); only ok ones have an offset.
+    """
+    cue, said = F.col("z_cue") - F.col("a_cue"), F.col("z_said") - F.col("a_said")
+    scale = F.try_divide(said, cue)
+    out = ends.withColumn("scale", F.when((cue > 0) & (said > 0), scale))
+    offset = F.col("a_said") - F.col("a_cue") * F.col("scale")
+    missed = F.abs(F.col("z_cue") * F.col("scale") + offset - F.col("z_said")) > error_ms
+    status = F.when(F.col("scale").isNull(), "backward").when(F.abs(F.col("scale") - 1) > drift, "drift").when(missed, "error").otherwise("ok")
+    return out.withColumn("status", status).select("track_id", "scale", F.when(F.col("status") == "ok", offset).alias("offset_ms"), "status")
+
+
 def position_band(phrases: DataFrame, windows: DataFrame, cues: DataFrame) -> DataFrame:
     """Phrases with the windows near their expected place: (track_id, phrase_no, expected, radius, first_pos, last_pos, ...).
 
@@ -146,13 +192,69 @@ def chunks(tracks: DataFrame, size_ms: int) -> DataFrame:
     return out.select("track_id", "from_ms", F.least(F.col("from_ms") + size_ms, F.col("end_ms")).alias("to_ms"))
 
 
+def _structure():
+    """Blank, numeric and time lines."""
+    shape = F.btrim("line")
+    return (shape == "") | shape.rlike("^[0-9]+$") | F.contains("line", F.lit("-->"))
+
+
 def text_blocks(lines: DataFrame) -> DataFrame:
     """lines(track_id, line_no, line) to (track_id, block, text): runs between blank, numeric and time lines, joined by blanks."""
     order = Window.partitionBy("track_id").orderBy("line_no")
     shape = F.btrim("line")
-    marked = lines.withColumn("structure", (shape == "") | shape.rlike("^[0-9]+$") | F.contains("line", F.lit("-->")))
+    marked = lines.withColumn("structure", _structure())
     marked = marked.withColumn("island", F.sum(F.col("structure").cast("int")).over(order)).where(~F.col("structure"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", shape.alias("line")))), lambda x: x["line"]), " ")
     blocks = marked.groupBy("track_id", "island").agg(text.alias("text"))
     number = F.row_number().over(Window.partitionBy("track_id").orderBy("island")) - 1
     return blocks.select("track_id", number.cast("long").alias("block"), "text")
+
+
+def ass_lines(lines: DataFrame) -> DataFrame:
+    """lines(track_id, line_no, line) of ASS files, cleaned: (track_id, line_no, line).
+
+    Events (dialogue and comments) stay if their style is Default and a text is left without drawings
+    and tags. Fields follow the last format line. Every other line stays. A file whose first styles
+    section has no Default style has no rows.
+    """
+    shape = F.regexp_replace("line", r"^\s+|\s+$", "")
+    low = F.lower(shape)
+    upto = Window.partitionBy("track_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("track_id")
+    header = F.startswith(shape, F.lit("["))
+    x = lines.withColumns({"low": low, "shape": shape, "events": F.last(F.when(low == "[events]", True).when(header, False), ignorenulls=True).over(upto)})
+    # the first styles section: from its header to the next other header
+    begun = F.min(F.when(F.col("low") == "[v4+ styles]", F.col("line_no"))).over(whole)
+    x = x.withColumn("begun", begun)
+    over = F.min(F.when(header & (F.col("low") != "[v4+ styles]") & (F.col("line_no") > F.col("begun")), F.col("line_no"))).over(whole)
+    x = x.withColumn("over", over)
+    name = F.btrim(F.element_at(F.split(F.substr("shape", F.lit(7)), ","), 1))
+    default = F.startswith(F.col("low"), F.lit("style:")) & (name == "Default") & (F.col("line_no") > F.col("begun")) & (F.col("line_no") < F.coalesce("over", F.lit(1 << 62)))
+    x = x.withColumn("good", F.max(F.coalesce(default, F.lit(False))).over(whole)).where("good")
+    is_format = F.coalesce("events", F.lit(False)) & F.startswith("low", F.lit("format:"))
+    fields = F.transform(F.split(F.substr("low", F.lit(8)), ","), lambda f: F.btrim(f))
+    x = x.withColumn("fields", F.last(F.when(is_format, fields), ignorenulls=True).over(upto))
+    n, text_at, style_at = F.size("fields"), F.array_position("fields", F.lit("text")), F.array_position("fields", F.lit("style"))
+    is_event = F.coalesce("events", F.lit(False)) & (F.startswith("low", F.lit("dialogue:")) | F.startswith("low", F.lit("comment:"))) & F.coalesce(text_at > 0, F.lit(False))
+    head = F.regexp_extract("line", r"^[^:]*:\s*", 0)
+    parts = F.split(F.substr("line", F.length(head) + 1), ",", F.greatest(n, F.lit(1)))
+    x = x.withColumn("parts", F.when(is_event, parts))
+    x = x.withColumn("parts", F.when(F.size("parts") >= n, F.col("parts")))
+    at = lambda i: F.get("parts", (i - 1).cast("int"))
+    clean = clean_override_tags(at(text_at))
+    kept = F.col("parts").isNull() | (((style_at == 0) | (F.btrim(at(style_at)) == "Default")) & (clean != ""))
+    rebuilt = F.concat(head, F.array_join(F.transform("parts", lambda p, i: F.when(i == text_at - 1, clean).otherwise(p)), ","))
+    return x.where(kept).select("track_id", "line_no", F.when(F.col("parts").isNull(), F.col("line")).otherwise(rebuilt).alias("line"))
+
+
+def rejoined(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """lines(track_id, line_no, line) with each text block replaced by blocks(track_id, block, text): (track_id, line_no, line).
+
+    A block's text comes where its first line was; structure lines stay; blocks without a text go.
+    """
+    order = Window.partitionBy("track_id").orderBy("line_no")
+    marked = lines.withColumn("structure", _structure())
+    begins = ~F.col("structure") & F.coalesce(F.lag("structure").over(order), F.lit(True))
+    marked = marked.withColumn("begins", begins).withColumn("block", F.sum(F.col("begins").cast("long")).over(order) - 1)
+    kept = marked.where("structure or begins").join(blocks.select("track_id", "block", F.col("text").alias("new")), ["track_id", "block"], "left")
+    return kept.where("structure or new is not null").select("track_id", "line_no", F.when(F.col("structure"), F.col("line")).otherwise(F.col("new")).alias("line"))

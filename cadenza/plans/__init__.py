@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as T
 from .. import operators as O
 from ..streaming import job_states
-from . import files, matching, queue
+from . import files, listings, matching, payloads, queue, releases
 from .common import CUES, JOBS, KINDS, LIMITS, cue_rows as _cues, job_rows as _jobs, table as _table
 
 def cue_table(spark, sf_dir):
@@ -55,14 +55,11 @@ def job_timeouts(spark, sf_dir):
 
 
 def job_latest(spark, sf_dir):
-    """The latest event of each user, as a job's state."""
-    e = _table(spark, sf_dir, "events")
-    return job_states(e.select(F.col("user_id").alias("id"), F.struct("event_id", "event_type").alias("status"), F.struct("ts", "event_id").alias("ts"))).select("job_id", F.col("status.event_type").alias("status"), F.col("at.ts").alias("at"))
-
-
-def release_names(spark, sf_dir):
-    p = _table(spark, sf_dir, "part")
-    return p.select("p_partkey", T.squash(F.col("p_name")).alias("squashed"), T.release_quality(F.col("p_name")).alias("quality"), T.hearing_impaired(F.col("p_name")).alias("impaired"))
+    """The latest state of each user's events as those of a job, when it began, and when it ended."""
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "running").when(kind == "purchase", "completed").when(kind == "error", "failed").otherwise("pending")
+    states = job_states(_table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), status.alias("status"), F.struct("ts", "event_id").alias("ts")))
+    return states.select("job_id", "status", *[F.col(f"{c}.ts").alias(c) for c in ("at", "started_at", "completed_at")])
 
 
 def folder_counts(spark, sf_dir):
@@ -84,28 +81,32 @@ join i m on m.track_id = a.track_id and m.pos between a.pos and z.pos group by a
 {_TIME.format('start_ms')} || ' --> ' || {_TIME.format('end_ms')} as times, raw_text from cues where trim(raw_text) <> ''""",
     "cue_retimed": f"""with {CUES}, n as (select track_id, max(pos) as m from cues group by track_id)
 select c.track_id, c.pos, floor(c.start_ms * 51 / 50 + 1500 + 0.5)::bigint as new_ms from cues c join n on c.track_id = n.track_id where n.m >= 10""",
+    "cue_batches": f"""with recursive {CUES}, t as (select track_id, pos, length(norm_text) as n from cues),
+f as (select track_id, pos, 0 as batch, 1 as count, n as held from t where pos = 0
+  union all select t.track_id, t.pos, f.batch + (f.count >= 50 or f.held + t.n > 400)::int, case when f.count >= 50 or f.held + t.n > 400 then 1 else f.count + 1 end,
+    case when f.count >= 50 or f.held + t.n > 400 then t.n else f.held + t.n end from f join t on t.track_id = f.track_id and t.pos = f.pos + 1)
+select track_id, pos, batch from f""",
     "job_counts": f"with {JOBS} select status, count(*) as n from jobs group by status",
     "job_queue": f"with {JOBS} select id, job_type, created_us from jobs where status = 'pending' order by created_us, id limit 50",
     "job_timeouts": f"""with {JOBS} select id, job_type, (select max(created_us) from jobs) - started_us as elapsed_us from jobs where status = 'running'
 and (select max(created_us) from jobs) - started_us > 1000000::bigint * case job_type {' '.join(f"when '{k}' then {v}" for k, v in LIMITS.items())} else 600 end""",
-    "job_latest": "select user_id as job_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) as status, max(ts) as at from events group by user_id",
-    "release_names": """select p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') as squashed,
-case when regexp_matches(lower(p_name), 'bluray|bdrip|bdremux') then 'bluray' when contains(lower(p_name), 'dvd') then 'dvd' when contains(lower(p_name), 'hdtv') then 'hdtv'
-when contains(lower(p_name), 'cam') then 'cam' else 'web' end as quality, regexp_matches(lower(p_name), '\\b(hi|sdh)\\b') as impaired from part""",
+    "job_latest": """with e as (select user_id, event_id, ts, case event_type when 'view' then 'running' when 'purchase' then 'completed' when 'error' then 'failed' else 'pending' end as status from events)
+select user_id as job_id, arg_max(status, struct_pack(t := ts, e := event_id)) as status, max(ts) as at, min(ts) filter (where status = 'running') as started_at, min(ts) filter (where status in ('completed', 'failed')) as completed_at
+from e group by user_id""",
     "folder_counts": """with s as (select list_filter(string_split(url, '/'), lambda x: x <> '') as l, strlen(coalesce(html, '')) as n from pages where url is not null),
 e as (select unnest(list_transform(range(1, greatest(len(l), 1) + 1), lambda i: array_to_string(l[1:i], '/'))) as folder, n from s)
 select folder, count(*) as pages, sum(n)::bigint as bytes from e group by folder""",
 }
 
 
-PARTS = (queue, matching, files)
+PARTS = (queue, matching, files, releases, listings, payloads)
 _OWN = list(SQL)
 for _part in PARTS:
     SQL |= _part.SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {k: globals()[k] for k in [*_OWN, "cue_batches"]}
+    found = {k: globals()[k] for k in _OWN} | {"track_anchors": matching.track_anchors}
     for part in PARTS:
         found |= {k: getattr(part, k) for k in part.SQL}
     return found

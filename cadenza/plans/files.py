@@ -9,13 +9,13 @@ from .. import functions as T
 from .. import operators as O
 from .common import CUES, cue_rows, table
 
-#: What counts as a subtitle. Fixed values.
-SUBTITLES = ("srt", "sup", "sub", "ass", "ssa")
-
 
 def bulk_rename(spark, sf_dir):
     """Parts renamed: skipped without a change, failed where the new name is taken."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("old_name"), F.replace("p_name", F.lit("small"), F.lit("red")).alias("new_name"))
+    k = F.col("p_partkey")
+    old = F.concat("p_name", F.lit(" "), (k % 4).cast("string"))
+    new = F.when(k % 2 == 0, F.replace(old, F.lit(" 2"), F.lit(" 0"))).otherwise(F.replace(old, F.lit(" 1"), F.lit(" 9")))
+    p = table(spark, sf_dir, "part").select("p_partkey", old.alias("old_name"), new.alias("new_name"))
     taken = p.select(F.col("old_name").alias("new_name")).distinct().withColumn("taken", F.lit(True))
     status = F.when(F.col("new_name") == F.col("old_name"), "skipped").when(F.col("taken"), "failed").otherwise("renamed")
     return p.join(taken, "new_name", "left").select("p_partkey", "new_name", status.alias("status"))
@@ -29,19 +29,11 @@ def unique_names(spark, sf_dir):
 
 
 def page_sizes(spark, sf_dir):
-    """Readable sizes of pages and if they are over 500 KiB."""
-    n = F.octet_length(F.coalesce("html", F.lit(""))).cast("long")
+    """Readable sizes of pages, every third counted as two hundred, and if they are over 500 KiB."""
+    n = (F.octet_length(F.coalesce("html", F.lit(""))) * F.when(F.col("page_id") % 3 == 0, 200).otherwise(1)).cast("long")
     return table(spark, sf_dir, "pages").select("page_id", T.file_size(n).alias("size"), (n >= 500 * 1024).alias("large"))
 
 
-def file_kinds(spark, sf_dir):
-    """Names made of parts: their endings, languages and if they are subtitles."""
-    ends = F.array(*map(F.lit, (".de.srt", ".mkv", ".eng.2.ass", ".sup", ".DE.ssa")))
-    name = F.concat(F.regexp_replace("p_name", " ", "."), F.element_at(ends, (F.col("p_partkey") % 5 + 1).cast("int")))
-    p = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
-    return p.select("p_partkey", T.extension(F.col("name")).alias("ending"), T.language_suffix(F.col("name")).alias("lang"), T.extension(F.col("name")).isin(*SUBTITLES).alias("subtitle"))
-
-
 def turns_merged(spark, sf_dir):
     """The texts of each role of a conversation as one, in the order of turns. (A4)"""
     c = table(spark, sf_dir, "conversations")
@@ -63,16 +55,13 @@ def srt_blocks(spark, sf_dir):
 
 
 SQL = {
-    "bulk_rename": """select p_partkey, replace(p_name, 'small', 'red') as new_name, case when replace(p_name, 'small', 'red') = p_name then 'skipped'
-when replace(p_name, 'small', 'red') in (select p_name from part) then 'failed' else 'renamed' end as status from part""",
+    "bulk_rename": """with o as (select p_partkey, p_name || ' ' || p_partkey % 4 as o from part), n as (select *, case when p_partkey % 2 = 0 then replace(o, ' 2', ' 0') else replace(o, ' 1', ' 9') end as n from o)
+select p_partkey, n as new_name, case when n = o then 'skipped' when n in (select o from o) then 'failed' else 'renamed' end as status from n""",
     "unique_names": """with n as (select *, row_number() over (partition by p_name order by p_partkey) as n from part)
 select p_partkey, case when n = 1 then p_name else p_name || ' (' || n || ')' end as name from n""",
-    "page_sizes": """with n as (select page_id, strlen(coalesce(html, '')) as n from pages),
+    "page_sizes": """with n as (select page_id, strlen(coalesce(html, '')) * case when page_id % 3 = 0 then 200 else 1 end as n from pages),
 u as (select *, case when n >= 1073741824 then 3 when n >= 1048576 then 2 when n >= 1024 then 1 else 0 end as u from n)
 select page_id, n >= 512000 as large, case when n = 0 then '0 B' else regexp_replace(printf('%.2f', round(n / pow(1024, u), 2)), '\\.?0+$', '') || ' ' || (['B', 'KB', 'MB', 'GB'])[u + 1] end as size from u""",
-    "file_kinds": """with f as (select p_partkey, replace(p_name, ' ', '.') || (['.de.srt', '.mkv', '.eng.2.ass', '.sup', '.DE.ssa'])[p_partkey % 5 + 1] as name from part),
-e as (select *, lower(regexp_extract(name, '\\.([^./?#]+)$', 1)) as ending, lower(regexp_extract(name, '\\.([a-zA-Z]{2,3})(?:\\.[0-9]+)?\\.[^.]+$', 1)) as lang from f)
-select p_partkey, ending, nullif(lang, '') as lang, ending in ('srt', 'sup', 'sub', 'ass', 'ssa') as subtitle from e""".replace("\\\\", "\\"),
     "turns_merged": "select conv_id, role, string_agg(coalesce(text, ''), chr(10) order by turn, coalesce(text, '')) as text from conversations group by all",
     "end_times": f"""with {CUES} select track_id, pos, case when pos % 3 <> 0 then end_ms else coalesce(lead(start_ms) over (partition by track_id order by pos), start_ms + 3000) end as end_ms from cues""",
     "srt_blocks": rf"""with {CUES} select track_id, (row_number() over (partition by track_id order by pos) - 1)::bigint as block, trim(raw_text) as text from cues

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from .. import functions as T
 from .. import operators as O
+from ..operators import matching as M
 from .common import CUES, cue_rows, table
 
 
 def _anchors(spark, sf_dir):
-    """Every tenth cue of a track with its time in the speech."""
-    cues = cue_rows(spark, sf_dir).where("pos % 10 = 0")
-    return cues.select("track_id", "pos", F.col("start_ms").alias("cue_ms"), F.floor(F.col("start_ms") * 51 / 50).cast("long").alias("said_ms"))
+    """Every tenth cue of a track with its time in the speech: a few tracks drift, a few are jittered, a few run backwards at the end."""
+    t, start = F.col("track_id"), F.col("start_ms")
+    said = F.when(t % 5 == 1, start * 6 / 5).when(t % 5 == 2, start * 51 / 50 + (F.col("pos") % 70) * 900).when(t % 11 == 3, 500_000 - start).otherwise(start * 51 / 50)
+    return cue_rows(spark, sf_dir).where("pos % 10 = 0").select("track_id", "pos", start.alias("cue_ms"), F.floor(said).cast("long").alias("said_ms"), (F.col("pos") * 37 % 100 / 100).alias("similarity"))
 
 
 def phrases(spark, sf_dir):
@@ -26,6 +28,11 @@ def edge_candidates(spark, sf_dir):
     return O.edge_candidates(O.transcript(cue_rows(spark, sf_dir)))
 
 
+def end_candidates(spark, sf_dir):
+    """Runs of speech from the last two segments of each track, backwards."""
+    return O.edge_candidates(O.transcript(cue_rows(spark, sf_dir)), from_end=True)
+
+
 def position_band(spark, sf_dir):
     """How many cue windows lie in the band of each phrase."""
     cues = cue_rows(spark, sf_dir)
@@ -47,10 +54,11 @@ def edge_windows(spark, sf_dir):
 
 
 def anchor_baseline(spark, sf_dir):
-    """Scale between the first and last anchor of each track, and if it is valid."""
-    ends = _anchors(spark, sf_dir).groupBy("track_id").agg(*[f(c).alias(f"{k}_{c}") for c in ("cue_ms", "said_ms") for k, f in (("a", F.min), ("z", F.max))])
-    scale = (F.col("z_said_ms") - F.col("a_said_ms")) / (F.col("z_cue_ms") - F.col("a_cue_ms"))
-    return ends.where("z_cue_ms > a_cue_ms").select("track_id", F.round(scale, 6).alias("scale"), (F.abs(scale - 1) <= 0.08).alias("valid"))
+    """Scale and offset between the first and last anchor of each track, and if they are valid."""
+    row = F.struct("cue_ms", "said_ms")
+    ends = _anchors(spark, sf_dir).groupBy("track_id").agg(F.min_by(row, "pos").alias("a"), F.max_by(row, "pos").alias("z"))
+    found = O.linear_transform(ends.select("track_id", F.col("a.cue_ms").alias("a_cue"), F.col("a.said_ms").alias("a_said"), F.col("z.cue_ms").alias("z_cue"), F.col("z.said_ms").alias("z_said")))
+    return found.select("track_id", F.round("scale", 6).alias("scale"), F.round("offset_ms", 3).alias("offset_ms"), "status")
 
 
 def anchor_stability(spark, sf_dir):
@@ -62,11 +70,54 @@ def anchor_stability(spark, sf_dir):
 
 
 def anchor_thinning(spark, sf_dir):
-    """Of each track's anchors the first eight, the first, the last, and every so many-th."""
+    """Of each track's anchors the first eight, similar ones, the first, the last, and every so many-th."""
     group = Window.partitionBy("track_id")
-    rows = _anchors(spark, sf_dir).select("track_id", "pos", (F.row_number().over(O.track()) - 1).alias("i"), F.count(F.lit(1)).over(group).alias("n"))
+    rows = _anchors(spark, sf_dir).select("track_id", "pos", "similarity", (F.row_number().over(O.track()) - 1).alias("i"), F.count(F.lit(1)).over(group).alias("n"))
     stride = F.greatest(F.floor(F.col("n") / 9), F.lit(1))
-    return rows.where((F.col("n") <= 10) | (F.col("i") < 8) | (F.col("i") % stride == 0) | (F.col("i") == F.col("n") - 1)).select("track_id", "pos")
+    return rows.where((F.col("n") <= 10) | (F.col("i") < 8) | (F.col("similarity") >= 0.8) | (F.col("i") % stride == 0) | (F.col("i") == F.col("n") - 1)).select("track_id", "pos")
+
+
+def _coded(spark, sf_dir):
+    """Cues, and phrases and windows with the sets of their phonetic codes."""
+    cues = cue_rows(spark, sf_dir)
+    codes = M.word_codes(cues.select(F.col("norm_text").alias("text")))
+    windows = O.sliding_windows(M.code_sets(cues, codes, ["track_id", "pos"], "norm_text"), sets="codes")
+    phrases = M.code_sets(O.phrases(O.transcript(cues)), codes, ["track_id", "phrase_no"], "text")
+    return cues, phrases, windows.withColumnRenamed("codes", "window_codes")
+
+
+def _candidates(spark, sf_dir):
+    cues, phrases, windows = _coded(spark, sf_dir)
+    return M.candidates(O.position_band(phrases, windows, cues), M.overlap(F.col("codes"), F.col("window_codes")))
+
+
+def phrase_matches(spark, sf_dir):
+    """The eight best windows in the band of each phrase by shared phonetic codes and distance."""
+    return _candidates(spark, sf_dir).select("track_id", "phrase_no", "place", "first_pos", "last_pos", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
+
+
+def track_anchors(spark, sf_dir):
+    """The anchors of each track: chains of matches, reranked, thinned and pruned."""
+    found = _candidates(spark, sf_dir)
+    return M.align(found.withColumn("phrases", F.max("phrase_no").over(Window.partitionBy("track_id")) + 1))
+
+
+def _searched(spark, sf_dir, from_end):
+    cues, _, windows = _coded(spark, sf_dir)
+    codes = M.word_codes(cues.select(F.col("norm_text").alias("text")))
+    edge = O.edge_candidates(O.transcript(cues), from_end).withColumn("no", F.col("seg_no") * 100 + F.col("last_no"))
+    found = M.anchor_search(M.code_sets(edge, codes, ["track_id", "no"], "text").select("track_id", "no", "anchor_ms", "codes"), windows, cues, M.overlap(F.col("codes"), F.col("window_codes")), from_end)
+    return found.select("track_id", "no", "anchor_ms", "first_pos", "last_pos", F.round("similarity", 6).alias("similarity"))
+
+
+def first_anchor(spark, sf_dir):
+    """The best window for speech from the start of each track in its first half."""
+    return _searched(spark, sf_dir, False)
+
+
+def last_anchor(spark, sf_dir):
+    """The best window for speech from the end of each track in its last half."""
+    return _searched(spark, sf_dir, True)
 
 
 def cologne_codes(spark, sf_dir):
@@ -92,40 +143,74 @@ _PHRASES = f"""{_SPEECH}, runs as (
 best as (select * from runs where length(text) >= 18 qualify row_number() over (partition by track_id, seg_no order by last) = 1),
 phrases as (select track_id, (row_number() over (partition by track_id order by seg_no) - 1)::bigint as phrase_no, start_ms as said_ms, text from best)"""
 _ENDS = "ends as (select track_id, max(end_ms) as end_ms from cues group by track_id)"
-_ANCHORS = "anchors as (select track_id, pos, start_ms as cue_ms, start_ms * 51 // 50 as said_ms from cues where pos % 10 = 0)"
+_ANCHORS = """anchors as (select track_id, pos, start_ms as cue_ms, floor(case when track_id % 5 = 1 then start_ms * 6 / 5.0::double when track_id % 5 = 2 then start_ms * 51 / 50.0::double + pos % 70 * 900
+  when track_id % 11 = 3 then 500000 - start_ms else start_ms * 51 / 50.0::double end)::bigint as said_ms, pos * 37 % 100 / 100.0::double as similarity from cues where pos % 10 = 0)"""
+
+
+def _code_sql() -> str:
+    """The rules of phonetics as a CASE on c, the letter before it p, and the one after it n."""
+    listed = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+    parts = []
+    for own, prior, later, digit in T.cologne_rules():
+        fits = [f"c in {listed(own)}"] + [f"{w} in {listed(x)}" for w, x in (("p", prior), ("n", later)) if x is not None]
+        parts.append(f"when {' and '.join(fits)} then '{digit}'")
+    return f"case {' '.join(parts)} else '' end"
+
+
 _AFTER, _BEFORE = "substr(w, i + 1, 1)", "substr(w, i - 1, 1)"
-_CODE = f"""case when c in ('A','E','I','J','O','U','Y') then '0' when c = 'B' then '1' when c = 'P' then case when n = 'H' then '3' else '1' end
-  when c in ('D','T') then case when n in ('','C','S','Z') then '8' else '2' end when c in ('F','V','W') then '3' when c in ('G','K','Q') then '4'
-  when c = 'X' then case when p in ('','C','K','Q') then '8' else '48' end when c = 'L' then '5' when c in ('M','N') then '6' when c = 'R' then '7' when c in ('S','Z') then '8'
-  when c = 'C' then case when i = 1 then case when n in ('','A','H','K','L','O','Q','R','U','X') then '4' else '8' end
-    when p in ('S','Z') or n in ('','A','H','K','O','Q','U','X') then '4' else '8' end else '' end"""
+_CODE = _code_sql()
+_WORD_CODES = f"""up as (select word, regexp_replace(replace(replace(replace(upper(replace(word, 'ß', 'ss')), 'Ä', 'A'), 'Ö', 'O'), 'Ü', 'U'), '[^A-Z]', '', 'g') as w from words where word <> ''),
+ls as (select word, w, unnest(range(1, greatest(length(w), 1) + 1)) as i from up),
+cs as (select word, i, substr(w, i, 1) as c, {_AFTER} as n, case when i > 1 then {_BEFORE} else '' end as p from ls),
+ds as (select word, string_agg({_CODE}, '' order by i) as d from cs group by word),
+os as (select word, list_filter(string_split(d, ''), lambda x, k: k = 1 or x <> (string_split(d, ''))[k - 1]) as o from ds),
+coded as (select word, array_to_string(list_filter(o, lambda x, k: k = 1 or x <> '0'), '') as code from os)"""
+_WINDOWS = """b as (select *, coalesce((start_ms - lag(end_ms) over (partition by track_id order by pos) > 3500)::int, 0) as broken from cues),
+i as (select *, sum(broken) over (partition by track_id order by pos) as island from b),
+w as (select a.track_id, a.pos as first_pos, z.pos as last_pos from i a join i z on a.track_id = z.track_id and a.island = z.island and z.pos between a.pos and a.pos + 2)"""
+_PLACES = """c as (select track_id, count(*) as c, greatest(count(*) // 12, 70) as r from cues group by track_id),
+p as (select q.*, c.c, c.r, round_even(phrase_no / greatest(count(*) over (partition by q.track_id) - 1, 1)::double * greatest(c - 1, 1), 0)::bigint as expected from phrases q join c on q.track_id = c.track_id)"""
+_SETS = f"""words as (select distinct unnest(string_split(norm_text, ' ')) as word from cues), {_WORD_CODES},
+cue_codes as (select track_id, pos, list(distinct code) as s from (select track_id, pos, unnest(string_split(norm_text, ' ')) as word from cues) join coded using (word) where code <> '' group by all),
+ws as (select w.*, list_distinct(flatten(list(coalesce(s, [])))) as s from w left join cue_codes k on k.track_id = w.track_id and k.pos between w.first_pos and w.last_pos group by all)"""
+_EDGES = """edges as (select a.track_id, a.seg_no * 100 + z.seg_no as no, a.start_ms as anchor_ms, string_agg(m.norm_text, ' ' order by m.seg_no) as text
+from seg a join seg z on a.track_id = z.track_id and a.seg_no < 2 and z.seg_no between a.seg_no and a.seg_no + 3
+join seg m on m.track_id = a.track_id and m.seg_no between a.seg_no and z.seg_no group by all having length(string_agg(m.norm_text, ' ' order by m.seg_no)) >= 12)"""
+_BACK = """seg as (select track_id, (row_number() over (partition by track_id order by seg_no desc) - 1)::bigint as seg_no, end_ms as start_ms, norm_text from forward)"""
+_SEARCH = """es as (select track_id, no, anchor_ms, list(distinct code) as s from (select *, unnest(string_split(text, ' ')) as word from edges) join coded using (word) where code <> '' group by all),
+h as (select track_id, count(*) // 2 as half from cues group by track_id),
+scored as (select es.track_id, no, anchor_ms, first_pos, last_pos, len(list_intersect(es.s, ws.s)) / greatest(len(es.s), len(ws.s), 1)::double as sim from es join ws on es.track_id = ws.track_id join h on h.track_id = es.track_id where {inside})
+select track_id, no, anchor_ms, first_pos, last_pos, round(sim, 6) as similarity from scored qualify row_number() over (partition by track_id order by sim desc, no, {order}) = 1 and sim >= 0.5"""
 SQL = {
     "phrases": f"with {CUES}, {_PHRASES} select * from phrases",
     "edge_candidates": f"""with {CUES}, {_SPEECH} select a.track_id, a.seg_no, z.seg_no as last_no, a.start_ms as anchor_ms, string_agg(m.norm_text, ' ' order by m.seg_no) as text
 from seg a join seg z on a.track_id = z.track_id and a.seg_no < 2 and z.seg_no between a.seg_no and a.seg_no + 3
 join seg m on m.track_id = a.track_id and m.seg_no between a.seg_no and z.seg_no group by all having length(string_agg(m.norm_text, ' ' order by m.seg_no)) >= 12""",
-    "position_band": f"""with {CUES}, {_PHRASES},
-b as (select *, coalesce((start_ms - lag(end_ms) over (partition by track_id order by pos) > 3500)::int, 0) as broken from cues),
-i as (select *, sum(broken) over (partition by track_id order by pos) as island from b),
-w as (select a.track_id, a.pos as first_pos, z.pos as last_pos from i a join i z on a.track_id = z.track_id and a.island = z.island and z.pos between a.pos and a.pos + 2),
-c as (select track_id, count(*) as c, greatest(count(*) // 12, 70) as r from cues group by track_id),
-p as (select q.*, c.c, c.r, round_even(phrase_no / greatest(count(*) over (partition by q.track_id) - 1, 1)::double * greatest(c - 1, 1), 0)::bigint as expected from phrases q join c on q.track_id = c.track_id)
+    "end_candidates": f"""with {CUES}, {_SPEECH.replace('seg as', 'forward as')}, {_BACK} select a.track_id, a.seg_no, z.seg_no as last_no, a.start_ms as anchor_ms, string_agg(m.norm_text, ' ' order by m.seg_no) as text
+from seg a join seg z on a.track_id = z.track_id and a.seg_no < 2 and z.seg_no between a.seg_no and a.seg_no + 3
+join seg m on m.track_id = a.track_id and m.seg_no between a.seg_no and z.seg_no group by all having length(string_agg(m.norm_text, ' ' order by m.seg_no)) >= 12""",
+    "position_band": f"""with {CUES}, {_PHRASES}, {_WINDOWS}, {_PLACES}
 select p.track_id, p.phrase_no, count(*) as windows, min(first_pos) as low, max(last_pos) as high
 from p join w on p.track_id = w.track_id and w.first_pos >= greatest(0, expected - r) and w.last_pos <= least(c - 1, expected + r) group by all""",
+    "phrase_matches": f"""with {CUES}, {_PHRASES}, {_WINDOWS}, {_PLACES}, {_SETS},
+ps as (select p.track_id, p.phrase_no, expected, c, r, coalesce(list(distinct code) filter (where code <> ''), []) as s from (select *, unnest(string_split(text, ' ')) as word from p) p left join coded using (word) group by all),
+m as (select ps.track_id, phrase_no, first_pos, last_pos, abs(first_pos - expected) as far, r, len(list_intersect(ps.s, ws.s)) / greatest(len(ps.s), len(ws.s), 1)::double as sim
+  from ps join ws on ps.track_id = ws.track_id and ws.first_pos >= greatest(0, expected - r) and ws.last_pos <= least(c - 1, expected + r)),
+k as (select *, sim - far / greatest(r, 1)::double * 0.18::double as sc from m where sim >= 0.38::double)
+select track_id, phrase_no, row_number() over (partition by track_id, phrase_no order by sc desc, sim desc, last_pos desc, far, first_pos)::int as place, first_pos, last_pos, round(sim, 6) as similarity, round(sc, 6) as score
+from k qualify place <= 8""",
+    "first_anchor": f"with {CUES}, {_SPEECH}, {_EDGES}, {_WINDOWS}, {_SETS}, {_SEARCH.format(inside='first_pos <= half', order='first_pos, last_pos')}",
+    "last_anchor": f"""with {CUES}, {_SPEECH.replace('seg as', 'forward as')}, {_BACK}, {_EDGES}, {_WINDOWS}, {_SETS},
+{_SEARCH.format(inside='first_pos >= half or (first_pos = half - 1 and last_pos >= half)', order='first_pos desc, last_pos desc')}""",
     "chunks": f"with {CUES}, {_ENDS}, k as (select *, unnest(range(0, end_ms, 600000)) as from_ms from ends) select track_id, from_ms::bigint as from_ms, least(from_ms + 600000, end_ms)::bigint as to_ms from k",
     "edge_windows": f"with {CUES}, {_ENDS} select track_id, least(300000, end_ms) as head_to_ms, end_ms - least(300000, end_ms) as tail_from_ms from ends",
-    "anchor_baseline": f"""with {CUES}, {_ANCHORS}, s as (select track_id, (max(said_ms) - min(said_ms)) / (max(cue_ms) - min(cue_ms))::double as scale from anchors group by track_id having max(cue_ms) > min(cue_ms))
-select track_id, round(scale, 6) as scale, abs(scale - 1) <= 0.08 as valid from s""",
+    "anchor_baseline": f"""with {CUES}, {_ANCHORS}, e as (select track_id, arg_max(cue_ms, pos) - arg_min(cue_ms, pos) as cue, arg_max(said_ms, pos) - arg_min(said_ms, pos) as said, arg_min(cue_ms, pos) as c, arg_min(said_ms, pos) as d from anchors group by track_id),
+s as (select *, case when cue > 0 and said > 0 then said / cue::double end as scale from e), t as (select *, case when scale is null then 'backward' when abs(scale - 1) > 0.08 then 'drift' else 'ok' end as status from s)
+select track_id, round(scale, 6) as scale, case when status = 'ok' then round(d - c * scale, 3) end as offset_ms, status from t""",
     "anchor_stability": f"""with {CUES}, {_ANCHORS}, s as (select track_id, cue_ms - lag(cue_ms) over o as cue, said_ms - lag(said_ms) over o as said from anchors window o as (partition by track_id order by pos))
 select track_id, bool_and(cue > 0 and said > 0 and said / cue::double between 0.35 and 2.5) as stable from s where cue is not null group by track_id""",
-    "anchor_thinning": f"""with {CUES}, {_ANCHORS}, s as (select track_id, pos, row_number() over (partition by track_id order by pos) - 1 as i, count(*) over (partition by track_id) as n from anchors)
-select track_id, pos from s where n <= 10 or i < 8 or i % greatest(n // 9, 1) = 0 or i = n - 1""",
-    "cologne_codes": rf"""with words as (select distinct unnest(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '<[^>]+>|\{{[^}}]+\}}', ' ', 'g'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')) as word from documents),
-up as (select word, regexp_replace(replace(replace(replace(upper(replace(word, 'ß', 'ss')), 'Ä', 'A'), 'Ö', 'O'), 'Ü', 'U'), '[^A-Z]', '', 'g') as w from words where word <> ''),
-ls as (select word, w, unnest(range(1, greatest(length(w), 1) + 1)) as i from up),
-cs as (select word, i, substr(w, i, 1) as c, {_AFTER} as n, case when i > 1 then {_BEFORE} else '' end as p from ls),
-ds as (select word, string_agg({_CODE}, '' order by i) as d from cs group by word),
-os as (select word, list_filter(string_split(d, ''), lambda x, k: k = 1 or x <> (string_split(d, ''))[k - 1]) as o from ds)
-select word, array_to_string(list_filter(o, lambda x, k: k = 1 or x <> '0'), '') as code from os""",
+    "anchor_thinning": f"""with {CUES}, {_ANCHORS}, s as (select track_id, pos, similarity, row_number() over (partition by track_id order by pos) - 1 as i, count(*) over (partition by track_id) as n from anchors)
+select track_id, pos from s where n <= 10 or i < 8 or similarity >= 0.8 or i % greatest(n // 9, 1) = 0 or i = n - 1""",
+    "cologne_codes": rf"""with words as (select distinct unnest(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '<[^>]+>|\{{[^}}]+\}}', ' ', 'g'), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')) as word from documents), {_WORD_CODES} select word, code from coded""",
     "embedding_dot": "select a.vec_id, round(greatest(0, least(1, list_dot_product(a.embedding::double[], b.embedding::double[]))), 4) as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
 }

@@ -9,7 +9,7 @@ from .common import JOBS, job_rows, table
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
 #: Jobs that may run at once, and jobs that a dashboard lists as waiting.
-PARALLEL, SHOWN = 10_000, 50
+PARALLEL, SHOWN = 50, 50
 
 
 def _with_now(jobs):
@@ -18,9 +18,9 @@ def _with_now(jobs):
 
 
 def job_admission(spark, sf_dir):
-    """The waiting jobs that the free slots take, oldest first."""
+    """The waiting jobs that the free slots take, oldest first; of the running ones, the first two hundred jobs' hold a slot."""
     j = job_rows(spark, sf_dir)
-    slots = j.agg(F.greatest(F.lit(0), F.lit(PARALLEL) - F.count_if(F.col("status") == "running")).alias("slots"))
+    slots = j.agg(F.greatest(F.lit(0), F.lit(PARALLEL) - F.count_if((F.col("status") == "running") & (F.col("id") < 200))).alias("slots"))
     first = j.where("status = 'pending'").orderBy("created_us", "id").limit(PARALLEL)
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("created_us", "id")))
     return placed.join(F.broadcast(slots)).where("place <= slots").select("id", "job_type", "place")
@@ -46,9 +46,7 @@ def job_retention(spark, sf_dir):
 
 def job_delete_pending(spark, sf_dir):
     """Jobs that stay when every third waiting one is deleted; others can't be. (P5)"""
-    j = job_rows(spark, sf_dir)
-    asked = j.where("id % 3 = 0 and status = 'pending'").select("id")
-    return j.join(asked, "id", "left_anti").select("id", "status")
+    return job_rows(spark, sf_dir).where("not (id % 3 = 0 and status = 'pending')").select("id", "status")
 
 
 def job_dashboard(spark, sf_dir):
@@ -108,14 +106,16 @@ def settings_clamp(spark, sf_dir):
     """A number read from JSON settings, within bounds."""
     from ..functions import clamp
 
-    return table(spark, sf_dir, "events").select("event_id", clamp(F.get_json_object("props", "$.k"), 20, 10, 60, "int").alias("k"))
+    k, i = F.get_json_object("props", "$.k"), F.col("event_id")
+    told = F.when(i % 7 == 0, F.concat(k, F.lit("x"))).when(i % 11 == 0, "3.7").otherwise(k)
+    return table(spark, sf_dir, "events").select("event_id", clamp(told, 20, 10, 60, "int").alias("k"), clamp(told, 0.5, 0.25, 40.5).alias("share"))
 
 
 _NOW = "(select max(created_us) from jobs)"
 _DONE = JOBS.replace("from j)", "from j),\ndone as (select *, case when status not in ('pending', 'running') then started_us + (id * 37 % 9000) * 1000000 end as completed_us from jobs)")
 SQL = {
     "job_admission": f"""with {JOBS}, w as (select id, job_type, row_number() over (order by created_us, id)::int as place from jobs where status = 'pending')
-select * from w where place <= {PARALLEL} - (select count(*) from jobs where status = 'running')""",
+select * from w where place <= {PARALLEL} - (select count(*) from jobs where status = 'running' and id < 200)""",
     "job_running": f"with {JOBS} select id, job_type, started_us from jobs where status = 'running'",
     "job_recent_failed": f"with {_DONE} select id, status, completed_us from done where status in ('failed', 'timeout') and completed_us >= {_NOW} - {DAY}",
     "job_retention": f"with {_DONE} select id, status from done where completed_us is null or completed_us >= {_NOW} - 7 * {DAY}",
@@ -130,5 +130,6 @@ select t.* from t join s on t.source = s.source where s.stop is null or t.lang <
     "stream_priority": """select user_id, event_id, row_number() over (partition by user_id order by case event_type when 'view' then 0 when 'click' then 1 else 2 end, event_id)::int as place from events""",
     "stream_choice": "select user_id, arg_min(event_id, struct_pack(o := event_type <> (['view', 'click', 'signup'])[user_id % 3 + 1], e := event_id)) as event_id from events group by user_id",
     "events_top": "select user_id, event_id, value, row_number() over (partition by user_id order by value desc, event_id)::int as place from events qualify place <= 8",
-    "settings_clamp": "select event_id, greatest(10, least(60, coalesce(try_cast(json_extract_string(props, '$.k') as integer), 20))) as k from events",
+    "settings_clamp": """with t as (select event_id, case when event_id % 7 = 0 then json_extract_string(props, '$.k') || 'x' when event_id % 11 = 0 then '3.7' else json_extract_string(props, '$.k') end as k from events)
+select event_id, greatest(10, least(60, coalesce(case when contains(k, '.') then null else try_cast(k as integer) end, 20))) as k, greatest(0.25, least(40.5, coalesce(try_cast(k as double), 0.5)))::double as share from t""",
 }
