@@ -111,6 +111,36 @@ def settings_clamp(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", clamp(told, 20, 10, 60, "int").alias("k"), clamp(told, 0.5, 0.25, 40.5).alias("share"))
 
 
+def _settings(spark, sf_dir):
+    """Settings of customers: numbers, numbers in quotes, words, lists and lines, older names, and what is no JSON."""
+    c, k = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    number = F.when(c % 4 == 0, k).when(c % 4 == 1, F.concat(F.lit('"'), k, F.lit('"'))).when(c % 4 == 2, F.concat(k, F.lit(".75"))).otherwise(F.concat(F.lit('"'), k, F.lit('.5"')))
+    part = F.concat(F.lit('"0.'), (c % 97 + 10).cast("string"), F.lit('"'))
+    target = F.when(c % 3 == 0, F.lit('"translation_target_language":"de","target_language":"fr"')).when(c % 3 == 1, F.lit('"translation_target_language":"","target_language":"fr"')).otherwise(F.lit('"a":1'))
+    listed = F.when(c % 5 == 0, F.lit('" en, ,de"')).when(c % 5 == 1, F.lit('["fr"," ","pt "]')).when(c % 5 == 2, F.lit("[]")).when(c % 5 == 3, F.lit('""')).otherwise(F.lit("7"))
+    service = F.when(c % 2 == 0, "Azure").otherwise("Other")
+    text = F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in ('{"sync_sample_minutes":', number, ',"sync_anchor_max_window_size":', number, ',"sync_max_scale_delta":', part, ',"provider":"', service, '",', target, ',"subtitle_search_languages":', listed, "}")])
+    return table(spark, sf_dir, "customer").select(c.alias("id"), F.when(c % 13 == 0, "no json").otherwise(text).alias("settings"))
+
+
+def settings_table(spark, sf_dir):
+    """Settings read with defaults, bounds and older names."""
+    from ..sources.settings import read_settings
+
+    return read_settings(_settings(spark, sf_dir))
+
+
+def _settings_sql() -> str:
+    from ..sources.settings import numbers
+
+    given = {"sync_sample_minutes": "n", "sync_anchor_max_window_size": "n", "sync_max_scale_delta": "d"}
+    columns = [f"cast(greatest({low}, least({most}, coalesce({given.get(name, 'null')}, {default}))) as {'integer' if kind == 'int' else 'double'}) as {name}" for name, kind, default, low, most in numbers()]
+    return f"""with c as (select c_custkey as id, c_custkey % 13 = 0 as bad, case when c_custkey % 4 = 3 then null else c_custkey end as n, cast('0.' || (c_custkey % 97 + 10) as double) as d, c_custkey as c from customer),
+g as (select id, bad, c, case when bad then null else n end as n, case when bad then null else d end as d from c)
+select id, {', '.join(columns)}, case when c % 2 = 0 and not bad then 'Azure' else 'DeepL' end as provider, case when bad then '' when c % 3 = 0 then 'de' when c % 3 = 1 then 'fr' else '' end as translation_target_language,
+case when bad then 'en' when c % 5 = 0 then 'en,de' when c % 5 = 1 then 'fr,pt' when c % 5 = 4 then '7' else 'en' end as subtitle_search_languages from g"""
+
+
 _NOW = "(select max(created_us) from jobs)"
 _DONE = JOBS.replace("from j)", "from j),\ndone as (select *, case when status not in ('pending', 'running') then started_us + (id * 37 % 9000) * 1000000 end as completed_us from jobs)")
 SQL = {
@@ -130,6 +160,7 @@ select t.* from t join s on t.source = s.source where s.stop is null or t.lang <
     "stream_priority": """select user_id, event_id, row_number() over (partition by user_id order by case event_type when 'view' then 0 when 'click' then 1 else 2 end, event_id)::int as place from events""",
     "stream_choice": "select user_id, arg_min(event_id, struct_pack(o := event_type <> (['view', 'click', 'signup'])[user_id % 3 + 1], e := event_id)) as event_id from events group by user_id",
     "events_top": "select user_id, event_id, value, row_number() over (partition by user_id order by value desc, event_id)::int as place from events qualify place <= 8",
+    "settings_table": _settings_sql(),
     "settings_clamp": """with t as (select event_id, case when event_id % 7 = 0 then json_extract_string(props, '$.k') || 'x' when event_id % 11 = 0 then '3.7' else json_extract_string(props, '$.k') end as k from events)
 select event_id, greatest(10, least(60, coalesce(case when contains(k, '.') then null else try_cast(k as integer) end, 20))) as k, greatest(0.25, least(40.5, coalesce(try_cast(k as double), 0.5)))::double as share from t""",
 }
