@@ -225,6 +225,9 @@ def test_language_id(spark, sf_dir):
     assert out[3].lang_pred == out[4].lang_pred == out[6].lang_pred == "und" and out[1].lang_pred == "en"
     marks = spark.createDataFrame([(1, "½ ² ٣"), (2, "½ é")], "doc_id long, text string")
     assert [r.lang_pred == "und" for r in langid.identify(marks, model).orderBy("doc_id").collect()] == [True, False]
+    same = {"b": b"a text of two languages alike", "a": b"a text of two languages alike"}
+    tied = spark.createDataFrame([(1, "a text of two"), (1, "a text of two"), (None, "a text of two")], "doc_id long, text string")
+    assert [(r.lang_pred, r.rejected, r.score) for r in langid.identify(tied, same).collect()] == [("a", True, 0.5)] * 3
     many = {f"l{i:03}": f"text of language {i} ".encode() * 9 for i in range(300)}
     assert langid.identify(marks, many).where("doc_id = 2").first().lang_pred in many
     assert langid.identify(no_docs(spark), {}).count() == 0
@@ -416,6 +419,9 @@ def test_nearest(spark, sf_dir):
     got = [(r.query_id, r.rank, r.vec_id) for r in postings.nearest(odd, odd.where("vec_id = 1").distinct(), 10).collect()]
     assert sorted(got) == [(1, 1, 2), (1, 2, 7)]
     assert postings.nearest(odd.limit(0), odd, 10).count() == 0
+    named = spark.createDataFrame([(f"v{i}", [float(i), 1.0]) for i in (0, 1, 1, 2, 3)] + [("w2", [2.0, 1.0])], "vec_id string, embedding array<double>")
+    got = postings.nearest(named, named.where("vec_id = 'v0'"), 10).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [("v1", 1.0), ("v2", 2.0), ("w2", 2.0), ("v3", 3.0)]
 
 
 def test_mixing(spark, sf_dir):
@@ -428,7 +434,10 @@ def test_mixing(spark, sf_dir):
         assert abs(sum(r.taken for r in part) - part[0].target) <= max(r.size for r in part)
     assert sum(p[0].target for p in by.values()) == pytest.approx(1.5 * sum(r.size for r in rows))
     assert sorted(rows, key=str) == sorted(queries.op9_mixing(spark, sf_dir).collect(), key=str)
-    assert mixing.mix(odd_docs(spark)).count() == 12 and mixing.mix(no_docs(spark)).count() == 0
+    odd = mixing.mix(odd_docs(spark)).collect()
+    assert len(odd) == 12 and mixing.mix(no_docs(spark)).count() == 0
+    assert all(r.size == r.taken == 0 for r in odd if r.doc_id in (3, 4, 6)) and len({r.source_size for r in odd if r.source is None}) == 1
+    assert sum(r.target for r in {r.source: r for r in odd}.values()) == pytest.approx(1.5 * sum(r.size for r in odd))
 
 
 def test_line_dedup(spark):
