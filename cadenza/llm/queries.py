@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, linededup, mixing, packing, secrets, warc
+from . import brown, collocations, linededup, mixing, packing, periodic, secrets, warc
 from .common import crc32_mod, table
 from .decontaminate import contaminated
 from .langid import identify, train
@@ -73,6 +73,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 most tightly bound phrases of two or three words in each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), most=3, least=10, inside=50, top=2000)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, some of which repeat a stretch of theirs."""
+    return periodic.find_runs(table(spark, sf_dir, "documents"), plant=True).drop("runs", "text")
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of 1,024 tokens."""
     import public_tokenizers
@@ -86,4 +96,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_archive": warc.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL}
+    return {"op6_warc_archive": warc.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL, "op11_phrase_collocations": collocations.ORACLE_SQL}
