@@ -5,7 +5,9 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import combinations
@@ -24,10 +26,16 @@ GROUP = 50_000
 ROUNDS = 4
 #: Bins in a row that can't be emptied before a search gives up.
 PATIENCE = 64
-#: Parts of a text that a task remembers the ids of, and the longest of them.
+#: Parts of texts that a task remembers the ids of, and the longest of them.
 MEMORY, REMEMBERED = 1 << 19, 48
-#: A space between two visible characters: byte-level BPE always begins a word there, so texts are encoded part by part.
+#: A space between two visible characters: byte-level BPE always begins a word there, so texts are encoded part by
+#: part. It also does so between a letter and such marks, and at a line's first letter.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+FINE = re.compile(r"(?<=[A-Za-z])(?=[.,;:!?\n])|(?<=\S\n)(?=[A-Za-z])")
+#: A word of plain letters, which the model's alphabet writes as they are, with its sign for a space.
+PLAIN, SPACE = re.compile(r" ?[A-Za-z]+"), "\u0120"
+#: Spaces that aren't such cuts, if the text is ASCII.
+OTHER_SPACES = ["  "] + [p for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" for p in (" " + c, c + " ")]
 
 _ITEM = "array<struct<doc_id: {id}, piece: int, start: long, length: int, offset: int, ids_crc32: long, ids: binary>>"
 
@@ -36,11 +44,14 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
     Parts between single spaces have ids of their own, whatever stands around them. Those met before are
-    remembered, new ones are encoded together and told apart by the bytes that each token stands for.
+    remembered. New ones are cut finer: a plain word goes to the model as it is, the rest are encoded
+    together and told apart by the bytes that each token stands for.
     """
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise ValueError("ids are little-endian 32-bit numbers")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
@@ -49,37 +60,64 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)  # one character a byte
-        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # without the space before them
+        self.words: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, parts: list[str]) -> None:
-        ids = self._ids("".join(parts))
-        ends = np.cumsum([len(x.encode()) for x in parts])
+    @staticmethod
+    def _even(text: str) -> bool:
+        """Whether all spaces of a text are cuts, as far as a quick look tells."""
+        return text.isascii() and text[:1] != " " and text[-1:] != " " and not any(p in text for p in OTHER_SPACES)
+
+    def _learn(self, words: list[str]) -> None:
+        spaced, other, model = [], [], self.tokenizer.model
+        for word in words:
+            if len(word) <= REMEMBERED and PLAIN.fullmatch(word):
+                self.words[word] = array("I", [t.id for t in model.tokenize(word.replace(" ", SPACE))]).tobytes()
+            else:
+                (spaced if CUT.match("x" + word, 1) else other).append(word)
+        for i in range(0, len(spaced), 4096):
+            self._learn_together(spaced[i : i + 4096])
+        for word in other:
+            self.words[word] = self._ids(word).tobytes()
+
+    def _learn_together(self, words: list[str]) -> None:
+        """Words that begin with a space as a cut wants it, so they may stand one after another."""
+        ids = self._ids("".join(words))
+        ends = np.cumsum([len(x.encode()) for x in words])
         at = np.cumsum(self.bytes[ids])
         cuts = np.searchsorted(at, ends)
         if not (len(at) and cuts[-1] < len(at) and (at[cuts] == ends).all()):
             raise ValueError("the tokenizer's words cross single spaces")
         data, begin = ids.tobytes(), 0
-        for x, cut in zip(parts, (4 * (cuts + 1)).tolist(), strict=True):
-            self.known[x] = data[begin:cut]
+        for x, cut in zip(words, (4 * (cuts + 1)).tolist(), strict=True):
+            self.words[x] = data[begin:cut]
             begin = cut
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MEMORY:
-            self.known = {}
-        known, split = self.known, []
-        for text in texts:
-            head, *rest = CUT.split(text)
-            split.append((self._ids(head).tobytes(), [" " + x for x in rest]))
-        new = list({x for _, p in split for x in p if x not in known})
-        for i in range(0, len(new), 4096):
-            self._learn(new[i : i + 4096])
-        out = [head + b"".join(map(known.__getitem__, p)) for head, p in split]
+        if len(self.parts) > MEMORY:
+            self.parts = {}
+        if len(self.words) > MEMORY:
+            self.words = {}
+        split = [t.split(" ") if self._even(t) else CUT.split(t) for t in texts]
+        heads = [p.pop(0) for p in split]
+        new = list(set().union(*split).difference(self.parts))
+        fine = [FINE.split(" " + x) for x in new]
+        self._learn(list(set().union(*fine).difference(self.words)))
+        word = self.words.__getitem__
+        for x, p in zip(new, fine, strict=True):
+            self.parts[x] = b"".join(map(word, p))
+        part = self.parts.__getitem__
+        out = [self._ids(head).tobytes() + b"".join(map(part, p)) for head, p in zip(heads, split, strict=True)]
         for x in new:
             if len(x) > REMEMBERED:
-                del known[x]
+                del self.parts[x]
+        for p in fine:
+            for x in p:
+                if len(x) > REMEMBERED:
+                    self.words.pop(x, None)
         return out
 
 

@@ -34,7 +34,7 @@ def test_encoder(tokenizer):
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encode(texts) == want
     assert [encode([t])[0] for t in texts] == want
-    assert max(map(len, encode.known)) <= packing.REMEMBERED
+    assert max(map(len, encode.parts)) <= packing.REMEMBERED
 
 
 @pytest.mark.parametrize("low,high,start", [(1, 40, "fit"), (20, 60, "fit"), (20, 60, "alone"), (1, 99, "alone"), (34, 70, "alone"), (100, 100, "alone"), (1, 1, "alone")])
