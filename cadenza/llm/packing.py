@@ -40,6 +40,25 @@ OTHER_SPACES = ["  "] + [p for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" for p in ("
 _ITEM = "array<struct<doc_id: {id}, piece: int, start: long, length: int, offset: int, ids_crc32: long, ids: binary>>"
 
 
+class Memory:
+    """What was met lately: two generations, the older one given up when the younger is full."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, keys: set[str]) -> dict[str, bytes]:
+        """What is known of these keys."""
+        found = {k: self.young[k] for k in keys & self.young.keys()}
+        found |= {k: self.old[k] for k in keys & self.old.keys()}
+        return found
+
+    def add(self, found: dict[str, bytes]) -> None:
+        if len(self.young) + len(found) > MEMORY:
+            self.old, self.young = self.young, {}
+        self.young |= {k: v for k, v in found.items() if len(k) <= REMEMBERED}
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
@@ -60,8 +79,8 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)  # one character a byte
-        self.parts: dict[str, bytes] = {}  # without the space before them
-        self.words: dict[str, bytes] = {}
+        self.parts, self.words = Memory(), Memory()  # parts go without the space before them
+        self.now: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -75,13 +94,13 @@ class Encoder:
         spaced, other, model = [], [], self.tokenizer.model
         for word in words:
             if len(word) <= REMEMBERED and PLAIN.fullmatch(word):
-                self.words[word] = array("I", [t.id for t in model.tokenize(word.replace(" ", SPACE))]).tobytes()
+                self.now[word] = array("I", [t.id for t in model.tokenize(word.replace(" ", SPACE))]).tobytes()
             else:
                 (spaced if CUT.match("x" + word, 1) else other).append(word)
         for i in range(0, len(spaced), 4096):
             self._learn_together(spaced[i : i + 4096])
         for word in other:
-            self.words[word] = self._ids(word).tobytes()
+            self.now[word] = self._ids(word).tobytes()
 
     def _learn_together(self, words: list[str]) -> None:
         """Words that begin with a space as a cut wants it, so they may stand one after another."""
@@ -93,32 +112,26 @@ class Encoder:
             raise ValueError("the tokenizer's words cross single spaces")
         data, begin = ids.tobytes(), 0
         for x, cut in zip(words, (4 * (cuts + 1)).tolist(), strict=True):
-            self.words[x] = data[begin:cut]
+            self.now[x] = data[begin:cut]
             begin = cut
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > MEMORY:
-            self.parts = {}
-        if len(self.words) > MEMORY:
-            self.words = {}
         split = [t.split(" ") if self._even(t) else CUT.split(t) for t in texts]
         heads = [p.pop(0) for p in split]
-        new = list(set().union(*split).difference(self.parts))
+        own = set().union(*split)
+        known = self.parts.of(own)
+        new = [x for x in own if x not in known]
         fine = [FINE.split(" " + x) for x in new]
-        self._learn(list(set().union(*fine).difference(self.words)))
-        word = self.words.__getitem__
+        words = set().union(*fine)
+        self.now = self.words.of(words)
+        self._learn([x for x in words if x not in self.now])
+        word = self.now.__getitem__
         for x, p in zip(new, fine, strict=True):
-            self.parts[x] = b"".join(map(word, p))
-        part = self.parts.__getitem__
-        out = [self._ids(head).tobytes() + b"".join(map(part, p)) for head, p in zip(heads, split, strict=True)]
-        for x in new:
-            if len(x) > REMEMBERED:
-                del self.parts[x]
-        for p in fine:
-            for x in p:
-                if len(x) > REMEMBERED:
-                    self.words.pop(x, None)
-        return out
+            known[x] = b"".join(map(word, p))
+        self.parts.add(known)
+        self.words.add(self.now)
+        part = known.__getitem__
+        return [self._ids(head).tobytes() + b"".join(map(part, p)) for head, p in zip(heads, split, strict=True)]
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -299,14 +312,17 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 1024, with_i
     spark = docs.sparkSession
     if size < 1:
         raise ValueError("size must be positive")
-    model = spark.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
+    model = spark.sparkContext.broadcast({"tokenizer": open(tokenizer, encoding="utf-8").read()})
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"bin long, fill int, items {_ITEM.format(id=kind)}"
     arrow = _arrow(spark, schema)
     small_batches(spark)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tail = Encoder(model.value), np.array([end], "<u4").tobytes()
+        held = model.value  # a Python worker keeps it from task to task, and with it the parts that it has met
+        if "encoder" not in held:
+            held["encoder"] = Encoder(held["tokenizer"])
+        encoder, tail = held["encoder"], np.array([end], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 40
         items: list[tuple] = []
 

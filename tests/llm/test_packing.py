@@ -27,14 +27,16 @@ def odd_texts():
     return ["", " ", "  x", "x  ", "a b", "<|endoftext|>"] + ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(400)]
 
 
-def test_encoder(tokenizer):
-    """The same ids as of whole texts, whatever stands around a space; also with nothing remembered."""
+@pytest.mark.parametrize("memory", [packing.MEMORY, 40])
+def test_encoder(tokenizer, monkeypatch, memory):
+    """The same ids as of whole texts, whatever stands around a space; also if little is remembered."""
+    monkeypatch.setattr(packing, "MEMORY", memory)
     encode = packing.Encoder(tokenizer.to_str())
     texts = odd_texts()
     want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encode(texts) == want
     assert [encode([t])[0] for t in texts] == want
-    assert max(map(len, encode.parts)) <= packing.REMEMBERED
+    assert max(map(len, encode.parts.young)) <= packing.REMEMBERED
 
 
 @pytest.mark.parametrize("low,high,start", [(1, 40, "fit"), (20, 60, "fit"), (20, 60, "alone"), (1, 99, "alone"), (34, 70, "alone"), (100, 100, "alone"), (1, 1, "alone")])
