@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean_override_tags, normalize_text
@@ -79,15 +79,15 @@ def piecewise_segments(anchors: DataFrame) -> DataFrame:
     return out.select("track_id", "seg", F.col("cue_ms").alias("from_ms"), "to_ms", "scale", (F.col("said_ms") - F.col("cue_ms") * F.col("scale")).alias("offset_ms"))
 
 
-def segment_of(cues: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each cue with the first segment that ends at or after it, else the last one.
+def segment_of(cues: DataFrame, segments: DataFrame, at: str = "start_ms") -> DataFrame:
+    """Each cue with the first segment that ends at or after its time `at`, else the last one.
 
     An as-of join in two running windows, one from each end: both sides are ordered by time within the
     track, so no pairs are made.
     """
     seg = F.struct("seg", "from_ms", "to_ms", "scale", "offset_ms")
     right = segments.select("track_id", F.col("to_ms").alias("t"), F.lit(1).alias("side"), seg.alias("segment"))
-    left = cues.withColumns({"t": F.col("start_ms"), "side": F.lit(0)})
+    left = cues.withColumns({"t": F.col(at), "side": F.lit(0)})
     both = left.unionByName(right, allowMissingColumns=True)
     upto = lambda *order: Window.partitionBy("track_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = F.last("segment", ignorenulls=True).over(upto(F.desc("t"), F.desc("side"), F.desc("segment.seg")))
@@ -95,6 +95,22 @@ def segment_of(cues: DataFrame, segments: DataFrame) -> DataFrame:
     return both.withColumn("found", F.coalesce(after, before)).where("side = 0").select(*cues.columns, "found.seg", "found.scale", "found.offset_ms")
 
 
+def retimed(cues: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(track_id, pos, start_ms, end_ms, new_start_ms, new_end_ms): cues moved by the segments between a track's anchors.
+
+    anchors(track_id, pos, cue_ms, said_ms) must rise in both times. Both ends of a cue move by the segment
+    that they lie in; times are rounded to even, not before 0, and an end is never before its start.
+    Tracks of fewer than two anchors have no rows.
+    """
+    segments = piecewise_segments(anchors)
+    ends = cues.select("track_id", "pos", F.posexplode(F.array("start_ms", "end_ms")).alias("which", "at_ms"))
+    moved = segment_of(ends, segments, "at_ms").where("seg is not null")
+    new = F.bround(F.greatest(F.col("at_ms") * F.col("scale") + F.col("offset_ms"), F.lit(0.0)), 0).cast("long")
+    of = lambda k, c: F.max(F.when(F.col("which") == k, c))
+    out = moved.groupBy("track_id", "pos").agg(of(0, F.col("at_ms")).alias("start_ms"), of(1, F.col("at_ms")).alias("end_ms"), of(0, new).alias("new_start_ms"), of(1, new).alias("z"))
+    return out.select("track_id", "pos", "start_ms", "end_ms", "new_start_ms", F.greatest("new_start_ms", "z").alias("new_end_ms"))
+
+
 def batches(items: DataFrame, most: int = 50, chars: int = 2000) -> DataFrame:
     """items(track_id, pos, text) as (track_id, batch, pos): in order, a batch ends before it holds too many items or characters.
 
@@ -168,21 +184,38 @@ def linear_transform(ends: DataFrame, drift: float = 0.08, error_ms: float = 100
     return out.withColumn("status", status).select("track_id", "scale", F.when(F.col("status") == "ok", offset).alias("offset_ms"), "status")
 
 
+def expected_places(phrases: DataFrame, cues: DataFrame) -> DataFrame:
+    """phrases(track_id, phrase_no, ...) with where their cue should be and how far around: (expected, radius, cues, phrases).
+
+    cues and phrases are the numbers of them in the track.
+    """
+    sizes = cues.groupBy("track_id").agg(F.count(F.lit(1)).alias("cues")).withColumn("radius", F.greatest(F.floor(F.col("cues") / 12), F.lit(70)))
+    p = phrases.withColumn("phrases", F.count(F.lit(1)).over(Window.partitionBy("track_id"))).join(sizes, "track_id")
+    share = F.col("phrase_no") / F.greatest(F.col("phrases") - 1, F.lit(1))
+    return p.withColumn("expected", F.bround(share * F.greatest(F.col("cues") - 1, F.lit(1)), 0).cast("long"))
+
+
+def in_band() -> Column:
+    """Whether a window lies within the radius around a phrase's expected place."""
+    return (F.col("first_pos") >= F.col("expected") - F.col("radius")) & (F.col("last_pos") <= F.least(F.col("cues") - 1, F.col("expected") + F.col("radius")))
+
+
+def band_cells(placed: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `cell`, a stretch of a radius: a phrase has the three around its place, a window the one it begins in."""
+    around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("expected") / F.col("radius")) + k)
+    radius = placed.groupBy("track_id").agg(F.max("radius").alias("radius"))
+    w = windows.join(radius, "track_id").withColumn("cell", F.floor(F.col("first_pos") / F.col("radius"))).drop("radius")
+    return placed.withColumn("cell", F.explode(around)), w
+
+
 def position_band(phrases: DataFrame, windows: DataFrame, cues: DataFrame) -> DataFrame:
     """Phrases with the windows near their expected place: (track_id, phrase_no, expected, radius, first_pos, last_pos, ...).
 
     Places are cut into cells of a radius, and a phrase is joined with the three cells around it, so
     a long track is spread over many keys and no pair outside of the band's cells is made.
     """
-    sizes = cues.groupBy("track_id").agg(F.count(F.lit(1)).alias("cues")).withColumn("radius", F.greatest(F.floor(F.col("cues") / 12), F.lit(70)))
-    share = F.col("phrase_no") / F.greatest(F.count(F.lit(1)).over(Window.partitionBy("track_id")) - 1, F.lit(1))
-    p = phrases.withColumn("share", share).join(sizes, "track_id")
-    p = p.withColumn("expected", F.bround(F.col("share") * F.greatest(F.col("cues") - 1, F.lit(1)), 0).cast("long"))
-    p = p.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("expected") / F.col("radius")) + k)))
-    w = windows.join(sizes.select("track_id", "radius"), "track_id").withColumn("cell", F.floor(F.col("first_pos") / F.col("radius"))).drop("radius", "text")
-    both = p.join(w, ["track_id", "cell"])
-    inside = (F.col("first_pos") >= F.col("expected") - F.col("radius")) & (F.col("last_pos") <= F.least(F.col("cues") - 1, F.col("expected") + F.col("radius")))
-    return both.where(inside).drop("cell", "share")
+    p, w = band_cells(expected_places(phrases, cues), windows.drop("text"))
+    return p.join(w, ["track_id", "cell"]).where(in_band()).drop("cell")
 
 
 def chunks(tracks: DataFrame, size_ms: int) -> DataFrame:

@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import operators as O
 from ..functions import cologne
+from . import band_cells
 
 #: Fixed values of a step from one match to the next, by how sure it is: how far the shares of cues and
 #: phrases passed may differ and what more costs, the same for the smallest and largest scale, and for cues passed.
@@ -32,11 +34,48 @@ def word_codes(texts: DataFrame) -> DataFrame:
     return words.select("word", cologne(F.col("word")).alias("code")).where("code <> ''")
 
 
-def code_sets(rows: DataFrame, codes: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """rows with codes, the distinct phonetic codes of their text; keys tell rows apart."""
+def _coded_words(rows: DataFrame, codes: DataFrame, keys: list[str], text: str) -> DataFrame:
     words = rows.select(*keys, F.explode(F.array_distinct(F.split(text, " "))).alias("word"))
-    sets = words.join(codes, "word").groupBy(*keys).agg(F.collect_set("code").alias("codes"))
-    return rows.join(sets, keys, "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    return words.join(codes, "word").select(*keys, "code").distinct()
+
+
+def code_counts(cues: DataFrame, codes: DataFrame) -> DataFrame:
+    """(track_id, code, n): the cues of a track that have a code."""
+    return _coded_words(cues, codes, ["track_id", "pos"], "norm_text").groupBy("track_id", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def code_sets(rows: DataFrame, codes: DataFrame, keys: list[str], text: str, counts: DataFrame) -> DataFrame:
+    """rows with codes, the distinct phonetic codes of their text as (n, code), rare ones of the track first; keys, with track_id, tell rows apart."""
+    ranked = _coded_words(rows, codes, keys, text).join(counts, ["track_id", "code"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    sets = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "code"))).alias("codes"))
+    return rows.join(sets, keys, "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<struct<n:bigint,code:string>>")))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Shared codes as a share of the larger set."""
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
+
+
+def similar_pairs(phrases: DataFrame, windows: DataFrame, cues: DataFrame, least: float = 0.38) -> DataFrame:
+    """position_band() of phrases(..., codes) and windows(..., window_codes), but only pairs that may overlap by `least`.
+
+    Sets are ordered by how rare a code is in the track, and an overlap of that share needs a common code among the
+    first n - ceil(least n) + 1 of either set of n. So both sides are joined on the codes of these
+    prefixes within a cell of the band, each pair by its first common code only, and pairs go whose sizes
+    or codes left after it can't reach the overlap. Empty sets have no pairs.
+    """
+    need = lambda n: F.ceil(n * least - 1e-9)
+    prefix = lambda c: F.slice(c, 1, F.greatest((F.size(c) - need(F.size(c)) + 1).cast("int"), F.lit(0)))
+    p, w = band_cells(O.expected_places(phrases, cues), windows.drop("text").withColumn("window_codes", F.array_sort("window_codes")))
+    p = p.withColumn("head", prefix(F.col("codes")))
+    w = w.withColumn("window_head", prefix(F.col("window_codes")))
+    p = p.select("*", F.posexplode("head").alias("at", "key"))
+    w = w.select("*", F.posexplode("window_head").alias("window_at", "key"))
+    both = p.join(w, ["track_id", "cell", "key"]).where(O.in_band())
+    n, m = F.size("codes"), F.size("window_codes")
+    reach = F.least(n - F.col("at"), m - F.col("window_at"))
+    fits = (reach >= need(F.greatest(n, m))) & (F.element_at(F.array_intersect("head", "window_head"), 1) == F.col("key"))
+    return both.where(fits).drop("cell", "key", "head", "window_head", "at", "window_at")
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -150,8 +189,9 @@ def stable(cue: np.ndarray, said: np.ndarray) -> np.ndarray:
 def pruned(m: Matches, keep: np.ndarray) -> np.ndarray:
     """keep, by cue time, without what makes neighbours unstable, as long as more than LEAST are left.
 
-    Of the two of the first unstable pair that goes whose loss leaves its own neighbours stable, then
-    one not next to an end, then the less similar, then the earlier. The ends never go.
+    Of the two of the first unstable pair that goes whose loss leaves the pair around it and the one
+    after that stable, then one not next to an end, then the less similar, then the earlier. The ends
+    never go.
     """
     keep = keep[np.argsort(m.cue[keep], kind="stable")]
     while len(keep) > LEAST:
@@ -163,7 +203,7 @@ def pruned(m: Matches, keep: np.ndarray) -> np.ndarray:
             break
 
         def worth(i: int) -> tuple:
-            around = keep[[i - 1, i + 1]]
+            around = np.delete(keep, i)[i - 1 : i + 2]
             return bool(stable(m.cue[around], m.said[around]).all()), i not in (1, len(keep) - 2), -m.similarity[keep[i]], -i
 
         keep = np.delete(keep, max(inner, key=worth))

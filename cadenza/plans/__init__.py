@@ -106,7 +106,7 @@ for _part in PARTS:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {k: globals()[k] for k in _OWN} | {"track_anchors": matching.track_anchors}
+    found = {k: globals()[k] for k in _OWN} | {k: getattr(matching, k) for k in ("track_anchors", "retimed_tracks")}
     for part in PARTS:
         found |= {k: getattr(part, k) for k in part.SQL}
     return found

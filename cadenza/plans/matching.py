@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as T
 from .. import operators as O
 from ..operators import matching as M
+from ..shared import stored
 from .common import CUES, cue_rows, table
 
 
@@ -78,17 +79,18 @@ def anchor_thinning(spark, sf_dir):
 
 
 def _coded(spark, sf_dir):
-    """Cues, and phrases and windows with the sets of their phonetic codes."""
-    cues = cue_rows(spark, sf_dir)
-    codes = M.word_codes(cues.select(F.col("norm_text").alias("text")))
-    windows = O.sliding_windows(M.code_sets(cues, codes, ["track_id", "pos"], "norm_text"), sets="codes")
-    phrases = M.code_sets(O.phrases(O.transcript(cues)), codes, ["track_id", "phrase_no"], "text")
-    return cues, phrases, windows.withColumnRenamed("codes", "window_codes")
+    """Cues, phrases and windows with the sets of their phonetic codes, and the way to more; cues and codes are written once."""
+    cues = stored(cue_rows(spark, sf_dir).select("track_id", "pos", "start_ms", "end_ms", "norm_text"), "cues")
+    codes = stored(M.word_codes(cues.select(F.col("norm_text").alias("text"))), "codes")
+    counts = stored(M.code_counts(cues, codes), "counts")
+    sets = lambda rows, key, text: M.code_sets(rows, codes, ["track_id", key], text, counts)
+    windows = O.sliding_windows(sets(cues, "pos", "norm_text"), sets="codes")
+    return cues, sets(O.phrases(O.transcript(cues)), "phrase_no", "text"), windows.withColumnRenamed("codes", "window_codes"), sets
 
 
 def _candidates(spark, sf_dir):
-    cues, phrases, windows = _coded(spark, sf_dir)
-    return M.candidates(O.position_band(phrases, windows, cues), M.overlap(F.col("codes"), F.col("window_codes")))
+    cues, phrases, windows, _ = _coded(spark, sf_dir)
+    return M.candidates(M.similar_pairs(phrases, windows, cues), M.overlap(F.col("codes"), F.col("window_codes")))
 
 
 def phrase_matches(spark, sf_dir):
@@ -98,15 +100,25 @@ def phrase_matches(spark, sf_dir):
 
 def track_anchors(spark, sf_dir):
     """The anchors of each track: chains of matches, reranked, thinned and pruned."""
-    found = _candidates(spark, sf_dir)
-    return M.align(found.withColumn("phrases", F.max("phrase_no").over(Window.partitionBy("track_id")) + 1))
+    return M.align(_candidates(spark, sf_dir))
+
+
+def retimed_tracks(spark, sf_dir):
+    """Cues moved by the anchors that their track's speech gives: from transcript to saved times."""
+    cues = cue_rows(spark, sf_dir).select("track_id", "pos", "start_ms", "end_ms")
+    return O.retimed(cues, track_anchors(spark, sf_dir))
+
+
+def retimed_ends(spark, sf_dir):
+    """Both ends of cues moved by the segments between every tenth cue of tracks whose speech only drifts."""
+    cues = cue_rows(spark, sf_dir).select("track_id", "pos", "start_ms", "end_ms")
+    return O.retimed(cues, _anchors(spark, sf_dir).where("track_id % 5 <> 2 and track_id % 11 <> 3"))
 
 
 def _searched(spark, sf_dir, from_end):
-    cues, _, windows = _coded(spark, sf_dir)
-    codes = M.word_codes(cues.select(F.col("norm_text").alias("text")))
+    cues, _, windows, sets = _coded(spark, sf_dir)
     edge = O.edge_candidates(O.transcript(cues), from_end).withColumn("no", F.col("seg_no") * 100 + F.col("last_no"))
-    found = M.anchor_search(M.code_sets(edge, codes, ["track_id", "no"], "text").select("track_id", "no", "anchor_ms", "codes"), windows, cues, M.overlap(F.col("codes"), F.col("window_codes")), from_end)
+    found = M.anchor_search(sets(edge, "no", "text").select("track_id", "no", "anchor_ms", "codes"), windows, cues, M.overlap(F.col("codes"), F.col("window_codes")), from_end)
     return found.select("track_id", "no", "anchor_ms", "first_pos", "last_pos", F.round("similarity", 6).alias("similarity"))
 
 
@@ -202,6 +214,13 @@ from k qualify place <= 8""",
     "first_anchor": f"with {CUES}, {_SPEECH}, {_EDGES}, {_WINDOWS}, {_SETS}, {_SEARCH.format(inside='first_pos <= half', order='first_pos, last_pos')}",
     "last_anchor": f"""with {CUES}, {_SPEECH.replace('seg as', 'forward as')}, {_BACK}, {_EDGES}, {_WINDOWS}, {_SETS},
 {_SEARCH.format(inside='first_pos >= half or (first_pos = half - 1 and last_pos >= half)', order='first_pos desc, last_pos desc')}""",
+    "retimed_ends": f"""with {CUES}, {_ANCHORS}, a as (select track_id, pos, cue_ms, said_ms from anchors where track_id % 5 <> 2 and track_id % 11 <> 3),
+s as (select track_id, row_number() over o as seg, cue_ms as lo, lead(cue_ms) over o as hi, (lead(said_ms) over o - said_ms) / (lead(cue_ms) over o - cue_ms)::double as scale, said_ms from a window o as (partition by track_id order by pos)),
+g as (select *, said_ms - lo * scale as offs from s where hi > lo), z as (select track_id, max(seg) as top from g group by track_id),
+e as (select c.track_id, c.pos, c.start_ms, c.end_ms, unnest([0, 1]) as which, unnest([c.start_ms, c.end_ms]) as t from cues c join z on z.track_id = c.track_id),
+f as (select e.*, coalesce(min(g.seg), any_value(z.top)) as seg from e join z on z.track_id = e.track_id left join g on g.track_id = e.track_id and g.hi >= e.t group by all),
+m as (select f.*, round_even(greatest(f.t * g.scale + g.offs, 0::double), 0)::bigint as new from f join g on g.track_id = f.track_id and g.seg = f.seg)
+select track_id, pos, start_ms, end_ms, max(new) filter (where which = 0) as new_start_ms, greatest(max(new) filter (where which = 0), max(new) filter (where which = 1)) as new_end_ms from m group by all""",
     "chunks": f"with {CUES}, {_ENDS}, k as (select *, unnest(range(0, end_ms, 600000)) as from_ms from ends) select track_id, from_ms::bigint as from_ms, least(from_ms + 600000, end_ms)::bigint as to_ms from k",
     "edge_windows": f"with {CUES}, {_ENDS} select track_id, least(300000, end_ms) as head_to_ms, end_ms - least(300000, end_ms) as tail_from_ms from ends",
     "anchor_baseline": f"""with {CUES}, {_ANCHORS}, e as (select track_id, arg_max(cue_ms, pos) - arg_min(cue_ms, pos) as cue, arg_max(said_ms, pos) - arg_min(said_ms, pos) as said, arg_min(cue_ms, pos) as c, arg_min(said_ms, pos) as d from anchors group by track_id),

@@ -84,17 +84,76 @@ def test_rerank_thin_prune():
     assert long.phrase[M.thinned(long, np.arange(30))].tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 9, 12, 15, 17, 18, 21, 24, 27, 29]
 
 
+def plain_pruned(anchors):
+    """Pruning said plainly; anchors are (cue, said, similarity) by cue time."""
+    def fine(a, b):
+        return b[0] > a[0] and b[1] > a[1] and 0.35 <= (b[1] - a[1]) / (b[0] - a[0]) <= 2.5
+
+    while len(anchors) > 4:
+        bad = [i for i in range(len(anchors) - 1) if not fine(anchors[i], anchors[i + 1])]
+        if not bad:
+            break
+        keys = {}
+        for i in (bad[0], bad[0] + 1):
+            if 0 < i < len(anchors) - 1:
+                left = anchors[:i] + anchors[i + 1 :]
+                local = all(fine(left[k], left[k + 1]) for k in range(max(i - 1, 0), min(i + 1, len(left) - 1)))
+                keys[i] = (local, i not in (1, len(anchors) - 2), -anchors[i][2])
+        if not keys:
+            break
+        go = max(keys, key=lambda i: (keys[i], -i))
+        anchors = anchors[:go] + anchors[go + 1 :]
+    return anchors
+
+
+def random_anchors(r, n):
+    cue = sorted(r.sample(range(1000), n))
+    return [(c * 1000.0, c * 1000.0 * r.choice([1, 1, 1, 1.02]) + r.choice([0, 0, 0, r.uniform(-60_000, 60_000)]), r.choice([0.5, 0.6, 0.7, 0.9])) for c in cue]
+
+
+def test_prune_thin_plain():
+    """Thousands of random tracks: pruned and thinned anchors are those of the plain rule."""
+    import numpy as np
+
+    r, cut = random.Random(8), 0
+    for k in range(3000):
+        a = random_anchors(r, r.randint(2, 13) if k % 2 else r.randint(12, 40))
+        m = as_matches([{"phrase_no": i, "first_pos": i * 2, "last_pos": i * 2, "start_ms": c, "said_ms": s, "similarity": q, "score": q, "place": 1} for i, (c, s, q) in enumerate(a)], 99, len(a))
+        rows = lambda keep: [(m.cue[i], m.said[i], m.similarity[i]) for i in keep]
+        want = plain_pruned(a)
+        assert rows(M.pruned(m, np.arange(len(a)))) == want
+        cut += len(want) < len(a)
+        n, stride = len(a), max(len(a) // 9, 1)
+        chosen = a if n <= 10 else [a[i] for i in sorted({0, n - 1, *range(stride, n - 1, stride)} | {i for i in range(n) if i < 8 or a[i][2] >= 0.8})]
+        thin = plain_pruned(chosen)
+        steady = len(thin) >= 2 and all(y[0] > x[0] and y[1] > x[1] and 0.35 <= (y[1] - x[1]) / (y[0] - x[0]) <= 2.5 for x, y in zip(thin, thin[1:]))
+        thin = thin if steady else want
+        assert rows(M.thinned(m, np.arange(n))) == (thin if len(thin) >= 4 else [])
+    assert cut > 500
+
+
+def test_retimed(spark):
+    """Times between, before, and after anchors; ends never before starts, nothing before 0, halves to even."""
+    anchors = spark.createDataFrame([(1, 0, 1000, 500), (1, 1, 2000, 1000), (1, 2, 3000, 3000), (2, 0, 5, 5)], "track_id long, pos long, cue_ms long, said_ms long")
+    cues = spark.createDataFrame([(1, 0, 0, 1), (1, 1, 1001, 1003), (1, 2, 1500, 2500), (1, 3, 2000, 2000), (1, 4, 9000, 9001), (1, 5, 2900, 400), (2, 0, 1, 2), (3, 0, 1, 2)], "track_id long, pos long, start_ms long, end_ms long")
+    got = {(x.track_id, x.pos): (x.new_start_ms, x.new_end_ms) for x in O.retimed(cues, anchors).collect()}
+    assert got == {(1, 0): (0, 0), (1, 1): (500, 502), (1, 2): (750, 2000), (1, 3): (1000, 1000), (1, 4): (15000, 15002), (1, 5): (2800, 2800)}
+
+
 def test_anchors_of_a_track(spark):
     """A track whose speech is 2 % slower and 1.5 s late gets anchors that say so."""
     r = random.Random(3)
     cues = spark.createDataFrame([(1, p, p * 3000, p * 3000 + 2000, " ".join(f"wort{r.choice('bdfgklmnprs')}{r.choice('bdfgklmnprs')}{r.choice('bdfgklmnprs')}a" for _ in range(5))) for p in range(60)], "track_id long, pos long, start_ms long, end_ms long, norm_text string")
     codes = M.word_codes(cues.select(F.col("norm_text").alias("text")))
-    windows = O.sliding_windows(M.code_sets(cues, codes, ["track_id", "pos"], "norm_text"), sets="codes").withColumnRenamed("codes", "window_codes")
-    phrases = M.code_sets(O.phrases(O.transcript(cues)), codes, ["track_id", "phrase_no"], "text")
-    found = M.candidates(O.position_band(phrases, windows, cues), M.overlap(F.col("codes"), F.col("window_codes")))
-    from pyspark.sql import Window
-
-    got = M.align(found.withColumn("phrases", F.max("phrase_no").over(Window.partitionBy("track_id")) + 1)).orderBy("pos").collect()
+    counts = M.code_counts(cues, codes)
+    windows = O.sliding_windows(M.code_sets(cues, codes, ["track_id", "pos"], "norm_text", counts), sets="codes").withColumnRenamed("codes", "window_codes")
+    phrases = M.code_sets(O.phrases(O.transcript(cues)), codes, ["track_id", "phrase_no"], "text", counts)
+    same = M.overlap(F.col("codes"), F.col("window_codes"))
+    whole = M.candidates(O.position_band(phrases, windows, cues), same)
+    found = M.candidates(M.similar_pairs(phrases, windows, cues), same)
+    plain = [c for c in whole.columns if c != "window_codes"]
+    assert sorted(map(str, found.select(plain).collect())) == sorted(map(str, whole.select(plain).collect())) and found.first().phrases == phrases.count()
+    got = M.align(found).orderBy("pos").collect()
     assert len(got) >= 4 and all(abs(g.said_ms - (g.cue_ms * 1.02 + 1500)) <= 1 for g in got)
 
 
