@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import functions as T
 from .. import operators as O
 from ..streaming import job_states
-from . import files, listings, matching, payloads, queue, releases
+from . import discs, files, listings, matching, payloads, queue, releases
 from .common import CUES, JOBS, KINDS, LIMITS, cue_rows as _cues, job_rows as _jobs, table as _table
 
 def cue_table(spark, sf_dir):
@@ -99,7 +99,7 @@ select folder, count(*) as pages, sum(n)::bigint as bytes from e group by folder
 }
 
 
-PARTS = (queue, matching, files, releases, listings, payloads)
+PARTS = (queue, matching, files, releases, listings, payloads, discs)
 _OWN = list(SQL)
 for _part in PARTS:
     SQL |= _part.SQL

@@ -14,8 +14,8 @@ from . import FINAL
 
 #: Of changes at the same time that with the later status counts.
 ORDER = {"pending": 0, "running": 1, "completed": 2, "failed": 3, "timeout": 4}
-_STATE = "job_type string, status string, at timestamp, started_at timestamp, completed_at timestamp, timer long"
-_OUT = "job_id {id}, job_type string, status string, at timestamp, started_at timestamp, completed_at timestamp"
+_STATE = "job_type string, status string, at timestamp, started_at timestamp, completed_at timestamp, timer long, version long"
+_OUT = "job_id {id}, job_type string, status string, at timestamp, started_at timestamp, completed_at timestamp, version long"
 
 
 def _ms(t: datetime) -> int:
@@ -34,8 +34,8 @@ class Jobs(StatefulProcessor):
         self.job = handle.getValueState("job", _STATE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        old = self.job.get() if self.job.exists() else (None,) * 6
-        kind, status, at, started, completed, timer = old
+        old = self.job.get() if self.job.exists() else (*(None,) * 6, 0)
+        kind, status, at, started, completed, timer, version = old
         before = (kind, status, at, started, completed)
         for r in rows:
             kind = kind if r.job_type is None else r.job_type
@@ -55,25 +55,27 @@ class Jobs(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if due is not None:
                 self.handle.registerTimer(due)
-        self.job.update((kind, status, at, started, completed, due))
-        if (kind, status, at, started, completed) != before:
-            yield Row(job_id=key[0], job_type=kind, status=status, at=at, started_at=started, completed_at=completed)
+        changed = (kind, status, at, started, completed) != before
+        version += changed
+        self.job.update((kind, status, at, started, completed, due, version))
+        if changed:
+            yield Row(job_id=key[0], job_type=kind, status=status, at=at, started_at=started, completed_at=completed, version=version)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if not self.job.exists():
             return
-        kind, status, at, started, completed, _ = self.job.get()
+        kind, _, _, started, completed, _, version = self.job.get()
         self.job.clear()
         if completed is None:
             end = started + timedelta(seconds=self.limits.get(kind, self.default))
-            yield Row(job_id=key[0], job_type=kind, status="timeout", at=end, started_at=started, completed_at=end)
+            yield Row(job_id=key[0], job_type=kind, status="timeout", at=end, started_at=started, completed_at=end, version=version + 1)
 
     def close(self) -> None:
         pass
 
 
 def job_updates(changes: DataFrame, limits: dict[str, int], default: int = 600, late: str = "0 seconds") -> DataFrame:
-    """(job_id, job_type, status, at, started_at, completed_at): a streaming row whenever a job's state changes.
+    """(job_id, job_type, status, at, started_at, completed_at, version): a streaming row whenever a job's state changes.
 
     changes(id, job_type, status, ts) is a stream, in any order and with repetitions: status is that of the
     latest change, started_at the first running one, completed_at the first final one. A job that
@@ -81,7 +83,7 @@ def job_updates(changes: DataFrame, limits: dict[str, int], default: int = 600,
     kind, in seconds, becomes `timeout` at that time, by a timer. State is let go when the watermark is past
     the final change, or with the timeout: what is held is the jobs that wait, run, or have just ended. Changes
     from before the watermark are dropped by Spark, so none can come for what was let go; a later one begins
-    the job anew. A job that only waits is held until it starts.
+    the job anew. A job that only waits is held until it starts. version counts the rows of a job since it began.
     """
     spark = changes.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -103,8 +105,8 @@ def follow(updates: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The last row of each job that follow() wrote: a job has one row a batch, a timeout of the same batch counts after it."""
+    """The last row of each job that follow() wrote; Spark may hand a job's rows of a batch over in parts, so it can have several there."""
     rows = spark.read.parquet(folder)
-    newest = F.struct("batch", "at")
+    newest = F.struct("batch", "version")
     out = rows.groupBy("job_id").agg(F.max_by(F.struct("job_type", "status", "at", "started_at", "completed_at"), newest).alias("job"))
     return out.select("job_id", "job.*")
