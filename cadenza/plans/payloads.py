@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import functions as T
 from .. import operators as O
 from ..functions import payloads as P
+from ..operators import translation
 from .common import CUES, cue_rows, table
 
 STYLES, TAGS = ("Default", "Sign", " Default", "Default"), ("", "{\\i1}", "{}", "{\\p1}m 0 0")
@@ -92,6 +93,29 @@ def translated_files(spark, sf_dir):
     return O.rejoined(lines, blocks.withColumn("text", F.concat(F.lit("+ "), "text")))
 
 
+def _upper(texts: list[str]) -> str:
+    """A service that is down for texts with a z at the end of a batch, and forgets the last of a batch that begins with an a."""
+    import json
+
+    if texts[-1].lower().endswith("z") or len(texts) % 9 == 0:
+        raise ConnectionError("down")
+    return "```json\n" + json.dumps([{"index": i, "content": t.replace("a", "4")} for i, t in enumerate(texts[: -1 if texts[0].lower().startswith("a") else None])]) + "\n```"
+
+
+def _marked(texts: list[str]) -> str:
+    import json
+
+    return json.dumps({"items": [f"+ {t}" for t in texts]})
+
+
+def translated_tracks(spark, sf_dir):
+    """Rendered tracks translated in batches of twenty by a service that fails some, and these by a second one."""
+    c = cue_rows(spark, sf_dir).select("track_id", "pos", "raw_text")
+    lines = c.select("track_id", "pos", F.posexplode(F.array((F.col("pos") + 1).cast("string"), F.lit("00:00:00,000 --> 00:00:01,000"), "raw_text", F.lit(""))).alias("k", "line"))
+    lines = lines.select("track_id", (F.col("pos") * 4 + F.col("k")).alias("line_no"), "line")
+    return translation.translate(lines, [("letters", _upper), ("marks", _marked)], most=20)[0]
+
+
 def speech_times(spark, sf_dir):
     """Recognised segments of ten-minute pieces with times from the start; words' times come first."""
     c = cue_rows(spark, sf_dir)
@@ -125,6 +149,12 @@ trim(regexp_replace(regexp_replace(string_split(x, chr(10))[-1], '\\{{[^}}]*\\\\
 k as (select track_id, pos, style, trim(regexp_replace(case when tag = '{{\\p1}}m 0 0' then '' when tag = '{{\\i1}}' then '' else tag end || case when tag = '{{\\p1}}m 0 0' then '' else regexp_replace('a, ' || raw_text, '\\{{[^}}]*\\\\p[1-9][^}}]*\\}}.*', '') end, '\\{{[^}}]+\\}}', '', 'g')) as t from e where trim(style) = 'Default')
 select track_id, pos + 10 as line_no, case when pos % 9 = 0 then 'Comment: ' else 'Dialogue: ' end || '0,0:00:01.00,' || style || ',,' || t as line from k where t <> ''
 union all select distinct track_id, h.i, h.line from cues, (values (0, '[Script Info]'), (1, '[V4+ Styles]'), (2, 'Style: Default,Arial'), (3, '[Events]'), (4, 'Format: Layer, Start, Style, Name, Text')) h(i, line) where track_id % 5 <> 0""",
+    "translated_tracks": f"""with {CUES}, l as (select track_id, pos * 4 + k as line_no, case k when 0 then (pos + 1)::varchar when 1 then '00:00:00,000 --> 00:00:01,000' when 2 then raw_text else '' end as line, k from cues, range(0, 4) r(k)),
+t as (select *, case when k = 2 and not regexp_full_match(trim(line), '[0-9]*') and not contains(line, '-->') then trim(line) end as text from l),
+b as (select *, (row_number() over (partition by track_id order by line_no) - 1) // 20 as batch from t where text is not null),
+g as (select track_id, batch, count(*) as n, arg_min(text, line_no) as first, arg_max(text, line_no) as last from b group by all),
+f as (select track_id, batch, lower(last) like '%z' or n % 9 = 0 or lower(first) like 'a%' as second from g)
+select t.track_id, t.line_no, coalesce(case when second then '+ ' || b.text else replace(b.text, 'a', '4') end, t.line) as line from t left join b using (track_id, line_no) left join f on f.track_id = b.track_id and f.batch = b.batch""",
     "translated_files": f"""with {CUES}, l as (select track_id, pos * 4 + k as line_no, case k when 0 then (pos + 1)::varchar when 1 then '00:00:00,000 --> 00:00:01,000' when 2 then raw_text else '' end as line, k from cues, range(0, 4) r(k))
 select track_id, line_no, case when k = 2 and not regexp_full_match(trim(line), '[0-9]*') and not contains(line, '-->') then '+ ' || trim(line) else line end as line from l""",
     "speech_times": f"""with {CUES} select track_id, pos as seg_no, start_ms + case when pos % 3 = 0 then 40 else 0 end as start_ms, end_ms - case when pos % 3 = 0 then 20 else 0 end as end_ms, trim(raw_text) as text from cues where pos % 11 <> 0""",

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import JOBS, job_rows, table
+from ..shared import new_folder
+from ..sources.jobtable import JobTable
+from ..streaming import lifecycle
+from .common import JOBS, LIMITS, job_rows, jobs, table
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
 #: Jobs that may run at once, and jobs that a dashboard lists as waiting.
@@ -49,6 +52,35 @@ def job_delete_pending(spark, sf_dir):
     return job_rows(spark, sf_dir).where("not (id % 3 = 0 and status = 'pending')").select("id", "status")
 
 
+def job_table(spark, sf_dir):
+    """What a stored job table holds after it was filled in two lots, waiting jobs were deleted, and old ended ones went."""
+    j = job_rows(spark, sf_dir).withColumn("completed_us", F.when(F.col("id") % 4 == 0, F.col("completed_us") - 5 * DAY).otherwise(F.col("completed_us")))
+    stored = JobTable(spark, new_folder(spark, "jobs"))
+    stored.insert(j.where("id % 2 = 0"))
+    stored.insert(j.where("id % 2 = 1"))
+    stored.delete_pending(j.where("id % 3 = 0").select("id"))
+    stored.retain(j.agg(F.max("created_us")).first()[0])
+    return stored.rows().select("id", "status", "created_us", "completed_us")
+
+
+def job_stream(spark, sf_dir):
+    """The job table's changes as a stream with keyed state: the last row of each job, running ones over their limit timed out."""
+    # a pattern, as the stream's source wants what may be a folder or a file
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    j = jobs(events)
+    at = lambda c: F.timestamp_micros(c).alias("ts")
+    ended = F.col("status").isin("completed", "failed", "timeout")
+    steps = F.array(
+        F.struct(F.lit("pending").alias("status"), at("created_us")), F.when(F.col("started_us").isNotNull(), F.struct(F.lit("running").alias("status"), at("started_us"))),
+        F.when(ended, F.struct(F.col("status"), at("completed_us"))),
+    )
+    changes = j.select("id", "job_type", F.explode(F.array_compact(steps)).alias("s")).select("id", "job_type", "s.status", "s.ts")
+    folder = new_folder(spark, "stream")
+    lifecycle.follow(lifecycle.job_updates(changes, LIMITS), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    last = lifecycle.latest(spark, f"{folder}/rows")
+    return last.select(F.col("job_id").alias("id"), "status", F.unix_micros("started_at").alias("started_us"), F.unix_micros("completed_at").alias("completed_us"))
+
+
 def job_dashboard(spark, sf_dir):
     """The oldest waiting jobs, all running ones, and those that failed within an hour, with their panel."""
     j = _with_now(job_rows(spark, sf_dir))
@@ -143,7 +175,13 @@ case when bad then 'en' when c % 5 = 0 then 'en,de' when c % 5 = 1 then 'fr,pt'
 
 _NOW = "(select max(created_us) from jobs)"
 _DONE = JOBS.replace("from j)", "from j),\ndone as (select *, case when status not in ('pending', 'running') then started_us + (id * 37 % 9000) * 1000000 end as completed_us from jobs)")
+_LIMIT = f"case job_type {' '.join(f"when '{k}' then {v}" for k, v in LIMITS.items())} else 600 end * 1000000::bigint"
+_ENDS = "e as (select *, case when status not in ('pending', 'running') then started_us + (id * 37 % 9000) * 1000000 end as completed_us from jobs)"
 SQL = {
+    "job_table": f"""with {JOBS}, {_ENDS}, f as (select id, status, created_us, case when id % 4 = 0 then completed_us - 5 * {DAY} else completed_us end as completed_us from e)
+select * from f where not (id % 3 = 0 and status = 'pending') and not coalesce(status in ('completed', 'failed', 'timeout') and completed_us < (select max(created_us) from f) - 7 * {DAY}, false)""",
+    "job_stream": f"""with {JOBS}, {_ENDS}, n as (select *, started_us + {_LIMIT} as due, (select max(greatest(created_us, coalesce(started_us, 0), coalesce(completed_us, 0))) from e) // 1000 as now_ms from e)
+select id, case when status = 'running' and due // 1000 + 1 <= now_ms then 'timeout' else status end as status, started_us, case when status = 'running' and due // 1000 + 1 <= now_ms then due else completed_us end as completed_us from n""",
     "job_admission": f"""with {JOBS}, w as (select id, job_type, row_number() over (order by created_us, id)::int as place from jobs where status = 'pending')
 select * from w where place <= {PARALLEL} - (select count(*) from jobs where status = 'running' and id < 200)""",
     "job_running": f"with {JOBS} select id, job_type, started_us from jobs where status = 'running'",
