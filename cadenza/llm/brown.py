@@ -26,7 +26,8 @@ class Options:
     rounds: int = 6
     #: Sweeps of the exchange over all words that aren't in the head.
     sweeps: int = 1
-    #: Commonest words whose counts and classes are broadcast; those of all others come by a join.
+    #: Commonest words whose counts and classes are broadcast; those of all others come by a join. It changes no result
+    #: unless there are several sweeps: between them neighbours of other words are left out.
     sent: int = 100_000
     #: Added to each count of a class transition.
     prior: float = 0.5
@@ -131,20 +132,29 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
 SIDE = 64  # codes of a word's neighbours: their class before it, SIDE + their class after it
 
 
-class Model:
-    """words(word, n, class) of the training rows, the commonest of them, and log10 tables of classes.
+class Classes:
+    """words(word, n, class) of the training rows, the commonest of them, and their numbers.
 
-    Class 0 is the end, 1 an unseen word, whose share is that of the tokens seen once. move[a, b] is
-    P(b | a); a seen word has its share of its class, an unseen one as much as one of all words.
+    Class 0 is the end, 1 an unseen word. label and counts have the commonest words, which travel by
+    broadcast; a seen word has its share of its class, an unseen one as much as one of all words.
     """
 
-    def __init__(self, words: DataFrame, label: dict[bytes, int], counts: dict[bytes, int], total: int, distinct: int, move: np.ndarray, per_class: np.ndarray):
-        self.words, self.label, self.counts, self.total, self.distinct, self.move = words, label, counts, total, distinct, move
+    def __init__(self, words: DataFrame, label: dict[bytes, int], counts: dict[bytes, int], total: int, distinct: int, once: int, per_class: np.ndarray):
+        self.words, self.label, self.counts, self.total, self.distinct = words, label, counts, total, distinct
         self.log_class = np.log10(np.maximum(per_class, 1))
         self.unseen = -float(np.log10(distinct + 1))
+        self.new = (once + 1) / (total + 2)
         self.end_count = counts.get(END.encode(), 0)
 
 
+class Model(Classes):
+    """Classes and move[a, b], log10 of P(b | a), from the neighbours of all training tokens; the share of unseen words is that of tokens seen once."""
+
+    def __init__(self, classes: Classes, move: np.ndarray):
+        self.__dict__.update(classes.__dict__)
+        self.move = move
+
+
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -171,7 +181,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], label: dict[bytes, int], token
 
 
 def class_cells(train: DataFrame, label: dict[bytes, int], k: int, options: Options) -> np.ndarray:
-    """Counts [k, k] of neighbouring classes, of words that label has a class for."""
+    """Counts [k, k] of neighbouring classes, of words that label has a class for: what a further sweep starts from."""
     sent = train.sparkSession.sparkContext.broadcast(label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -268,8 +278,8 @@ def swept(train: DataFrame, label: dict[bytes, int], fixed: set[bytes], cells: n
     return contexts(train, label, options).repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, "word string, class int")
 
 
-def fit(train: DataFrame, options: Options = Options()) -> Model:
-    """Classes of all words of train(text), and the class-based model that they make."""
+def classes(train: DataFrame, options: Options = Options()) -> Classes:
+    """Classes of all words of train(text): the head's by exchange, all others' by sweeps over the neighbours of all their occurrences."""
     small_batches(train.sparkSession)
     words = stored(vocabulary(train, options), "words")
     total, distinct, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
@@ -285,25 +295,47 @@ def fit(train: DataFrame, options: Options = Options()) -> Model:
     cells = of.T @ pairs @ of
     label = {w: int(labels[i]) for w, i in ids.items()}
     fixed, known = set(label), words.where(F.col("word") != END)
-    classes = words.sparkSession.createDataFrame([(w.decode(), c) for w, c in label.items()], "word string, class int")
-    if distinct > len(head) + 1 and options.sweeps:
-        for sweep in range(options.sweeps):
-            classes = stored(swept(train, label, fixed, cells, options, distinct), "classes")
-            some = classes.join(F.broadcast(words.sparkSession.createDataFrame([(w.decode(),) for w in counts], "word string")), "word").toArrow().to_pydict()
+    found = words.sparkSession.createDataFrame([(w.decode(), c) for w, c in label.items()], "word string, class int")
+    if distinct > len(head) + 1:
+        for sweep in range(max(options.sweeps, 1)):
+            if sweep:
+                cells = class_cells(train, label, k, options)
+            found = stored(swept(train, label, fixed, cells, options, distinct), "classes")
+            some = found.join(F.broadcast(words.sparkSession.createDataFrame([(w.decode(),) for w in counts], "word string")), "word").toArrow().to_pydict()
             label = {w.encode(): c for w, c in zip(some["word"], some["class"])}
-            cells = class_cells(train, label, k, options)
-    else:
-        cells[1], cells[:, 1] = 0, 0
-    known = stored(known.join(classes, "word"), "known")
+    known = stored(known.join(found, "word"), "known")
     per_class = np.zeros(k)
     for r in known.groupBy("class").agg(F.sum("n").alias("n")).collect():
         per_class[r["class"]] = r.n
-    new = (once + 1) / (total + 2)
-    cells = cells + options.prior
+    return Classes(known, label, counts, total, distinct, once, per_class)
+
+
+def transitions(rows: DataFrame, found: Classes, options: Options = Options()) -> np.ndarray:
+    """log10 of P(class | class before) from all neighbours in rows(codes) of resolved(): only a table of classes comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        cells = np.zeros(SIDE * SIDE, np.int64)
+        for batch in batches:
+            cells += np.bincount(np.frombuffer(b"".join(utf8(batch.column(0))), "<u2"), minlength=SIDE * SIDE)
+        cell = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(cells[cell])], ["cell", "n"])
+
+    k = len(found.log_class)
+    cells = np.zeros((SIDE, SIDE))
+    for r in rows.select("codes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        cells[divmod(r.cell, SIDE)] = r.n
+    cells = cells[:k, :k] + options.prior
     cells[:, 1] = 0
-    move = (1 - new) * cells / cells.sum(1, keepdims=True)
-    move[:, 1] = new
-    return Model(known, label, counts, total, distinct, np.log10(move), per_class)
+    move = (1 - found.new) * cells / cells.sum(1, keepdims=True)
+    move[:, 1] = found.new
+    return np.log10(move)
+
+
+def fit(train: DataFrame, options: Options = Options()) -> Model:
+    """Classes of all words of train(text), and the class-based model that they make."""
+    found = classes(train, options)
+    base = train.select(F.lit(0).alias("doc_id"), "text", F.lit(False).alias("held_out"))
+    return Model(found, transitions(resolved(base, found), found, options))
 
 
 def score(docs: DataFrame, held_out: Column, options: Options = Options()) -> DataFrame:
@@ -312,20 +344,29 @@ def score(docs: DataFrame, held_out: Column, options: Options = Options()) -> Da
     The model learns from all rows that aren't held_out. base_score adds up log10((c + 1) / (N + V + 1)).
     score adds up log10 of P(class | class before) P(word | class). Every training word has a class: the
     head's are exchanged until nothing moves, then all others move to the class that gains most by the
-    neighbours of all their occurrences. Unseen words share a class. A null or empty text is one end
-    token. Repeated rows each get a result and teach again; other columns are not read. Nothing to
-    learn from leaves even distributions; an empty table gives no rows.
+    neighbours of all their occurrences; transitions are counted over all neighbours. Unseen words share
+    a class. A null or empty text is one end token. Repeated rows each get a result and teach again;
+    other columns are not read. Nothing to learn from leaves even distributions; an empty table gives
+    no rows.
     """
     small_batches(docs.sparkSession)
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
-    return scored(base, fit(base.where(~F.col("held_out")), options))
+    found = classes(base.where(~F.col("held_out")), options)
+    rows = resolved(base, found)
+    return summed(rows, Model(found, transitions(rows.where(~F.col("held_out")), found, options)))
 
 
 def scored(base: DataFrame, model: Model) -> DataFrame:
-    """base(doc_id, text, held_out) scored by the model.
+    """base(doc_id, text, held_out) scored by the model."""
+    return summed(resolved(base, model), model)
+
 
-    Transitions between words whose classes are broadcast are added up at once. Those that meet any
-    other word stay open: the word's count and class come by a join of the distinct words of texts.
+def resolved(base: DataFrame, model: Classes) -> DataFrame:
+    """base(doc_id, text, held_out) as (doc_id, held_out, n_tokens, n_known, base, score, codes), written.
+
+    codes has each step of a text as SIDE * class + class after it; score has what words add to it.
+    Steps between words whose classes are broadcast are known at once. Those that meet any other word
+    stay open: the word's count and class come by a join of the distinct words of texts.
     """
     spark = base.sparkSession
     kind = dict(base.dtypes)["doc_id"]
@@ -333,10 +374,10 @@ def scored(base: DataFrame, model: Model) -> DataFrame:
     label = np.array([model.label[w] for w in known], np.int64)
     counted = np.array([model.counts[w] for w in known], float)
     whole = len(known) + (model.end_count > 0) >= model.distinct
-    move, log_class, unseen = model.move, model.log_class, model.unseen
+    log_class, unseen = model.log_class, model.unseen
     sent = spark.sparkContext.broadcast((known, label, np.log10(counted) - log_class[label], np.log10(counted + 1)))
     end, ended = float(np.log10(model.end_count + 1)), int(model.end_count > 0)
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "asks", "asked", "open"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "codes", "asks", "asked", "open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         known, label, emit, logs = sent.value
@@ -363,10 +404,10 @@ def scored(base: DataFrame, model: Model) -> DataFrame:
                     value += unseen * sum(asked)
                     asks, asked = {}, []
                 settled = (before < SIDE) & (after < SIDE)
-                value += move[before[settled], after[settled]].sum()
-                rows.append((len(found) + 1, n_known, sums, float(value), [w.decode() for w in asks], asked, (before[~settled] << 32 | after[~settled]).tolist()))
-            columns = list(zip(*rows)) or [()] * 7
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+                codes = (before[settled] * SIDE + after[settled]).astype("<u2").tobytes()
+                rows.append((len(found) + 1, n_known, sums, value, codes, [w.decode() for w in asks], asked, (before[~settled] << 32 | after[~settled]).tolist()))
+            columns = list(zip(*rows)) or [()] * 8
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types))], names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -376,31 +417,48 @@ def scored(base: DataFrame, model: Model) -> DataFrame:
 
         for batch in batches:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            value = []
-            for n, steps, words, classes in zip(c["words"].to_pylist(), lists(c["open"]), lists(c["which"]), lists(c["classes"])):
+            all_codes = []
+            for codes, n, steps, words, found in zip(c["codes"].to_pylist(), c["words"].to_pylist(), lists(c["open"]), lists(c["which"]), lists(c["classes"])):
                 label = np.ones(SIDE + n, np.int64)
                 label[:SIDE] = np.arange(SIDE)
-                label[SIDE + words] = classes
-                value.append(move[label[steps >> 32], label[steps & 0xFFFFFFFF]].sum())
-            total = pa.array(c["score"].to_numpy() + np.array(value, float))
-            yield pa.RecordBatch.from_arrays([*(c[n] for n in names[:5]), total], names[:6])
+                label[SIDE + words] = found
+                all_codes.append(codes + (label[steps >> 32] * SIDE + label[steps & 0xFFFFFFFF]).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([*(c[n] for n in names[:6]), pa.array(all_codes, pa.binary())], names[:7])
 
-    plain = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
+    plain = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, codes binary"
     out = base.select("doc_id", "text", "held_out").mapInArrow(run, f"{plain}, asks array<string>, asked array<int>, open array<long>")
-    if not whole:  # no such word holds more than 1 / sent of all tokens
-        out = stored(out.withColumn("row", F.monotonically_increasing_id()), "scored")
-        asks = out.select("row", F.posexplode("asks").alias("i", "word"), "asked").select("row", "i", "word", F.element_at("asked", F.col("i") + 1).alias("m"))
-        share = F.log10("n") - F.element_at(F.array(*map(F.lit, log_class.tolist())), F.col("class") + 1)
-        found = asks.join(model.words, "word").groupBy("row").agg(
-            F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("sums"), F.sum(F.col("m") * share).alias("shares"), F.collect_list(F.struct("i", "class")).alias("found")
-        )
-        out = out.join(found, "row", "left").na.fill(0, ["more", "sums", "shares"])
-        unknown = F.aggregate("asked", F.lit(0).cast("long"), lambda s, x: s + x) - F.col("more")
-        out = out.withColumns({"n_known": F.col("n_known") + F.col("more"), "base": F.col("base") + F.col("sums"), "score": F.col("score") + F.col("shares") + unknown * unseen})
-        empty = F.array().cast("array<int>")
-        which = F.coalesce(F.transform("found", lambda x: x["i"]), empty).alias("which")
-        classes = F.coalesce(F.transform("found", lambda x: x["class"]), empty).alias("classes")
-        out = out.select(*names[:6], F.size("asked").alias("words"), "open", which, classes).mapInArrow(settle, plain)
+    if whole:
+        return stored(out.select(*names[:7]), "resolved")
+    # no word that is asked for holds more than 1 / sent of all tokens
+    out = stored(out.withColumn("row", F.monotonically_increasing_id()), "scored")
+    asks = out.select("row", F.posexplode("asks").alias("i", "word"), "asked").select("row", "i", "word", F.element_at("asked", F.col("i") + 1).alias("m"))
+    share = F.log10("n") - F.element_at(F.array(*map(F.lit, log_class.tolist())), F.col("class") + 1)
+    found = asks.join(model.words, "word").groupBy("row").agg(
+        F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("sums"), F.sum(F.col("m") * share).alias("shares"), F.collect_list(F.struct("i", "class")).alias("found")
+    )
+    out = out.join(found, "row", "left").na.fill(0, ["more", "sums", "shares"])
+    unknown = F.aggregate("asked", F.lit(0).cast("long"), lambda s, x: s + x) - F.col("more")
+    out = out.withColumns({"n_known": F.col("n_known") + F.col("more"), "base": F.col("base") + F.col("sums"), "score": F.col("score") + F.col("shares") + unknown * unseen})
+    empty = F.array().cast("array<int>")
+    which = F.coalesce(F.transform("found", lambda x: x["i"]), empty).alias("which")
+    of = F.coalesce(F.transform("found", lambda x: x["class"]), empty).alias("classes")
+    return stored(out.select(*names[:7], F.size("asked").alias("words"), "open", which, of).mapInArrow(settle, plain), "resolved")
+
+
+def summed(rows: DataFrame, model: Model) -> DataFrame:
+    """rows of resolved() with their scores: what words and steps add up to."""
+    kind = dict(rows.dtypes)["doc_id"]
+    table = np.zeros((SIDE, SIDE))
+    table[: len(model.move), : len(model.move)] = model.move
+    flat = table.ravel()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            steps = np.array([flat[np.frombuffer(x, "<u2")].sum() for x in batch.column(6).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(batch.column(5).to_numpy() + steps)], batch.schema.names[:6])
+
+    plain = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"
+    out = rows.select("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "codes").mapInArrow(add, plain)
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * float(np.log10(model.total + model.distinct + 1))).alias("base_score"), "score",
