@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as T
 from .. import operators as O
 from ..operators import matching as M
+from ..operators.vectors import vector_pairs
 from ..shared import stored
 from .common import CUES, cue_rows, table
 
@@ -115,6 +116,19 @@ def retimed_ends(spark, sf_dir):
     return O.retimed(cues, _anchors(spark, sf_dir).where("track_id % 5 <> 2 and track_id % 11 <> 3"))
 
 
+def vector_matches(spark, sf_dir):
+    """The eight best windows in the band of each phrase by the angle between vectors, which the embeddings lend to cues and phrases in turn."""
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("long"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("vector"))
+    n = vectors.count()
+    cues = stored(cue_rows(spark, sf_dir).select("track_id", "pos", "start_ms", "end_ms", "norm_text"), "cues")
+    lent = lambda rows, at: rows.withColumn("vec_id", at % n).join(vectors, "vec_id", "left")
+    coded = lent(cues, F.col("track_id") + F.col("pos")).drop("norm_text")
+    phrases = lent(O.phrases(O.transcript(cues)), F.col("track_id") * 7 + F.col("phrase_no"))
+    found = M.candidates(vector_pairs(phrases, coded), F.col("similarity"))
+    return found.select("track_id", "phrase_no", "place", "first_pos", "last_pos", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
+
+
 def _searched(spark, sf_dir, from_end):
     cues, _, windows, sets = _coded(spark, sf_dir)
     edge = O.edge_candidates(O.transcript(cues), from_end).withColumn("no", F.col("seg_no") * 100 + F.col("last_no"))
@@ -211,6 +225,15 @@ m as (select ps.track_id, phrase_no, first_pos, last_pos, abs(first_pos - expect
 k as (select *, sim - far / greatest(r, 1)::double * 0.18::double as sc from m where sim >= 0.38::double)
 select track_id, phrase_no, row_number() over (partition by track_id, phrase_no order by sc desc, sim desc, last_pos desc, far, first_pos)::int as place, first_pos, last_pos, round(sim, 6) as similarity, round(sc, 6) as score
 from k qualify place <= 8""",
+    "vector_matches": f"""with {CUES}, {_PHRASES}, {_WINDOWS}, {_PLACES}, n as (select count(*) as n from embeddings),
+v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 1000)::bigint) as v from embeddings),
+cv as (select track_id, pos, v from cues, n join v on vec_id = (track_id + pos) % n),
+ws as (select track_id, first_pos, last_pos, list(s order by d) as s from (select w.track_id, first_pos, last_pos, d, sum(v[d])::double as s from w join cv on cv.track_id = w.track_id and cv.pos between first_pos and last_pos, range(1, 65) r(d) group by all) group by all),
+ps as (select p.*, list_transform(v, lambda x: x::double) as q from p, n join v on vec_id = (track_id * 7 + phrase_no) % n),
+m as (select ps.track_id, phrase_no, first_pos, last_pos, abs(first_pos - expected) as far, r, list_dot_product(q, s) as dot, sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(s, s)) as norm
+  from ps join ws on ps.track_id = ws.track_id and ws.first_pos >= greatest(0, expected - r) and ws.last_pos <= least(c - 1, expected + r)),
+k as (select *, least(1, case when norm > 0 then dot / norm else 0 end) as sim, sim - far / greatest(r, 1)::double * 0.18::double as sc from m where norm > 0 and dot / norm >= 0.38::double)
+select track_id, phrase_no, row_number() over (partition by track_id, phrase_no order by sc desc, sim desc, last_pos desc, far, first_pos)::int as place, first_pos, last_pos, round(sim, 6) as similarity, round(sc, 6) as score from k qualify place <= 8""",
     "first_anchor": f"with {CUES}, {_SPEECH}, {_EDGES}, {_WINDOWS}, {_SETS}, {_SEARCH.format(inside='first_pos <= half', order='first_pos, last_pos')}",
     "last_anchor": f"""with {CUES}, {_SPEECH.replace('seg as', 'forward as')}, {_BACK}, {_EDGES}, {_WINDOWS}, {_SETS},
 {_SEARCH.format(inside='first_pos >= half or (first_pos = half - 1 and last_pos >= half)', order='first_pos desc, last_pos desc')}""",

@@ -11,8 +11,8 @@ from ..streaming import lifecycle
 from .common import JOBS, LIMITS, job_rows, jobs, table
 
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
-#: Jobs that may run at once, and jobs that a dashboard lists as waiting.
-PARALLEL, SHOWN = 50, 50
+#: Slots for running jobs, as a share of those that run, and jobs that a dashboard lists as waiting.
+SLOTS, SHOWN = (21, 20), 50
 
 
 def _with_now(jobs):
@@ -21,12 +21,13 @@ def _with_now(jobs):
 
 
 def job_admission(spark, sf_dir):
-    """The waiting jobs that the free slots take, oldest first; of the running ones, the first two hundred jobs' hold a slot."""
+    """The waiting jobs that the free slots take, oldest first; there are a twentieth more slots than running jobs."""
     j = job_rows(spark, sf_dir)
-    slots = j.agg(F.greatest(F.lit(0), F.lit(PARALLEL) - F.count_if((F.col("status") == "running") & (F.col("id") < 200))).alias("slots"))
-    first = j.where("status = 'pending'").orderBy("created_us", "id").limit(PARALLEL)
+    running = j.where("status = 'running'").count()
+    slots = -(-running * SLOTS[0] // SLOTS[1]) - running
+    first = j.where("status = 'pending'").orderBy("created_us", "id").limit(slots)
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("created_us", "id")))
-    return placed.join(F.broadcast(slots)).where("place <= slots").select("id", "job_type", "place")
+    return placed.select("id", "job_type", "place")
 
 
 def job_running(spark, sf_dir):
@@ -182,8 +183,8 @@ SQL = {
 select * from f where not (id % 3 = 0 and status = 'pending') and not coalesce(status in ('completed', 'failed', 'timeout') and completed_us < (select max(created_us) from f) - 7 * {DAY}, false)""",
     "job_stream": f"""with {JOBS}, {_ENDS}, n as (select *, started_us + {_LIMIT} as due, (select max(greatest(created_us, coalesce(started_us, 0), coalesce(completed_us, 0))) from e) // 1000 as now_ms from e)
 select id, case when status = 'running' and due // 1000 + 1 <= now_ms then 'timeout' else status end as status, started_us, case when status = 'running' and due // 1000 + 1 <= now_ms then due else completed_us end as completed_us from n""",
-    "job_admission": f"""with {JOBS}, w as (select id, job_type, row_number() over (order by created_us, id)::int as place from jobs where status = 'pending')
-select * from w where place <= {PARALLEL} - (select count(*) from jobs where status = 'running' and id < 200)""",
+    "job_admission": f"""with {JOBS}, w as (select id, job_type, row_number() over (order by created_us, id)::int as place from jobs where status = 'pending'),
+r as (select count(*) as n from jobs where status = 'running') select w.* from w, r where place <= (n * {SLOTS[0]} + {SLOTS[1] - 1}) // {SLOTS[1]} - n""",
     "job_running": f"with {JOBS} select id, job_type, started_us from jobs where status = 'running'",
     "job_recent_failed": f"with {_DONE} select id, status, completed_us from done where status in ('failed', 'timeout') and completed_us >= {_NOW} - {DAY}",
     "job_retention": f"with {_DONE} select id, status from done where completed_us is null or completed_us >= {_NOW} - 7 * {DAY}",
