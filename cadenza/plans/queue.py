@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..shared import new_folder
+from ..sources import settings as S
 from ..sources.jobtable import JobTable
 from ..streaming import lifecycle
 from .common import JOBS, LIMITS, job_rows, jobs, table
@@ -90,6 +91,23 @@ def job_dashboard(spark, sf_dir):
     return waiting.unionByName(others.select(F.col("status").alias("panel"), "id", "job_type"))
 
 
+def provider_settings(spark, sf_dir):
+    """Waiting times, switches and keys of each service from settings made of events: texts and objects, blank keys, several active ones."""
+    i = F.col("event_id")
+    key = lambda j: F.when((i + j) % 5 == 4, F.concat(F.lit('"  k'), j, F.lit(' "'))).when((i + j) % 7 == 6, F.lit('{"value": " ", "active": true}')).otherwise(
+        F.concat(F.lit('{"value":"k'), j, F.lit('","active":'), F.when((i + j) % 3 == 0, F.lit("1")).otherwise(F.lit('""')), F.lit(',"vpn_config":"v'), (i + j * j) % 4, F.lit('","last_error":""}'))
+    )
+    keys = lambda n: F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n), key), ","), F.lit("]"))
+    wait = F.when(i % 6 == 0, F.lit('"3.7"')).when(i % 6 == 1, F.lit('" 12"')).when(i % 6 == 2, F.lit("4.9")).otherwise(i.cast("string"))
+    text = F.concat(F.lit('{"wait_ms":{"Azure":'), wait, F.lit('},"retry_after_days":['), i, F.lit('],"auto_change_key_on_error":{"Gemini":"false"},"provider_keys":{"DeepL":'), keys(i % 6 + 1), F.lit(',"Azure":'), keys(i % 2 + 1), F.lit(',"Gemini":"none"}}'))
+    found = S.read_provider_settings(table(spark, sf_dir, "events").select(i.alias("id"), text.alias("settings")))
+    shown = lambda p: F.array_join(F.transform(F.col("provider_keys")[p], lambda k: F.concat_ws(":", k["value"], k["active"].cast("string"), F.coalesce(k["vpn_config"], F.lit("-")), F.coalesce(k["last_error"], F.lit("-")))), ",")
+    return found.select(
+        "id", F.col("wait_ms")["Azure"].alias("azure_wait"), F.col("wait_ms")["DeepL"].alias("deepl_wait"), F.col("retry_after_days")["Azure"].alias("retry"), F.col("auto_change_key_on_error")["Gemini"].alias("gemini_changes"), F.col("auto_change_key_on_error")["Azure"].alias("azure_changes"),
+        shown("DeepL").alias("deepl"), shown("Azure").alias("azure"), F.size(F.col("provider_keys")["Gemini"]).alias("gemini"), F.array_join("shared", ",").alias("shared"),
+    )
+
+
 def single_active(spark, sf_dir):
     """One active key of each group: the first active one, else the first."""
     s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") % 7 == 0).alias("active"))
@@ -179,6 +197,13 @@ _DONE = JOBS.replace("from j)", "from j),\ndone as (select *, case when status n
 _LIMIT = f"case job_type {' '.join(f"when '{k}' then {v}" for k, v in LIMITS.items())} else 600 end * 1000000::bigint"
 _ENDS = "e as (select *, case when status not in ('pending', 'running') then started_us + (id * 37 % 9000) * 1000000 end as completed_us from jobs)"
 SQL = {
+    "provider_settings": """with e as (select event_id as i from events), p as (select i, 'DeepL' as p, i % 6 + 1 as n from e union all select i, 'Azure', i % 2 + 1 from e),
+k as (select i, p, unnest(range(1, n + 1)) as j from p), v as (select *, (i + j) % 5 = 4 as plain, 'k' || j as val, case when (i + j) % 5 <> 4 then 'v' || (i + j * j) % 4 end as vpn from k where (i + j) % 5 = 4 or (i + j) % 7 <> 6),
+m as (select *, not plain and (i + j) % 3 = 0 as marked from v), f as (select *, j = coalesce(min(j) filter (where marked) over w, min(j) over w) as active from m window w as (partition by i, p)),
+s as (select i, p, string_agg(val || ':' || active || ':' || coalesce(vpn, '-') || ':-', ',' order by j) as keys from f group by i, p),
+d as (select i, string_agg(vpn, ',' order by vpn) as shared from (select i, vpn from m where vpn is not null group by i, vpn having count(*) > 1) group by i)
+select e.i as id, case e.i % 6 when 0 then 0 when 1 then 12 when 2 then 4 else e.i end::int as azure_wait, 0 as deepl_wait, 0 as retry, true as gemini_changes, false as azure_changes, coalesce(a.keys, '') as deepl, coalesce(b.keys, '') as azure, 0 as gemini, coalesce(shared, '') as shared
+from e left join s a on a.i = e.i and a.p = 'DeepL' left join s b on b.i = e.i and b.p = 'Azure' left join d on d.i = e.i""",
     "job_table": f"""with {JOBS}, {_ENDS}, f as (select id, status, created_us, case when id % 4 = 0 then completed_us - 5 * {DAY} else completed_us end as completed_us from e)
 select * from f where not (id % 3 = 0 and status = 'pending') and not coalesce(status in ('completed', 'failed', 'timeout') and completed_us < (select max(created_us) from f) - 7 * {DAY}, false)""",
     "job_stream": f"""with {JOBS}, {_ENDS}, n as (select *, started_us + {_LIMIT} as due, (select max(greatest(created_us, coalesce(started_us, 0), coalesce(completed_us, 0))) from e) // 1000 as now_ms from e)

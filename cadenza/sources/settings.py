@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import comma_list
@@ -43,3 +43,66 @@ def read_settings(files: DataFrame) -> DataFrame:
     return files.select(
         "id", *columns, F.when(service.isin(*SERVICES), service).otherwise(SERVICES[0]).alias("provider"), target.alias("translation_target_language"), F.array_join(languages, ",").alias("subtitle_search_languages"),
     )
+
+
+#: Services with a key list and with days or switches of their own.
+KEYED = ("DeepL", "Azure", "Gemini")
+
+
+def _kind(x: Column) -> Column:
+    return F.schema_of_variant(x)
+
+
+def truthy(x: Column) -> Column:
+    """Whether a JSON value counts as set: true, a number but 0, a text, list, or object that isn't empty."""
+    kind, text = _kind(x), x.try_cast("string")
+    number = F.coalesce(text.try_cast("double") != 0, F.lit(True))
+    return F.when(x.isNull() | (kind == "VOID"), False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.to_json(x).isin("[]", "{}")).otherwise(number)
+
+
+def _text(x: Column) -> Column:
+    """A JSON value as text; lists and objects as JSON."""
+    return F.coalesce(x.try_cast("string"), F.to_json(x))
+
+
+def normalized_keys(listed: Column) -> Column:
+    """A variant list of keys as array<struct<value, active, last_usage, last_error, last_error_at, vpn_config>>.
+
+    An item is an object, or just the key. Blank ones go, as does all of what is no list. Exactly one key is active: the
+    first that is marked so, else the first.
+    """
+    field = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+    is_object = lambda x: _kind(x).startswith("OBJECT")
+    own = lambda x, name: F.when(is_object(x) & truthy(field(x, name)), _text(field(x, name))).alias(name)
+    value = lambda x: F.btrim(F.coalesce(F.when(is_object(x), F.coalesce(_text(field(x, "value")), F.lit(""))).otherwise(_text(x)), F.lit("")))
+    items = F.when(_kind(listed).startswith("ARRAY"), listed.try_cast("array<variant>"))
+    rows = F.transform(
+        F.coalesce(items, F.array().cast("array<variant>")),
+        lambda x: F.struct(value(x).alias("value"), (is_object(x) & truthy(field(x, "active"))).alias("marked"), *[own(x, n) for n in ("last_usage", "last_error", "last_error_at", "vpn_config")]),
+    )
+    full = F.filter(rows, lambda k: k["value"] != "")
+    first = lambda ks: F.greatest(F.array_position(F.transform(ks, lambda k: k["marked"]), F.lit(True)), F.lit(1)) - 1
+    return F.transform(full, lambda k, i: F.struct(k["value"].alias("value"), (i == first(full)).alias("active"), *[k[n].alias(n) for n in ("last_usage", "last_error", "last_error_at", "vpn_config")]))
+
+
+def shared_configs(keys: Column) -> Column:
+    """Of map<provider, keys> the configurations that more than one key has, in order; each may belong to one only."""
+    used = F.flatten(F.transform(F.map_values(keys), lambda ks: F.filter(F.transform(ks, lambda k: k["vpn_config"]), lambda c: c.isNotNull())))
+    return F.array_sort(F.filter(F.array_distinct(used), lambda c: F.size(F.filter(used, lambda d: d == c)) > 1))
+
+
+def read_provider_settings(files: DataFrame) -> DataFrame:
+    """files(id, settings) to (id, wait_ms, max_chars_per_request, retry_after_days, auto_change_key_on_error, provider_keys, shared).
+
+    Maps from each service to its number, switch, or keys, in place and without exploding; a number that is
+    missing or can't be read is 0, as are all of them where the map is no object.
+    """
+    root = F.try_parse_json("settings")
+    number = lambda key, names: F.create_map(*[x for n in names for x in (F.lit(n), F.coalesce(F.try_variant_get(root, f"$.{key}.{n}", "int"), F.lit(0)))])
+    switch = F.create_map(*[x for n in KEYED for x in (F.lit(n), truthy(F.try_variant_get(root, f"$.auto_change_key_on_error.{n}", "variant")))])
+    keys = F.create_map(*[x for n in KEYED for x in (F.lit(n), normalized_keys(F.try_variant_get(root, f"$.provider_keys.{n}", "variant")))])
+    out = files.select(
+        "id", number("wait_ms", SERVICES).alias("wait_ms"), number("max_chars_per_request", SERVICES).alias("max_chars_per_request"), number("retry_after_days", KEYED).alias("retry_after_days"),
+        switch.alias("auto_change_key_on_error"), keys.alias("provider_keys"),
+    )
+    return out.withColumn("shared", shared_configs(F.col("provider_keys")))
