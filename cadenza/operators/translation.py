@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import batches, rejoined, text_blocks
 from ..functions.payloads import escape_controls, json_slice, payload_texts
+from ..progress import Progress
 from ..shared import stored
 
 #: Takes the texts of a batch and gives a service's answer, JSON with the texts; or raises.
@@ -51,13 +52,15 @@ def asked(items: DataFrame, name: str, translator: Translator) -> DataFrame:
     return items.select("track_id", "batch", "texts").mapInArrow(ask, f"track_id {kind}, batch int, n int, payload string, error string")
 
 
-def translated_batches(items: DataFrame, translators: list[tuple[str, Translator]]) -> DataFrame:
+def translated_batches(items: DataFrame, translators: list[tuple[str, Translator]], progress: Progress | None = None) -> DataFrame:
     """items(track_id, batch, texts) as (track_id, batch, translator, texts, error): texts from the first translator that gave all of them.
 
     Those that raise, or whose answer is no list of all texts, leave the batch to the next one. A batch
     that none has translated has null texts and the last one's error. Answers are written before they are read,
-    so that no service is asked twice for what it has answered.
+    so that no service is asked twice for what it has answered. progress is told the texts that each service
+    has translated, counted as they are written.
     """
+    progress = progress or Progress()
     waiting, done, errors = items, [], None
     for name, translator in translators:
         answers = stored(asked(waiting, name, translator), "answers")
@@ -66,7 +69,9 @@ def translated_batches(items: DataFrame, translators: list[tuple[str, Translator
         texts = payload_texts(answers.where("payload is not null").select(F.struct("track_id", "batch").alias("id"), "n", fine.alias("payload")))
         read = answers.join(texts.select("id.track_id", "id.batch", "valid", "texts"), ["track_id", "batch"], "left")
         error = F.when(F.coalesce("valid", F.lit(False)), None).otherwise(F.coalesce("error", F.lit("answer without all texts")))
-        read = stored(read.select("track_id", "batch", F.lit(name).alias("translator"), F.when(F.col("valid"), F.col("texts")).alias("texts"), error.alias("error")), "translated")
+        read = read.select("track_id", "batch", F.lit(name).alias("translator"), F.when(F.col("valid"), F.col("texts")).alias("texts"), error.alias("error"))
+        read = stored(progress.watched(read, name, texts=F.coalesce(F.sum(F.when(F.col("error").isNull(), F.size("texts"))), F.lit(0))), "translated")
+        progress.advance(progress.at(name)["texts"])
         done.append(read.where("error is null"))
         errors = read.where("error is not null")
         waiting = waiting.join(errors.select("track_id", "batch"), ["track_id", "batch"], "left_semi")
@@ -75,20 +80,23 @@ def translated_batches(items: DataFrame, translators: list[tuple[str, Translator
     return errors
 
 
-def translate(lines: DataFrame, translators: list[tuple[str, Translator]], most: int = 50, chars: int = 0, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def translate(lines: DataFrame, translators: list[tuple[str, Translator]], most: int = 50, chars: int = 0, parts: int | None = None, callback: Callable[[int, int], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """lines(track_id, line_no, line) of SRT files, translated, and the batches with who translated them and what failed.
 
     Text blocks go in batches of at most `most` texts and `chars` characters (0: any) through
     translated_batches() and come back where they were. A track with a batch that none has translated
-    has no lines: half a translation is none. parts limits how many batches are under way at once.
+    has no lines: half a translation is none. parts limits how many batches are under way at once;
+    callback(texts translated, all texts) is called when a service has ended. (X3)
     """
-    blocks = stored(text_blocks(lines), "blocks")
+    progress = Progress(callback)
+    blocks = stored(progress.watched(text_blocks(lines), "blocks"), "blocks")
+    progress.total = progress.at("blocks")["rows"]
     numbered = batches(blocks.select("track_id", F.col("block").alias("pos"), "text"), most, chars)
     rows = blocks.join(numbered.withColumnRenamed("pos", "block"), ["track_id", "block"])
     ordered = F.array_sort(F.collect_list(F.struct("block", "text")))
     items = rows.groupBy("track_id", "batch").agg(ordered.alias("all")).select("track_id", "batch", F.col("all.block").alias("blocks"), F.col("all.text").alias("texts"))
     items = stored(items if parts is None else items.repartition(parts), "batches")
-    found = stored(translated_batches(items, translators), "found")
+    found = stored(translated_batches(items, translators, progress), "found")
     failed = found.where("error is not null").select("track_id").distinct()
     pairs = items.select("track_id", "batch", "blocks").join(found.where("error is null"), ["track_id", "batch"])
     new = pairs.select("track_id", F.explode(F.arrays_zip("blocks", "texts")).alias("x")).select("track_id", F.col("x.blocks").alias("block"), F.col("x.texts").alias("text"))

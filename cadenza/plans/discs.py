@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import screens as S
 from ..shared import new_folder
-from ..sources import srt, sup
+from ..sources import idx, srt, sup
 from .common import CUES, cue_rows, table
 
 
@@ -68,7 +68,23 @@ def sup_palettes(spark, sf_dir):
     return S.palettes(_screens(spark, sf_dir)).select(F.col("path").cast("long").alias("doc_id"), "entry", "red", "green", "blue", "alpha")
 
 
+def idx_pictures(spark, sf_dir):
+    """Pictures of IDX files made of events, fifty lines each: remarks, two palettes of which one is short, and files without any."""
+    i, k = F.col("event_id"), F.col("event_id") % 50
+    stamp = F.format_string("%02d:%02d:%02d:%03d", (i % 30).cast("int"), (i % 60).cast("int"), ((i * 7) % 60).cast("int"), (i % 1000).cast("int"))
+    colours = lambda n: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda j: F.lpad(F.lower(F.hex((i + j) * 4111 % 16777216)), 6, "0")), ", ")
+    line = (
+        F.when(k == 3, F.when(F.floor(i / 50) % 5 == 4, F.lit("")).otherwise(F.concat(F.lit(" Palette: "), colours(18)))).when(k == 5, F.concat(F.lit("palette: "), colours(15)))
+        .when(k % 7 == 0, F.concat(F.lit("# timestamp: "), stamp, F.lit(", filepos: 0"))).otherwise(F.concat(F.lit("  timestamp: "), stamp, F.lit(" ,filepos: "), F.lpad(F.hex(i * 2048), 9, "0"), F.lit(" ")))
+    )
+    lines = table(spark, sf_dir, "events").select(F.floor(i / 50).cast("long").alias("path"), i.alias("line_no"), line.alias("line"))
+    return idx.idx_entries(lines).select("path", "pos", "start_ms", "filepos", F.array_join(F.col("palette").cast("array<string>"), ",").alias("palette"))
+
+
 SQL = {
+    "idx_pictures": """with l as (select event_id as i, event_id // 50 as path, event_id % 50 as k from events),
+p as (select path, (select string_agg(((i + j) * 4111 % 16777216)::varchar, ',' order by j) from range(0, 16) r(j)) as palette from l where k = 3 and path % 5 <> 4)
+select path, row_number() over (partition by path order by i) - 1 as pos, (i % 30 * 3600 + i % 60 * 60 + i * 7 % 60) * 1000 + i % 1000 as start_ms, i * 2048 as filepos, palette from l join p using (path) where k not in (3, 5) and k % 7 <> 0""",
     "srt_files": rf"""with {CUES}, t as (select track_id, case when track_id % 3 = 1 and bool_and(regexp_full_match(raw_text, '[\x00-\x7f\x{{a0}}-\x{{ff}}]*')) then 'cp1252' else 'utf-8' end as encoding, bool_and(regexp_full_match(raw_text, '[\x00-\x7f]*')) as ascii from cues group by track_id)
 select track_id, pos, start_ms, end_ms, raw_text as text, case when ascii then 'utf-8' else encoding end as encoding from cues join t using (track_id)""",
     "sup_screens": """with d as (select doc_id as i, text, strlen(text) as n from documents where text is not null)

@@ -60,7 +60,8 @@ def test_translate(spark, most, chars):
     tracks = {1: ["a", "b", "boom", "c", "d"], 2: ["one", "short", "two", "three three three"], 3: ["talk", "say x"], 4: ["é", "talk", "boom"]}
     rows = [(t, 4 * k + j, line) for t, texts in {**tracks, 5: []}.items() for k, text in enumerate(texts) for j, line in enumerate([str(k + 1), "00:00:01,000 --> 00:00:02,000", text, ""])]
     rows += [(5, 0, "1"), (5, 1, "")]
-    lines, found = T.translate(spark.createDataFrame(rows, "track_id long, line_no long, line string"), [("first", first), ("second", second)], most, chars, parts=3)
+    seen = []
+    lines, found = T.translate(spark.createDataFrame(rows, "track_id long, line_no long, line string"), [("first", first), ("second", second)], most, chars, parts=3, callback=lambda *x: seen.append(x))
     got = {}
     for r in lines.orderBy("track_id", "line_no").collect():
         got.setdefault(r.track_id, []).append((r.line_no, r.line))
@@ -68,6 +69,8 @@ def test_translate(spark, most, chars):
     for t, said in {**plain(tracks, most, chars), 5: []}.items():
         want[t] = [(n, said[n // 4] if n % 4 == 2 else line) for track, n, line in rows if track == t]
     assert got == want
+    n = sum(map(len, tracks.values()))
+    assert [t for _, t in seen] == [n, n] and seen[-1][0] == n and seen[0][0] == sum(len(r.texts) for r in found.where("translator = 'first'").collect())
     assert {r.translator for r in found.collect()} <= {"first", "second"} and found.where("error is not null").count() == 0
 
 
