@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bktree import Forest, components
-from .common import parts_for, small_batches, stored, utf8
+from .common import chunk_of, parts_for, small_batches, stored, utf8
 from .components import connected
 from .simhash import CHUNK, SHARD, shingle_spans
 
@@ -136,25 +136,6 @@ def _sets(rows: DataFrame, common: np.ndarray) -> DataFrame:
     return rows.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, bytes long, n long, fp long, digest binary, prefix array<long>")
 
 
-def _only(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """(row, text) of the rows in asked(row); only a bitmap of their hashes is sent, of 16 bits a row, so a few others pass."""
-    n_bits = 1 << max(10, (asked.count() * 16).bit_length())
-    words = asked.select(F.pmod(F.xxhash64("row"), F.lit(n_bits)).alias("bit"))
-    words = words.groupBy(F.floor(F.col("bit") / 64).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
-    sent = np.zeros(n_bits // 64, np.int64)
-    sent[words["at"].to_numpy()] = words["bits"].to_numpy()
-    bitmap = rows.sparkSession.sparkContext.broadcast(sent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            bit = batch.column(2).to_numpy()
-            found = (bitmap.value[bit // 64] >> (bit % 64)) & 1 == 1
-            yield batch.filter(pa.array(found)).select(["row", "text"])
-
-    hashed = rows.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(n_bits)).alias("bit"))
-    return hashed.mapInArrow(run, "row long, text string")
-
-
 def _dealt(keys: DataFrame, group: str, shards: DataFrame, item: str) -> DataFrame:
     """keys with the columns a and b: a group of several shards(group, shards) becomes one group for each two of them."""
     keys = keys.join(F.broadcast(shards), group, "left").withColumn("shards", F.coalesce("shards", F.lit(1)).cast("long"))
@@ -244,7 +225,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 
 
 def one_of_each(rows: DataFrame) -> DataFrame:
-    """(row): one row of each group of near copies among rows(row, id, text), that with the smallest id.
+    """(row): one row of each group of near copies among rows(chunk, row, id, text) of numbered(), that with the smallest id.
 
     Texts are near copies at a Jaccard similarity of SHARED / OF or more on sets of WORDS-word
     shingles, each pair held against each other on whole texts; groups are connected over such pairs.
@@ -275,9 +256,11 @@ def one_of_each(rows: DataFrame) -> DataFrame:
     asked = stored(one.join(roots, "fp").select("row", "bytes", "root"), "asked")
     size = asked.groupBy("root").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > SHARD_BYTES)
     size = size.select("root", F.ceil(F.col("bytes") / SHARD_BYTES).cast("long").alias("shards"))
-    texts = _only(rows, asked).join(asked.select("row", "root"), "row")
+    # rows stay where they are, what is asked for goes to them
+    texts = rows.select("chunk", "row", "text").join(asked.select(chunk_of("row").alias("chunk"), "row", "root").hint("shuffle_hash"), ["chunk", "row"])
     texts = _dealt(texts, "root", stored(size, "size"), "row").select("root", "a", "b", "row", "text")
-    texts = texts.repartition(parts_for(0, 1, spark), "root", "a", "b").sortWithinPartitions("root", "a", "b")
+    n = asked.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    texts = texts.repartition(parts_for(n, 32 << 20, spark), "root", "a", "b").sortWithinPartitions("root", "a", "b")
     same = connected(texts.mapInArrow(_verified, "a long, b long")).withColumnRenamed("node", "row")
     group = equal.join(same, "row", "left").groupBy(F.coalesce("root", "row").alias("root")).agg(F.min("keep").alias("keep"))
     return group.select(F.col("keep.row").alias("row"))
