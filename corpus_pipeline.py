@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import stored, table
+from cadenza.llm.common import chunk_of, numbered, stored, table
 from cadenza.llm.decontaminate import clean
 from cadenza.llm.langid import accepted, train
 from cadenza.llm.linededup import drop_boilerplate
@@ -40,9 +40,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Near copies have a similarity of 0.8 or more on five-word shingles. Each row counts by itself, so
     of equal rows, whether their ids are equal or null, one stays.
     """
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")
-    kept = stored(one_of_each(rows.select("row", F.col("doc.doc_id").alias("id"), F.col("doc.text").cast("string").alias("text"))), "kept")
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = numbered(docs.select(F.struct("*").alias("doc")), "rows", n_bytes)
+    kept = stored(one_of_each(rows.select("chunk", "row", F.col("doc.doc_id").alias("id"), F.col("doc.text").cast("string").alias("text"))), "kept")
+    return rows.join(kept.select(chunk_of("row").alias("chunk"), "row").hint("shuffle_hash"), ["chunk", "row"], "left_semi").select("doc.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
