@@ -96,7 +96,7 @@ def archive_choice(spark, sf_dir):
 
 def _answers(spark, sf_dir):
     """Answers of a title search: three titles an order; some lack an id or a name."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
+    o = table(spark, sf_dir, "orders")
     item = lambda i, kind: F.concat(F.when(F.col("o_orderkey") % 5 == i, F.lit('{"l":"Title ')).otherwise(F.concat(F.lit('{"id":"tt'), F.col("o_orderkey").cast("string"), F.lit(f'{i}","l":"Title '))), F.col("o_custkey").cast("string"), F.lit(f'","y":{1990 + i},"q":"{kind}"}}'))
     return o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit('{"d":['), F.concat_ws(",", item(0, "TV series"), item(1, "feature"), item(2, "tvEpisode")), F.lit("]}")).alias("answer"))
 
@@ -144,7 +144,7 @@ from events where event_type in ('view', 'click', 'purchase') qualify best <= 5"
     "first_of_names": "select arg_min(p_name, p_partkey) as p_name, min(p_partkey) as p_partkey from part group by lower(p_name)",
     "archive_choice": f"""with {_NAMES}, m as (select p_partkey, name, (p_partkey // 6)::bigint as archive, p_partkey * 37 % 11 as size from names where lower(regexp_extract(name, '\\.([^.]+)$', 1)) in ('srt', 'ass', 'ssa'))
 select archive, name, size from m qualify row_number() over (partition by archive order by size desc, p_partkey) = 1""",
-    "title_suggestions": """with i as (select o_orderkey as id, o_custkey, i.i from orders, (values (0), (1), (2)) i(i) where o_orderkey % 7 = 0)
+    "title_suggestions": """with i as (select o_orderkey as id, o_custkey, i.i from orders, (values (0), (1), (2)) i(i))
 select id, i::bigint as place, 'tt' || id || i as title_id, 'Title ' || o_custkey as title, 1990 + i as year, case i when 1 then 'movie' else 'tv' end as kind from i where id % 5 <> i""",
     "audio_streams": """select c_custkey as id, case when c_custkey % 6 = 0 then 0.0 else c_custkey + 0.5 end::double as duration_s, 1 as stream, 'aac' as codec,
 case when c_custkey % 5 = 0 then null else (['deu', 'eng', 'und', null])[c_custkey % 4 + 1] end as language from customer

@@ -20,8 +20,8 @@ def page_texts(spark, sf_dir):
 
 
 def _turns(spark, sf_dir):
-    """Turns with up to forty plain characters of text."""
-    plain = F.btrim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), "[^a-zA-Z0-9 ]", " "))
+    """Turns with their whole text, all but letters, digits and blanks made blanks."""
+    plain = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z0-9 ]", " "))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", plain.alias("text"))
 
 
@@ -133,7 +133,7 @@ def screen_ends(spark, sf_dir):
     return O.shown_until(c.select("track_id", "pos", "start_ms", F.when(F.col("pos") % 3 == 1, 0).otherwise(2).alias("objects"))).select("track_id", "pos", "end_ms")
 
 
-_TURNS = "turns as (select conv_id, turn, trim(regexp_replace(substr(coalesce(text, ''), 1, 40), '[^a-zA-Z0-9 ]', ' ', 'g')) as text from conversations)"
+_TURNS = "turns as (select conv_id, turn, trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z0-9 ]', ' ', 'g')) as text from conversations)"
 SQL = {
     "page_texts": r"""with a as (select page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', '', 'gsi'), '<[/!a-zA-Z][^>]*>', '', 'g') as x from pages),
 b as (select page_id, replace(replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&') as x from a)
