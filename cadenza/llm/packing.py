@@ -40,31 +40,13 @@ OTHER_SPACES = ["  "] + [p for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" for p in ("
 _ITEM = "array<struct<doc_id: {id}, piece: int, start: long, length: int, offset: int, ids_crc32: long, ids: binary>>"
 
 
-class Memory:
-    """What was met lately: two generations, the older one given up when the younger is full."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def of(self, keys: set[str]) -> dict[str, bytes]:
-        """What is known of these keys."""
-        found = {k: self.young[k] for k in keys & self.young.keys()}
-        found |= {k: self.old[k] for k in keys & self.old.keys()}
-        return found
-
-    def add(self, found: dict[str, bytes]) -> None:
-        if len(self.young) + len(found) > MEMORY:
-            self.old, self.young = self.young, {}
-        self.young |= {k: v for k, v in found.items() if len(k) <= REMEMBERED}
-
-
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers.
 
-    Parts between single spaces have ids of their own, whatever stands around them. Those met before are
-    remembered. New ones are cut finer: a plain word goes to the model as it is, the rest are encoded
-    together and told apart by the bytes that each token stands for.
+    Parts between single spaces have ids of their own, whatever stands around them. Those met lately are
+    remembered, in two generations, the older of which goes when the younger is full. New ones are cut
+    finer: a plain word goes to the model as it is, the rest are encoded together and told apart by the
+    bytes that each token stands for.
     """
 
     def __init__(self, tokenizer: str):
@@ -79,8 +61,9 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)  # one character a byte
-        self.parts, self.words = Memory(), Memory()  # parts go without the space before them
-        self.now: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # without the space before them
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -90,17 +73,37 @@ class Encoder:
         """Whether all spaces of a text are cuts, as far as a quick look tells."""
         return text.isascii() and text[:1] != " " and text[-1:] != " " and not any(p in text for p in OTHER_SPACES)
 
-    def _learn(self, words: list[str]) -> None:
-        spaced, other, model = [], [], self.tokenizer.model
-        for word in words:
-            if len(word) <= REMEMBERED and PLAIN.fullmatch(word):
-                self.now[word] = array("I", [t.id for t in model.tokenize(word.replace(" ", SPACE))]).tobytes()
+    def _plain(self, word: str) -> bytes:
+        """Ids of a word of plain letters, which is one word to the tokenizer, too."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        """Parts that aren't remembered."""
+        found, hard = self.parts, []
+        for x in parts:
+            if (ids := self.old.get(x)) is not None:
+                found[x] = ids
+            elif x.isascii() and x.isalpha():
+                found[x] = self._plain(SPACE + x)
             else:
-                (spaced if CUT.match("x" + word, 1) else other).append(word)
+                hard.append(x)
+        fine = [FINE.split(" " + x) for x in hard]
+        words, new = self.words, set().union(*fine).difference(self.words)
+        spaced = []
+        for word in new:
+            if PLAIN.fullmatch(word):
+                words[word] = self._plain(word.replace(" ", SPACE))
+            elif CUT.match("x" + word, 1):
+                spaced.append(word)
+            else:
+                words[word] = self._ids(word).tobytes()
         for i in range(0, len(spaced), 4096):
             self._learn_together(spaced[i : i + 4096])
-        for word in other:
-            self.now[word] = self._ids(word).tobytes()
+        for x, p in zip(hard, fine, strict=True):
+            found[x] = b"".join(map(words.__getitem__, p))
+        for word in new:
+            if len(word) > REMEMBERED:
+                del words[word]
 
     def _learn_together(self, words: list[str]) -> None:
         """Words that begin with a space as a cut wants it, so they may stand one after another."""
@@ -112,26 +115,35 @@ class Encoder:
             raise ValueError("the tokenizer's words cross single spaces")
         data, begin = ids.tobytes(), 0
         for x, cut in zip(words, (4 * (cuts + 1)).tolist(), strict=True):
-            self.now[x] = data[begin:cut]
+            self.words[x] = data[begin:cut]
             begin = cut
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if self._even(t) else CUT.split(t) for t in texts]
-        heads = [p.pop(0) for p in split]
-        own = set().union(*split)
-        known = self.parts.of(own)
-        new = [x for x in own if x not in known]
-        fine = [FINE.split(" " + x) for x in new]
-        words = set().union(*fine)
-        self.now = self.words.of(words)
-        self._learn([x for x in words if x not in self.now])
-        word = self.now.__getitem__
-        for x, p in zip(new, fine, strict=True):
-            known[x] = b"".join(map(word, p))
-        self.parts.add(known)
-        self.words.add(self.now)
-        part = known.__getitem__
-        return [self._ids(head).tobytes() + b"".join(map(part, p)) for head, p in zip(heads, split, strict=True)]
+        if len(self.parts) > MEMORY:
+            self.old, self.parts = self.parts, {}
+        if len(self.words) > MEMORY:
+            self.words = {}
+        get = self.parts.get
+        heads, rest, ids, open_ = [], [], [], []
+        new: set[str] = set()
+        for k, text in enumerate(texts):
+            head, *parts = text.split(" ") if self._even(text) else CUT.split(text)
+            heads.append(head)
+            rest.append(parts)
+            found = list(map(get, parts))
+            if None in found:
+                new.update([x for x, y in zip(parts, found, strict=True) if y is None])
+                open_.append(k)
+                ids.append(b"")
+            else:
+                ids.append(b"".join(found))
+        self._learn(list(new))
+        for k in open_:
+            ids[k] = b"".join(map(self.parts.__getitem__, rest[k]))
+        for x in new:
+            if len(x) > REMEMBERED:
+                del self.parts[x]
+        return [self._ids(head).tobytes() + x for head, x in zip(heads, ids, strict=True)]
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
