@@ -69,14 +69,22 @@ def pair_counts(train: DataFrame, ids: dict[bytes, int], size: int, options: Opt
     sent = train.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        get = sent.value.get
+        get, row, counts = sent.value.get, [0], np.zeros(size * size, np.int64)
 
-        def pairs(text: bytes) -> list[int]:
-            row = [0, *(get(w, 1) for w in words_of(text)), 0]
-            return [a * size + b for a, b in zip(row, row[1:])]
+        def counted() -> np.ndarray:
+            c = np.array(row, np.int64)
+            return np.bincount(c[:-1] * size + c[1:], minlength=size * size)
 
-        for keys, n in _summed(batches, pairs, options.held):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
+        for batch in batches:
+            for text in utf8(batch.column(0)):
+                row += [get(w, 1) for w in words_of(text)]
+                row.append(0)
+            if len(row) > options.tokens:
+                counts += counted()
+                row = [0]
+        counts += counted()
+        pair = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(counts[pair])], ["pair", "n"])
 
     found = train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(size * size)
@@ -234,7 +242,9 @@ def best_classes(word: np.ndarray, code: np.ndarray, n: np.ndarray, m: int, cell
     inside = (np.arange(k)[None] == old[word][:, None]) * n[:, None].astype(float)
     table = np.maximum(table - inside, 0)
     gain = np.zeros((m, k))
-    np.add.at(gain, word, _f(table + n[:, None]) - _f(table))
+    if len(word):
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        gain[word[first]] = np.add.reduceat(_f(table + n[:, None]) - _f(table), first, axis=0)
     for of_side, sums in ((True, rows), (False, columns)):
         own = np.bincount(word[side == of_side], n[side == of_side], m)
         left = np.maximum(sums[None] - (np.arange(k)[None] == old[:, None]) * own[:, None], 0)
