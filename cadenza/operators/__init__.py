@@ -228,7 +228,7 @@ def chunks(tracks: DataFrame, size_ms: int) -> DataFrame:
 def _structure():
     """Blank, numeric and time lines."""
     shape = F.btrim("line")
-    return (shape == "") | shape.rlike("^[0-9]+$") | F.contains("line", F.lit("-->"))
+    return (shape == "") | shape.rlike(r"^[\p{Nd}¹²³⁰⁴-⁹₀-₉]+$") | F.contains("line", F.lit("-->"))
 
 
 def text_blocks(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import functions as T
 from .. import operators as O
 from ..operators import matching as M
+from ..operators import sync
 from ..operators.vectors import vector_pairs
 from ..shared import stored
 from .common import CUES, cue_rows, table
@@ -79,35 +80,31 @@ def anchor_thinning(spark, sf_dir):
     return rows.where((F.col("n") <= 10) | (F.col("i") < 8) | (F.col("similarity") >= 0.8) | (F.col("i") % stride == 0) | (F.col("i") == F.col("n") - 1)).select("track_id", "pos")
 
 
-def _coded(spark, sf_dir):
-    """Cues, phrases and windows with the sets of their phonetic codes, and the way to more; cues and codes are written once."""
-    cues = stored(cue_rows(spark, sf_dir).select("track_id", "pos", "start_ms", "end_ms", "norm_text"), "cues")
-    codes = stored(M.word_codes(cues.select(F.col("norm_text").alias("text"))), "codes")
-    counts = stored(M.code_counts(cues, codes), "counts")
-    sets = lambda rows, key, text: M.code_sets(rows, codes, ["track_id", key], text, counts)
-    windows = O.sliding_windows(sets(cues, "pos", "norm_text"), sets="codes")
-    return cues, sets(O.phrases(O.transcript(cues)), "phrase_no", "text"), windows.withColumnRenamed("codes", "window_codes"), sets
+def _cues(spark, sf_dir):
+    """What matching needs of the cues, written once."""
+    return stored(cue_rows(spark, sf_dir).select("track_id", "pos", "start_ms", "end_ms", "norm_text"), "cues")
 
 
-def _candidates(spark, sf_dir):
-    cues, phrases, windows, _ = _coded(spark, sf_dir)
-    return M.candidates(M.similar_pairs(phrases, windows, cues), M.overlap(F.col("codes"), F.col("window_codes")))
+def _sides(spark, sf_dir):
+    cues = _cues(spark, sf_dir)
+    return sync.sides(cues, O.transcript(cues))
 
 
 def phrase_matches(spark, sf_dir):
     """The eight best windows in the band of each phrase by shared phonetic codes and distance."""
-    return _candidates(spark, sf_dir).select("track_id", "phrase_no", "place", "first_pos", "last_pos", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
+    return sync.matches(_sides(spark, sf_dir)).select("track_id", "phrase_no", "place", "first_pos", "last_pos", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
 def track_anchors(spark, sf_dir):
     """The anchors of each track: chains of matches, reranked, thinned and pruned."""
-    return M.align(_candidates(spark, sf_dir))
+    cues = _cues(spark, sf_dir)
+    return sync.anchors(cues, O.transcript(cues))
 
 
 def retimed_tracks(spark, sf_dir):
     """Cues moved by the anchors that their track's speech gives: from transcript to saved times."""
-    cues = cue_rows(spark, sf_dir).select("track_id", "pos", "start_ms", "end_ms")
-    return O.retimed(cues, track_anchors(spark, sf_dir))
+    cues = _cues(spark, sf_dir)
+    return sync.synced(cues, O.transcript(cues))
 
 
 def retimed_ends(spark, sf_dir):
@@ -121,7 +118,7 @@ def vector_matches(spark, sf_dir):
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("long"))
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("vector"))
     n = vectors.count()
-    cues = stored(cue_rows(spark, sf_dir).select("track_id", "pos", "start_ms", "end_ms", "norm_text"), "cues")
+    cues = _cues(spark, sf_dir)
     lent = lambda rows, at: rows.withColumn("vec_id", at % n).join(vectors, "vec_id", "left")
     coded = lent(cues, F.col("track_id") + F.col("pos")).drop("norm_text")
     phrases = lent(O.phrases(O.transcript(cues)), F.col("track_id") * 7 + F.col("phrase_no"))
@@ -130,9 +127,9 @@ def vector_matches(spark, sf_dir):
 
 
 def _searched(spark, sf_dir, from_end):
-    cues, _, windows, sets = _coded(spark, sf_dir)
-    edge = O.edge_candidates(O.transcript(cues), from_end).withColumn("no", F.col("seg_no") * 100 + F.col("last_no"))
-    found = M.anchor_search(sets(edge, "no", "text").select("track_id", "no", "anchor_ms", "codes"), windows, cues, M.overlap(F.col("codes"), F.col("window_codes")), from_end)
+    found = _sides(spark, sf_dir)
+    edge = O.edge_candidates(O.transcript(found.cues), from_end).withColumn("no", F.col("seg_no") * 100 + F.col("last_no"))
+    found = M.anchor_search(found.coded(edge, "no", "text").select("track_id", "no", "anchor_ms", "codes"), found.windows, found.cues, M.overlap(F.col("codes"), F.col("window_codes")), from_end)
     return found.select("track_id", "no", "anchor_ms", "first_pos", "last_pos", F.round("similarity", 6).alias("similarity"))
 
 

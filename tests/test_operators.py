@@ -9,6 +9,7 @@ from cadenza import operators as O
 from cadenza import sources, streaming
 from cadenza.functions import payloads
 from cadenza.operators import matching as M
+from cadenza.operators import sync
 
 
 def step(a, b, cues, phrases):
@@ -154,6 +155,9 @@ def test_anchors_of_a_track(spark):
     plain = [c for c in whole.columns if c != "window_codes"]
     assert sorted(map(str, found.select(plain).collect())) == sorted(map(str, whole.select(plain).collect())) and found.first().phrases == phrases.count()
     got = M.align(found).orderBy("pos").collect()
+    moved = sync.synced(cues, O.transcript(cues)).collect()
+    assert len(moved) == 60 and all(abs(m.new_start_ms - (m.start_ms * 1.02 + 1500)) <= 2 and abs(m.new_end_ms - (m.end_ms * 1.02 + 1500)) <= 2 for m in moved)
+    assert sync.anchors(cues, O.transcript(cues), sync.SyncOptions(phrases=100)).count() == 0
     assert len(got) >= 4 and all(abs(g.said_ms - (g.cue_ms * 1.02 + 1500)) <= 1 for g in got)
 
 
