@@ -58,8 +58,11 @@ def numbered(df: DataFrame, name: str, n_bytes: int) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Bound the Arrow batches that carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the Arrow batches that carry whole texts; a lower bound that is set stays, as several results may be waiting to be run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
