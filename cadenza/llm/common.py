@@ -41,8 +41,8 @@ def chunk_of(row: Column | str) -> Column:
     return F.shiftright(row, 33).cast("long")
 
 
-def numbered(df: DataFrame, name: str, n_bytes: int) -> DataFrame:
-    """df with row, a number of its own for each row, and chunk, the task that wrote it; written once, bucketed by chunk.
+def by_chunk(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """df written once, bucketed by its column chunk, and read back.
 
     What is found out about rows is joined on (chunk, row): it goes to the chunk's bucket, and the rows stay where
     they are. For that Spark may not ask that both columns deal out both sides, so this is set for the session.
@@ -50,13 +50,18 @@ def numbered(df: DataFrame, name: str, n_bytes: int) -> DataFrame:
     spark = df.sparkSession
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     table_name = f"{name}_{uuid.uuid4().hex}"
-    rows = df.select(F.monotonically_increasing_id().alias("row"), "*").select(chunk_of("row").alias("chunk"), "*")
-    rows.write.option("path", f"{shared_dir(spark)}/{table_name}").bucketBy(parts_for(n_bytes, 32 << 20, spark), "chunk").saveAsTable(table_name)
+    df.write.option("path", f"{shared_dir(spark)}/{table_name}").bucketBy(buckets, "chunk").saveAsTable(table_name)
     found = spark.table(table_name)
     spark.sql(f"drop table {table_name}")  # the files stay; only the name goes
     return found
 
 
+def numbered(df: DataFrame, name: str, n_bytes: int) -> DataFrame:
+    """df with row, a number of its own for each row, and chunk, the task that wrote it; see by_chunk()."""
+    rows = df.select(F.monotonically_increasing_id().alias("row"), "*").select(chunk_of("row").alias("chunk"), "*")
+    return by_chunk(rows, name, parts_for(n_bytes, 32 << 20, df.sparkSession))
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Bound the Arrow batches that carry whole texts; a lower bound that is set stays, as several results may be waiting to be run."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bktree import Forest, components
-from .common import chunk_of, parts_for, small_batches, stored, utf8
+from .common import by_chunk, chunk_of, parts_for, small_batches, stored, utf8
 from .components import connected
 from .simhash import CHUNK, SHARD, shingle_spans
 
@@ -118,7 +118,7 @@ def _common(rows: DataFrame) -> np.ndarray:
 
 
 def _sets(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """(row, id, bytes, n, fp, digest, prefix) of rows(row, id, text); equal sets have one digest."""
+    """(chunk, row, id, bytes, n, fp, digest, prefix) of rows(chunk, row, id, text); equal sets have one digest."""
     sent = rows.sparkSession.sparkContext.broadcast(common)
     kind = dict(rows.dtypes)["id"]
 
@@ -133,7 +133,8 @@ def _sets(rows: DataFrame, common: np.ndarray) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "bytes", "n", "fp", "digest", "prefix"])
 
-    return rows.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, bytes long, n long, fp long, digest binary, prefix array<long>")
+    found = rows.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, bytes long, n long, fp long, digest binary, prefix array<long>")
+    return found.select(chunk_of("row").alias("chunk"), "*")
 
 
 def _dealt(keys: DataFrame, group: str, shards: DataFrame, item: str) -> DataFrame:
@@ -224,21 +225,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield links()
 
 
-def one_of_each(rows: DataFrame) -> DataFrame:
+def one_of_each(rows: DataFrame, n_bytes: int) -> DataFrame:
     """(row): one row of each group of near copies among rows(chunk, row, id, text) of numbered(), that with the smallest id.
 
     Texts are near copies at a Jaccard similarity of SHARED / OF or more on sets of WORDS-word
     shingles, each pair held against each other on whole texts; groups are connected over such pairs.
     Candidates share one of the shingles of `prefix`, which no such pair can avoid, and differ in at
-    most RADIUS bits of their SimHash. row is unique and from a stored table. A null id comes after
+    most RADIUS bits of their SimHash. n_bytes are those of the texts. row is unique and from a stored table. A null id comes after
     all others; equal ids are settled by row. Texts without words are copies of each other.
     """
     spark: SparkSession = rows.sparkSession
     small_batches(spark)
-    sets = stored(_sets(rows, _common(rows)), "sets")
+    sets = by_chunk(_sets(rows, _common(rows)), "sets", parts_for(n_bytes, 32 << 20, spark))
     keep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("keep")
     equal = stored(sets.groupBy("digest").agg(F.min("row").alias("row"), keep), "equal").drop("digest")
-    one = sets.join(equal.select("row"), "row", "left_semi")
+    one = sets.join(equal.select(chunk_of("row").alias("chunk"), "row").hint("shuffle_hash"), ["chunk", "row"], "left_semi")
     # large buckets are told from a share of the rows: their shards only decide what a search costs
     keys = sets.select("fp", "n", F.explode("prefix").alias("bucket"))
     some = keys.where(F.pmod(F.xxhash64("fp"), F.lit(COUNTED)) == 0).groupBy("bucket").count().where(F.col("count") > SHARD // COUNTED)
