@@ -42,7 +42,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     rows = numbered(docs.select(F.struct("*").alias("doc")), "rows", n_bytes)
-    kept = stored(one_of_each(rows.select("chunk", "row", F.col("doc.doc_id").alias("id"), F.col("doc.text").cast("string").alias("text"))), "kept")
+    kept = stored(one_of_each(rows.select("chunk", "row", F.col("doc.doc_id").alias("id"), F.col("doc.text").cast("string").alias("text")), n_bytes), "kept")
     return rows.join(kept.select(chunk_of("row").alias("chunk"), "row").hint("shuffle_hash"), ["chunk", "row"], "left_semi").select("doc.*")
 
 
