@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import heapq
 import os
 import re
@@ -348,16 +349,20 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 2, size: int = 1024, with_i
             yield from _emit(list(range(number, number + len(bins))), bins, items, size, arrow)
             number, items = number + len(bins), []
 
-        for batch in batches:
-            ids = encoder([x.decode() for x in utf8(batch.column(1))])
-            for doc_id, mine in zip(batch.column(0).to_pylist(), ids, strict=True):
-                mine += tail
-                for piece, (start, length) in enumerate(_pieces(len(mine) // 4, size)):
-                    cut = mine[4 * start : 4 * (start + length)]
-                    items.append((doc_id, piece, start, length, zlib.crc32(cut), cut if with_ids else None))
-                if len(items) >= GROUP:
-                    yield from packed()
-        yield from packed()
+        gc.disable()  # many small objects live long, none of them in cycles
+        try:
+            for batch in batches:
+                ids = encoder([x.decode() for x in utf8(batch.column(1))])
+                for doc_id, mine in zip(batch.column(0).to_pylist(), ids, strict=True):
+                    mine += tail
+                    for piece, (start, length) in enumerate(_pieces(len(mine) // 4, size)):
+                        cut = mine[4 * start : 4 * (start + length)]
+                        items.append((doc_id, piece, start, length, zlib.crc32(cut), cut if with_ids else None))
+                    if len(items) >= GROUP:
+                        yield from packed()
+            yield from packed()
+        finally:
+            gc.enable()
 
     def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: list[int] = []
