@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from abc import abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import pyarrow as pa
 from pyarrow import fs
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql.datasource import DataSourceArrowWriter, InputPartition, WriterCommitMessage
 
 #: Bytes of one partition, and what opening a file counts for.
-PART_BYTES, OPEN_BYTES = 64 << 20, 1 << 20
+PART_BYTES, OPEN_BYTES = 64 << 20, 256 << 10
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -41,20 +42,25 @@ class Files(InputPartition):
     paths: list[str]
 
 
-def packed(found: list[fs.FileInfo], most: int = PART_BYTES, opening: int = OPEN_BYTES) -> list[Files]:
-    """Files in order, as many to a partition as its bytes allow, one at least."""
-    parts: list[Files] = []
+def parted(found: list, size: Callable[[Any], int], most: int = PART_BYTES, opening: int = OPEN_BYTES) -> list[list]:
+    """What is to be read, in order, as much to a part as its bytes allow, one at least."""
+    parts: list[list] = []
     held = 0
     for f in found:
-        cost = f.size + opening
+        cost = size(f) + opening
         if not parts or held + cost > most:
-            parts.append(Files([]))
+            parts.append([])
             held = 0
-        parts[-1].paths.append(f.path)
+        parts[-1].append(f)
         held += cost
     return parts
 
 
+def packed(found: list[fs.FileInfo], most: int = PART_BYTES, opening: int = OPEN_BYTES) -> list[Files]:
+    """Files in order, as many to a partition as its bytes allow."""
+    return [Files([f.path for f in some]) for some in parted(found, lambda f: f.size, most, opening)]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """The files of one task: where they are staged, and what they are to be called."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import PART_BYTES, StagedWriter, file_system, files_under
+from .files import PART_BYTES, StagedWriter, file_system, files_under, parted
 
 SCHEMA = "path string, at long, pts long, dts long, kind int, payload binary"
 #: Magic, header (magic, pts, dts, kind, size), and kinds of segments. Fixed values.
@@ -20,7 +20,7 @@ CHAIN = 4
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Segments that begin in these bytes of a file."""
 
     path: str
@@ -29,6 +29,13 @@ class Range(InputPartition):
     size: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads."""
+
+    parts: list[Range]
+
+
 class _Bytes:
     """Random access to a file through blocks."""
 
@@ -98,22 +105,25 @@ class SupReader(DataSourceReader):
     def __init__(self, path: str, split: int):
         self.path, self.split = path, split
 
-    def partitions(self) -> list[Range]:
-        return [Range(f.path, a, min(a + self.split, f.size), f.size) for f in files_under(self.path, ".sup") for a in range(0, f.size, self.split)]
+    def partitions(self) -> list[Ranges]:
+        found = [Range(f.path, a, min(a + self.split, f.size), f.size) for f in files_under(self.path, ".sup") for a in range(0, f.size, self.split)]
+        return [Ranges(some) for some in parted(found, lambda r: r.end - r.start)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
         schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("pts", pa.int64()), ("dts", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
-        with system.open_input_file(partition.path) as data:
-            rows, held = [], 0
-            for row in segments(data, partition.size, partition.start, partition.end):
-                rows.append((partition.path, *row))
-                held += len(row[-1] or b"")
-                if held > 8 << 20 or len(rows) >= 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        rows, held = [], 0
+        for part in partition.parts:
+            with system.open_input_file(part.path) as data:
+                for row in segments(data, part.size, part.start, part.end):
+                    rows.append((part.path, *row))
+                    held += len(row[-1] or b"")
+                    if held > 8 << 20 or len(rows) >= 10_000:
+                        yield batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
 
 class SupWriter(StagedWriter):
@@ -127,8 +137,8 @@ class SupWriter(StagedWriter):
 class SupSource(DataSource):
     """Segments of .sup files: (path, at, pts, dts, kind, payload); at is where the segment begins.
 
-    Files are cut every splitBytes bytes; a task finds the first segment of its range and reads those that
-    begin in it. A file counts up to where no segment follows another: there the range has a row without
+    Files are cut every splitBytes bytes; a task has one range or several small ones, finds the first segment of each and
+    reads those that begin in it. A file counts up to where no segment follows another: there the range has a row without
     kind, and what lies behind it in the file doesn't count.
     """
 

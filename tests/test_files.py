@@ -121,3 +121,14 @@ def test_screens(spark):
     y, cr, cb = (255 - 16) * 1.164383562, 127, -128
     clamp = lambda x: max(0, min(255, int(x + 0.5)))
     assert colours == {1: (255, 255, 255, 255), 2: (clamp(y + cr * 1.792741071), clamp(y - cr * 0.5329093286 - cb * 0.2132486143), clamp(y + cb * 2.112401786), 1)}
+
+
+def test_sup_small_files_share_tasks(spark, tmp_path):
+    """Hundreds of small files are not a task each; a large one is still cut."""
+    for k in range(300):
+        (tmp_path / f"{k}.sup").write_bytes(stream(3, k)[0])
+    (tmp_path / "large.sup").write_bytes(stream(400, 7)[0])
+    df = sup.read_sup(spark, str(tmp_path), 1000)
+    parts = sup.SupReader(str(tmp_path), 1000).partitions()
+    assert len(parts) <= 3 and sum(r.path.endswith("large.sup") for p in parts for r in p.parts) > 5
+    assert df.where("kind is not null").count() == 300 * 3 + 400
