@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from . import expected_places, track
+from .blocks import banded, lists
 
 #: Cues of one block at most.
 BLOCK = 2048
@@ -24,68 +23,27 @@ def vector_pairs(phrases: DataFrame, cues: DataFrame, size: int = 3, gap_ms: int
     BLOCK at most, with what windows need of the next one; phrases go to the blocks of their band. In a block all
     window vectors come from running sums and all similarities from one product of matrices.
     """
-    placed = expected_places(phrases.select("track_id", "phrase_no", "vector"), cues)
-    width = F.least(F.col("radius"), F.lit(BLOCK)).cast("long")
-    place = lambda x: F.floor(x / width).cast("long")
-    low, high = place(F.greatest(F.col("expected") - F.col("radius"), F.lit(0))), place(F.least(F.col("expected") + F.col("radius"), F.col("cues") - 1))
-    left = placed.withColumn("block", F.explode(F.sequence(low, high)))
-    broken = F.coalesce((F.col("start_ms") - F.lag("end_ms").over(track()) > gap_ms).cast("long"), F.lit(0))
-    rows = cues.withColumn("broken", broken).withColumn("island", F.sum("broken").over(track()))
-    radius = F.greatest(F.floor(F.count(F.lit(1)).over(Window.partitionBy("track_id")) / 12), F.lit(70))
-    rows = rows.withColumn("radius", radius)
-    own, before = place(F.col("pos")), place(F.greatest(F.col("pos") - (size - 1), F.lit(0)))
-    rows = rows.select("track_id", "pos", "island", "vector", width.alias("width"), F.explode(F.array_distinct(F.array(own, before))).alias("block"))
 
-    def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-        lists = column.to_pylist()
-        wide = max((len(x) for x in lists if x is not None), default=n) or n
-        return np.array([x if x is not None else [0] * wide for x in lists], float).reshape(len(lists), -1)
-
-    def multiply(p: pa.Table, c: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not p.num_rows or not c.num_rows:
-            return
-        c, p = c.sort_by("pos"), p.sort_by("phrase_no")
-        a, v = matrix(p["vector"], 1), matrix(c["vector"], 1)
-        pos, island = c["pos"].to_numpy(), c["island"].to_numpy()
-        sums = np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)])
-        first, last = [], []
-        for n in range(size):
-            i = np.arange(len(pos) - n)
-            # a window of the block begins in it; cues of the next one are there only for its end
-            good = i[(pos[i] // c["width"][0].as_py() == c["block"][0].as_py()) & (island[i] == island[i + n]) & (pos[i + n] == pos[i] + n)]
-            first.append(good)
-            last.append(good + n)
-        i, j = np.concatenate(first), np.concatenate(last)
-        if not len(i):
-            return
+    def matrix(column: pa.ChunkedArray, at: slice, wide: int) -> np.ndarray:
+        lengths, values = lists(column, at)
+        values = values.to_numpy(zero_copy_only=False)
+        out = np.zeros((len(lengths), wide))
+        out[lengths > 0] = values.reshape(-1, wide)
+        return out
+
+    def multiply(table: pa.Table, p: slice, c: slice, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+        wide = max(int(lists(table["vector"], slice(p.start, c.stop))[0].max()), 1)
+        a, v = matrix(table["vector"], p, wide), matrix(table["vector"], c, wide)
+        sums = np.concatenate([np.zeros((1, wide)), np.cumsum(v, axis=0)])
         w = sums[j + 1] - sums[i]
         lengths = np.sqrt((w * w).sum(1))
-        start, end = pos[i], pos[j]
-        names = ["phrase_no", "expected", "radius", "cues", "phrases"]
-        info = {k: p[k].to_numpy() for k in names}
         for at in range(0, len(a), 256):
-            some = slice(at, at + 256)
-            norm = np.sqrt((a[some] * a[some]).sum(1))[:, None] * lengths[None]
-            dot = a[some] @ w.T
+            some = a[at : at + 256]
+            norm = np.sqrt((some * some).sum(1))[:, None] * lengths[None]
+            dot = some @ w.T
             cosine = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
             similar = np.clip(cosine, 0.0, 1.0)
-            around = info["radius"][some, None]
-            band = (start[None] >= info["expected"][some, None] - around) & (end[None] <= np.minimum(info["cues"][some, None] - 1, info["expected"][some, None] + around))
-            x, y = np.nonzero(band & (similar >= least))
-            yield pa.RecordBatch.from_arrays(
-                [p["track_id"].combine_chunks().take(pa.array(x + at)), *(pa.array(info[k][some][x]) for k in names), pa.array(start[y]), pa.array(end[y]), pa.array(similar[x, y])],
-                ["track_id", *names, "first_pos", "last_pos", "similarity"],
-            )
-
-    def block(p: pa.Table, c: pa.Table) -> pa.Table:
-        batches = list(multiply(p, c))
-        return pa.Table.from_batches(batches) if batches else pa.table({n: pa.array([], t) for n, t in empty})
-
-    kind = dict(phrases.dtypes)["track_id"]
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+            x, y = np.nonzero(similar >= least)
+            yield x + at, y, similar[x, y]
 
-    schema = f"track_id {kind}, phrase_no long, expected long, radius long, cues long, phrases long, first_pos long, last_pos long, similarity double"
-    empty = [(f.name, f.type) for f in to_arrow_schema(_parse_datatype_string(schema))]
-    rows = rows.toDF(*rows.columns)  # columns of its own, as both sides may come from the same cues
-    return left.groupBy("track_id", "block").cogroup(rows.groupBy("track_id", "block")).applyInArrow(block, schema)
+    return banded(phrases, cues, ["vector"], ["vector"], multiply, "similarity double", size, gap_ms, BLOCK)
