@@ -148,25 +148,32 @@ def transcript(cues: DataFrame) -> DataFrame:
     return heard.select("track_id", (F.row_number().over(track()) - 1).cast("long").alias("pos"), said("start_ms"), said("end_ms"), "norm_text")
 
 
-def phrases(segments: DataFrame, size: int = 3, least: int = 18, gap_ms: int | None = None) -> DataFrame:
-    """(track_id, phrase_no, said_ms, text): from each segment the shortest run of up to size that has `least` characters."""
-    runs = sliding_windows(segments, size, gap_ms if gap_ms is not None else 1 << 60).where(F.length("text") >= least)
-    best = runs.groupBy("track_id", "first_pos").agg(F.min_by(F.struct("start_ms", "text"), "last_pos").alias("run"))
+def phrases(segments: DataFrame, size: int = 3, least: int = 18, gap_ms: int | None = None, sets: str | None = None) -> DataFrame:
+    """(track_id, phrase_no, said_ms, text): from each segment the shortest run of up to size that has `least` characters.
+
+    sets names a column of arrays whose union a run has, too.
+    """
+    more = [sets] if sets else []
+    runs = sliding_windows(segments, size, gap_ms if gap_ms is not None else 1 << 60, sets).where(F.length("text") >= least)
+    # runs of a segment stand together, shortest first
+    best = runs.withColumn("before", F.lag("first_pos").over(Window.partitionBy("track_id").orderBy("first_pos", "last_pos"))).where("before is null or before <> first_pos")
     number = F.row_number().over(Window.partitionBy("track_id").orderBy("first_pos")) - 1
-    return best.select("track_id", number.cast("long").alias("phrase_no"), F.col("run.start_ms").alias("said_ms"), F.col("run.text").alias("text"))
+    return best.select("track_id", number.cast("long").alias("phrase_no"), F.col("start_ms").alias("said_ms"), "text", *more)
 
 
-def edge_candidates(segments: DataFrame, from_end: bool = False, starts: int = 2, size: int = 4, least: int = 12) -> DataFrame:
+def edge_candidates(segments: DataFrame, from_end: bool = False, starts: int = 2, size: int = 4, least: int = 12, sets: str | None = None) -> DataFrame:
     """(track_id, seg_no, last_no, anchor_ms, text): runs of up to size segments from the first ones of a track.
 
     From the end segments count backwards, texts are joined in that order, and the anchor is the end of the run's first one.
+    sets names a column of arrays whose union a run has, too.
     """
+    more = [sets] if sets else []
     if from_end:
         back = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("pos"))) - 1
-        segments = segments.withColumn("back", back.cast("long")).select("track_id", F.col("back").alias("pos"), F.col("end_ms").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), "norm_text")
-    runs = sliding_windows(segments.where(F.col("pos") < starts + size - 1), size, 1 << 60)
+        segments = segments.withColumn("back", back.cast("long")).select("track_id", F.col("back").alias("pos"), F.col("end_ms").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), "norm_text", *more)
+    runs = sliding_windows(segments.where(F.col("pos") < starts + size - 1), size, 1 << 60, sets)
     runs = runs.where((F.col("first_pos") < starts) & (F.length("text") >= least))
-    return runs.select("track_id", F.col("first_pos").alias("seg_no"), F.col("last_pos").alias("last_no"), F.col("start_ms").alias("anchor_ms"), "text")
+    return runs.select("track_id", F.col("first_pos").alias("seg_no"), F.col("last_pos").alias("last_no"), F.col("start_ms").alias("anchor_ms"), "text", *more)
 
 
 def linear_transform(ends: DataFrame, drift: float = 0.08, error_ms: float = 1000.0) -> DataFrame:

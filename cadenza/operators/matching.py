@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import operators as O
 from ..functions import cologne
 from . import band_cells
+from .blocks import banded, grouped, lists
 
 #: Fixed values of a step from one match to the next, by how sure it is: how far the shares of cues and
 #: phrases passed may differ and what more costs, the same for the smallest and largest scale, and for cues passed.
@@ -24,6 +27,8 @@ STRONG, RECOVERS, BONUS, SKIPPED, PLACE = 0.74, (0.69, 0.68), (0.68, 0.9, 0.08),
 #: Neighbours are strong from this similarity, help matches so many cues around them by so much,
 #: and a phrase is short up to so many words or characters.
 NEIGHBOUR, AROUND, HELP, SHORT_WORDS, SHORT = 0.72, 18, 0.18, 3, 24
+#: Cues of one block at most, and codes of it that are looked at together.
+BLOCK, CODES = 1024, 4096
 #: Scales of stable neighbours, fewest anchors, and those kept: the first ones, similar ones, and about so many.
 SCALES, LEAST, FIRST, SIMILAR, TARGET = (0.35, 2.5), 4, 8, 0.80, 10
 
@@ -78,9 +83,53 @@ def similar_pairs(phrases: DataFrame, windows: DataFrame, cues: DataFrame, least
     return both.where(fits).drop("cell", "key", "head", "window_head", "at", "window_at")
 
 
-def overlap(a: Column, b: Column) -> Column:
-    """Shared codes as a share of the larger set."""
-    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
+def code_pairs(phrases: DataFrame, cues: DataFrame, size: int = 3, gap_ms: int = 3500, least: float = 0.38) -> DataFrame:
+    """(track_id, phrase_no, expected, radius, cues, phrases, first_pos, last_pos, similarity, start_ms, said_ms, words, chars): pairs of the band whose codes overlap by `least`.
+
+    phrases(track_id, phrase_no, said_ms, text, codes) and cues(track_id, pos, start_ms, end_ms, codes), codes distinct. A window's
+    codes are those of its cues. In a block of the band all shared codes are counted by one product of matrices of
+    which code is where.
+    """
+    told = phrases.withColumns({"words": F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " "))).cast("long"), "chars": F.length("text").cast("long")})
+
+    def multiply(table: pa.Table, p: slice, c: slice, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+        n, m = p.stop - p.start, c.stop - c.start
+        lengths, codes = lists(table["codes"], slice(p.start, c.stop))
+        row, code = np.repeat(np.arange(n + m), lengths), codes.dictionary_encode().indices.to_numpy()
+        # only codes of the block's cues can be shared
+        names = np.unique(code[row >= n])
+        if not len(names):
+            return
+        place = np.full(int(code.max()) + 1, -1)
+        place[names] = np.arange(len(names))
+        code = place[code]
+
+        def there(low: int, high: int, a: int) -> np.ndarray:
+            some = slice(*np.searchsorted(row, [low, high]))
+            mine = (code[some] >= a) & (code[some] < a + CODES)
+            out = np.zeros((high - low, min(CODES, len(names) - a)), np.float32)
+            out[row[some][mine] - low, code[some][mine] - a] = 1
+            return out
+
+        said, words, chars = (table[k].slice(p.start, n).to_numpy() for k in ("said_ms", "words", "chars"))
+        start = table["start_ms"].slice(c.start, m).to_numpy()
+        ys = [np.flatnonzero(j - i == k) for k in range(min(size, m))]
+        for low in range(0, n, BLOCK):
+            high = min(low + BLOCK, n)
+            shared, has = [0.0] * len(ys), [0.0] * len(ys)
+            for a in range(0, len(names), CODES):
+                mine, run = there(low, high, a), (alone := there(n, n + m, a))
+                for k, y in enumerate(ys):
+                    run = np.maximum(run[:-1], alone[k:]) if k else run
+                    some = run[i[y]]
+                    shared[k], has[k] = shared[k] + mine @ some.T, has[k] + some.sum(1)
+            for k, y in enumerate(ys):
+                share = shared[k] / np.maximum(np.maximum(lengths[low:high, None], has[k][None]), 1).astype(float)
+                x, z = np.nonzero(share >= least)
+                similarity, x = share[x, z], x + low
+                yield x, y[z], similarity, start[i[y[z]]], said[x], words[x], chars[x]
+
+    return banded(told, cues, ["said_ms", "words", "chars", "codes"], ["start_ms", "codes"], multiply, "similarity double, start_ms long, said_ms long, words long, chars long", size, gap_ms, BLOCK)
 
 
 def candidates(pairs: DataFrame, similarity: Column, least: float = 0.38, weight: float = 0.18, most: int = 8) -> DataFrame:
@@ -96,6 +145,11 @@ def candidates(pairs: DataFrame, similarity: Column, least: float = 0.38, weight
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
+_STEPS = np.array(list(STEPS.values())).T
+#: Steps between matches that are worked out at once.
+STEPS_AT_ONCE = 1 << 18
+
+
 def _bonus(similarity: np.ndarray) -> np.ndarray:
     floor, slope, most = BONUS
     return np.clip((similarity - floor) * slope, 0, most)
@@ -109,6 +163,7 @@ class Matches:
         columns = (phrase, first, last, cue_ms, said_ms, similarity, score, place)
         self.phrase, self.first, self.last, self.cue, self.said, self.similarity, self.score, self.place = (np.asarray(c)[order] for c in columns)
         self.cues, self.phrases = cues, phrases
+        self._chain: np.ndarray | None = None
 
     def take(self, keep: np.ndarray, score: np.ndarray | None = None) -> Matches:
         columns = [c[keep] for c in (self.phrase, self.first, self.last, self.cue, self.said, self.similarity, self.score if score is None else score, self.place)]
@@ -118,45 +173,67 @@ class Matches:
         apart = np.abs(self.first / max(self.cues - 1, 1) - self.phrase / max(self.phrases - 1, 1))
         return np.maximum(apart - PLACE[0], 0) * PLACE[1]
 
-    def step(self, before: np.ndarray, i: int) -> np.ndarray:
-        """What it costs to go on to match i from each of the matches before."""
+    def steps(self, n: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What it costs to go on to matches i from each of the first n, endless where it can't be done, and what the phrases between cost."""
+        i, before = i[:, None], slice(n)
         cue, said = self.cue[i] - self.cue[before], self.said[i] - self.said[before]
-        phrase_gap = np.maximum(self.phrase[i] - self.phrase[before] - 1, 0)
+        apart = self.phrase[i] - self.phrase[before] - 1
+        phrase_gap = np.maximum(apart, 0)
         cue_gap = np.maximum(self.first[i] - self.last[before] - 1, 0)
-        recovers = self.similarity[i] >= RECOVERS[0] and self.score[i] >= RECOVERS[1]
+        recovers = (self.similarity[i] >= RECOVERS[0]) & (self.score[i] >= RECOVERS[1])
         strong = (self.similarity[before] >= STRONG) & (self.similarity[i] >= STRONG)
         kind = np.where((phrase_gap <= 1) & recovers, 0, np.where(strong, 1, 2))
-        apart, apart_cost, slow, slow_cost, fast, fast_cost, jump, jump_cost = np.array(list(STEPS.values()))[kind].T
+        far, far_cost, slow, slow_cost, fast, fast_cost, jump, jump_cost = (column[kind] for column in _STEPS)
         forward = (cue > 0) & (said > 0)
-        scale = np.divide(said, cue, out=np.ones(len(before)), where=forward)
+        scale = np.divide(said, cue, out=np.ones(kind.shape), where=forward)
         shares = np.abs(cue_gap / max(self.cues - 1, 1) - phrase_gap / max(self.phrases - 1, 1))
         over = lambda x, cost: np.maximum(x, 0) * cost
-        cost = over(shares - apart, apart_cost) + over(slow - scale, slow_cost) + over(scale - fast, fast_cost)
-        return np.where(forward, cost + over(cue_gap - np.maximum(phrase_gap * 9, jump), jump_cost), 1e6)
+        cost = over(shares - far, far_cost) + over(slow - scale, slow_cost) + over(scale - fast, fast_cost)
+        cost = np.where(forward, cost + over(cue_gap - np.maximum(phrase_gap * 9, jump), jump_cost), 1e6)
+        cost[self.last[before] >= self.first[i]] = np.inf
+        return cost, SKIPPED * apart
 
     def chain(self) -> np.ndarray:
         """The matches of the best chain that moves on in phrases and cues; none if it has fewer than LEAST."""
+        if self._chain is None:
+            self._chain = self._best_chain()
+        return self._chain
+
+    def _best_chain(self) -> np.ndarray:
         n = len(self.phrase)
         if not n:
             return np.empty(0, np.int64)
         own = self.score + _bonus(self.similarity)
         edge = self.off_place()
         best, count, previous = own - SKIPPED * self.phrase - edge, np.ones(n, np.int64), np.full(n, -1)
-        for i in range(n):
-            before = np.flatnonzero((self.phrase[:i] < self.phrase[i]) & (self.last[:i] < self.first[i]))
-            if not len(before):
-                continue
-            total = best[before] + own[i] - self.step(before, i) - SKIPPED * (self.phrase[i] - self.phrase[before] - 1)
-            if total.max() > best[i]:
-                at = int(total.argmax())
-                best[i], count[i], previous[i] = total[at], count[before[at]] + 1, before[at]
-            else:
-                at = -1
+        # matches of one phrase stand together and are never steps of each other; steps are worked out for many phrases at once
+        starts = np.flatnonzero(np.diff(self.phrase, prepend=self.phrase[0] - 1)).tolist()
+        groups = list(zip(starts[1:], [*starts[2:], n]))
+        until = 0
+        for low, high in groups:
+            if high > until:
+                base, until = low, max(high, min(n, low + STEPS_AT_ONCE // n))
+                until = next(z for _, z in groups if z >= until)
+                steps, skipped = self.steps(until, np.arange(base, until))
+            total = best[:low] + own[low:high, None]
+            total -= steps[low - base : high - base, :low]
+            total -= skipped[low - base : high - base, :low]
+            at = total.argmax(1)
+            top = total[np.arange(high - low), at]
+            better = top > best[low:high]
+            best[low:high] = np.where(better, top, best[low:high])
+            count[low:high] = np.where(better, count[at] + 1, 1)
+            previous[low:high] = np.where(better, at, -1)
+            total -= best[low:high, None]
             # nearly equal chains that come later count if they are longer
-            tied = np.flatnonzero((np.abs(total - best[i]) < 1e-9) & (np.arange(len(total)) > at) & (count[before] + 1 > count[i]))
-            if len(tied):
-                t = tied[count[before[tied]].argmax()]
-                best[i], count[i], previous[i] = total[t], count[before[t]] + 1, before[t]
+            near = total > -1e-9
+            if np.count_nonzero(near) > np.count_nonzero(better):
+                for k in range(high - low):
+                    tied = np.flatnonzero(near[k])
+                    tied = tied[(tied > previous[low + k]) & (count[tied] + 1 > count[low + k])]
+                    if len(tied):
+                        t = tied[count[tied].argmax()]
+                        best[low + k], count[low + k], previous[low + k] = best[low + k] + total[k, t], count[t] + 1, t
         final = best - SKIPPED * (self.phrases - self.phrase - 1) - edge
         path = [int(np.lexsort((-np.arange(n), count, final))[-1])]
         while previous[path[-1]] >= 0:
@@ -224,25 +301,28 @@ def thinned(m: Matches, chain: np.ndarray) -> np.ndarray:
 def align(matches: DataFrame) -> DataFrame:
     """(track_id, anchor, pos, last_pos, cue_ms, said_ms, similarity): the anchors of each track.
 
-    matches are candidates() with text, said_ms, start_ms (of the window), cues and phrases. A track is
-    one group: its chain is a search over all of its matches. A track without a stable chain has no rows.
+    matches are candidates() with text, or words and chars (how many it has), said_ms, start_ms (of the window), cues and
+    phrases. A track is one group: its chain is a search over all of its matches. A track without a stable chain has no rows.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        c = {k: table[k].to_numpy() for k in table.column_names if k not in ("text", "track_id")}
-        m = Matches(c["phrase_no"], c["first_pos"], c["last_pos"], c["start_ms"].astype(float), c["said_ms"].astype(float), c["similarity"], c["score"], c["place"], int(c["cues"][0]), int(c["phrases"][0]))
-        texts = dict(zip(c["phrase_no"].tolist(), table["text"].to_pylist()))
-        m = m.reranked({p: len(t.split()) for p, t in texts.items()}, {p: len(t) for p, t in texts.items()})
-        keep = thinned(m, m.chain())
-        track = table["track_id"].combine_chunks()
-        return pa.table({
-            "track_id": track.take(pa.array(np.zeros(len(keep), np.int64))), "anchor": pa.array(np.arange(1, len(keep) + 1, dtype=np.int64)), "pos": pa.array(m.first[keep]), "last_pos": pa.array(m.last[keep]),
-            "cue_ms": pa.array(m.cue[keep].astype(np.int64)), "said_ms": pa.array(m.said[keep].astype(np.int64)), "similarity": pa.array(m.similarity[keep]),
-        })
+    sized = matches if "words" in matches.columns else matches.withColumns({"words": F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long"), "chars": F.length("text").cast("long")})
+    columns = ["phrase_no", "first_pos", "last_pos", "start_ms", "said_ms", "similarity", "score", "place", "cues", "phrases", "words", "chars"]
+
+    def run(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        every = {k: table[k].to_numpy() for k in columns}
+        found = []
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            c = {k: v[low:high] for k, v in every.items()}
+            m = Matches(c["phrase_no"], c["first_pos"], c["last_pos"], c["start_ms"].astype(float), c["said_ms"].astype(float), c["similarity"], c["score"], c["place"], int(c["cues"][0]), int(c["phrases"][0]))
+            m = m.reranked(*(dict(zip(c["phrase_no"].tolist(), c[k].tolist())) for k in ("words", "chars")))
+            keep = thinned(m, m.chain())
+            if len(keep):
+                found.append((np.full(len(keep), low), np.arange(1, len(keep) + 1), m.first[keep], m.last[keep], m.cue[keep].astype(np.int64), m.said[keep].astype(np.int64), m.similarity[keep]))
+        if found:
+            at, *values = (np.concatenate(c) for c in zip(*found))
+            yield pa.RecordBatch.from_arrays([table["track_id"].combine_chunks().take(pa.array(at)), *map(pa.array, values)], ["track_id", "anchor", "pos", "last_pos", "cue_ms", "said_ms", "similarity"])
 
     kind = dict(matches.dtypes)["track_id"]
-    some = matches.select("track_id", "phrase_no", "first_pos", "last_pos", "start_ms", "said_ms", "similarity", "score", "place", "cues", "phrases", "text")
-    return some.groupBy("track_id").applyInArrow(run, f"track_id {kind}, anchor long, pos long, last_pos long, cue_ms long, said_ms long, similarity double")
+    return grouped(sized.select("track_id", *columns), ["track_id"], ["phrase_no"], run, f"track_id {kind}, anchor long, pos long, last_pos long, cue_ms long, said_ms long, similarity double")
 
 
 def anchor_search(phrases: DataFrame, windows: DataFrame, cues: DataFrame, similarity: Column, from_end: bool = False, least: float = 0.5) -> DataFrame:
@@ -252,8 +332,10 @@ def anchor_search(phrases: DataFrame, windows: DataFrame, cues: DataFrame, simil
     From the end windows are met last first, up to the first one that ends before the middle.
     """
     half = cues.groupBy("track_id").agg(F.floor(F.count(F.lit(1)) / 2).alias("half"))
-    both = phrases.join(windows, "track_id").join(half, "track_id")
     inside = (F.col("first_pos") >= F.col("half")) | ((F.col("first_pos") == F.col("half") - 1) & (F.col("last_pos") >= F.col("half"))) if from_end else F.col("first_pos") <= F.col("half")
-    order = [F.desc("first_pos"), F.desc("last_pos")] if from_end else [F.col("first_pos"), F.col("last_pos")]
-    best = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("similarity"), "no", *order))
-    return both.where(inside).withColumn("similarity", similarity).withColumn("best", best).where((F.col("best") == 1) & (F.col("similarity") >= least)).drop("best")
+    near = windows.drop("text").join(half, "track_id").where(inside)
+    both = phrases.join(near, "track_id").withColumn("similarity", similarity).where(F.col("similarity") >= least)
+    way = -1 if from_end else 1
+    order = F.struct(-F.col("similarity"), "no", F.col("first_pos") * way, F.col("last_pos") * way)
+    columns = [c for c in both.columns if c != "track_id"]
+    return both.groupBy("track_id").agg(F.min_by(F.struct(*columns), order).alias("best")).select("track_id", *[F.col("best")[c].alias(c) for c in columns])
