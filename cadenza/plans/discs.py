@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..operators import screens as S
@@ -14,9 +14,8 @@ from .common import CUES, cue_rows, table
 def srt_files(spark, sf_dir):
     """Every track written as an SRT file, a third of them in code page 1252 where that has all their letters, and read again."""
     cues = cue_rows(spark, sf_dir)
-    plain = F.bool_and(F.col("raw_text").rlike(r"^[\x00-\x7f\xa0-\xff]*$"))
-    tracks = cues.groupBy("track_id").agg(F.when((F.col("track_id") % 3 == 1) & plain, "cp1252").otherwise("utf-8").alias("encoding"))
-    named = cues.join(tracks, "track_id").select(F.concat(F.lit("t"), F.col("track_id") % 7, F.lit("/"), "track_id", F.lit(".synced.srt")).alias("path"), "pos", "start_ms", "end_ms", F.col("raw_text").alias("text"), "encoding")
+    plain = F.bool_and(F.col("raw_text").rlike(r"^[\x00-\x7f\xa0-\xff]*$")).over(Window.partitionBy("track_id"))
+    named = cues.withColumn("encoding", F.when((F.col("track_id") % 3 == 1) & plain, "cp1252").otherwise("utf-8")).select(F.concat(F.lit("t"), F.col("track_id") % 7, F.lit("/"), "track_id", F.lit(".synced.srt")).alias("path"), "pos", "start_ms", "end_ms", F.col("raw_text").alias("text"), "encoding")
     folder = new_folder(spark, "srt")
     srt.write_srt(named, folder)
     back = srt.read_srt_files(spark, folder)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from abc import abstractmethod
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -15,6 +17,8 @@ from pyspark.sql.datasource import DataSourceArrowWriter, InputPartition, Writer
 
 #: Bytes of one partition, and what opening a file counts for.
 PART_BYTES, OPEN_BYTES = 64 << 20, 256 << 10
+#: Files that are moved at once.
+MOVES = 16
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
@@ -129,8 +133,8 @@ class StagedWriter(DataSourceArrowWriter):
                 raise FileExistsError(taken[0])
             for folder in {t.rsplit("/", 1)[0] for t in targets}:
                 system.create_dir(folder, recursive=True)
-            for at, target in moves:
-                system.move(at, target)
+            with ThreadPoolExecutor(MOVES) as pool:
+                deque(pool.map(lambda m: system.move(*m), moves), 0)
         finally:
             self.abort(messages)
 
