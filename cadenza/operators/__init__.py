@@ -82,17 +82,17 @@ def piecewise_segments(anchors: DataFrame) -> DataFrame:
 def segment_of(cues: DataFrame, segments: DataFrame, at: str = "start_ms") -> DataFrame:
     """Each cue with the first segment that ends at or after its time `at`, else the last one.
 
-    An as-of join in two running windows, one from each end: both sides are ordered by time within the
-    track, so no pairs are made.
+    An as-of join in one running window, latest first: both sides are ordered by time within the track, so no
+    pairs are made. Of equal ends the segment of the highest number is the last one.
     """
     seg = F.struct("seg", "from_ms", "to_ms", "scale", "offset_ms")
     right = segments.select("track_id", F.col("to_ms").alias("t"), F.lit(1).alias("side"), seg.alias("segment"))
     left = cues.withColumns({"t": F.col(at), "side": F.lit(0)})
     both = left.unionByName(right, allowMissingColumns=True)
-    upto = lambda *order: Window.partitionBy("track_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = F.last("segment", ignorenulls=True).over(upto(F.desc("t"), F.desc("side"), F.desc("segment.seg")))
-    before = F.last("segment", ignorenulls=True).over(upto("t", "side"))
-    return both.withColumn("found", F.coalesce(after, before)).where("side = 0").select(*cues.columns, "found.seg", "found.scale", "found.offset_ms")
+    backwards = Window.partitionBy("track_id").orderBy(F.desc("t"), F.desc("side"), F.desc("segment.seg"))
+    after = F.last("segment", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    final = F.first("segment", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return both.withColumn("found", F.coalesce(after, final)).where("side = 0").select(*cues.columns, "found.seg", "found.scale", "found.offset_ms")
 
 
 def retimed(cues: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -225,6 +225,25 @@ def position_band(phrases: DataFrame, windows: DataFrame, cues: DataFrame) -> Da
     return p.join(w, ["track_id", "cell"]).where(in_band()).drop("cell")
 
 
+def band_counts(phrases: DataFrame, windows: DataFrame, cues: DataFrame, size: int = 3) -> DataFrame:
+    """(track_id, phrase_no, windows, low, high): how many windows position_band() gives each phrase, their first and last cue.
+
+    No pairs are made: windows of up to size cues are counted from the start of the track up to each cue, and a band's are
+    those up to its last cue without those up to the one before its first and those that go beyond its last. windows
+    are sliding_windows(cues), whose runs from a cue are of every length up to the longest, so a band has its first and last cue.
+    """
+    reach = windows.groupBy("track_id", F.col("first_pos").alias("pos")).agg(F.max("last_pos").alias("reach"))
+    upto = track().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beyond = sum((F.greatest(F.coalesce(F.lag("reach", k).over(track()), F.lit(0)) - F.col("pos"), F.lit(0)) for k in range(size - 1)), F.lit(0))
+    counted = reach.select("track_id", "pos", F.sum(F.col("reach") - F.col("pos") + 1).over(upto).alias("upto"), beyond.alias("beyond"))
+    p = expected_places(phrases.select("track_id", "phrase_no"), cues)
+    p = p.select("track_id", "phrase_no", F.greatest(F.col("expected") - F.col("radius"), F.lit(0)).alias("low"), F.least(F.col("cues") - 1, F.col("expected") + F.col("radius")).alias("high"))
+    ends = counted.select("track_id", F.col("pos").alias("high"), (F.col("upto") - F.col("beyond")).alias("inside"))
+    starts = counted.select("track_id", (F.col("pos") + 1).alias("low"), F.col("upto").alias("before"))
+    out = p.join(ends, ["track_id", "high"]).join(starts, ["track_id", "low"], "left")
+    return out.select("track_id", "phrase_no", (F.col("inside") - F.coalesce("before", F.lit(0))).alias("windows"), "low", "high")
+
+
 def chunks(tracks: DataFrame, size_ms: int) -> DataFrame:
     """tracks(track_id, end_ms) cut into (track_id, from_ms, to_ms), the last one short."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("end_ms") - 1, F.lit(size_ms).cast("long"))
