@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +51,21 @@ def read_settings(files: DataFrame) -> DataFrame:
 KEYED = ("DeepL", "Azure", "Gemini")
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, which is worked out once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _kind(x: Column) -> Column:
     return F.schema_of_variant(x)
 
 
 def truthy(x: Column) -> Column:
     """Whether a JSON value counts as set: true, a number but 0, a text, list, or object that isn't empty."""
-    kind, text = _kind(x), x.try_cast("string")
+    text = x.try_cast("string")
     number = F.coalesce(text.try_cast("double") != 0, F.lit(True))
-    return F.when(x.isNull() | (kind == "VOID"), False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.to_json(x).isin("[]", "{}")).otherwise(number)
+    known = lambda kind: F.when(x.isNull() | (kind == "VOID"), False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "").when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.to_json(x).isin("[]", "{}")).otherwise(number)
+    return _let(_kind(x), known)
 
 
 def _text(x: Column) -> Column:
@@ -72,23 +80,22 @@ def normalized_keys(listed: Column) -> Column:
     first that is marked so, else the first.
     """
     field = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
-    is_object = lambda x: _kind(x).startswith("OBJECT")
-    own = lambda x, name: F.when(is_object(x) & truthy(field(x, name)), _text(field(x, name))).alias(name)
-    value = lambda x: F.btrim(F.coalesce(F.when(is_object(x), F.coalesce(_text(field(x, "value")), F.lit(""))).otherwise(_text(x)), F.lit("")))
+    own = lambda x, is_object, name: _let(F.when(is_object, field(x, name)), lambda v: F.when(truthy(v), _text(v))).alias(name)
+    value = lambda x, is_object: F.btrim(F.coalesce(F.when(is_object, F.coalesce(_let(field(x, "value"), _text), F.lit(""))).otherwise(_text(x)), F.lit("")))
+    names = ("last_usage", "last_error", "last_error_at", "vpn_config")
+    row = lambda x, o: F.struct(value(x, o).alias("value"), (o & truthy(field(x, "active"))).alias("marked"), *[own(x, o, n) for n in names])
     items = F.when(_kind(listed).startswith("ARRAY"), listed.try_cast("array<variant>"))
-    rows = F.transform(
-        F.coalesce(items, F.array().cast("array<variant>")),
-        lambda x: F.struct(value(x).alias("value"), (is_object(x) & truthy(field(x, "active"))).alias("marked"), *[own(x, n) for n in ("last_usage", "last_error", "last_error_at", "vpn_config")]),
-    )
+    rows = F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda x: _let(_kind(x).startswith("OBJECT"), lambda o: row(x, o)))
     full = F.filter(rows, lambda k: k["value"] != "")
     first = lambda ks: F.greatest(F.array_position(F.transform(ks, lambda k: k["marked"]), F.lit(True)), F.lit(1)) - 1
-    return F.transform(full, lambda k, i: F.struct(k["value"].alias("value"), (i == first(full)).alias("active"), *[k[n].alias(n) for n in ("last_usage", "last_error", "last_error_at", "vpn_config")]))
+    chosen = lambda ks, at: F.transform(ks, lambda k, i: F.struct(k["value"].alias("value"), (i == at).alias("active"), *[k[n].alias(n) for n in names]))
+    return _let(full, lambda ks: _let(first(ks), lambda at: chosen(ks, at)))
 
 
 def shared_configs(keys: Column) -> Column:
     """Of map<provider, keys> the configurations that more than one key has, in order; each may belong to one only."""
     used = F.flatten(F.transform(F.map_values(keys), lambda ks: F.filter(F.transform(ks, lambda k: k["vpn_config"]), lambda c: c.isNotNull())))
-    return F.array_sort(F.filter(F.array_distinct(used), lambda c: F.size(F.filter(used, lambda d: d == c)) > 1))
+    return _let(used, lambda all: F.array_sort(F.filter(F.array_distinct(all), lambda c: F.size(F.filter(all, lambda d: d == c)) > 1)))
 
 
 def read_provider_settings(files: DataFrame) -> DataFrame:
@@ -97,7 +104,8 @@ def read_provider_settings(files: DataFrame) -> DataFrame:
     Maps from each service to its number, switch, or keys, in place and without exploding; a number that is
     missing or can't be read is 0, as are all of them where the map is no object.
     """
-    root = F.try_parse_json("settings")
+    files = files.select("id", F.try_parse_json("settings").alias("root"))
+    root = F.col("root")
     number = lambda key, names: F.create_map(*[x for n in names for x in (F.lit(n), F.coalesce(F.try_variant_get(root, f"$.{key}.{n}", "int"), F.lit(0)))])
     switch = F.create_map(*[x for n in KEYED for x in (F.lit(n), truthy(F.try_variant_get(root, f"$.auto_change_key_on_error.{n}", "variant")))])
     keys = F.create_map(*[x for n in KEYED for x in (F.lit(n), normalized_keys(F.try_variant_get(root, f"$.provider_keys.{n}", "variant")))])
