@@ -111,26 +111,30 @@ def retimed(cues: DataFrame, anchors: DataFrame) -> DataFrame:
     return out.select("track_id", "pos", "start_ms", "end_ms", "new_start_ms", F.greatest("new_start_ms", "z").alias("new_end_ms"))
 
 
-def batches(items: DataFrame, most: int = 50, chars: int = 2000) -> DataFrame:
+def batches(items: DataFrame, most: int = 50, chars: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
     """items(track_id, pos, text) as (track_id, batch, pos): in order, a batch ends before it holds too many items or characters.
 
-    An item of over chars characters is a batch of its own; chars = 0 sets no such limit. Where a
-    batch ends depends on all before it, so each track is folded by itself, in one pass.
+    An item of over chars characters is a batch of its own; chars = 0 sets no such limit, and batches are
+    counted off. Else where a batch ends depends on all before it, so each track is folded by itself, in one pass.
+    keep names further columns that go along.
     """
+    if not chars:
+        place = F.row_number().over(Window.partitionBy("track_id").orderBy(F.asc_nulls_last("pos"))) - 1
+        return items.select("track_id", F.floor(place / max(most, 1)).cast("int").alias("batch"), "pos", *keep)
+    kinds = dict(items.dtypes)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         out, batch, count, held = [], 0, 0, 0
         for n in table["n"].to_pylist():
-            if count and (count >= most or (chars and held + n > chars)):
+            if count and (count >= most or held + n > chars):
                 batch, count, held = batch + 1, 0, 0
             count, held = count + 1, held + n
             out.append(batch)
-        return pa.table([table["track_id"], pa.array(out, pa.int32()), table["pos"]], ["track_id", "batch", "pos"])
+        return pa.table([table["track_id"], pa.array(out, pa.int32()), *[table[c] for c in ("pos", *keep)]], ["track_id", "batch", "pos", *keep])
 
-    kinds = dict(items.dtypes)
-    sized = items.select("track_id", "pos", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    return sized.groupBy("track_id").applyInArrow(run, f"track_id {kinds['track_id']}, batch int, pos {kinds['pos']}")
+    sized = items.select("track_id", "pos", *keep, F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    return sized.groupBy("track_id").applyInArrow(run, ", ".join([f"track_id {kinds['track_id']}, batch int, pos {kinds['pos']}", *[f"{c} {kinds[c]}" for c in keep]]))
 
 
 def renumbered(cues: DataFrame) -> DataFrame:
@@ -251,22 +255,25 @@ def chunks(tracks: DataFrame, size_ms: int) -> DataFrame:
     return out.select("track_id", "from_ms", F.least(F.col("from_ms") + size_ms, F.col("end_ms")).alias("to_ms"))
 
 
-def _structure():
+def structure_line() -> Column:
     """Blank, numeric and time lines."""
     shape = F.btrim("line")
     return (shape == "") | shape.rlike(r"^[\p{Nd}¹²³⁰⁴-⁹₀-₉]+$") | F.contains("line", F.lit("-->"))
 
 
-def text_blocks(lines: DataFrame) -> DataFrame:
-    """lines(track_id, line_no, line) to (track_id, block, text): runs between blank, numeric and time lines, joined by blanks."""
+def text_blocks(lines: DataFrame, begins: bool = False) -> DataFrame:
+    """lines(track_id, line_no, line) to (track_id, block, text): runs between blank, numeric and time lines, joined by blanks.
+
+    begins: with line_no, the line that a block begins at.
+    """
     order = Window.partitionBy("track_id").orderBy("line_no")
     shape = F.btrim("line")
-    marked = lines.withColumn("structure", _structure())
+    marked = lines.withColumn("structure", structure_line())
     marked = marked.withColumn("island", F.sum(F.col("structure").cast("int")).over(order)).where(~F.col("structure"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", shape.alias("line")))), lambda x: x["line"]), " ")
-    blocks = marked.groupBy("track_id", "island").agg(text.alias("text"))
+    blocks = marked.groupBy("track_id", "island").agg(F.min("line_no").alias("line_no"), text.alias("text"))
     number = F.row_number().over(Window.partitionBy("track_id").orderBy("island")) - 1
-    return blocks.select("track_id", number.cast("long").alias("block"), "text")
+    return blocks.select("track_id", number.cast("long").alias("block"), *(["line_no"] if begins else []), "text")
 
 
 def ass_lines(lines: DataFrame) -> DataFrame:
@@ -312,7 +319,7 @@ def rejoined(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     A block's text comes where its first line was; structure lines stay; blocks without a text go.
     """
     order = Window.partitionBy("track_id").orderBy("line_no")
-    marked = lines.withColumn("structure", _structure())
+    marked = lines.withColumn("structure", structure_line())
     begins = ~F.col("structure") & F.coalesce(F.lag("structure").over(order), F.lit(True))
     marked = marked.withColumn("begins", begins).withColumn("block", F.sum(F.col("begins").cast("long")).over(order) - 1)
     kept = marked.where("structure or begins").join(blocks.select("track_id", "block", F.col("text").alias("new")), ["track_id", "block"], "left")

@@ -7,6 +7,9 @@ import random
 from pyspark.sql import functions as F
 
 from cadenza import operators as O
+from cadenza.functions import payloads
+from cadenza.operators import translation
+from cadenza.shared import stored
 from cadenza.sources import settings
 
 
@@ -52,3 +55,22 @@ def test_settings_once(spark):
     assert [(k.value, k.active, k.vpn_config) for k in r.provider_keys["DeepL"]] == [("a", False, None), ("b", True, "v"), ("c", False, "v")] and r.shared == ["v"]
     optimized = found._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.count("provider_keys.DeepL") == 2  # the kind of the list, and its items
+
+
+def test_answers_in_place(spark):
+    """Answers are read without a shuffle: each row by itself, texts of one index joined, an index out of range or no text at all aside."""
+    some = ['["a", "b"]', '[{"index": 1, "text": "y"}, {"index": "0", "content": "x"}, {"index": "1", "content": "z"}]', "[]", None, '{"data": [{"q": "p"}, "r", {"index": 9, "text": "s"}]}', '["a", null]', '["a", 5]', '["a"]', "7"]
+    found = payloads.payload_texts(spark.createDataFrame([(i, 2, x) for i, x in enumerate(some)], "id long, n int, payload string"))
+    got = {r.id: (r.valid, r.texts) for r in found.collect()}
+    assert got == {0: (True, ["a", "b"]), 1: (True, ["x", "y\nz"]), 4: (True, ["p", "r"])} | {k: (False, None) for k in (2, 3, 5, 6, 7, 8)}
+    assert "Exchange" not in plan(found)
+
+
+def test_translation_is_stored_twice(spark, tmp_path, monkeypatch):
+    """Texts are written as batches and as what each service made of them, the second one's only where the first failed; lines come back without a join."""
+    kept = []
+    monkeypatch.setattr(translation, "stored", lambda df, name: kept.append((name, (out := stored(df, name)).count())) or out)
+    lines = spark.createDataFrame([(t, 2 * k + j, x) for t in range(30) for k in range(7) for j, x in enumerate((f"{t} x{k}", ""))], "track_id long, line_no long, line string")
+    out, found = translation.translate(lines, [("some", lambda texts: "[]" if len(texts) == 1 else str(texts).replace("'", '"')), ("all", lambda texts: str(texts).replace("'", '"'))], most=2)
+    assert kept == [("batches", 120), ("translated", 120), ("translated", 30)]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, lines.collect())) and "Join" not in plan(out)
