@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
@@ -14,8 +15,12 @@ from . import FINAL
 
 #: Of changes at the same time that with the later status counts.
 ORDER = {"pending": 0, "running": 1, "completed": 2, "failed": 3, "timeout": 4}
-_STATE = "job_type string, status string, at timestamp, started_at timestamp, completed_at timestamp, timer long, version long"
-_OUT = "job_id {id}, job_type string, status string, at timestamp, started_at timestamp, completed_at timestamp, version long"
+#: Of a bucket of jobs: by job its fields as in _FIELDS and when its timer is due, pickled; and the bucket's timer, the first of these.
+_STATE = "jobs binary, timer long"
+_FIELDS = "job_type string, status string, at timestamp, started_at timestamp, completed_at timestamp, version long"
+_OUT = "job_id {id}, " + _FIELDS
+#: A job without changes yet.
+_NEW = (None, None, None, None, None, 0, None)
 
 
 def _ms(t: datetime) -> int:
@@ -24,57 +29,83 @@ def _ms(t: datetime) -> int:
 
 
 class Jobs(StatefulProcessor):
-    """The state of one job: a row of a few fields and one timer."""
+    """The state of a bucket of jobs, one value read and written once for all changes of a batch, and one timer: that of the job due first."""
 
     def __init__(self, limits: dict[str, int], default: int):
         self.limits, self.default = limits, default
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", _STATE)
+        self.bucket = handle.getValueState("bucket", _STATE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        old = self.job.get() if self.job.exists() else (*(None,) * 6, 0)
-        kind, status, at, started, completed, timer, version = old
-        before = (kind, status, at, started, completed)
-        for r in rows:
-            kind = kind if r.job_type is None else r.job_type
-            if at is None or (r.ts, ORDER.get(r.status, -1)) >= (at, ORDER.get(status, -1)):
-                status, at = r.status, r.ts
-            if r.status == "running":
-                started = r.ts if started is None else min(started, r.ts)
-            elif r.status in FINAL:
-                completed = r.ts if completed is None else min(completed, r.ts)
-        due = None
-        if completed is not None:
-            due = _ms(max(completed, at)) + 1
-        elif started is not None:
-            due = _ms(started + timedelta(seconds=self.limits.get(kind, self.default))) + 1
-        if due != timer:
-            if timer is not None:
+    def _held(self) -> tuple[dict, int | None]:
+        old = self.bucket.get()
+        return ({}, None) if old is None else (pickle.loads(old[0]), old[1])
+
+    def _keep(self, jobs: dict, timer: int | None, fired: bool = False) -> None:
+        first = min((due for *_, due in jobs.values() if due is not None), default=None)
+        if first != timer:
+            if timer is not None and not fired:
                 self.handle.deleteTimer(timer)
-            if due is not None:
-                self.handle.registerTimer(due)
-        changed = (kind, status, at, started, completed) != before
-        version += changed
-        self.job.update((kind, status, at, started, completed, due, version))
-        if changed:
-            yield Row(job_id=key[0], job_type=kind, status=status, at=at, started_at=started, completed_at=completed, version=version)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if jobs:
+            self.bucket.update((pickle.dumps(jobs), first))
+        else:
+            self.bucket.clear()
+
+    def _due(self, kind: str | None, at: datetime | None, started: datetime | None, completed: datetime | None) -> int | None:
+        if completed is not None:
+            return _ms(max(completed, at)) + 1
+        return None if started is None else _ms(self._limit(kind, started)) + 1
+
+    def _limit(self, kind: str | None, started: datetime) -> datetime:
+        return started + timedelta(seconds=self.limits.get(kind, self.default))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        jobs, timer = self._held()
+        before: dict = {}
+        for job, new_kind, new_status, ts, _ in rows:
+            kind, status, at, started, completed, version, due = old = jobs.get(job, _NEW)
+            before.setdefault(job, old)
+            kind = kind if new_kind is None else new_kind
+            if at is None or (ts, ORDER.get(new_status, -1)) >= (at, ORDER.get(status, -1)):
+                status, at = new_status, ts
+            if new_status == "running":
+                started = ts if started is None else min(started, ts)
+            elif new_status in FINAL:
+                completed = ts if completed is None else min(completed, ts)
+            jobs[job] = (kind, status, at, started, completed, version, due)
+        out = []
+        for job, old in before.items():
+            kind, status, at, started, completed, version, _ = jobs[job]
+            changed = (kind, status, at, started, completed) != old[:5]
+            jobs[job] = (kind, status, at, started, completed, version + changed, self._due(kind, at, started, completed))
+            if changed:
+                out.append(Row(job_id=job, job_type=kind, status=status, at=at, started_at=started, completed_at=completed, version=version + 1))
+        self._keep(jobs, timer)
+        yield from out
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.job.exists():
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        jobs, timer = self._held()
+        if timer != fired:
             return
-        kind, _, _, started, completed, _, version = self.job.get()
-        self.job.clear()
-        if completed is None:
-            end = started + timedelta(seconds=self.limits.get(kind, self.default))
-            yield Row(job_id=key[0], job_type=kind, status="timeout", at=end, started_at=started, completed_at=end, version=version + 1)
+        # all that Spark would fire now: those due up to the watermark, in the order of their timers
+        now = timerValues.getCurrentWatermarkInMs()
+        over = sorted((j for j, (*_, due) in jobs.items() if due is not None and due <= now), key=lambda j: jobs[j][-1])
+        ended = [(job, jobs.pop(job)) for job in over]
+        self._keep(jobs, timer, fired=True)
+        for job, (kind, _, _, started, completed, version, _) in ended:
+            if completed is None:
+                end = self._limit(kind, started)
+                yield Row(job_id=job, job_type=kind, status="timeout", at=end, started_at=started, completed_at=end, version=version + 1)
 
     def close(self) -> None:
         pass
 
 
-def job_updates(changes: DataFrame, limits: dict[str, int], default: int = 600, late: str = "0 seconds") -> DataFrame:
+def job_updates(changes: DataFrame, limits: dict[str, int], default: int = 600, late: str = "0 seconds", buckets: int = 1 << 14) -> DataFrame:
     """(job_id, job_type, status, at, started_at, completed_at, version): a streaming row whenever a job's state changes.
 
     changes(id, job_type, status, ts) is a stream, in any order and with repetitions: status is that of the
@@ -84,11 +115,16 @@ def job_updates(changes: DataFrame, limits: dict[str, int], default: int = 600,
     the final change, or with the timeout: what is held is the jobs that wait, run, or have just ended. Changes
     from before the watermark are dropped by Spark, so none can come for what was let go; a later one begins
     the job anew. A job that only waits is held until it starts. version counts the rows of a job since it began.
+
+    Python reaches the state by calls to Spark, several a key, so the keys are buckets of jobs by a hash of their id: calls
+    grow with the buckets that a batch touches, not with its jobs. A touched bucket is read and written whole, all its held jobs,
+    so there should be many. With a checkpoint the number of buckets can't change.
     """
     spark = changes.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kind = dict(changes.dtypes)["id"]
-    keyed = changes.select("id", "job_type", "status", "ts").withWatermark("ts", late).groupBy("id")
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
+    keyed = changes.select("id", "job_type", "status", "ts", bucket).withWatermark("ts", late).groupBy("bucket")
     return keyed.transformWithState(Jobs(limits, default), _OUT.format(id=kind), "Update", "EventTime")
 
 

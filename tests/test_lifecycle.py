@@ -90,3 +90,56 @@ def test_a_job_begins_anew(spark, tmp_path):
     run(spark, folder)
     got = {r.job_id: (r.status, r.started_at, r.completed_at) for r in lifecycle.latest(spark, f"{folder}/out").collect()}
     assert got == {1: ("running", at(400), None), 2: ("pending", None, None), None: ("timeout", at(300), at(305)), 3: ("failed", at(5), at(5))}
+
+
+def test_calls_grow_with_buckets(spark, tmp_path, monkeypatch):
+    """A bucket's state is read and written once a batch, whatever the number of its jobs; results and lots are as with a bucket a job."""
+    class Calls:
+        def __init__(self):
+            self.value, self.seen, self.timers = None, [], set()
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.seen.append("get")
+            return self.value
+
+        def update(self, value):
+            self.seen.append("update")
+            self.value = value
+
+        def clear(self):
+            self.seen.append("clear")
+            self.value = None
+
+        def registerTimer(self, at):
+            self.seen.append("timer")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.seen.append("delete")
+            self.timers.remove(at)
+
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+    calls, jobs = Calls(), lifecycle.Jobs(LIMITS, 600)
+    jobs.init(calls)
+    rows = [(i, "extract", s, T0 + timedelta(minutes=i + 60 * (s == "completed")), 0) for i in range(1000) for s in (["running", "completed"] if i % 2 else ["running"])]
+    assert len(list(jobs.handleInputRows((0,), iter(rows), TimerValues()))) == 1000 and len(calls.seen) == 3
+    # at 500 minutes those that run since 495 or before are over, those that ended by then go
+    (first,) = calls.timers
+    calls.timers.clear()  # as Spark does with one that fires
+    out = list(jobs.handleExpiredTimer((0,), TimerValues(0, lifecycle._ms(T0 + timedelta(minutes=500))), ExpiredTimerInfo(first)))
+    assert [r.job_id for r in out] == list(range(0, 495, 2)) and {r.status for r in out} == {"timeout"} and len(calls.seen) == 6
+    assert calls.timers == {lifecycle._ms(T0 + timedelta(minutes=501)) + 1}
+
+    folder, rows = str(tmp_path), []
+    for k in range(2):
+        lot = changes(7 + k, range(k * 80, k * 80 + 80), T0 + timedelta(hours=6 * k))
+        rows += lot
+        spark.createDataFrame(lot, SCHEMA).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
+        lifecycle.follow(lifecycle.job_updates(stream, LIMITS, late="10 minutes", buckets=3), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        got = {r.job_id: tuple(r)[1:] for r in lifecycle.latest(spark, f"{folder}/out").collect()}
+        assert got == expected(spark, rows, max(r[3] for r in rows) - timedelta(minutes=10))
