@@ -85,16 +85,18 @@ def with_texts(answers: DataFrame) -> DataFrame:
     wrapped = F.coalesce(*[F.when(kind(F.try_variant_get(root, f"$.{k}", "variant")).startswith("ARRAY"), F.try_variant_get(root, f"$.{k}", "variant")) for k in WRAPPERS])
     listed = F.when(kind(root).startswith("OBJECT"), wrapped).when(kind(root).startswith("ARRAY"), root)
 
-    def read(item: Column, pos: Column) -> Column:
-        text = lambda key: F.try_variant_get(item, key, "string")
-        obj = kind(item).startswith("OBJECT")
-        fields = F.map_values(F.when(obj, item.cast("map<string,variant>")))
-        alone = F.when(F.size(fields) == 1, F.element_at(fields, 1).cast("string"))
-        content = F.when(obj, F.coalesce(*[text(f"$.{k}") for k in TEXTS], alone)).when(kind(item) == "STRING", text("$"))
-        index = F.coalesce(F.btrim(text("$.index")).try_cast("int"), pos)
-        return F.struct(F.when(obj, index).otherwise(pos).alias("i"), pos.alias("pos"), content.alias("text"))
-
-    x = x.withColumn("_items", F.sort_array(F.transform(listed.cast("array<variant>"), read)))
+    def read(x: Column) -> Column:
+        text = lambda v: F.try_variant_get(v, "$", "string")
+        fields, pos = x["fields"], x["pos"]
+        alone = F.when(F.size(fields) == 1, F.element_at(F.map_values(fields), 1).cast("string"))
+        plain = F.when(kind(x["item"]) == "STRING", text(x["item"]))
+        content = F.when(fields.isNotNull(), F.coalesce(*[text(fields[k]) for k in TEXTS], alone)).otherwise(plain)
+        index = F.coalesce(F.btrim(text(fields["index"])).try_cast("int"), pos)
+        return F.struct(F.when(fields.isNotNull(), index).otherwise(pos).alias("i"), pos.alias("pos"), content.alias("text"))
+
+    # an object is taken apart once, as its kind is not cheaper to find
+    parts = F.transform(listed.cast("array<variant>"), lambda v, pos: F.struct(v.alias("item"), v.try_cast("map<string,variant>").alias("fields"), pos.alias("pos")))
+    x = x.withColumn("_items", F.sort_array(F.transform(parts, read)))
     # items of one index stand together: where each index begins, and its items
     at = lambda k: F.get("_items", k)["i"]
     places = F.when(F.size("_items") > 0, F.sequence(F.lit(0), F.size("_items") - 1))
