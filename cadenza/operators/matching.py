@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,53 +83,65 @@ def similar_pairs(phrases: DataFrame, windows: DataFrame, cues: DataFrame, least
     return both.where(fits).drop("cell", "key", "head", "window_head", "at", "window_at")
 
 
-def code_pairs(phrases: DataFrame, cues: DataFrame, size: int = 3, gap_ms: int = 3500, least: float = 0.38) -> DataFrame:
+def code_pairs(phrases: DataFrame, cues: DataFrame, size: int = 3, gap_ms: int = 3500, least: float = 0.38, best: tuple[float, int] | None = None) -> DataFrame:
     """(track_id, phrase_no, expected, radius, cues, phrases, first_pos, last_pos, similarity, start_ms, said_ms, words, chars): pairs of the band whose codes overlap by `least`.
 
     phrases(track_id, phrase_no, said_ms, text, codes) and cues(track_id, pos, start_ms, end_ms, codes), codes distinct. A window's
     codes are those of its cues. In a block of the band all shared codes are counted by one product of matrices of
-    which code is where.
+    which code is where. best, a weight and a number, keeps what candidates() would, with score and place, without a shuffle.
     """
     told = phrases.withColumns({"words": F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " "))).cast("long"), "chars": F.length("text").cast("long")})
 
-    def multiply(table: pa.Table, p: slice, c: slice, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
-        n, m = p.stop - p.start, c.stop - c.start
-        lengths, codes = lists(table["codes"], slice(p.start, c.stop))
-        row, code = np.repeat(np.arange(n + m), lengths), codes.dictionary_encode().indices.to_numpy()
-        # only codes of the block's cues can be shared
-        names = np.unique(code[row >= n])
-        if not len(names):
-            return
-        place = np.full(int(code.max()) + 1, -1)
-        place[names] = np.arange(len(names))
-        code = place[code]
-
-        def there(low: int, high: int, a: int) -> np.ndarray:
-            some = slice(*np.searchsorted(row, [low, high]))
-            mine = (code[some] >= a) & (code[some] < a + CODES)
-            out = np.zeros((high - low, min(CODES, len(names) - a)), np.float32)
-            out[row[some][mine] - low, code[some][mine] - a] = 1
-            return out
-
-        said, words, chars = (table[k].slice(p.start, n).to_numpy() for k in ("said_ms", "words", "chars"))
-        start = table["start_ms"].slice(c.start, m).to_numpy()
-        ys = [np.flatnonzero(j - i == k) for k in range(min(size, m))]
-        for low in range(0, n, BLOCK):
-            high = min(low + BLOCK, n)
-            shared, has = [0.0] * len(ys), [0.0] * len(ys)
-            for a in range(0, len(names), CODES):
-                mine, run = there(low, high, a), (alone := there(n, n + m, a))
+    def over(said: pa.Table, seen: pa.Table) -> Callable:
+        (at_p, mine), (at_c, theirs) = lists(said["codes"]), lists(seen["codes"])
+        code = pa.concat_arrays([mine, theirs]).dictionary_encode().indices.to_numpy()
+        sides = [(at_p, code[: len(mine)]), (at_c, code[len(mine) :])]
+        said_ms, words, chars = (said[k].to_numpy() for k in ("said_ms", "words", "chars"))
+        start_ms = seen["start_ms"].to_numpy()
+
+        def multiply(p: slice, c: slice, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+            n, m = p.stop - p.start, c.stop - c.start
+            # only codes of the block's cues can be shared
+            names = np.unique(sides[1][1][at_c[c.start] : at_c[c.stop]])
+            if not len(names):
+                return
+            rows, places = [], []
+            for (ends, codes), at in zip(sides, (p, c)):
+                some = codes[ends[at.start] : ends[at.stop]]
+                place = np.minimum(np.searchsorted(names, some), len(names) - 1)
+                known = names[place] == some
+                rows.append(np.repeat(np.arange(at.stop - at.start), np.diff(ends[at.start : at.stop + 1]))[known])
+                places.append(place[known])
+
+            def there(side: int, low: int, high: int, a: int) -> np.ndarray:
+                some = slice(*np.searchsorted(rows[side], [low, high]))
+                row, place = rows[side][some], places[side][some]
+                mine = (place >= a) & (place < a + CODES)
+                out = np.zeros((high - low, min(CODES, len(names) - a)), np.float32)
+                out[row[mine] - low, place[mine] - a] = 1
+                return out
+
+            start, lengths = start_ms[c], np.diff(at_p[p.start : p.stop + 1])
+            ys = [np.flatnonzero(j - i == k) for k in range(min(size, m))]
+            for low in range(0, n, BLOCK):
+                high = min(low + BLOCK, n)
+                shared, has = [0.0] * len(ys), [0.0] * len(ys)
+                for a in range(0, len(names), CODES):
+                    mine, run = there(0, low, high, a), (alone := there(1, 0, m, a))
+                    for k, y in enumerate(ys):
+                        run = np.maximum(run[:-1], alone[k:]) if k else run
+                        some = run[i[y]]
+                        shared[k], has[k] = shared[k] + mine @ some.T, has[k] + some.sum(1)
                 for k, y in enumerate(ys):
-                    run = np.maximum(run[:-1], alone[k:]) if k else run
-                    some = run[i[y]]
-                    shared[k], has[k] = shared[k] + mine @ some.T, has[k] + some.sum(1)
-            for k, y in enumerate(ys):
-                share = shared[k] / np.maximum(np.maximum(lengths[low:high, None], has[k][None]), 1).astype(float)
-                x, z = np.nonzero(share >= least)
-                similarity, x = share[x, z], x + low
-                yield x, y[z], similarity, start[i[y[z]]], said[x], words[x], chars[x]
+                    share = shared[k] / np.maximum(np.maximum(lengths[low:high, None], has[k][None]), 1).astype(float)
+                    x, z = np.nonzero(share >= least)
+                    similarity, x = share[x, z], x + low
+                    at = x + p.start
+                    yield x, y[z], similarity, start[i[y[z]]], said_ms[at], words[at], chars[at]
 
-    return banded(told, cues, ["said_ms", "words", "chars", "codes"], ["start_ms", "codes"], multiply, "similarity double, start_ms long, said_ms long, words long, chars long", size, gap_ms, BLOCK)
+        return multiply
+
+    return banded(told, cues, ["said_ms", "words", "chars", "codes"], ["codes"], over, "similarity double, start_ms long, said_ms long, words long, chars long", size, gap_ms, BLOCK, best)
 
 
 def candidates(pairs: DataFrame, similarity: Column, least: float = 0.38, weight: float = 0.18, most: int = 8) -> DataFrame:
@@ -298,11 +310,12 @@ def thinned(m: Matches, chain: np.ndarray) -> np.ndarray:
     return keep if len(keep) >= LEAST else keep[:0]
 
 
-def align(matches: DataFrame) -> DataFrame:
+def align(matches: DataFrame, together: bool = False) -> DataFrame:
     """(track_id, anchor, pos, last_pos, cue_ms, said_ms, similarity): the anchors of each track.
 
     matches are candidates() with text, or words and chars (how many it has), said_ms, start_ms (of the window), cues and
     phrases. A track is one group: its chain is a search over all of its matches. A track without a stable chain has no rows.
+    together: the rows of a track stand together, by phrase, as code_pairs() gives the best, and needn't be shuffled.
     """
     sized = matches if "words" in matches.columns else matches.withColumns({"words": F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long"), "chars": F.length("text").cast("long")})
     columns = ["phrase_no", "first_pos", "last_pos", "start_ms", "said_ms", "similarity", "score", "place", "cues", "phrases", "words", "chars"]
@@ -322,7 +335,7 @@ def align(matches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([table["track_id"].combine_chunks().take(pa.array(at)), *map(pa.array, values)], ["track_id", "anchor", "pos", "last_pos", "cue_ms", "said_ms", "similarity"])
 
     kind = dict(matches.dtypes)["track_id"]
-    return grouped(sized.select("track_id", *columns), ["track_id"], ["phrase_no"], run, f"track_id {kind}, anchor long, pos long, last_pos long, cue_ms long, said_ms long, similarity double")
+    return grouped(sized.select("track_id", *columns), ["track_id"], ["phrase_no"], run, f"track_id {kind}, anchor long, pos long, last_pos long, cue_ms long, said_ms long, similarity double", together)
 
 
 def anchor_search(phrases: DataFrame, windows: DataFrame, cues: DataFrame, similarity: Column, from_end: bool = False, least: float = 0.5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,36 +14,41 @@ from .blocks import banded, lists
 BLOCK = 2048
 
 
+def similar(a: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> Iterator[tuple]:
+    """(phrases, windows, similarity) of at least `least`, of phrases' vectors a and windows from cue i to cue j of v."""
+    sums = np.concatenate([np.zeros((1, v.shape[1])), np.cumsum(v, axis=0)])
+    w = sums[j + 1] - sums[i]
+    lengths = np.sqrt((w * w).sum(1))
+    for at in range(0, len(a), 256):
+        some = a[at : at + 256]
+        norm = np.sqrt((some * some).sum(1))[:, None] * lengths[None]
+        dot = some @ w.T
+        cosine = np.clip(np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0), 0.0, 1.0)
+        x, y = np.nonzero(cosine >= least)
+        yield x + at, y, cosine[x, y]
+
+
 def vector_pairs(phrases: DataFrame, cues: DataFrame, size: int = 3, gap_ms: int = 3500, least: float = 0.38) -> DataFrame:
     """(track_id, phrase_no, expected, radius, cues, phrases, first_pos, last_pos, similarity): pairs of the band at least so similar.
 
     phrases(track_id, phrase_no, vector) and cues(track_id, pos, start_ms, end_ms, vector), vectors of whole
     numbers and one length; a null one counts as zero. A window's vector is the sum of its cues'. similarity
-    is the cosine, 0 for a zero vector, cut to 0 to 1. Cues of a track are dealt out in blocks of a radius,
-    BLOCK at most, with what windows need of the next one; phrases go to the blocks of their band. In a block all
-    window vectors come from running sums and all similarities from one product of matrices.
+    is the cosine, 0 for a zero vector, cut to 0 to 1. In a block of the band all window vectors come from running sums and all similarities from one product of matrices.
     """
 
-    def matrix(column: pa.ChunkedArray, at: slice, wide: int) -> np.ndarray:
-        lengths, values = lists(column, at)
-        values = values.to_numpy(zero_copy_only=False)
-        out = np.zeros((len(lengths), wide))
-        out[lengths > 0] = values.reshape(-1, wide)
-        return out
-
-    def multiply(table: pa.Table, p: slice, c: slice, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
-        wide = max(int(lists(table["vector"], slice(p.start, c.stop))[0].max()), 1)
-        a, v = matrix(table["vector"], p, wide), matrix(table["vector"], c, wide)
-        sums = np.concatenate([np.zeros((1, wide)), np.cumsum(v, axis=0)])
-        w = sums[j + 1] - sums[i]
-        lengths = np.sqrt((w * w).sum(1))
-        for at in range(0, len(a), 256):
-            some = a[at : at + 256]
-            norm = np.sqrt((some * some).sum(1))[:, None] * lengths[None]
-            dot = some @ w.T
-            cosine = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
-            similar = np.clip(cosine, 0.0, 1.0)
-            x, y = np.nonzero(similar >= least)
-            yield x + at, y, similar[x, y]
-
-    return banded(phrases, cues, ["vector"], ["vector"], multiply, "similarity double", size, gap_ms, BLOCK)
+    def over(said: pa.Table, seen: pa.Table) -> Callable:
+        sides = [lists(t["vector"]) for t in (said, seen)]
+        wide = max(max(int(np.diff(at).max(initial=0)) for at, _ in sides), 1)
+
+        def matrix(side: tuple[np.ndarray, pa.Array], at: slice) -> np.ndarray:
+            ends, values = side[0][at.start : at.stop + 1], side[1]
+            out = np.zeros((at.stop - at.start, wide))
+            out[np.diff(ends) > 0] = values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).reshape(-1, wide)
+            return out
+
+        def multiply(p: slice, c: slice, i: np.ndarray, j: np.ndarray) -> Iterator[tuple]:
+            yield from similar(matrix(sides[0], p), matrix(sides[1], c), i, j, least)
+
+        return multiply
+
+    return banded(phrases, cues, ["vector"], ["vector"], over, "similarity double", size, gap_ms, BLOCK)

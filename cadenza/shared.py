@@ -29,3 +29,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def parts_for(n_bytes: int, spark: SparkSession, most: int = 32 << 20) -> int:
+    """Partitions of so many bytes at most, never fewer than the session's shuffle setting."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // most))
+
+
+def dealt(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """df written to the shared folder, dealt out by key, and read back: steps that need the rows of a key together, joins too, then shuffle nothing.
+
+    Rows that lie in partitions by this key and number are written where they are.
+    """
+    spark = df.sparkSession
+    named = f"{name}_{uuid.uuid4().hex}"
+    df.write.option("path", f"{shared_dir(spark)}/{named}").option("compression", "zstd").bucketBy(parts, key).saveAsTable(named)
+    found = spark.table(named)
+    spark.sql(f"drop table {named}")  # the files stay; only the name goes
+    return found

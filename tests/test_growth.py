@@ -4,12 +4,14 @@ import contextlib
 import io
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cadenza import operators as O
 from cadenza.functions import payloads
-from cadenza.operators import translation
-from cadenza.shared import stored
+from cadenza.operators import blocks, sync, translation
+from cadenza.operators import matching as M
+from cadenza.shared import dealt, stored
 from cadenza.sources import settings
 
 
@@ -74,3 +76,43 @@ def test_translation_is_stored_twice(spark, tmp_path, monkeypatch):
     out, found = translation.translate(lines, [("some", lambda texts: "[]" if len(texts) == 1 else str(texts).replace("'", '"')), ("all", lambda texts: str(texts).replace("'", '"'))], most=2)
     assert kept == [("batches", 120), ("translated", 120), ("translated", 30)]
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, lines.collect())) and "Join" not in plan(out)
+
+
+def test_tracks_stay_where_they_are(spark):
+    """Matches, anchors and new times of cues that are dealt out by track shuffle nothing."""
+    rows = [(t, p, p * 3000, p * 3000 + 2000, f"wort{p % 7}a lang{t} genug{p}", [str(p % 7), str(t), str(p)]) for t in range(40) for p in range(30)]
+    df = spark.createDataFrame(rows, "track_id long, pos long, start_ms long, end_ms long, norm_text string, codes array<string>")
+    cues = dealt(df.repartition(8, "track_id"), "cues", "track_id", 8)
+    speech = O.transcript(cues, "codes")
+    found = sync.anchors(cues, speech)
+    assert "Exchange" not in plan(found) and "Exchange" not in plan(sync.matches(cues, speech))
+    kept = dealt(found, "anchors", "track_id", 8)
+    moved = O.retimed(cues, kept)
+    assert "Exchange" not in plan(moved)
+    loose = O.transcript(df, "codes")
+    got, want = (sorted(map(tuple, x.collect())) for x in (moved, O.retimed(df, sync.anchors(df, loose))))
+    assert got == want and len(got) > 900
+
+
+def test_best_pairs_in_place(spark):
+    """Pairs picked as they are found, in pieces too, are those that candidates() picks of all."""
+    r, cues, said = random.Random(8), [], []
+    some = lambda: r.sample("123456", r.choice([0, 1, 2, 3]))
+    for track, n, m in ((1, 300, 80), (2, 40, 30), (3, 1, 1)):
+        cues += [(track, p, p * 1000, p * 1000 + 900, some()) for p in range(n)]
+        said += [(track, k, k, "a b", some()) for k in range(m)]
+    c = spark.createDataFrame(cues, "track_id long, pos long, start_ms long, end_ms long, codes array<string>")
+    p = spark.createDataFrame(said, "track_id long, phrase_no long, said_ms long, text string, codes array<string>")
+    pairs = M.code_pairs(p, c)
+    want = M.candidates(pairs, F.col("similarity"), 0.38, 0.18, 3)
+    found = M.code_pairs(p, c, best=(0.18, 3))
+    assert sorted(map(str, found.select(want.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 200
+    # picking again from what was picked before and what came later changes nothing
+    rows = np.array([[i % 5, r.randrange(90), 0, r.choice([0.4, 0.5, 0.9])] for i in range(400)])
+    x, first, similarity = rows[:, 0].astype(int), rows[:, 1].astype(int), rows[:, 3]
+    best = lambda at: at[blocks.best_of(x[at], first[at], first[at] + 1, similarity[at], np.full(len(at), 40), np.full(len(at), 70), 0.18, 8)[0]]
+    parted = best(np.arange(150))
+    for low in (150, 290):
+        parted = best(np.concatenate([parted, np.arange(low, {150: 290, 290: 400}[low])]))
+    key = lambda at: [(x[i], first[i], similarity[i]) for i in at]
+    assert key(parted) == key(best(np.arange(400)))
