@@ -158,8 +158,8 @@ def candidates(pairs: DataFrame, similarity: Column, least: float = 0.38, weight
 
 
 _STEPS = np.array(list(STEPS.values())).T
-#: Steps between matches that are worked out at once.
-STEPS_AT_ONCE = 1 << 18
+#: Steps between matches that are worked out at once, matches before a phrase that are looked at first, and by how much one further back must fall short to be left aside.
+STEPS_AT_ONCE, NEAR, SHORT_BY = 1 << 15, 96, 1e-6
 
 
 def _bonus(similarity: np.ndarray) -> np.ndarray:
@@ -185,9 +185,9 @@ class Matches:
         apart = np.abs(self.first / max(self.cues - 1, 1) - self.phrase / max(self.phrases - 1, 1))
         return np.maximum(apart - PLACE[0], 0) * PLACE[1]
 
-    def steps(self, n: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What it costs to go on to matches i from each of the first n, endless where it can't be done, and what the phrases between cost."""
-        i, before = i[:, None], slice(n)
+    def steps(self, before: slice, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What it costs to go on to matches i from each of those before, endless where it can't be done, and what the phrases between cost."""
+        i = i[:, None]
         cue, said = self.cue[i] - self.cue[before], self.said[i] - self.said[before]
         apart = self.phrase[i] - self.phrase[before] - 1
         phrase_gap = np.maximum(apart, 0)
@@ -221,31 +221,46 @@ class Matches:
         # matches of one phrase stand together and are never steps of each other; steps are worked out for many phrases at once
         starts = np.flatnonzero(np.diff(self.phrase, prepend=self.phrase[0] - 1)).tolist()
         groups = list(zip(starts[1:], [*starts[2:], n]))
+        # what a chain has gained up to each match, and the most up to it: a step costs nothing or more, so a match that gained too little can't be the one to come from
+        gained = np.full(n, -np.inf)
+        gained[: starts[1] if groups else n] = np.maximum.accumulate((best + SKIPPED * (self.phrase + 1))[: starts[1] if groups else n])
         until = 0
         for low, high in groups:
             if high > until:
-                base, until = low, max(high, min(n, low + STEPS_AT_ONCE // n))
+                base, near = low, max(0, low - NEAR)
+                until = max(high, min(n, low + STEPS_AT_ONCE // (low - near + NEAR)))
                 until = next(z for _, z in groups if z >= until)
-                steps, skipped = self.steps(until, np.arange(base, until))
-            total = best[:low] + own[low:high, None]
-            total -= steps[low - base : high - base, :low]
-            total -= skipped[low - base : high - base, :low]
+                steps, skipped = self.steps(slice(near, until), np.arange(base, until))
+            whole = own[low:high] - SKIPPED * self.phrase[low:high]
+            total = best[near:low] + own[low:high, None]
+            total -= steps[low - base : high - base, : low - near]
+            total -= skipped[low - base : high - base, : low - near]
+            first = near
+            if near:
+                least = (np.maximum(total.max(1), best[low:high]) - whole).min() - SHORT_BY
+                first = min(int(np.searchsorted(gained[:near], least)), near)
+                if first < near:
+                    far, apart = self.steps(slice(first, near), np.arange(low, high))
+                    total = np.concatenate([best[first:near] + own[low:high, None] - far - apart, total], 1)
             at = total.argmax(1)
             top = total[np.arange(high - low), at]
+            at += first
             better = top > best[low:high]
             best[low:high] = np.where(better, top, best[low:high])
             count[low:high] = np.where(better, count[at] + 1, 1)
             previous[low:high] = np.where(better, at, -1)
             total -= best[low:high, None]
             # nearly equal chains that come later count if they are longer
-            near = total > -1e-9
-            if np.count_nonzero(near) > np.count_nonzero(better):
+            close = total > -1e-9
+            if np.count_nonzero(close) > np.count_nonzero(better):
                 for k in range(high - low):
-                    tied = np.flatnonzero(near[k])
+                    tied = np.flatnonzero(close[k]) + first
                     tied = tied[(tied > previous[low + k]) & (count[tied] + 1 > count[low + k])]
                     if len(tied):
                         t = tied[count[tied].argmax()]
-                        best[low + k], count[low + k], previous[low + k] = best[low + k] + total[k, t], count[t] + 1, t
+                        best[low + k], count[low + k], previous[low + k] = best[low + k] + total[k, t - first], count[t] + 1, t
+            if n > NEAR:
+                gained[low:high] = np.maximum(gained[low - 1], np.maximum.accumulate(best[low:high] + SKIPPED * (self.phrase[low:high] + 1)))
         final = best - SKIPPED * (self.phrases - self.phrase - 1) - edge
         path = [int(np.lexsort((-np.arange(n), count, final))[-1])]
         while previous[path[-1]] >= 0:
