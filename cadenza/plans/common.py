@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import operators as O
+from ..shared import parts_for
 
 #: Seconds that a job of each kind may run; others 600. Fixed values.
 LIMITS = {"extract": 300, "sup_to_srt": 600, "translate": 1800, "search_subtitles": 600, "sync_subtitles": 7200, "publish_subtitles": 600}
@@ -20,6 +21,13 @@ def cue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.cues(table(spark, sf_dir, "documents"))
 
 
+def dealt_cues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """cue_rows() dealt out by track, and the number of parts: whole documents are, before they are cut, so what follows by track shuffles nothing."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    parts = parts_for(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0], spark)
+    return O.cues(docs.repartition(parts, "doc_id")), parts
+
+
 def jobs(events: DataFrame) -> DataFrame:
     """Jobs made from events: (id, job_type, status, created_us, started_us, completed_us)."""
     pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ..operators import screens as S
 from ..shared import new_folder
 from ..sources import idx, srt, sup
-from .common import CUES, cue_rows, table
+from .common import CUES, dealt_cues, table
 
 
 def srt_files(spark, sf_dir):
     """Every track written as an SRT file, a third of them in code page 1252 where that has all their letters, and read again."""
-    cues = cue_rows(spark, sf_dir)
+    cues, _ = dealt_cues(spark, sf_dir)
     plain = F.bool_and(F.col("raw_text").rlike(r"^[\x00-\x7f\xa0-\xff]*$")).over(Window.partitionBy("track_id"))
     named = cues.withColumn("encoding", F.when((F.col("track_id") % 3 == 1) & plain, "cp1252").otherwise("utf-8")).select(F.concat(F.lit("t"), F.col("track_id") % 7, F.lit("/"), "track_id", F.lit(".synced.srt")).alias("path"), "pos", "start_ms", "end_ms", F.col("raw_text").alias("text"), "encoding")
     folder = new_folder(spark, "srt")
-    srt.write_srt(named, folder)
+    srt.write_srt(named, folder, together=True)
     back = srt.read_srt_files(spark, folder)
     return back.select(F.regexp_extract("path", r"(\d+)\.synced\.srt$", 1).cast("long").alias("track_id"), "pos", "start_ms", "end_ms", "text", "encoding")
 

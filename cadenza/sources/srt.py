@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .files import PART_BYTES, Files, StagedWriter, file_system, files_under, packed
+from .files import PART_BYTES, Files, StagedWriter, file_system, files_under, found_files, packed, spread
 
 SCHEMA = "path string, pos long, start_ms long, end_ms long, text string, encoding string"
 #: Encodings in the order in which they are tried; the last one fits all bytes. Fixed values.
@@ -45,6 +45,24 @@ def stamp(ms: int) -> str:
     return f"{ms // 3_600_000:02d}:{ms // 60_000 % 60:02d}:{ms // 1000 % 60:02d},{ms % 1000:03d}"
 
 
+def batches_of(folder: str, paths: Iterable[str]) -> Iterator[pa.RecordBatch]:
+    """The cues of files, some thousand rows at a time."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    system, _ = file_system(folder)
+    rows: list[tuple] = []
+    for path in paths:
+        with system.open_input_stream(path) as data:
+            text, encoding = decoded(data.read())
+        rows += [(path, k, start, end, body, encoding) for k, (start, end, body) in enumerate(cues_of(text))]
+        if len(rows) >= 10_000:
+            yield batch()
+            rows = []
+    if rows:
+        yield batch()
+
+
 class SrtReader(DataSourceReader):
     def __init__(self, path: str, most: int):
         self.path, self.most = path, most
@@ -53,19 +71,7 @@ class SrtReader(DataSourceReader):
         return packed(files_under(self.path, ".srt"), self.most)
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        system, _ = file_system(self.path)
-        rows: list[tuple] = []
-        for path in partition.paths:
-            with system.open_input_stream(path) as data:
-                text, encoding = decoded(data.read())
-            rows += [(path, k, start, end, body, encoding) for k, (start, end, body) in enumerate(cues_of(text))]
-            if len(rows) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        return batches_of(self.path, partition.paths)
 
 
 class SrtWriter(StagedWriter):
@@ -84,7 +90,8 @@ class SrtSource(DataSource):
     encoding that fits. Write: path is a name under the folder; the rows of a name stand together in one
     task (see write_srt). Cues are ordered by pos and numbered anew, those without text go, a
     file is in the encoding of its first row, UTF-8 where that is null. A character that the encoding
-    lacks fails the write. Files appear when all tasks have ended, or none does.
+    lacks fails the write. Files appear when all tasks have ended, or none does. The driver plans a read by the names of
+    all files; read_srt_files does without.
     """
 
     @classmethod
@@ -102,12 +109,13 @@ class SrtSource(DataSource):
 
 
 def read_srt_files(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(SrtSource)
-    return spark.read.format("srt").load(path)
+    """format("srt"), but files are listed by tasks, so the driver holds no names."""
+    paths = spread(found_files(spark, path, ".srt"), "size").select("path")
+    return paths.mapInArrow(lambda batches: batches_of(path, (x for b in batches for x in b.column(0).to_pylist())), SCHEMA)
 
 
-def write_srt(cues: DataFrame, folder: str, mode: str = "append") -> None:
-    """cues(path, pos, start_ms, end_ms, text, encoding) as one file a path under folder: a shuffle by path brings a file's rows together."""
+def write_srt(cues: DataFrame, folder: str, mode: str = "append", together: bool = False) -> None:
+    """cues(path, pos, start_ms, end_ms, text, encoding) as one file a path under folder: a shuffle by path brings a file's rows together, unless they stand together in a task."""
     cues.sparkSession.dataSource.register(SrtSource)
     rows = cues.select("path", "pos", "start_ms", "end_ms", "text", "encoding")
-    rows.repartition("path").sortWithinPartitions("path", "pos").write.format("srt").mode(mode).save(folder)
+    (rows if together else rows.repartition("path").sortWithinPartitions("path", "pos")).write.format("srt").mode(mode).save(folder)

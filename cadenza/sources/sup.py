@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import PART_BYTES, StagedWriter, file_system, files_under, parted
+from .files import PART_BYTES, StagedWriter, file_system, files_under, found_files, parted, spread
 
 SCHEMA = "path string, at long, pts long, dts long, kind int, payload binary"
 #: Magic, header (magic, pts, dts, kind, size), and kinds of segments. Fixed values.
@@ -101,6 +102,24 @@ def segments(data, size: int, start: int, end: int) -> Iterator[tuple[int, int,
         at += HEADER_BYTES + n
 
 
+def batches_of(folder: str, parts: Iterable[Range]) -> Iterator[pa.RecordBatch]:
+    """The segments of ranges, some thousand rows or some megabytes at a time."""
+    system, _ = file_system(folder)
+    schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("pts", pa.int64()), ("dts", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    rows, held = [], 0
+    for part in parts:
+        with system.open_input_file(part.path) as data:
+            for row in segments(data, part.size, part.start, part.end):
+                rows.append((part.path, *row))
+                held += len(row[-1] or b"")
+                if held > 8 << 20 or len(rows) >= 10_000:
+                    yield batch(rows)
+                    rows, held = [], 0
+    if rows:
+        yield batch(rows)
+
+
 class SupReader(DataSourceReader):
     def __init__(self, path: str, split: int):
         self.path, self.split = path, split
@@ -110,20 +129,7 @@ class SupReader(DataSourceReader):
         return [Ranges(some) for some in parted(found, lambda r: r.end - r.start)]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        system, _ = file_system(self.path)
-        schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("pts", pa.int64()), ("dts", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        rows, held = [], 0
-        for part in partition.parts:
-            with system.open_input_file(part.path) as data:
-                for row in segments(data, part.size, part.start, part.end):
-                    rows.append((part.path, *row))
-                    held += len(row[-1] or b"")
-                    if held > 8 << 20 or len(rows) >= 10_000:
-                        yield batch(rows)
-                        rows, held = [], 0
-        if rows:
-            yield batch(rows)
+        return batches_of(self.path, partition.parts)
 
 
 class SupWriter(StagedWriter):
@@ -157,9 +163,11 @@ class SupSource(DataSource):
 
 
 def read_sup(spark: SparkSession, path: str, split: int = PART_BYTES) -> DataFrame:
-    """The segments of all files, with a row without kind where one breaks; see operators.screens, which stops there. (S3)"""
-    spark.dataSource.register(SupSource)
-    return spark.read.format("sup").option("splitBytes", split).load(path)
+    """The segments of all files, with a row without kind where one breaks; see operators.screens, which stops there. Files are listed by tasks, so the driver holds no names. (S3)"""
+    ranges = found_files(spark, path, ".sup").where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
+    ranges = ranges.withColumn("end", F.least(F.col("start") + split, F.col("size")))
+    parts = spread(ranges.withColumn("bytes", F.col("end") - F.col("start")), "bytes").select("path", "start", "end", "size")
+    return parts.mapInArrow(lambda batches: batches_of(path, (Range(*row.values()) for b in batches for row in b.to_pylist())), SCHEMA)
 
 
 def write_sup(segments: DataFrame, folder: str, mode: str = "append") -> None:

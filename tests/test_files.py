@@ -2,8 +2,10 @@
 
 import io
 import os
+import pickle
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +134,33 @@ def test_sup_small_files_share_tasks(spark, tmp_path):
     parts = sup.SupReader(str(tmp_path), 1000).partitions()
     assert len(parts) <= 3 and sum(r.path.endswith("large.sup") for p in parts for r in p.parts) > 5
     assert df.where("kind is not null").count() == 300 * 3 + 400
+
+
+def test_names_stay_with_their_tasks(spark, tmp_path, monkeypatch):
+    """What a task tells the driver is as large for one file as for many; names are read a few at a time; one name in two tasks fails and moves nothing; a read plans no names."""
+    monkeypatch.setattr(files, "NAMES", 3)
+    monkeypatch.setattr(files, "DIGESTS", 5)
+    task = [0]
+    context = type("Context", (), {"partitionId": lambda _: task[0], "attemptNumber": lambda _: 0, "taskAttemptId": lambda _: task[0]})()
+    monkeypatch.setattr(files, "TaskContext", type("Task", (), {"get": lambda: context}))
+
+    def wrote(writer, names):
+        task[0] += 1
+        rows = [{"path": n, "pos": 0, "start_ms": 1, "end_ms": 2, "text": n, "encoding": None} for n in names]
+        return writer.write(iter([pa.RecordBatch.from_pylist(rows)] if rows else []))
+
+    folder = str(tmp_path / "out")
+    names = [f"t{k % 3}/{k} .srt" for k in range(40)]
+    writer = srt.SrtWriter(folder, False)
+    messages = [wrote(writer, names[:32]), wrote(writer, names[32:33]), wrote(writer, []), None, wrote(writer, names[33:])]
+    assert len(pickle.dumps(messages[0])) == len(pickle.dumps(messages[1]))
+    writer.commit(messages)
+    assert tree(folder) == sorted(names) and "_staging" not in str(os.listdir(folder))
+    assert (tmp_path / "out" / names[7]).read_text().endswith(f"{names[7]}\n\n")
+    twice = srt.SrtWriter(folder, True)
+    with pytest.raises(ValueError, match="spread"):
+        twice.commit([wrote(twice, [*map(str, range(9)), "x.srt"]), wrote(twice, ["y.srt", "x.srt"])])
+    assert tree(folder) == sorted(names)
+    back = srt.read_srt_files(spark, folder)
+    assert sorted(r.text for r in back.collect()) == sorted(n.strip() for n in names) and "BatchScan" not in back._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.path for r in files.found_files(spark, folder, ".srt").collect()) == sorted(f"{folder}/{n}" for n in names) == [f.path for f in files.files_under(folder, ".srt")]
