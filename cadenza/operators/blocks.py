@@ -81,6 +81,81 @@ def best_of(phrase: np.ndarray, first: np.ndarray, last: np.ndarray, similarity:
     return order[kept], score[order[kept]], place[kept].astype(np.int32)
 
 
+def tracks_beside(phrases: DataFrame, cues: DataFrame, told: list[str], seen: list[str]) -> DataFrame:
+    """(track_id, said, seen): phrases and cues of a track, with what is told of phrases and seen of cues, as a row of two arrays."""
+    said = phrases.select("track_id", F.col("phrase_no").cast("long").alias("phrase_no"), *told)
+    return beside(by_track(said, "said"), by_track(cues.select("track_id", F.col("pos").cast("long").alias("pos"), "start_ms", "end_ms", *seen), "seen"))
+
+
+def compared(batch: pa.RecordBatch, over: Callable, schema: str, size: int, gap_ms: int, block: int, best: tuple[float, int] | None = None) -> Iterator[pa.RecordBatch]:
+    """The pairs of banded() of a batch of tracks_beside()."""
+    names = ["phrase_no", *PLACED, "first_pos", "last_pos", *(c.split()[0] for c in schema.split(", ")), *(["score", "place"] if best else [])]
+    (at_p, said), (at_c, heard) = flat(batch["said"], "phrase_no"), flat(batch["seen"], "pos")
+    multiply = over(said, heard)
+    no, pos, start_ms, end_ms = (t[c].to_numpy() for t, c in ((said, "phrase_no"), (heard, "pos"), (heard, "start_ms"), (heard, "end_ms")))
+    island = np.cumsum(np.concatenate([[0], start_ms[1:] - end_ms[:-1] > gap_ms]))
+    track, expected, radius, n_cues, n_phrases = (np.zeros(len(no), np.int64) for _ in range(5))
+    held: list[list[np.ndarray]] = []
+    n = 0
+
+    def given(whole: bool) -> Iterator[pa.RecordBatch]:
+        """What is held: of a track that goes on only each phrase's best stay, if these are asked for."""
+        nonlocal held, n
+        x, *more = (np.concatenate(c) for c in zip(*held))
+        if best:
+            kept, *ranked = best_of(x, more[0], more[1], more[2], expected[x], radius[x], *best)
+        else:
+            kept, ranked = np.argsort(x, kind="stable"), []
+        x, more = x[kept], [c[kept] for c in more]
+        held, n = ([[x, *more]], len(x)) if best and not whole else ([], 0)
+        if not held:
+            values = [no[x], *(c[x] for c in (expected, radius, n_cues, n_phrases)), *more, *ranked]
+            yield pa.RecordBatch.from_arrays([batch["track_id"].take(pa.array(track[x])), *map(pa.array, values)], ["track_id", *names])
+
+    for t, (p0, p1, c0, c1) in enumerate(zip(at_p[:-1].tolist(), at_p[1:].tolist(), at_c[:-1].tolist(), at_c[1:].tolist())):
+        mine, count = slice(p0, p1), c1 - c0
+        wide = max(count // 12, 70)
+        width = min(wide, block)
+        track[mine], radius[mine], n_cues[mine], n_phrases[mine] = t, wide, count, p1 - p0
+        expected[mine] = np.rint(no[mine] / max(p1 - p0 - 1, 1) * max(count - 1, 1))
+        low, high = np.maximum(expected[mine] - wide, 0) // width, np.minimum(expected[mine] + wide, count - 1) // width
+        here = pos[c0:c1]
+        for b in range(int(low[0]), int(high[-1]) + 1):
+            p = slice(p0 + int(np.searchsorted(high, b)), p0 + int(np.searchsorted(low, b, "right")))
+            c = slice(c0 + int(np.searchsorted(here, b * width)), c0 + int(np.searchsorted(here, (b + 1) * width + size - 1)))
+            if p.start == p.stop or c.start == c.stop:
+                continue
+            # a window of the block begins in it; cues of the next one are there only for its end
+            at, isle, m = pos[c], island[c], c.stop - c.start
+            own = at < (b + 1) * width
+            first, last = [], []
+            for k in range(min(size, m)):
+                i = np.flatnonzero(own[: m - k] & (isle[: m - k] == isle[k:]) & (at[k:] == at[: m - k] + k))
+                first.append(i)
+                last.append(i + k)
+            i, j = np.concatenate(first), np.concatenate(last)
+            if not len(i):
+                continue
+            start, end = at[i], at[j]
+            for x, y, *more in multiply(p, c, i, j):
+                x = x + p.start
+                keep = (start[y] >= expected[x] - wide) & (end[y] <= np.minimum(count - 1, expected[x] + wide))
+                x, y = x[keep], y[keep]
+                held.append([x, start[y], end[y], *(v[keep] for v in more)])
+                n += len(x)
+            if n > PAIRS:
+                yield from given(not best)
+        if n > ROWS * 8:
+            yield from given(True)
+    if held:
+        yield from given(True)
+
+
+def pairs_schema(kind: str, schema: str, best: tuple | None = None) -> str:
+    """The schema of banded() for track_id of a kind."""
+    return f"track_id {kind}, phrase_no long, expected long, radius long, cues long, phrases long, first_pos long, last_pos long, {schema}{', score double, place int' if best else ''}"
+
+
 def banded(phrases: DataFrame, cues: DataFrame, told: list[str], seen: list[str], over: Callable, schema: str, size: int, gap_ms: int, block: int, best: tuple[float, int] | None = None) -> DataFrame:
     """Pairs of phrases and windows in their band, from over() on blocks: (track_id, phrase_no, *PLACED, first_pos, last_pos, *schema).
 
@@ -92,78 +167,13 @@ def banded(phrases: DataFrame, cues: DataFrame, told: list[str], seen: list[str]
     a number, keeps of each phrase what matching.candidates() would, with score and place; the first column of schema
     is then the similarity, and the rows of a track stand together, by phrase.
     """
-    both = beside(by_track(phrases.select("track_id", F.col("phrase_no").cast("long").alias("phrase_no"), *told), "said"), by_track(cues.select("track_id", F.col("pos").cast("long").alias("pos"), "start_ms", "end_ms", *seen), "seen"))
-    names = ["phrase_no", *PLACED, "first_pos", "last_pos", *(c.split()[0] for c in schema.split(", ")), *(["score", "place"] if best else [])]
-
-    def handle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        (at_p, said), (at_c, heard) = flat(batch["said"], "phrase_no"), flat(batch["seen"], "pos")
-        multiply = over(said, heard)
-        no, pos, start_ms, end_ms = (t[c].to_numpy() for t, c in ((said, "phrase_no"), (heard, "pos"), (heard, "start_ms"), (heard, "end_ms")))
-        island = np.cumsum(np.concatenate([[0], start_ms[1:] - end_ms[:-1] > gap_ms]))
-        track, expected, radius, n_cues, n_phrases = (np.zeros(len(no), np.int64) for _ in range(5))
-        held: list[list[np.ndarray]] = []
-        n = 0
-
-        def given(whole: bool) -> Iterator[pa.RecordBatch]:
-            """What is held: of a track that goes on only each phrase's best stay, if these are asked for."""
-            nonlocal held, n
-            x, *more = (np.concatenate(c) for c in zip(*held))
-            if best:
-                kept, *ranked = best_of(x, more[0], more[1], more[2], expected[x], radius[x], *best)
-            else:
-                kept, ranked = np.argsort(x, kind="stable"), []
-            x, more = x[kept], [c[kept] for c in more]
-            held, n = ([[x, *more]], len(x)) if best and not whole else ([], 0)
-            if not held:
-                values = [no[x], *(c[x] for c in (expected, radius, n_cues, n_phrases)), *more, *ranked]
-                yield pa.RecordBatch.from_arrays([batch["track_id"].take(pa.array(track[x])), *map(pa.array, values)], ["track_id", *names])
-
-        for t, (p0, p1, c0, c1) in enumerate(zip(at_p[:-1].tolist(), at_p[1:].tolist(), at_c[:-1].tolist(), at_c[1:].tolist())):
-            mine, count = slice(p0, p1), c1 - c0
-            wide = max(count // 12, 70)
-            width = min(wide, block)
-            track[mine], radius[mine], n_cues[mine], n_phrases[mine] = t, wide, count, p1 - p0
-            expected[mine] = np.rint(no[mine] / max(p1 - p0 - 1, 1) * max(count - 1, 1))
-            low, high = np.maximum(expected[mine] - wide, 0) // width, np.minimum(expected[mine] + wide, count - 1) // width
-            here = pos[c0:c1]
-            for b in range(int(low[0]), int(high[-1]) + 1):
-                p = slice(p0 + int(np.searchsorted(high, b)), p0 + int(np.searchsorted(low, b, "right")))
-                c = slice(c0 + int(np.searchsorted(here, b * width)), c0 + int(np.searchsorted(here, (b + 1) * width + size - 1)))
-                if p.start == p.stop or c.start == c.stop:
-                    continue
-                # a window of the block begins in it; cues of the next one are there only for its end
-                at, isle, m = pos[c], island[c], c.stop - c.start
-                own = at < (b + 1) * width
-                first, last = [], []
-                for k in range(min(size, m)):
-                    i = np.flatnonzero(own[: m - k] & (isle[: m - k] == isle[k:]) & (at[k:] == at[: m - k] + k))
-                    first.append(i)
-                    last.append(i + k)
-                i, j = np.concatenate(first), np.concatenate(last)
-                if not len(i):
-                    continue
-                start, end = at[i], at[j]
-                for x, y, *more in multiply(p, c, i, j):
-                    x = x + p.start
-                    keep = (start[y] >= expected[x] - wide) & (end[y] <= np.minimum(count - 1, expected[x] + wide))
-                    x, y = x[keep], y[keep]
-                    held.append([x, start[y], end[y], *(v[keep] for v in more)])
-                    n += len(x)
-                if n > PAIRS:
-                    yield from given(not best)
-            if n > ROWS * 8:
-                yield from given(True)
-        if held:
-            yield from given(True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from handle(batch)
+                yield from compared(batch, over, schema, size, gap_ms, block, best)
 
-    kind = dict(phrases.dtypes)["track_id"]
-    out = f"track_id {kind}, phrase_no long, expected long, radius long, cues long, phrases long, first_pos long, last_pos long, {schema}{', score double, place int' if best else ''}"
-    return both.mapInArrow(run, out)
+    return tracks_beside(phrases, cues, told, seen).mapInArrow(run, pairs_schema(dict(phrases.dtypes)["track_id"], schema, best))
 
 
 def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:

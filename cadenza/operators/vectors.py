@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .blocks import banded, lists
+from ..shared import stored
+from .blocks import banded, compared, lists, pairs_schema, tracks_beside
 
-#: Cues of one block at most.
-BLOCK = 2048
+#: Cues of one block at most, and tracks that share what vectors they need.
+BLOCK, TRACKS = 2048, 512
 
 
 def similar(a: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> Iterator[tuple]:
@@ -52,3 +54,44 @@ def vector_pairs(phrases: DataFrame, cues: DataFrame, size: int = 3, gap_ms: int
         return multiply
 
     return banded(phrases, cues, ["vector"], ["vector"], over, "similarity double", size, gap_ms, BLOCK)
+
+
+def lent_pairs(phrases: DataFrame, cues: DataFrame, vectors: DataFrame, size: int = 3, gap_ms: int = 3500, least: float = 0.38, best: tuple[float, int] | None = None, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
+    """vector_pairs() of phrases(track_id, phrase_no, vec_id) and cues(track_id, pos, start_ms, end_ms, vec_id), whose vectors(vec_id, vector) are in a table of their own.
+
+    Vectors don't travel with every phrase and cue: TRACKS tracks of neighbouring numbers are a group, each vector comes to a group once,
+    and there rows look it up. Numbers that vectors doesn't have count as zero vectors. keep writes the tracks, which are read twice. best, a weight and a number, keeps what
+    matching.candidates() would, with score and place.
+    """
+    group = F.floor(F.col("track_id") / TRACKS).cast("long").alias("group")
+    both = keep(tracks_beside(phrases, cues, ["vec_id"], ["vec_id"]).select(group, "track_id", "said", "seen"), "tracks")
+    ids = F.array_distinct(F.concat(F.array_distinct(F.col("said.vec_id")), F.array_distinct(F.col("seen.vec_id"))))
+    wanted = both.select(F.col("group").alias("wanted"), F.explode(ids).alias("vec_id")).distinct().join(vectors.where("vector is not null").select("vec_id", "vector"), "vec_id")
+
+    def run(tracks: pa.Table, found: pa.Table) -> pa.Table:
+        numbers = found["vec_id"].to_numpy()
+        order = np.argsort(numbers)
+        numbers = np.append(numbers[order], np.iinfo(np.int64).max)
+        ends, values = lists(found["vector"])
+        wide = max(int(np.diff(ends).max(initial=0)), 1)
+        table = np.zeros((len(numbers), wide), values.type.to_pandas_dtype())
+        at = np.flatnonzero(np.diff(ends) > 0)
+        table[at] = values.to_numpy(zero_copy_only=False).reshape(-1, wide)
+        table[:-1] = table[order]
+        table[-1] = 0
+
+        def over(said: pa.Table, seen: pa.Table) -> Callable:
+            rows = []
+            for t in (said, seen):
+                mine = t["vec_id"].fill_null(-1).to_numpy()
+                place = np.searchsorted(numbers, mine)
+                rows.append(np.where(numbers[place] == mine, place, len(numbers) - 1))
+            return lambda p, c, i, j: similar(table[rows[0][p]].astype(float), table[rows[1][c]].astype(float), i, j, least)
+
+        parts = [out for b in tracks.combine_chunks().to_batches() for out in compared(b, over, "similarity double", size, gap_ms, BLOCK, best)] if tracks.num_rows else []
+        types = {"similarity": pa.float64(), "score": pa.float64(), "place": pa.int32(), "track_id": tracks.schema.field("track_id").type}
+        return pa.Table.from_batches(parts) if parts else pa.schema([(k, types.get(k, pa.int64())) for k in names]).empty_table()
+
+    schema = pairs_schema(dict(phrases.dtypes)["track_id"], "similarity double", best)
+    names = [x.split()[0] for x in schema.split(", ")]
+    return both.groupBy("group").cogroup(wanted.groupBy("wanted")).applyInArrow(run, schema)
